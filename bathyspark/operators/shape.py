@@ -34,8 +34,10 @@ def nest_profiles(levels: DataFrame, order: list[str] | None = None) -> DataFram
     if "depth" not in order:
         fields.append(F.col("depth"))
     grouped = levels.groupBy(*PROFILE_KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lv"))
-    params = F.create_map(*[x for p in PARAMETERS
-                            for x in (F.lit(p), F.transform("lv", lambda e, p=p: e[p]))])
+    def field(name: str):
+        return F.transform("lv", lambda e: e[name])
+
+    params = F.create_map(*[x for p in PARAMETERS for x in (F.lit(p), field(p))])
     return grouped.select(*PROFILE_KEY, F.transform("lv", lambda e: e["depth"]).alias("depths"),
                           params.alias("parameters"))
 
