@@ -157,3 +157,72 @@ def parse_question(question: Column, current_year: int) -> Column:
         q_profile_request(question).alias("profile_request"),
         F.coalesce(q_location_error(question), q_time_error(question)).alias("error"),
     )
+
+
+def parse_frame(df, text_col: str, current_year: int, out: str = "p", bounds=None, bounds_out: str = "b"):
+    """T10 over a DataFrame, in staged projections.
+
+    Each shared piece (lower-cased text, regex groups, year, month) is a
+    column of its own, computed once per row, so the generated code stays
+    small and every stage stays inside whole-stage codegen.  ``bounds``, a
+    function of the flat parse columns, adds the filter bounds as a struct
+    built from those columns (never from fields of the parse struct, which
+    would re-inline the whole parse per field).
+    """
+    q = F.col(text_col)
+    s1 = df.select("*", F.lower(q).alias("_ql"), F.regexp_extract(q, YEAR_PATTERN, 1).alias("_ytxt"))
+    ql = F.col("_ql")
+
+    def found(words: list[str]) -> Column:
+        return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.instr(ql, w) > 0)
+
+    def any_of(words: list[str]) -> Column:
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.instr(ql, w) > 0)
+
+    # latest month in calendar order, first region word in fixed order
+    months = F.array(*[F.lit(m) for m in MONTHS])
+    month = F.array_max(F.transform(months, lambda m, i: F.when(F.instr(ql, m) > 0, i + 1)))
+    s2 = s1.select(
+        "*", ql.rlike(LOCATION_PATTERN).alias("_has_loc"),
+        F.regexp_extract(ql, LOCATION_PATTERN, 2).alias("_lat_txt"),
+        F.regexp_extract(ql, LOCATION_PATTERN, 3).alias("_lon_txt"),
+        F.when(F.col("_ytxt") != "", F.col("_ytxt").try_cast("int")).alias("_yr"),
+        month.alias("_mo"), any_of([MONTHS[m - 1] for m in SHORT_MONTHS]).alias("_short"),
+        found(QUESTION_PARAMETERS).alias("_params"),
+        F.try_element_at(found(REGION_WORDS), F.lit(1)).alias("_region"),
+        any_of(COMPARISON_WORDS).alias("_cmp"), any_of(PROFILE_WORDS).alias("_prof"))
+    s3 = s2.select("*", F.col("_lat_txt").try_cast("double").alias("_lat"),
+                   F.col("_lon_txt").try_cast("double").alias("_lon"))
+    yr, mo = F.col("_yr"), F.col("_mo")
+    year_ok = yr.isNotNull() & (yr >= 1)
+    zero = F.lit(0)
+    y_start = F.make_timestamp_ntz(yr, F.coalesce(mo, F.lit(1)), F.lit(1), zero, zero, zero)
+    y_end = F.when(mo.isNull(), F.make_timestamp_ntz(yr, F.lit(12), F.lit(31), zero, zero, zero)).otherwise(
+        F.last_day(F.make_date(yr, mo, F.lit(1))).cast("timestamp_ntz"))
+    cy = F.lit(int(current_year))
+    start = F.when(year_ok, y_start).when(mo.isNotNull(), F.make_timestamp_ntz(cy, mo, F.lit(1), zero, zero, zero))
+    end = F.when(year_ok, y_end).when(mo.isNotNull(), F.make_timestamp_ntz(cy, mo, F.lit(28), zero, zero, zero))
+    loc_ok = F.col("_has_loc") & F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    s4 = s3.select("*", loc_ok.alias("_loc_ok"), start.alias("_start"), end.alias("_end"))
+    loc = F.when(F.col("_loc_ok"), F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon")))
+    time = F.when(F.col("_start").isNotNull(), F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))
+    bad_txt = F.when(F.col("_lat").isNull(), F.col("_lat_txt")).when(F.col("_lon").isNull(), F.col("_lon_txt"))
+    error = (F.when(F.col("_has_loc") & bad_txt.isNotNull(),
+                    F.concat(F.lit("could not convert string to float: '"), bad_txt, F.lit("'")))
+             .when(yr.isNotNull() & (yr < 1), F.concat(F.lit("year "), yr.cast("string"), F.lit(" is out of range")))
+             .when(yr.isNotNull() & F.col("_short"), F.lit("day is out of range for month")))
+    placed = F.col("_loc_ok") | F.col("_region").isNotNull()
+    has_params = F.size(F.col("_params")) > 0
+    intent = (F.when(placed & has_params, "parameter_query").when(placed, "location_query")
+              .when(has_params, "parameter_query").when(F.col("_cmp"), "comparison_query")
+              .otherwise("general_query"))
+    parsed = F.struct(
+        q.alias("original_query"), intent.alias("intent"),
+        F.col("_params").alias("parameters"), loc.alias("location"), time.alias("time_range"),
+        F.col("_region").alias("region"), F.col("_cmp").alias("comparison"), F.col("_prof").alias("profile_request"),
+        error.alias("error"))
+    cols = [F.col(c) for c in df.columns] + [parsed.alias(out)]
+    if bounds is not None:
+        cols.append(bounds(F.col("_loc_ok"), F.col("_lat"), F.col("_lon"), F.col("_region"), F.col("_start"),
+                           F.col("_end"), F.col("_prof"), F.col("_params")).alias(bounds_out))
+    return s4.select(*cols)

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from bathyspark.functions.questions import parse_question
+from bathyspark.functions.questions import parse_frame
 from bathyspark.schemas import (
     POINT_RADIUS_DEG, PROFILE_COLUMNS, PROFILE_MAX_DEPTH, QUESTION_PARAMETERS, REGION_BOUNDS,
 )
@@ -34,31 +34,35 @@ def _region_map(field: int) -> Column:
     return F.create_map(*kv)
 
 
-def question_bounds(parsed: Column, radius: float = POINT_RADIUS_DEG) -> Column:
+def bounds_from(loc_ok: Column, lat: Column, lon: Column, region: Column, start: Column, end: Column,
+                profile_request: Column, parameters: Column, radius: float = POINT_RADIUS_DEG) -> Column:
     """Q1: typed bounds of a parsed question; a null bound means 'any'.
 
     A point location wins over a region; a region without a box (poles,
     arctic, antarctic) bounds nothing.
     """
-    loc = parsed["location"]
-    region = parsed["region"]
-    has_loc = loc.isNotNull()
-
     def pick(loc_value: Column, field: int) -> Column:
-        return F.when(has_loc, loc_value).otherwise(F.element_at(_region_map(field), region))
+        return F.when(loc_ok, loc_value).otherwise(F.element_at(_region_map(field), region))
 
     fields = [
-        pick(loc["lat"] - F.lit(radius), 0).alias("lat_lo"),
-        pick(loc["lat"] + F.lit(radius), 1).alias("lat_hi"),
-        pick(loc["lon"] - F.lit(radius), 2).alias("lon_lo"),
-        pick(loc["lon"] + F.lit(radius), 3).alias("lon_hi"),
-        parsed["time_range"]["start"].alias("ts_lo"),
-        parsed["time_range"]["end"].alias("ts_hi"),
-        F.when(parsed["profile_request"], F.lit(PROFILE_MAX_DEPTH)).alias("depth_hi"),
-    ] + [F.array_contains(parsed["parameters"], p).alias(f"need_{p}") for p in QUESTION_PARAMETERS]
+        pick(lat - F.lit(radius), 0).alias("lat_lo"),
+        pick(lat + F.lit(radius), 1).alias("lat_hi"),
+        pick(lon - F.lit(radius), 2).alias("lon_lo"),
+        pick(lon + F.lit(radius), 3).alias("lon_hi"),
+        start.alias("ts_lo"),
+        end.alias("ts_hi"),
+        F.when(profile_request, F.lit(PROFILE_MAX_DEPTH)).alias("depth_hi"),
+    ] + [F.array_contains(parameters, p).alias(f"need_{p}") for p in QUESTION_PARAMETERS]
     return F.struct(*fields)
 
 
+def question_bounds(parsed: Column, radius: float = POINT_RADIUS_DEG) -> Column:
+    """Q1 from a parse struct (for a few rows; tables use ``parse_table``)."""
+    loc = parsed["location"]
+    return bounds_from(loc.isNotNull(), loc["lat"], loc["lon"], parsed["region"], parsed["time_range"]["start"],
+                       parsed["time_range"]["end"], parsed["profile_request"], parsed["parameters"], radius)
+
+
 def _lon_test(lo, hi, wrap: bool) -> Column:
     lon = F.col("longitude")
     if not wrap:
@@ -96,8 +100,7 @@ def bounds_join_condition(b: str = "b", wrap: bool = False) -> Column:
 def parse_one(spark, question: str, current_year: int) -> Row:
     """Parse one question in Spark and return (parsed, bounds) as one row."""
     q = spark.createDataFrame([(question,)], "question string")
-    parsed = parse_question(F.col("question"), current_year)
-    return q.select(parsed.alias("p")).select("p", question_bounds(F.col("p")).alias("b")).first()
+    return parse_table(q, current_year).select("p", "b").first()
 
 
 def row_order(parsed_profile_request: bool, columns: list[str]) -> list[Column]:
@@ -119,3 +122,106 @@ def question_rows(profiles: DataFrame, question: str, current_year: int,
         return profiles.where(F.lit(False)).select(PROFILE_COLUMNS)
     out = profiles.where(bounds_predicate(row["b"], wrap=wrap))
     return out.orderBy(*row_order(bool(row["p"]["profile_request"]), out.columns)).select(PROFILE_COLUMNS)
+
+
+# ----------------------------------------------------------------- many questions
+DEFAULT_MAX_BROADCAST_SIGNATURES = 20_000
+STAT_PARAMS = QUESTION_PARAMETERS
+
+
+def parse_table(questions: DataFrame, current_year: int, text_col: str = "question") -> DataFrame:
+    """T10 + Q1 over a table of questions: adds struct columns ``p`` and ``b``."""
+    return parse_frame(questions, text_col, current_year, "p", bounds=bounds_from, bounds_out="b")
+
+
+def _month_key(ts: Column) -> Column:
+    return F.year(ts) * 12 + F.month(ts) - 1
+
+
+def _signature_stats(matched: DataFrame) -> list[Column]:
+    from bathyspark.functions.aggs import exact_mean
+    aggs = [F.count(F.lit(1)).alias("total_records"),
+            F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"),
+            F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"),
+            F.min("timestamp").alias("time_min"), F.max("timestamp").alias("time_max")]
+    for p in STAT_PARAMS:
+        aggs += [F.count(p).alias(f"{p}_n"), F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"),
+                 exact_mean(p).alias(f"{p}_mean")]
+    return aggs
+
+
+def _match_chunk(profiles: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
+    """Levels matched to the signatures of one bounded chunk.
+
+    Time-bounded signatures are exploded to the months they cover and meet
+    the levels in a broadcast hash join on the month key (each level finds
+    only the signatures of its own month; no profile shuffle).  Signatures
+    without a time bound meet the levels in a broadcast range join.
+    """
+    cond = bounds_join_condition("b", wrap)
+    bounded = (sigs.where(F.col("ts_lo").isNotNull() & (F.col("ts_lo") <= F.col("ts_hi")))
+               .withColumn("b_mkey", F.explode(F.sequence(_month_key(F.col("ts_lo")), _month_key(F.col("ts_hi"))))))
+    unbounded = sigs.where(F.col("ts_lo").isNull())
+    lv = profiles.withColumn("mkey", _month_key(F.col("timestamp")))
+    m1 = lv.join(F.broadcast(bounded).alias("b"), (F.col("mkey") == F.col("b.b_mkey")) & cond)
+    m2 = profiles.join(F.broadcast(unbounded).alias("b"), cond)
+    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [
+        F.col(c) for c in ["latitude", "longitude", "timestamp"] + STAT_PARAMS]
+    return m1.select(keep).unionByName(m2.select(keep))
+
+
+def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
+                    max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES) -> DataFrame:
+    """Per distinct bound signature: matched-row statistics (Q10 core).
+
+    The distinct signatures are counted first; each broadcast carries at
+    most ``max_broadcast`` of them (several hash chunks beyond that).
+    """
+    sigs = parsed.select("b.*").distinct()
+    n = sigs.count()
+    n_chunks = max(1, -(-n // max_broadcast))
+    parts = []
+    for i in range(n_chunks):
+        chunk = sigs if n_chunks == 1 else sigs.where(
+            F.abs(F.xxhash64(*[F.col(c) for c in BOUND_FIELDS])) % n_chunks == i)
+        parts.append(_match_chunk(profiles, chunk, wrap))
+    matched = parts[0]
+    for p in parts[1:]:
+        matched = matched.unionByName(p)
+    return matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats(matched))
+
+
+def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int, mode: str = "default",
+                   wrap: bool = False, max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES) -> DataFrame:
+    """Q10: every question answered against the levels in one plan.
+
+    Output: the question columns, ``p`` (parse), ``b`` (bounds) and the
+    statistics of its rows (``total_records`` is 0 when nothing matched).
+    In literal mode a question the literal rules fail on gets no statistics.
+    """
+    parsed = parse_table(questions, current_year)
+    stats = signature_stats(profiles, parsed, wrap, max_broadcast)
+    flat = parsed.select("*", *[F.col(f"b.{c}").alias(f"_k_{c}") for c in BOUND_FIELDS])
+    on = [F.col(f"_k_{c}").eqNullSafe(F.col(f"s.{c}")) for c in BOUND_FIELDS]
+    j = flat.join(stats.alias("s"), reduce(lambda a, b: a & b, on), "left")
+    stat_cols = [c for c in stats.columns if c not in BOUND_FIELDS]
+    failed = F.lit(mode == "literal") & F.col("p.error").isNotNull()
+    out = [F.col(c) for c in questions.columns] + [F.col("p"), F.col("b")]
+    for c in stat_cols:
+        v = F.col(f"s.{c}")
+        if c == "total_records" or c.endswith("_n"):
+            out.append(F.when(failed, F.lit(0).cast("long")).otherwise(F.coalesce(v, F.lit(0).cast("long"))).alias(c))
+        else:
+            out.append(F.when(~failed, v).alias(c))
+    out.append(failed.alias("failed"))
+    return j.select(out)
+
+
+def answer_summary(batch: DataFrame) -> DataFrame:
+    """Q4: count, parameters found, bounds (null when nothing matched)."""
+    found = F.filter(F.array(*[F.when(F.col(f"{p}_n") > 0, F.lit(p)) for p in STAT_PARAMS]),
+                     lambda x: x.isNotNull())
+    has = F.col("total_records") > 0
+    return batch.select(
+        "question_id", "total_records", F.array_join(found, ",").alias("parameters_found"),
+        *[F.when(has, F.col(c)).alias(c) for c in ["min_lat", "max_lat", "min_lon", "max_lon"]])
