@@ -225,3 +225,74 @@ def answer_summary(batch: DataFrame) -> DataFrame:
     return batch.select(
         "question_id", "total_records", F.array_join(found, ",").alias("parameters_found"),
         *[F.when(has, F.col(c)).alias(c) for c in ["min_lat", "max_lat", "min_lon", "max_lon"]])
+
+
+NEIGHBOUR_INTENTS = ["general_query", "location_query"]
+
+
+def question_neighbours(index: DataFrame, model, parsed: DataFrame, k: int = 5) -> DataFrame:
+    """Q3: the k nearest floats for general and location questions only."""
+    from bathyspark.operators.index import search_index
+    asked = parsed.where(F.col("p.intent").isin(NEIGHBOUR_INTENTS)).select("question_id", "question")
+    return search_index(index, model, asked, "question_id", "question", k)
+
+
+def answer_context(batch: DataFrame, neighbours: DataFrame | None = None, n_quoted: int = 3) -> DataFrame:
+    """Q5 (+ O8): context text per question from its statistics and neighbours."""
+    from bathyspark.functions.text import context_text
+    stats = F.create_map(*[x for p in STAT_PARAMS for x in (
+        F.lit(p), F.struct(F.col(f"{p}_n").alias("n"), F.col(f"{p}_min").alias("lo"),
+                           F.col(f"{p}_max").alias("hi"), F.col(f"{p}_mean").alias("mean")))])
+    base = batch.select("question_id", "question", "p", "total_records", "min_lat", "max_lat", "min_lon",
+                        "max_lon", "time_min", "time_max", *[f"{p}_{s}" for p in STAT_PARAMS
+                                                              for s in ("n", "min", "max", "mean")])
+    if neighbours is not None:
+        quoted = (neighbours.where(F.col("rank") <= n_quoted)
+                  .groupBy("question_id")  # at most n_quoted rows per question
+                  .agg(F.array_sort(F.collect_list(F.struct(
+                      "rank", F.concat(F.lit("- "), F.col("float_id"), F.lit(": "), F.col("text_summary")).alias("line")
+                  ))).alias("nb")))
+        base = base.join(quoted, "question_id", "left")
+        nb_lines = F.coalesce(F.transform("nb", lambda x: x["line"]), F.array().cast("array<string>"))
+    else:
+        nb_lines = F.array().cast("array<string>")
+    named = F.filter(F.transform(F.col("p.parameters"), lambda name: F.when(
+        F.element_at(stats, name)["n"] > 0,
+        F.format_string("- %s: %.2f to %.2f (mean: %.2f)", name, F.element_at(stats, name)["lo"],
+                        F.element_at(stats, name)["hi"], F.element_at(stats, name)["mean"]))),
+        lambda x: x.isNotNull())
+    text = context_text(F.col("total_records"), named, F.col("min_lat"), F.col("max_lat"), F.col("min_lon"),
+                        F.col("max_lon"), F.col("time_min"), F.col("time_max"), nb_lines)
+    return base.select("question_id", "question", "total_records", text.alias("context"))
+
+
+def answer_records(batch: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+    """Q7: query, response, data summary and neighbours per question.
+
+    The matching rows stay a DataFrame keyed by question (``question_rows``
+    for one question); they are not gathered into the record.  A failed
+    question (literal mode) gets the failure record of Q6.
+    """
+    ctx = answer_context(batch, neighbours)
+    summ = answer_summary(batch)
+    out = batch.select("question_id", "p", "failed").join(ctx.drop("total_records"), "question_id").join(summ, "question_id",
+                                                                                   "left")
+    if neighbours is not None:
+        nb = neighbours.groupBy("question_id").agg(  # at most k rows per question
+            F.array_sort(F.collect_list(F.struct("rank", "float_id", "distance", "text_summary", "metadata")))
+            .alias("vector_results"))
+        out = out.join(nb, "question_id", "left")
+        vr = F.coalesce(F.col("vector_results"), F.array())
+    else:
+        vr = F.array()
+    has = F.col("total_records") > 0
+    return out.select(
+        "question_id", F.col("question").alias("query"),
+        F.when(F.col("failed"), F.concat(F.lit("Error processing query: "), F.col("p.error")))
+        .otherwise(F.col("context")).alias("response"),
+        F.struct(F.col("total_records"),
+                 F.when(F.col("failed"), F.array().cast("array<string>"))
+                 .otherwise(F.split(F.col("parameters_found"), ",")).alias("parameters_found"),
+                 F.when(has & ~F.col("failed"), F.struct("min_lat", "max_lat", "min_lon", "max_lon"))
+                 .alias("geographic_bounds")).alias("data_summary"),
+        F.when(F.col("failed"), F.array()).otherwise(vr).alias("vector_results"))
