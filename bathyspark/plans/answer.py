@@ -107,7 +107,8 @@ def row_order(parsed_profile_request: bool, columns: list[str]) -> list[Column]:
     """O4 for a profile request, O5 otherwise, then a total tie-break."""
     ties = [c for c in ["profile_id", "depth", "level_no", "part_no", "supp_no", "ext_price"] if c in columns]
     if parsed_profile_request:
-        return [F.col("float_id").asc(), F.col("timestamp").asc(), F.col("depth").asc()] + [F.col(c).asc() for c in ties]
+        head = ["float_id", "timestamp", "depth"]
+        return [F.col(c).asc() for c in head] + [F.col(c).asc() for c in ties if c not in head]
     return [F.col("timestamp").desc()] + [F.col(c).asc() for c in ties]
 
 
