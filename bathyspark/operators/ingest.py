@@ -92,24 +92,35 @@ def ingest_report(existing: DataFrame, batch: DataFrame, key: list[str] | None =
 
 
 def append_levels(path: str, batch: DataFrame, key: list[str] | None = None,
-                  order: list[str] | None = None, partition_by: list[str] | None = None) -> int:
+                  order: list[str] | None = None, partition_by: list[str] | None = None,
+                  staging_name: str | None = None) -> int:
     """Write the new levels of ``batch`` to the Parquet table at ``path``.
 
-    The batch's new rows are first written to a staging folder next to the
-    table (lineage is cut there, so a lost executor recomputes from files),
-    then appended.  Returns the number of rows appended.
+    The new rows are first written to a staging folder beside the table (on
+    the same shared storage, so lineage is cut by files that survive a lost
+    executor), then appended.  Re-running the same batch adds nothing, which
+    makes the append idempotent for streaming retries.  Returns the number
+    of rows appended.
     """
+    import uuid
+
     spark = batch.sparkSession
+    key = key or DEFAULT_LEVEL_KEY
     try:
         existing = spark.read.parquet(path)
     except Exception:  # noqa: BLE001 - first write creates the table
-        existing = spark.createDataFrame([], batch.select(*(key or DEFAULT_LEVEL_KEY)).schema)
-    fresh = new_levels(existing, batch, key, order)
-    staging = path.rstrip("/") + "__staging"
+        existing = None
+    if existing is None:
+        fresh = first_per_key(batch, key, order or key)
+    else:
+        fresh = new_levels(existing, batch, key, order)
+    staging = path.rstrip("/") + "__staging/" + (staging_name or uuid.uuid4().hex)
     fresh.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
-    writer = staged.write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.parquet(staging).count()
+    n = staged.count()
+    if n:
+        writer = staged.write.mode("append")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    return n
