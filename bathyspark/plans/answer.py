@@ -139,57 +139,164 @@ def _month_key(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts) - 1
 
 
-def _signature_stats(matched: DataFrame) -> list[Column]:
-    from bathyspark.functions.aggs import exact_mean
-    aggs = [F.count(F.lit(1)).alias("total_records"),
-            F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"),
-            F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"),
-            F.min("timestamp").alias("time_min"), F.max("timestamp").alias("time_max")]
+FLAG_COLUMNS = ["shallow"] + [f"has_{p}" for p in STAT_PARAMS]
+PARTIAL_SUMS = ["n"] + [f"{p}_{s}" for p in STAT_PARAMS for s in ("n", "sum")]
+PARTIAL_MINS = ["lat_min", "lon_min", "t_min"] + [f"{p}_min" for p in STAT_PARAMS]
+PARTIAL_MAXS = ["lat_max", "lon_max", "t_max"] + [f"{p}_max" for p in STAT_PARAMS]
+PARTIALS = PARTIAL_SUMS + PARTIAL_MINS + PARTIAL_MAXS
+
+
+def _merge_partials() -> list[Column]:
+    return ([F.sum(c).alias(c) for c in PARTIAL_SUMS] + [F.min(c).alias(c) for c in PARTIAL_MINS]
+            + [F.max(c).alias(c) for c in PARTIAL_MAXS])
+
+
+def level_groups(profiles: DataFrame) -> DataFrame:
+    """Levels pre-aggregated on every column a question can filter on.
+
+    Key: (latitude, longitude, timestamp, shallow, has_<param>...) where
+    ``shallow`` is ``depth <= PROFILE_MAX_DEPTH``.  Values are partial
+    statistics (counts, minima, maxima, decimal sums), which merge exactly,
+    so statistics over matched groups equal statistics over matched levels.
+    Levels of one profile share place and time, so each profile collapses
+    to a few rows before the shuffle.
+    """
+    keys = [F.col("latitude"), F.col("longitude"), F.col("timestamp"),
+            F.coalesce(F.col("depth") <= F.lit(PROFILE_MAX_DEPTH), F.lit(False)).alias("shallow")] + [
+        F.col(p).isNotNull().alias(f"has_{p}") for p in STAT_PARAMS]
+    aggs = [F.count(F.lit(1)).alias("n")]
     for p in STAT_PARAMS:
         aggs += [F.count(p).alias(f"{p}_n"), F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"),
-                 exact_mean(p).alias(f"{p}_mean")]
-    return aggs
+                 F.sum(F.col(p).cast("decimal(18,6)")).alias(f"{p}_sum")]
+    g = profiles.groupBy(*keys).agg(*aggs)
+    return g.select("*", F.col("latitude").alias("lat_min"), F.col("latitude").alias("lat_max"),
+                    F.col("longitude").alias("lon_min"), F.col("longitude").alias("lon_max"),
+                    F.col("timestamp").alias("t_min"), F.col("timestamp").alias("t_max"))
 
 
-def _match_chunk(profiles: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
-    """Levels matched to the signatures of one bounded chunk.
+def _flag_condition(b: str) -> Column:
+    c = lambda name: F.col(f"{b}.{name}")
+    conds = [(~c(f"need_{p}")) | F.col(f"has_{p}") for p in STAT_PARAMS]
+    conds.append(c("depth_hi").isNull() | F.col("shallow"))
+    return reduce(lambda x, y: x & y, conds)
+
 
-    Time-bounded signatures are exploded to the months they cover and meet
-    the levels in a broadcast hash join on the month key (each level finds
-    only the signatures of its own month; no profile shuffle).  Signatures
-    without a time bound meet the levels in a broadcast range join.
+def _group_condition(b: str, wrap: bool) -> Column:
+    """Group-vs-bounds predicate; null bounds mean 'any'."""
+    c = lambda name: F.col(f"{b}.{name}")
+    return (_flag_condition(b)
+            & (c("lat_lo").isNull() | F.col("latitude").between(c("lat_lo"), c("lat_hi")))
+            & (c("lon_lo").isNull() | _lon_test(c("lon_lo"), c("lon_hi"), wrap))
+            & (c("ts_lo").isNull() | F.col("timestamp").between(c("ts_lo"), c("ts_hi"))))
+
+
+LAT_CELL_DEG = 1.0
+WIDE_BOX_DEG = 4.0   # untimed boxes taller than this are matched by box membership
+MAX_WIDE_BOXES = 64  # membership bits per group
+
+
+def _bucketed(sigs: DataFrame) -> DataFrame:
+    """Timed signatures by month; untimed narrow boxes by 1-degree latitude cell."""
+    timed = F.col("ts_lo").isNotNull()
+    by_time = (sigs.where(timed & (F.col("ts_lo") <= F.col("ts_hi")))
+               .withColumn("b_kind", F.lit(0))
+               .withColumn("b_bucket", F.explode(F.sequence(_month_key(F.col("ts_lo")), _month_key(F.col("ts_hi"))))))
+    by_lat = (sigs.where(~timed & F.col("lat_lo").isNotNull() & (F.col("lat_lo") <= F.col("lat_hi")))
+              .withColumn("b_kind", F.lit(1))
+              .withColumn("b_bucket", F.explode(F.sequence(
+                  F.floor(F.col("lat_lo") / LAT_CELL_DEG).cast("int"),
+                  F.floor(F.col("lat_hi") / LAT_CELL_DEG).cast("int")))))
+    return by_time.unionByName(by_lat)
+
+
+def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
+    """Partial statistics of the groups matched to each signature of a chunk.
+
+    * timed signatures, and untimed ones with a narrow box: each group
+      probes its month and its latitude cell in a broadcast hash join, so it
+      meets only the signatures of that month or cell (no group shuffle);
+    * untimed signatures with a wide box (named regions) or no box: groups
+      are first rolled up to (flags, membership in each wide box), a table of
+      at most 2^(8+boxes) rows and in practice a few hundred, and the
+      signatures are matched against that.
+    Every (group, signature) pair is counted once.
     """
-    cond = bounds_join_condition("b", wrap)
-    bounded = (sigs.where(F.col("ts_lo").isNotNull() & (F.col("ts_lo") <= F.col("ts_hi")))
-               .withColumn("b_mkey", F.explode(F.sequence(_month_key(F.col("ts_lo")), _month_key(F.col("ts_hi"))))))
-    unbounded = sigs.where(F.col("ts_lo").isNull())
-    lv = profiles.withColumn("mkey", _month_key(F.col("timestamp")))
-    m1 = lv.join(F.broadcast(bounded).alias("b"), (F.col("mkey") == F.col("b.b_mkey")) & cond)
-    m2 = profiles.join(F.broadcast(unbounded).alias("b"), cond)
-    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [
-        F.col(c) for c in ["latitude", "longitude", "timestamp"] + STAT_PARAMS]
-    return m1.select(keep).unionByName(m2.select(keep))
+    untimed = F.col("ts_lo").isNull()
+    wide_cond = untimed & F.col("lat_lo").isNotNull() & ((F.col("lat_hi") - F.col("lat_lo")) > WIDE_BOX_DEG)
+    boxes = (sigs.where(wide_cond).select("lat_lo", "lat_hi", "lon_lo", "lon_hi").distinct()
+             .orderBy("lat_lo", "lat_hi", "lon_lo", "lon_hi").limit(MAX_WIDE_BOXES + 1).collect())
+    if len(boxes) > MAX_WIDE_BOXES:  # too many distinct wide boxes: bucket them by latitude instead
+        boxes, wide_cond = [], F.lit(False)
+    fine_sigs = sigs.where(~wide_cond & ~(untimed & F.col("lat_lo").isNull()))
+    coarse_sigs = sigs.where(wide_cond | (untimed & F.col("lat_lo").isNull()))
+
+    probes = groups.withColumn("probe", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), _month_key(F.col("timestamp")).alias("bucket")),
+        F.struct(F.lit(1).alias("kind"), F.floor(F.col("latitude") / LAT_CELL_DEG).cast("int").alias("bucket")))))
+    fine = probes.join(F.broadcast(_bucketed(fine_sigs)).alias("b"),
+                       (F.col("probe.kind") == F.col("b.b_kind")) & (F.col("probe.bucket") == F.col("b.b_bucket"))
+                       & _group_condition("b", wrap))
+
+    lat, lon = F.col("latitude"), F.col("longitude")
+    member = [(lat.between(F.lit(b.lat_lo), F.lit(b.lat_hi))
+               & _lon_test(F.lit(b.lon_lo), F.lit(b.lon_hi), wrap)).alias(f"in_box_{i}") for i, b in enumerate(boxes)]
+    in_cols = [f"in_box_{i}" for i in range(len(boxes))]
+    rolled = groups.select(*FLAG_COLUMNS, *member, *PARTIALS).groupBy(*FLAG_COLUMNS, *in_cols).agg(*_merge_partials())
+    box_index = F.lit(-1)
+    for i, b in enumerate(boxes):
+        box_index = F.when((F.col("lat_lo") == b.lat_lo) & (F.col("lat_hi") == b.lat_hi)
+                           & (F.col("lon_lo") == b.lon_lo) & (F.col("lon_hi") == b.lon_hi), F.lit(i)).otherwise(box_index)
+    coarse_b = coarse_sigs.withColumn("b_box", box_index)
+    in_box = F.lit(True) if not boxes else F.element_at(F.array(*[F.col(c) for c in in_cols]), F.col("b.b_box") + 1)
+    box_ok = (F.col("b.b_box") < 0) | F.coalesce(in_box, F.lit(False))
+    coarse = rolled.join(F.broadcast(coarse_b).alias("b"), _flag_condition("b") & box_ok)
+
+    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for c in PARTIALS]
+    return fine.select(keep).unionByName(coarse.select(keep))
+
+
+def _signature_stats() -> list[Column]:
+    aggs = [F.sum("n").alias("total_records"),
+            F.min("lat_min").alias("min_lat"), F.max("lat_max").alias("max_lat"),
+            F.min("lon_min").alias("min_lon"), F.max("lon_max").alias("max_lon"),
+            F.min("t_min").alias("time_min"), F.max("t_max").alias("time_max")]
+    for p in STAT_PARAMS:
+        aggs += [F.sum(f"{p}_n").alias(f"{p}_n"), F.min(f"{p}_min").alias(f"{p}_min"),
+                 F.max(f"{p}_max").alias(f"{p}_max"),
+                 (F.sum(f"{p}_sum").cast("double") / F.sum(f"{p}_n")).alias(f"{p}_mean")]
+    return aggs
 
 
 def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
                     max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES) -> DataFrame:
     """Per distinct bound signature: matched-row statistics (Q10 core).
 
-    The distinct signatures are counted first; each broadcast carries at
-    most ``max_broadcast`` of them (several hash chunks beyond that).
+    Distinct signatures are counted first and split into hash chunks of
+    about ``max_broadcast`` rows.  Each chunk is fetched once (it would be
+    shipped to every executor by the broadcast anyway) and reused as a local
+    relation by all matching paths, so the question parse is not re-run per
+    path.  The depth bound is either absent or the fixed profile cap.
     """
+    spark = parsed.sparkSession
     sigs = parsed.select("b.*").distinct()
     n = sigs.count()
     n_chunks = max(1, -(-n // max_broadcast))
+    groups = level_groups(profiles)
     parts = []
     for i in range(n_chunks):
         chunk = sigs if n_chunks == 1 else sigs.where(
             F.abs(F.xxhash64(*[F.col(c) for c in BOUND_FIELDS])) % n_chunks == i)
-        parts.append(_match_chunk(profiles, chunk, wrap))
+        rows = chunk.collect()  # about max_broadcast rows: the checked broadcast size
+        if rows:
+            parts.append(_match_chunk(groups, spark.createDataFrame(rows, sigs.schema), wrap))
+    if not parts:
+        parts.append(_match_chunk(groups, sigs.limit(0), wrap))
     matched = parts[0]
     for p in parts[1:]:
         matched = matched.unionByName(p)
-    return matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats(matched))
+    stats = matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats())
+    # one row per signature: the counted size bounds the broadcast back to the questions
+    return F.broadcast(stats) if n <= max_broadcast else stats
 
 
 def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int, mode: str = "default",
