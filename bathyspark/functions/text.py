@@ -47,10 +47,6 @@ def float_text(prefix: str = "") -> Column:
     return F.concat_ws(SUMMARY_SEPARATOR, *base, *extra)
 
 
-def parameter_line(name: str, lo: Column, hi: Column, mean: Column) -> Column:
-    return _part(f"- {name}: %.2f to %.2f (mean: %.2f)", lo, hi, mean)
-
-
 def context_text(n_rows: Column, param_lines: Column, lat_min: Column, lat_max: Column,
                  lon_min: Column, lon_max: Column, t_min: Column, t_max: Column,
                  neighbour_lines: Column) -> Column:

@@ -86,17 +86,6 @@ def bounds_predicate(b: Row | dict, wrap: bool = False) -> Column:
     return reduce(lambda x, y: x & y, conds, F.lit(True))
 
 
-def bounds_join_condition(b: str = "b", wrap: bool = False) -> Column:
-    """Row-vs-bounds predicate for the batch join; null bounds mean 'any'."""
-    c = lambda name: F.col(f"{b}.{name}")
-    conds = [(~c(f"need_{p}")) | F.col(p).isNotNull() for p in QUESTION_PARAMETERS]
-    conds.append(c("lat_lo").isNull() | F.col("latitude").between(c("lat_lo"), c("lat_hi")))
-    conds.append(c("lon_lo").isNull() | _lon_test(c("lon_lo"), c("lon_hi"), wrap))
-    conds.append(c("ts_lo").isNull() | F.col("timestamp").between(c("ts_lo"), c("ts_hi")))
-    conds.append(c("depth_hi").isNull() | (F.col("depth") <= c("depth_hi")))
-    return reduce(lambda x, y: x & y, conds)
-
-
 def parse_one(spark, question: str, current_year: int) -> Row:
     """Parse one question in Spark and return (parsed, bounds) as one row."""
     q = spark.createDataFrame([(question,)], "question string")

@@ -87,7 +87,8 @@ QUESTION_TEMPLATE = (
     "when 1 then concat(' in july ', cast(1995 + c_custkey % 6 as string)) "
     "when 2 then concat(' during ', cast(1995 + c_custkey % 6 as string)) "
     "when 3 then ' in april' else '' end, "
-    "case c_custkey % 11 when 0 then ' profiles' when 1 then ' versus depth' else '' end)"
+    "case c_custkey % 11 when 0 then ' profiles' when 1 then ' versus depth' else '' end, "
+    "case c_custkey % 13 when 0 then ' and june' else '' end)"
 )
 
 
