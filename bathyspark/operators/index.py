@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bathyspark.functions.text import float_text
 from bathyspark.operators import vectors as V
 from bathyspark.operators.stats import summary_by_float
+from bathyspark.session import cut_lineage
 
 MAX_FEATURES = 1000
 
@@ -25,30 +26,36 @@ def float_summaries(floats: DataFrame, profiles: DataFrame) -> DataFrame:
 def build_index(floats: DataFrame, profiles: DataFrame, max_features: int = MAX_FEATURES):
     """(index DataFrame, fitted TF-IDF model).
 
-    Index columns: float_id, doc (a numeric key), text_summary, embedding,
-    metadata struct<latitude, longitude, status, platform_type, institution>.
+    Index columns: float_id, doc (a numeric key), text_summary, embedding
+    (sparse struct<indices, values> of dimension ``max_features``), metadata
+    struct<latitude, longitude, status, platform_type, institution>.
     """
     fs = float_summaries(floats, profiles)
     docs = fs.select(
         "float_id", F.xxhash64("float_id").alias("doc"), float_text().alias("text_summary"),
         F.struct("latitude", "longitude", "status", "platform_type", "institution").alias("metadata"))
+    # fitting and transforming read the summaries several times: compute
+    # them once (reliable checkpoint in the shared folder)
+    docs = cut_lineage(docs)
     model = V.tfidf_fit(docs, "doc", "text_summary", max_features)
     sparse = V.tfidf_transform(model, docs, "doc", "text_summary")
-    dense = V.to_dense(sparse, max_features, docs, "doc")
-    return docs.join(dense, "doc"), model
+    vectors = V.to_sparse(sparse, docs, "doc")
+    # the index is reused by every search: cut its lineage with a reliable
+    # checkpoint in the shared checkpoint folder
+    return cut_lineage(docs.join(vectors, "doc")), model
 
 
 def embed_texts(model: V.TfidfModel, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Vectors for query texts in the index's space: (id, embedding)."""
     sparse = V.tfidf_transform(model, texts, id_col, text_col)
-    return V.to_dense(sparse, model.max_features, texts, id_col).withColumnRenamed("doc", id_col)
+    return V.to_sparse(sparse, texts, id_col).withColumnRenamed("doc", id_col)
 
 
 def search_index(index: DataFrame, model: V.TfidfModel, texts: DataFrame, id_col: str, text_col: str,
                  k: int = 5) -> DataFrame:
     """V2 + V4: the k floats nearest to each text, with text and metadata."""
     qv = embed_texts(model, texts, id_col, text_col)
-    hits = V.knn_l2(qv, index, k, query_id=id_col, corpus_id="doc")
+    hits = V.knn_l2(qv, index, k, query_id=id_col, corpus_id="doc", dim=model.max_features)
     return (hits.join(index.select("doc", "float_id", "text_summary", "metadata"),
                       hits.neighbour_id == index.doc)
             .select(F.col("query_id").alias(id_col), "rank", "float_id", "distance", "text_summary", "metadata"))

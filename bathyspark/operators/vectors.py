@@ -39,10 +39,13 @@ class TfidfModel:
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+    """(doc, term) for every kept token: 2+ word characters, lower-cased,
+    English stop words removed by a broadcast anti join (a fixed list)."""
+    spark = docs.sparkSession
+    stop = spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "term string")
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
-    kept = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(kept).alias("term"))
+    exploded = docs.select(F.col(id_col).alias("doc"), F.explode(toks).alias("term"))
+    return exploded.join(F.broadcast(stop), "term", "left_anti").select("doc", "term")
 
 
 def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> TfidfModel:
@@ -54,6 +57,10 @@ def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, max_features: int = 1
     w = Window.orderBy(F.col("total").desc(), F.col("term"))  # over at most max_features rows
     vocab = top.select("term", (F.row_number().over(w) - 1).alias("term_index"),
                        (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+    # at most max_features rows: fetch once and keep as a local relation, so
+    # every later transform reuses the fitted vocabulary instead of refitting
+    spark = docs.sparkSession
+    vocab = spark.createDataFrame(vocab.collect(), vocab.schema)
     return TfidfModel(vocab, max_features)
 
 
@@ -68,20 +75,36 @@ def tfidf_transform(model: TfidfModel, docs: DataFrame, id_col: str, text_col: s
     return w.join(norm, "doc").select("doc", "term_index", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def to_dense(sparse: DataFrame, dim: int, docs: DataFrame | None = None, id_col: str = "doc") -> DataFrame:
-    """(doc, embedding ARRAY<FLOAT>) from the sparse form.
+def to_sparse(sparse: DataFrame, docs: DataFrame | None = None, id_col: str = "doc") -> DataFrame:
+    """(doc, embedding STRUCT<indices ARRAY<INT>, values ARRAY<DOUBLE>>).
 
-    A document has at most ``dim`` entries, so its group is bounded.  Docs
-    without any vocabulary term get the zero vector when ``docs`` is given.
+    Entries are sorted by index; a document has at most ``max_features``
+    entries, so its group is bounded.  Docs without any vocabulary term get
+    an empty vector when ``docs`` is given.
     """
-    per_doc = sparse.groupBy("doc").agg(F.map_from_entries(F.collect_list(
-        F.struct("term_index", "weight"))).alias("m"))
+    per_doc = sparse.groupBy("doc").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("term_index").cast("int").alias("i"), F.col("weight").alias("v")))).alias("e"))
     if docs is not None:
         per_doc = docs.select(F.col(id_col).alias("doc")).join(per_doc, "doc", "left")
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast("float"))
-    return per_doc.select("doc", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0).cast("float"), dim))
-                          .otherwise(vec).alias("embedding"))
+    e = F.coalesce(F.col("e"), F.array().cast("array<struct<i:int,v:double>>"))
+    return per_doc.select("doc", F.struct(F.col("e.i").alias("indices"), F.col("e.v").alias("values")).alias("embedding")
+                          ).select("doc", F.struct(F.coalesce(F.col("embedding.indices"), F.array().cast("array<int>")).alias("indices"),
+                                                   F.coalesce(F.col("embedding.values"), F.array().cast("array<double>")).alias("values")).alias("embedding"))
+
+
+def _as_matrix(values, dim: int | None) -> np.ndarray:
+    """Stack dense arrays, or densify sparse {indices, values} records."""
+    first = next(iter(values), None)
+    if first is None:
+        return np.zeros((0, dim or 0))
+    if isinstance(first, dict) or hasattr(first, "keys"):
+        out = np.zeros((len(values), dim))
+        for r, rec in enumerate(values):
+            idx = np.asarray(rec["indices"], dtype=np.int64)
+            if len(idx):
+                out[r, idx] = np.asarray(rec["values"], dtype=np.float64)
+        return out
+    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
 # --------------------------------------------------------------------------- V2
@@ -109,7 +132,7 @@ def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: st
             if pdf.empty:
                 continue
             all_ids = pdf[id_col].to_numpy().astype(np.int64)
-            all_x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            all_x = _as_matrix(list(pdf[vec_col]), block.shape[1])
             for s0 in range(0, len(all_ids), step):
                 ids, x = all_ids[s0:s0 + step], all_x[s0:s0 + step]
                 d = np.zeros((nq, x.shape[0]))
@@ -132,16 +155,21 @@ def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: st
 
 def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
            query_vec: str = "embedding", corpus_id: str = "id", corpus_vec: str = "embedding",
-           query_budget_bytes: int = DEFAULT_QUERY_BUDGET) -> DataFrame:
+           query_budget_bytes: int = DEFAULT_QUERY_BUDGET, dim: int | None = None) -> DataFrame:
     """Exact k nearest corpus vectors per query by squared L2 distance.
 
+    Vectors are dense arrays, or sparse structs (indices, values) of
+    dimension ``dim``, densified inside the tasks.
     Output (query_id, neighbour_id, rank, distance); ``rank`` starts at 1.
     An empty corpus gives no rows; a corpus smaller than k gives what exists.
     """
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("v"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
+    if dim is None:
+        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+        n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
+    else:
+        n_q = q.count()
     schema = "query_id long, neighbour_id long, distance double"
     if n_q == 0:
         return spark.createDataFrame([], schema + ", rank int")
@@ -156,7 +184,7 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
         if pdf.empty:
             continue
         ids = pdf["query_id"].to_numpy().astype(np.int64)
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+        mat = _as_matrix(list(pdf["v"]), dim)
         bc = spark.sparkContext.broadcast((ids, mat))
 
         def body(batches, bc=bc):

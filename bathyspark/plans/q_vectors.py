@@ -38,7 +38,7 @@ def _index(s, d):
 def index_floats(s, d):
     idx, _ = _index(s, d)
     return idx.select("float_id", "text_summary",
-                      F.size(F.filter("embedding", lambda x: x != 0)).alias("n_terms"),
+                      F.size("embedding.indices").alias("n_terms"),
                       "metadata.*")
 
 

@@ -27,13 +27,19 @@ TIE_COLUMNS = ["level_no", "part_no", "supp_no", "ext_price"]
 LEVEL_ORDER = ["profile_id", "depth"] + TIE_COLUMNS
 
 
+def _pad(expr: str, width: int) -> str:
+    """Zero-padded decimal text of a non-negative key; never truncates."""
+    return (f"CASE WHEN {expr} < {10 ** width} THEN lpad(cast({expr} AS string), {width}, '0') "
+            f"ELSE cast({expr} AS string) END")
+
+
 def _float_exprs(key: str, dialect: str) -> dict[str, str]:
     if dialect == "spark":
         deployed = f"cast(date_add(date'1995-01-01', cast({key} % 700 as int)) as timestamp_ntz)"
     else:
         deployed = f"cast(date '1995-01-01' + cast({key} % 700 as int) as timestamp)"
     return {
-        "float_id": f"printf('F_%06d', {key})",
+        "float_id": f"concat('F_', {_pad(key, 6)})",
         "platform_type": "c_mktsegment",
         "deployment_date": deployed,
         "latitude": f"cast((({key}*7919) % 6001) as double)/100 - 30",
@@ -50,8 +56,8 @@ def _profile_exprs() -> dict[str, str]:
     lat = "cast(((o_custkey*7919) % 6001) as double)/100 - 30"
     lon = "cast(((o_custkey*104729) % 10001) as double)/100 + 20"
     return {
-        "profile_id": "printf('F_%06d_%07d', o_custkey, o_orderkey)",
-        "float_id": "printf('F_%06d', o_custkey)",
+        "profile_id": f"concat('F_', {_pad('o_custkey', 6)}, '_', {_pad('o_orderkey', 7)})",
+        "float_id": f"concat('F_', {_pad('o_custkey', 6)})",
         "timestamp": "o_orderdate",
         "latitude": f"{lat} + cast(o_orderkey%101 as double)/100 - 0.5e0",
         "longitude": f"{lon} + cast((o_orderkey*31)%101 as double)/100 - 0.5e0",
@@ -105,8 +111,29 @@ def sql_views(dialect: str = "duckdb") -> str:
     )
 
 
+# Fact tables whose scans feed per-row work; they are spread when the files
+# give fewer splits than the cluster has cores.
+SPREAD_TABLES = {"lineitem", "customer", "embeddings", "documents", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin spread of a scan that has fewer splits than cores.
+
+    A large input already has many splits and is returned unchanged; a scan
+    of one unsplittable file would otherwise run all downstream per-row work
+    (projections, joins with broadcast sides, kNN distances) in one task.
+    Spark sorts before a round-robin repartition, so a retried task gets the
+    same rows.  Filters and column pruning still reach the Parquet scan.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def floats(spark: SparkSession, sf_dir: str) -> DataFrame:
