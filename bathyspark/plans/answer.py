@@ -129,18 +129,27 @@ def _month_key(ts: Column) -> Column:
 
 
 FLAG_COLUMNS = ["shallow"] + [f"has_{p}" for p in STAT_PARAMS]
-PARTIAL_SUMS = ["n"] + [f"{p}_{s}" for p in STAT_PARAMS for s in ("n", "sum")]
-PARTIAL_MINS = ["lat_min", "lon_min", "t_min"] + [f"{p}_min" for p in STAT_PARAMS]
-PARTIAL_MAXS = ["lat_max", "lon_max", "t_max"] + [f"{p}_max" for p in STAT_PARAMS]
-PARTIALS = PARTIAL_SUMS + PARTIAL_MINS + PARTIAL_MAXS
 
 
-def _merge_partials() -> list[Column]:
-    return ([F.sum(c).alias(c) for c in PARTIAL_SUMS] + [F.min(c).alias(c) for c in PARTIAL_MINS]
-            + [F.max(c).alias(c) for c in PARTIAL_MAXS])
+def _partials(value_params: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Names of the partial statistics: (summed, minimised, maximised).
 
+    Counts are kept for every parameter (they say which parameters a result
+    has); minima, maxima and sums only for ``value_params``.
+    """
+    sums = ["n"] + [f"{p}_n" for p in STAT_PARAMS] + [f"{p}_sum" for p in value_params]
+    mins = ["lat_min", "lon_min", "t_min"] + [f"{p}_min" for p in value_params]
+    maxs = ["lat_max", "lon_max", "t_max"] + [f"{p}_max" for p in value_params]
+    return sums, mins, maxs
+
+
+def _merge_partials(value_params: list[str]) -> list[Column]:
+    sums, mins, maxs = _partials(value_params)
+    return ([F.sum(c).alias(c) for c in sums] + [F.min(c).alias(c) for c in mins]
+            + [F.max(c).alias(c) for c in maxs])
 
-def level_groups(profiles: DataFrame) -> DataFrame:
+
+def level_groups(profiles: DataFrame, value_params: list[str] | None = None) -> DataFrame:
     """Levels pre-aggregated on every column a question can filter on.
 
     Key: (latitude, longitude, timestamp, shallow, has_<param>...) where
@@ -150,12 +159,13 @@ def level_groups(profiles: DataFrame) -> DataFrame:
     Levels of one profile share place and time, so each profile collapses
     to a few rows before the shuffle.
     """
+    value_params = STAT_PARAMS if value_params is None else value_params
     keys = [F.col("latitude"), F.col("longitude"), F.col("timestamp"),
             F.coalesce(F.col("depth") <= F.lit(PROFILE_MAX_DEPTH), F.lit(False)).alias("shallow")] + [
         F.col(p).isNotNull().alias(f"has_{p}") for p in STAT_PARAMS]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for p in STAT_PARAMS:
-        aggs += [F.count(p).alias(f"{p}_n"), F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"),
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.count(p).alias(f"{p}_n") for p in STAT_PARAMS]
+    for p in value_params:
+        aggs += [F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"),
                  F.sum(F.col(p).cast("decimal(18,6)")).alias(f"{p}_sum")]
     g = profiles.groupBy(*keys).agg(*aggs)
     return g.select("*", F.col("latitude").alias("lat_min"), F.col("latitude").alias("lat_max"),
@@ -198,7 +208,7 @@ def _bucketed(sigs: DataFrame) -> DataFrame:
     return by_time.unionByName(by_lat)
 
 
-def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
+def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
     """Partial statistics of the groups matched to each signature of a chunk.
 
     * timed signatures, and untimed ones with a narrow box: each group
@@ -230,7 +240,9 @@ def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
     member = [(lat.between(F.lit(b.lat_lo), F.lit(b.lat_hi))
                & _lon_test(F.lit(b.lon_lo), F.lit(b.lon_hi), wrap)).alias(f"in_box_{i}") for i, b in enumerate(boxes)]
     in_cols = [f"in_box_{i}" for i in range(len(boxes))]
-    rolled = groups.select(*FLAG_COLUMNS, *member, *PARTIALS).groupBy(*FLAG_COLUMNS, *in_cols).agg(*_merge_partials())
+    partials = [c for part in _partials(value_params) for c in part]
+    rolled = groups.select(*FLAG_COLUMNS, *member, *partials).groupBy(*FLAG_COLUMNS, *in_cols).agg(
+        *_merge_partials(value_params))
     box_index = F.lit(-1)
     for i, b in enumerate(boxes):
         box_index = F.when((F.col("lat_lo") == b.lat_lo) & (F.col("lat_hi") == b.lat_hi)
@@ -240,19 +252,22 @@ def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
     box_ok = (F.col("b.b_box") < 0) | F.coalesce(in_box, F.lit(False))
     coarse = rolled.join(F.broadcast(coarse_b).alias("b"), _flag_condition("b") & box_ok)
 
-    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for c in PARTIALS]
+    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for c in partials]
     return fine.select(keep).unionByName(coarse.select(keep))
 
 
-def _signature_stats() -> list[Column]:
+def _signature_stats(value_params: list[str]) -> list[Column]:
     aggs = [F.sum("n").alias("total_records"),
             F.min("lat_min").alias("min_lat"), F.max("lat_max").alias("max_lat"),
             F.min("lon_min").alias("min_lon"), F.max("lon_max").alias("max_lon"),
             F.min("t_min").alias("time_min"), F.max("t_max").alias("time_max")]
     for p in STAT_PARAMS:
-        aggs += [F.sum(f"{p}_n").alias(f"{p}_n"), F.min(f"{p}_min").alias(f"{p}_min"),
-                 F.max(f"{p}_max").alias(f"{p}_max"),
-                 (F.sum(f"{p}_sum").cast("double") / F.sum(f"{p}_n")).alias(f"{p}_mean")]
+        aggs.append(F.sum(f"{p}_n").alias(f"{p}_n"))
+        if p in value_params:
+            aggs += [F.min(f"{p}_min").alias(f"{p}_min"), F.max(f"{p}_max").alias(f"{p}_max"),
+                     (F.sum(f"{p}_sum").cast("double") / F.sum(f"{p}_n")).alias(f"{p}_mean")]
+        else:  # not asked by any question: statistics left empty
+            aggs += [F.lit(None).cast("double").alias(f"{p}_{s}") for s in ("min", "max", "mean")]
     return aggs
 
 
@@ -260,30 +275,40 @@ def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
                     max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES) -> DataFrame:
     """Per distinct bound signature: matched-row statistics (Q10 core).
 
-    Distinct signatures are counted first and split into hash chunks of
-    about ``max_broadcast`` rows.  Each chunk is fetched once (it would be
-    shipped to every executor by the broadcast anyway) and reused as a local
-    relation by all matching paths, so the question parse is not re-run per
-    path.  The depth bound is either absent or the fixed profile cap.
+    Distinct signatures are fetched up to ``max_broadcast + 1`` rows; within
+    the bound they form one chunk, beyond it they are counted and split into
+    hash chunks of about ``max_broadcast`` rows.  Each chunk is fetched once
+    (the broadcast would ship it from the driver anyway) and reused as a
+    local relation by all matching paths, so the question parse is not re-run
+    per path.  The depth bound is either absent or the fixed profile cap.
     """
     spark = parsed.sparkSession
     sigs = parsed.select("b.*").distinct()
-    n = sigs.count()
-    n_chunks = max(1, -(-n // max_broadcast))
-    groups = level_groups(profiles)
-    parts = []
-    for i in range(n_chunks):
-        chunk = sigs if n_chunks == 1 else sigs.where(
-            F.abs(F.xxhash64(*[F.col(c) for c in BOUND_FIELDS])) % n_chunks == i)
-        rows = chunk.collect()  # about max_broadcast rows: the checked broadcast size
-        if rows:
-            parts.append(_match_chunk(groups, spark.createDataFrame(rows, sigs.schema), wrap))
+    first = sigs.limit(max_broadcast + 1).collect()  # one pass when the set is within the bound
+    chunks = []
+    if len(first) <= max_broadcast:
+        n = len(first)
+        # value statistics only for parameters some question asks for
+        value_params = [p for p in STAT_PARAMS if any(r[f"need_{p}"] for r in first)]
+        if first:
+            chunks.append(first)
+    else:
+        n = sigs.count()
+        value_params = list(STAT_PARAMS)
+        n_chunks = -(-n // max_broadcast)
+        for i in range(n_chunks):
+            chunk = sigs.where(F.abs(F.xxhash64(*[F.col(c) for c in BOUND_FIELDS])) % n_chunks == i)
+            rows = chunk.collect()  # about max_broadcast rows: the checked broadcast size
+            if rows:
+                chunks.append(rows)
+    groups = level_groups(profiles, value_params)
+    parts = [_match_chunk(groups, spark.createDataFrame(rows, sigs.schema), wrap, value_params) for rows in chunks]
     if not parts:
-        parts.append(_match_chunk(groups, sigs.limit(0), wrap))
+        parts.append(_match_chunk(groups, sigs.limit(0), wrap, value_params))
     matched = parts[0]
     for p in parts[1:]:
         matched = matched.unionByName(p)
-    stats = matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats())
+    stats = matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats(value_params))
     # one row per signature: the counted size bounds the broadcast back to the questions
     return F.broadcast(stats) if n <= max_broadcast else stats
 

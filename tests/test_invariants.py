@@ -151,3 +151,13 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == PROFILE_COLUMNS
+
+
+def test_question_batch_chunked_equals_single(spark):
+    from bathyspark.plans.answer import question_batch
+    lv = B.profile_levels(spark, SF_SMALL)
+    qs = B.questions(spark, SF_SMALL)
+    cols = ["question_id", "total_records", "min_lat", "max_lat", "time_min", "temperature_mean"]
+    one = question_batch(lv, qs, 1996).select(cols)
+    many = question_batch(lv, qs, 1996, max_broadcast=60).select(cols)
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
