@@ -79,8 +79,8 @@ ORACLE = {
         f"SELECT {PROFILE_COLS_SQL}, 'key already stored' AS reason FROM profiles b WHERE {_STORED} "
         f"UNION ALL SELECT {PROFILE_COLS_SQL}, 'repeated in batch' AS reason FROM fresh WHERE rn > 1"),
     "ingest_report": sql(
-        _RANKED + "SELECT count(*) AS input_rows, count_if(rn = 1 AND NOT " + _STORED + ") AS inserted_rows, "
-        "count(*) - count_if(rn = 1 AND NOT " + _STORED + ") AS skipped_rows FROM b"),
+        _RANKED + "SELECT count(*) AS input_rows, cast(count_if(rn = 1 AND NOT " + _STORED + ") AS bigint) "
+        "AS inserted_rows, cast(count(*) - count_if(rn = 1 AND NOT " + _STORED + ") AS bigint) AS skipped_rows FROM b"),
     "ingest_first_level": sql(
         ", b AS (SELECT *, row_number() OVER (PARTITION BY profile_id "
         "ORDER BY depth, level_no, part_no, supp_no, ext_price) AS rn FROM profiles) "

@@ -135,7 +135,7 @@ BOUNDS_CTE = (
     f"CASE WHEN lat IS NOT NULL THEN lat + 1.0 ELSE {_region_case(1)} END AS lat_hi, "
     f"CASE WHEN lat IS NOT NULL THEN lon - 1.0 ELSE {_region_case(2)} END AS lon_lo, "
     f"CASE WHEN lat IS NOT NULL THEN lon + 1.0 ELSE {_region_case(3)} END AS lon_hi, "
-    "time_start AS ts_lo, time_end AS ts_hi, CASE WHEN profile_request THEN 1000.0 END AS depth_hi, "
+    "time_start AS ts_lo, time_end AS ts_hi, CASE WHEN profile_request THEN cast(1000 AS double) END AS depth_hi, "
     + ", ".join(f"contains(',' || parameters || ',', ',{p},') AS need_{p}" for p in QUESTION_PARAMETERS)
     + " FROM parsed2) "
 )

@@ -161,3 +161,33 @@ def test_question_batch_chunked_equals_single(spark):
     one = question_batch(lv, qs, 1996).select(cols)
     many = question_batch(lv, qs, 1996, max_broadcast=60).select(cols)
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_raw_sql_errors_raise_or_empty(spark):
+    import pytest
+    from bathyspark.sources import io
+    io.register_tables(B.floats(spark, SF_SMALL), B.profiles(spark, SF_SMALL))
+    with pytest.raises(Exception):
+        io.execute_sql(spark, "SELECT no_such_column FROM argo_profiles")
+    assert io.execute_sql(spark, "SELECT no_such_column FROM argo_profiles", on_error="empty").count() == 0
+    n = io.execute_sql(spark, "SELECT count(*) AS n FROM argo_floats WHERE status = :s", {"s": "active"}).first().n
+    assert n == B.floats(spark, SF_SMALL).where(F.col("status") == "active").count()
+
+
+def test_readiness_reports_missing_table(spark):
+    from bathyspark.sources import io
+    rows = {r.table_name: r for r in io.readiness(spark, floats=B.floats(spark, SF_SMALL),
+                                                   profiles_path="/nonexistent/levels").collect()}
+    assert rows["argo_floats"].present and rows["argo_floats"].n_rows > 0
+    assert not rows["argo_profiles"].present and rows["argo_profiles"].reason.startswith("missing")
+
+
+def test_export_formats(spark):
+    from bathyspark.sources import io
+    rows = B.profiles(spark, SF_SMALL).limit(5)
+    path = tempfile.mkdtemp(prefix="exp-")
+    io.export(rows, "csv", path + "/csv")
+    io.export(rows, "xml", path + "/json")  # any other format writes JSON
+    assert spark.read.option("header", True).csv(path + "/csv").count() == 5
+    back = spark.read.json(path + "/json")
+    assert back.count() == 5 and "salinity" in back.columns

@@ -13,6 +13,10 @@ from tests.conftest import SF_SMALL
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
 
+# Spark type -> DuckDB type name, for the schema part of the comparison
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+
 
 def _norm(v):
     if v is None:
@@ -49,6 +53,10 @@ def test_every_oracle_has_a_query():
 def test_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
+    rel = con.sql(ORACLE[name])
+    otypes = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    stypes = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == otypes
     res = con.execute(ORACLE[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
