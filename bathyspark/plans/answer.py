@@ -159,7 +159,11 @@ def level_groups(profiles: DataFrame, value_params: list[str] | None = None) ->
     Levels of one profile share place and time, so each profile collapses
     to a few rows before the shuffle.
     """
+    from bathyspark.sources.bindings import spread
     value_params = STAT_PARAMS if value_params is None else value_params
+    # a wide grouped aggregation over every level: make sure the map side
+    # runs in parallel even when the input arrives as one split
+    profiles = spread(profiles)
     keys = [F.col("latitude"), F.col("longitude"), F.col("timestamp"),
             F.coalesce(F.col("depth") <= F.lit(PROFILE_MAX_DEPTH), F.lit(False)).alias("shallow")] + [
         F.col(p).isNotNull().alias(f"has_{p}") for p in STAT_PARAMS]
