@@ -42,6 +42,13 @@ def index_floats(s, d):
                       "metadata.*")
 
 
+def floats_near_text(s, d):
+    """G1 + G3 over the float index: id, distance, summary text, metadata."""
+    from bathyspark.operators.geo import floats_near
+    idx, _ = _index(s, d)
+    return floats_near(idx.select("float_id", "text_summary", "metadata.*"), 10.5, 70.25, 2.0)
+
+
 def float_text(s, d):
     return X.float_summaries(B.floats(s, d), B.profiles(s, d)).select(
         "float_id", X.float_text().alias("text_summary"))
@@ -98,6 +105,7 @@ QUERIES = {
     "knn_with_metadata": knn_with_metadata,
     "index_floats": index_floats,
     "float_text": float_text,
+    "floats_near_text": floats_near_text,
     "tfidf_vectors": tfidf_vectors,
     "embedding_store": embedding_store,
     "question_neighbours": question_neighbours,

@@ -191,3 +191,20 @@ def test_export_formats(spark):
     assert spark.read.option("header", True).csv(path + "/csv").count() == 5
     back = spark.read.json(path + "/json")
     assert back.count() == 5 and "salinity" in back.columns
+
+
+def test_float_text_skips_missing_statistics(spark):
+    from bathyspark.functions.text import float_text
+    row = dict(float_id="F_1", platform_type="APEX", status="active", latitude=10.0, longitude=70.0,
+               deployment_date=dt.datetime(2023, 1, 1), institution="X", total_profiles=2,
+               total_measurements=5, depth_min=0.0, depth_max=1000.0, temperature_min=None,
+               temperature_max=None, salinity_min=34.0, salinity_max=35.0)
+    schema = ("float_id string, platform_type string, status string, latitude double, longitude double, "
+              "deployment_date timestamp_ntz, institution string, total_profiles long, total_measurements long, "
+              "depth_min double, depth_max double, temperature_min double, temperature_max double, "
+              "salinity_min double, salinity_max double")
+    text = spark.createDataFrame([row], schema).select(float_text().alias("t")).first().t
+    assert "Temperature range" not in text and "Salinity range: 34.0-35.0 PSU" in text
+    assert text.startswith("ARGO float F_1 | Platform: APEX | Status: active | Location: 10.00°N, 70.00°E")
+    no_summary = spark.createDataFrame([{**row, "total_measurements": None}], schema)
+    assert no_summary.select(float_text().alias("t")).first().t.endswith("Institution: X")
