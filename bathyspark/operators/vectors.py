@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 DISTANCE_DECIMALS = 6
-DEFAULT_QUERY_BUDGET = 256 << 20  # bytes of query vectors per broadcast block
+DEFAULT_QUERY_BUDGET = 64 << 20  # bytes of query vectors per broadcast block
 
 
 # --------------------------------------------------------------------------- V1

@@ -208,3 +208,55 @@ def test_float_text_skips_missing_statistics(spark):
     assert text.startswith("ARGO float F_1 | Platform: APEX | Status: active | Location: 10.00°N, 70.00°E")
     no_summary = spark.createDataFrame([{**row, "total_measurements": None}], schema)
     assert no_summary.select(float_text().alias("t")).first().t.endswith("Institution: X")
+
+
+def test_tfidf_matches_brute_force(spark):
+    import math
+    import re
+    from pyspark.ml.feature import StopWordsRemover
+    texts = {1: "Warm water near the surface and cold water at depth",
+             2: "Salinity rises with depth in the warm tropical ocean",
+             3: "The float drifts and the float profiles the ocean water column",
+             4: "Cold deep water water water"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = V.tfidf_fit(docs, "doc_id", "text", max_features=8)
+    got = {(r.doc, r.term_index): r.weight for r in V.tfidf_transform(model, docs, "doc_id", "text").collect()}
+    vocab = {r.term: r.term_index for r in model.vocab.collect()}
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    toks = {d: [t for t in re.findall(r"\b\w\w+\b", s.lower()) if t not in stop] for d, s in texts.items()}
+    total, dfreq = {}, {}
+    for ts in toks.values():
+        for t in ts:
+            total[t] = total.get(t, 0) + 1
+        for t in set(ts):
+            dfreq[t] = dfreq.get(t, 0) + 1
+    top = sorted(total, key=lambda t: (-total[t], t))[:8]
+    assert set(vocab) == set(top)
+    n = len(texts)
+    for d, ts in toks.items():
+        w = {t: ts.count(t) * (math.log((1 + n) / (1 + dfreq[t])) + 1) for t in set(ts) if t in vocab}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        for t, v in w.items():
+            assert abs(got[(d, vocab[t])] - v / norm) < 1e-12
+
+
+def test_index_search_matches_brute_force(spark):
+    import numpy as np
+    from bathyspark.operators import index as X
+    idx, model = X.build_index(B.floats(spark, SF_SMALL), B.profiles(spark, SF_SMALL), max_features=50)
+    qs = spark.createDataFrame([(1, "active float with temperature range"), (2, "platform status inactive")],
+                               "qid long, text string")
+    hits = X.search_index(idx, model, qs, "qid", "text", k=3).orderBy("qid", "rank").collect()
+    corpus = idx.select("doc", "float_id", "embedding").collect()
+    qv = {r.qid: r.embedding for r in X.embed_texts(model, qs, "qid", "text").collect()}
+
+    def dense(e):
+        v = np.zeros(50)
+        v[list(e.indices)] = list(e.values)
+        return v
+
+    for qid, e in qv.items():
+        q = dense(e)
+        d = sorted((round(float(((q - dense(c.embedding)) ** 2).sum()), 6), c.doc, c.float_id) for c in corpus)[:3]
+        mine = [(h.distance, h.float_id) for h in hits if h.qid == qid]
+        assert [x[0] for x in d] == [m[0] for m in mine]
