@@ -26,7 +26,13 @@ def _ts(value) -> Column:
         value = dt.datetime.strptime(value.strip()[:10], "%Y-%m-%d")
     elif isinstance(value, dt.date) and not isinstance(value, dt.datetime):
         value = dt.datetime(value.year, value.month, value.day)
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz_literal(value)
+
+
+def ntz_literal(value: dt.datetime) -> Column:
+    """TIMESTAMP_NTZ literal from a naive datetime, built from text so no
+    session or process time zone is involved."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def status_is(status: str | None) -> Column:

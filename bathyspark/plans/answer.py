@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from bathyspark.functions.filters import ntz_literal
 from bathyspark.functions.questions import parse_frame
 from bathyspark.schemas import (
     POINT_RADIUS_DEG, PROFILE_COLUMNS, PROFILE_MAX_DEPTH, QUESTION_PARAMETERS, REGION_BOUNDS,
@@ -79,8 +80,7 @@ def bounds_predicate(b: Row | dict, wrap: bool = False) -> Column:
         conds.append(_lon_test(F.lit(b["lon_lo"]), F.lit(b["lon_hi"]), wrap) if wrap and b["lon_lo"] > b["lon_hi"]
                      else F.col("longitude").between(F.lit(b["lon_lo"]), F.lit(b["lon_hi"])))
     if b.get("ts_lo") is not None:
-        conds.append(F.col("timestamp").between(F.lit(b["ts_lo"]).cast("timestamp_ntz"),
-                                                F.lit(b["ts_hi"]).cast("timestamp_ntz")))
+        conds.append(F.col("timestamp").between(ntz_literal(b["ts_lo"]), ntz_literal(b["ts_hi"])))
     if b.get("depth_hi") is not None:
         conds.append(F.col("depth") <= F.lit(b["depth_hi"]))
     return reduce(lambda x, y: x & y, conds, F.lit(True))
