@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from bathyspark.functions import filters as P
 from bathyspark.operators.shape import project_parameters, split_parameters
-from bathyspark.plans.oracle import FLOAT_COLS_SQL, sql
-from bathyspark.schemas import FLOAT_COLUMNS
+from bathyspark.plans.oracle import FLOAT_COLS_SQL, PROFILE_COLS_SQL, sql
+from bathyspark.schemas import FLOAT_COLUMNS, PROFILE_COLUMNS
 from bathyspark.sources import bindings as B
 from bathyspark.sources import io
 
@@ -27,6 +27,15 @@ def _export_rows(s, d):
     return project_parameters(rows, split_parameters("temperature, salinity ,oxygen"))
 
 
+def stored_profiles_date_range(s, d):
+    """S2 + P6 on the stored, month-partitioned level table (partition pruning)."""
+    path = io.scratch_dir(s, "levels-by-month")
+    io.write_levels_table(B.profiles(s, d), path)
+    stored = io.read_levels_table(s, path)
+    return stored.where(P.timestamp_between("1996-01-01", "1996-01-31")
+                        & io.month_pruning("1996-01-01", "1996-01-31")).select(PROFILE_COLUMNS)
+
+
 def raw_sql(s, d):
     io.register_tables(B.floats(s, d), B.profiles(s, d))
     return io.execute_sql(s, RAW_SQL, {"min_depth": 1000.0})
@@ -37,12 +46,16 @@ QUERIES = {
     "export_csv_rows": lambda s, d: io.csv_lines(_export_rows(s, d)),
     "export_json_rows": lambda s, d: io.json_records(_export_rows(s, d)),
     "raw_sql": raw_sql,
+    "stored_profiles_date_range": stored_profiles_date_range,
     "readiness": lambda s, d: io.readiness(s, floats=B.floats(s, d), profiles=B.profiles(s, d)).select(
         "table_name", "present", "n_rows"),
 }
 
 ORACLE = {
     "csv_roundtrip": sql(f"SELECT {FLOAT_COLS_SQL} FROM floats"),
+    "stored_profiles_date_range": sql(
+        f"SELECT {PROFILE_COLS_SQL} FROM profiles "
+        "WHERE timestamp BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-01-31'"),
     "raw_sql": sql("SELECT float_id, count(*) AS n_levels, max(depth) AS max_depth FROM profiles "
                    "WHERE depth > 1000.0 GROUP BY float_id"),
     "readiness": sql("SELECT 'argo_floats' AS table_name, true AS present, count(*) AS n_rows FROM floats "

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bathyspark.schemas import FLOATS, PROFILES
@@ -105,3 +105,37 @@ def readiness(spark: SparkSession, floats_path: str | None = None, profiles_path
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# ------------------------------------------------------------ stored level table
+PARTITION_COLUMN = "month"
+
+
+def write_levels_table(levels: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store profile levels as Parquet partitioned by month of ``timestamp``.
+
+    Rows are range-partitioned on (month, profile_id) before the write: each
+    task writes files for one or two months, and a month holding a third of
+    all rows is split over many tasks instead of landing in one.  Date
+    filters on the stored table then skip whole partitions.
+    """
+    month = F.trunc(F.col("timestamp"), "month")
+    (levels.withColumn(PARTITION_COLUMN, month)
+     .repartitionByRange(PARTITION_COLUMN, "profile_id").sortWithinPartitions(PARTITION_COLUMN, "profile_id", "depth")
+     .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
+
+
+def read_levels_table(spark: SparkSession, path: str) -> DataFrame:
+    from pyspark.sql.types import DateType, StructField, StructType
+    schema = StructType(list(PROFILES.fields) + [StructField(PARTITION_COLUMN, DateType(), True)])
+    return spark.read.schema(schema).parquet(path)
+
+
+def month_pruning(start, end) -> Column:
+    """Partition predicate matching a timestamp range [start, end].
+
+    ANDed with the row filter it lets Spark list only the months involved
+    (``PartitionFilters`` in the plan).
+    """
+    from bathyspark.functions.filters import _ts
+    return F.col(PARTITION_COLUMN).between(F.trunc(_ts(start), "month"), F.trunc(_ts(end), "month"))
