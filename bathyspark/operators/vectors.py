@@ -165,24 +165,13 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
     """
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("v"))
-    if dim is None:
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-        n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
-    else:
-        n_q = q.count()
     schema = "query_id long, neighbour_id long, distance double"
-    if n_q == 0:
-        return spark.createDataFrame([], schema + ", rank int")
+    if dim is None:
+        dim = int(q.agg(F.max(F.size("v"))).first()[0] or 0)
     per_block = max(1, query_budget_bytes // max(1, dim * 8))
-    n_blocks = -(-n_q // per_block)
     corp = corpus.select(F.col(corpus_id).cast("long").alias("cid"), F.col(corpus_vec).alias("cv"))
-    parts = []
-    for b in range(n_blocks):
-        block_df = q if n_blocks == 1 else q.where(F.abs(F.xxhash64("query_id")) % n_blocks == b)
-        # the block size is bounded by the budget checked above
-        pdf = block_df.toPandas()
-        if pdf.empty:
-            continue
+
+    def scan(pdf):
         ids = pdf["query_id"].to_numpy().astype(np.int64)
         mat = _as_matrix(list(pdf["v"]), dim)
         bc = spark.sparkContext.broadcast((ids, mat))
@@ -191,7 +180,20 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
             bi, bm = bc.value
             yield from _partition_topk(bi, bm, k, "cid", "cv")(batches)
 
-        parts.append(corp.mapInPandas(body, schema))
+        return corp.mapInPandas(body, schema)
+
+    parts = []
+    first = q.limit(per_block + 1).toPandas()  # one pass when the queries fit one block
+    if len(first) <= per_block:
+        if len(first):
+            parts.append(scan(first))
+    else:
+        n_blocks = -(-q.count() // per_block)
+        for b in range(n_blocks):
+            # each block is about per_block rows: the checked broadcast size
+            pdf = q.where(F.abs(F.xxhash64("query_id")) % n_blocks == b).toPandas()
+            if len(pdf):
+                parts.append(scan(pdf))
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")
     cand = parts[0]
