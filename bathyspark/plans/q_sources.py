@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from bathyspark.functions import filters as P
 from bathyspark.operators.shape import project_parameters, split_parameters
