@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from bathyspark.functions import filters as P
 from bathyspark.operators.shape import project_parameters, split_parameters
 from bathyspark.plans.oracle import FLOAT_COLS_SQL, PROFILE_COLS_SQL, sql

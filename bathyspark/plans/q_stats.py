@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from bathyspark.functions import filters as P
 from bathyspark.operators import series as S
 from bathyspark.operators import stats as A
