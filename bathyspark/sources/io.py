@@ -139,3 +139,25 @@ def month_pruning(start, end) -> Column:
     """
     from bathyspark.functions.filters import _ts
     return F.col(PARTITION_COLUMN).between(F.trunc(_ts(start), "month"), F.trunc(_ts(end), "month"))
+
+
+# ------------------------------------------------------------ relational source
+def read_jdbc_table(spark: SparkSession, url: str, table: str, properties: dict | None = None,
+                    id_column: str = "id", num_partitions: int = 64) -> DataFrame:
+    """S1/S2 from a relational store: one table read in parallel slices.
+
+    The float and profile tables carry an integer surrogate key; its range
+    (one small bounds query) splits the read into ``num_partitions`` JDBC
+    queries, so no single connection streams the whole table.  The selected
+    columns are those of the fixed schema; filters on the result are pushed
+    into the database by Spark's JDBC source.
+    """
+    props = dict(properties or {})
+    bounds = (spark.read.jdbc(url, f"(SELECT min({id_column}) AS lo, max({id_column}) AS hi FROM {table}) b",
+                              properties=props).first())
+    if bounds is None or bounds["lo"] is None:
+        return spark.read.jdbc(url, table, properties=props)
+    df = spark.read.jdbc(url, table, column=id_column, lowerBound=int(bounds["lo"]),
+                         upperBound=int(bounds["hi"]) + 1, numPartitions=num_partitions, properties=props)
+    cols = FLOATS.fieldNames() if table == TABLE_FLOATS else PROFILES.fieldNames()
+    return df.select([c for c in cols if c in df.columns])
