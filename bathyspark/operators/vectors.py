@@ -26,6 +26,17 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The kNN scan runs helpers of this module inside Python workers.  Ship them
+# by value with each task, so executors need NumPy and pandas but not this
+# package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # older cloudpickle: package must be installed
+    pass
+
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 DISTANCE_DECIMALS = 6
 DEFAULT_QUERY_BUDGET = 64 << 20  # bytes of query vectors per broadcast block
