@@ -80,35 +80,44 @@ def words_of(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return edge[::2], edge[1::2]
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, power: np.ndarray) -> np.ndarray:
-    """A 64-bit hash per word of a byte buffer: a polynomial over its bytes' random values."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    length = ends - starts
-    flat = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    term = values[data[flat + np.repeat(starts, length)]] * power[flat]
-    total = np.add.reduceat(term, np.cumsum(length) - length)
-    return mix(total * _MUL + length.astype(np.uint64))
-
-
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class WordHasher:
-    """Hashes of the words of a text; words are runs of bytes that aren't ASCII white space."""
+    """Hashes of the words of a text; words are runs of bytes that ``space`` doesn't hold for.
+
+    A word's hash is the difference of two prefix sums of its bytes' random
+    values times powers of an odd base, divided by the power of its start.
+    """
+
+    def __init__(self, seed: int = 7, space: np.ndarray = SPACE, step: int = 1 << 20):
+        self.values, self.space, self.step = byte_table(seed), space, step
+        self.base = 0x100000001B3 + 2 * seed
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        self.power, self.inverse = powers(self.base, n), powers(pow(self.base, -1, 1 << 64), n)
+
+    def _slice(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) > len(self.power):
+            self._grow(max(len(data), min(2 * len(self.power), 2 * self.step)))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.power[:len(data)], out=total[1:])
+        return mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _MUL)
 
-    def __init__(self, seed: int = 7, space: np.ndarray = SPACE):
-        self.values, self.space, self.base = byte_table(seed), space, 0x100000001B3 + 2 * seed
-        self.power = powers(self.base, 1 << 12)
+    def bounds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return words_of(data, self.space)
 
     def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, starts and ends (bytes) of all words; long texts go slice by slice."""
         starts, ends = words_of(data, self.space)
-        longest = int((ends - starts).max()) if len(starts) else 0
-        if longest > len(self.power):
-            self.power = powers(self.base, longest)
-        return hash_words(data, starts, ends, self.values, self.power), starts, ends
+        if len(data) <= self.step or len(starts) < 2:
+            return self._slice(data, starts, ends), starts, ends
+        parts = np.split(np.arange(len(starts)), np.unique(np.searchsorted(starts, np.arange(self.step, len(data), self.step))))
+        return np.concatenate([self._slice(data[starts[p[0]]:ends[p[-1]]], starts[p] - starts[p[0]], ends[p] - starts[p[0]])
+                               for p in parts if len(p)]), starts, ends
 
 
 def gram_hashes(words: np.ndarray, k: int, base: int = 0x5851F42D4C957F2D) -> np.ndarray:

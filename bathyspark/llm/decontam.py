@@ -50,16 +50,25 @@ def _tokens(text: str | None, hasher: WordHasher) -> np.ndarray:
     return hasher(np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8))[0]
 
 
-def _seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """The seed at every start of ``mask``."""
-    n = len(words) - len(mask) + 1
+def _at_seed(ok: np.ndarray, mask: str) -> np.ndarray:
+    """Starts at which ``ok`` holds for every word that ``mask`` looks at."""
+    n = len(ok) - len(mask) + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.full(n, number + 1, np.uint64)
+        return np.empty(0, np.int64)
+    held = np.ones(n, bool)
+    for i, m in enumerate(mask):
+        if m == "1":
+            held &= ok[i:i + n]
+    return np.flatnonzero(held)
+
+
+def _seeds(words: np.ndarray, starts: np.ndarray, mask: str, number: int) -> np.ndarray:
+    """The seeds of ``mask`` at these starts."""
+    out = np.full(len(starts), number + 1, np.uint64)
     for i, m in enumerate(mask):
         if m == "1":
             out *= np.uint64(0x5851F42D4C957F2D)
-            out += words[i:i + n]
+            out += words[starts + i]
     return mix(out)
 
 
@@ -67,26 +76,38 @@ def _masks(short: list[int]) -> list[tuple[int, str]]:
     return [*enumerate(MASKS), *((100 + n, "1" * n) for n in short)]
 
 
-def _probes(h: np.ndarray, bits: int):
-    for k in range(PROBES):
-        yield (h * np.uint64(2 * k + 1) + (h >> np.uint64(29)) * np.uint64(k)) >> np.uint64(64 - bits)
+class BitFilter:
+    """Bit table of hashes, OR-ed together by Spark, of at most 32 MB; at most 4 million words reach the driver."""
 
+    def __init__(self, hashes: DataFrame, count: int, probes: int):
+        self.bits = bits = max(10, min(MAX_FILTER_BITS, BITS_PER_SEED * max(1, count)).bit_length() - 1)
+        self.probes = probes
+        place = self.place
 
-def _filter(seeds: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """Bit table of the seeds' hashes, OR-ed together by Spark; at most 4 million words reach the driver."""
-    bits = max(10, min(MAX_FILTER_BITS, BITS_PER_SEED * max(1, count)).bit_length() - 1)
+        def words(batches):
+            for b in batches:
+                h = b.column(0).to_numpy().view(np.uint64)
+                at = np.concatenate([place(h, k) for k in range(probes)])
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
+                                                  pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
 
-    def words(batches):
-        for b in batches:
-            h = b.column(0).to_numpy().view(np.uint64)
-            at = np.concatenate(list(_probes(h, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
-                                              pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
+        rows = hashes.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
+        self.table = np.zeros(1 << (bits - 6), np.uint64)
+        for r in rows:
+            self.table[r["word"]] = np.uint64(r["mask"] & (2**64 - 1))
+
+    def place(self, h: np.ndarray, k: int) -> np.ndarray:
+        return (h * np.uint64(2 * k + 1) + (h >> np.uint64(29)) * np.uint64(k)) >> np.uint64(64 - self.bits)
 
-    rows = seeds.select("h").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return table, bits
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes may be in the table (all that are, are)."""
+        ok = np.arange(len(h))
+        for k in range(self.probes):
+            p = self.place(h[ok], k)
+            ok = ok[(self.table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0]
+        out = np.zeros(len(h), bool)
+        out[ok] = True
+        return out
 
 
 def _items(benchmark: DataFrame, min_item: int) -> DataFrame:
@@ -121,34 +142,38 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
                 for number, mask in masks:
                     if number >= 100 and len(w) != len(mask):
                         continue
-                    h = _seeds(w, mask, number)
+                    starts = np.arange(max(0, len(w) - len(mask) + 1))
+                    h = _seeds(w, starts, mask, number)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key, np.int64)),
                                                       pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "item_key", "at"])
 
     seeds = staged(items.select("item_key", "words").mapInArrow(item_seeds, "h long, item_key long, at int"), "decontam-seeds")
     n_seeds, n_items = seeds.count(), items.count()
-    bloom, bits = _filter(seeds, n_seeds)
-    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    seed_filter = BitFilter(seeds.select("h"), n_seeds, PROBES)
+
+    def item_words(batches):
+        for b in batches:
+            for words in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(words, np.uint64)).view(np.int64))], names=["h"])
+
+    vocabulary = items.select("words").mapInArrow(item_words, "h long").distinct()
+    sent = docs.sparkSession.sparkContext.broadcast((seed_filter, BitFilter(vocabulary, vocabulary.count(), 1)))
 
     def regions(batches):
-        hasher, table = WordHasher(space=NOT_WORD), sent.value
+        hasher, (seed_filter, word_filter) = WordHasher(space=NOT_WORD), sent.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for doc, text, text_hash in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 w = _tokens(text.as_py(), hasher)
+                known = word_filter.holds(w)
                 hits_at, hits_h = [], []
                 for number, mask in masks:
-                    h = _seeds(w, mask, number)
-                    at = np.arange(len(h))
-                    for k in range(PROBES):
-                        if not len(at):
-                            break
-                        p = (h * np.uint64(2 * k + 1) + (h >> np.uint64(29)) * np.uint64(k)) >> np.uint64(64 - bits)
-                        ok = (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0
-                        h, at = h[ok], at[ok]
-                    hits_at.append(at)
-                    hits_h.append(h)
+                    at = _at_seed(known, mask)
+                    h = _seeds(w, at, mask, number)
+                    ok = seed_filter.holds(h)
+                    hits_at.append(at[ok])
+                    hits_h.append(h[ok])
                 at, h = np.concatenate(hits_at), np.concatenate(hits_h)
                 if not len(at):
                     continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, warc
+from . import decontam, jaccard, langid, packing, substring, warc
 from .common import table
 
 
@@ -35,5 +35,14 @@ def op5_warc(spark, sf_dir):
     return warc.read_index(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_language_id, op5_warc)}
+def op6_substring_dedup(spark, sf_dir):
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"), length=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_language_id, op5_warc, op6_substring_dedup, op9_jaccard_join)}
 ORACLE: dict[str, str] = {}
