@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, packing, substring, warc
+from . import decontam, jaccard, langid, packing, pii, substring, warc
 from .common import table
 
 
@@ -44,5 +44,11 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_language_id, op5_warc, op6_substring_dedup, op9_jaccard_join)}
+def op10_pii(spark, sf_dir):
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base_spans"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_language_id, op5_warc, op6_substring_dedup, op9_jaccard_join, op10_pii)}
 ORACLE: dict[str, str] = {}
