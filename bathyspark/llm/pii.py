@@ -13,7 +13,8 @@ the others each kind's threshold is the lowest at which proposals over it meet
 a base span at the target precision.  Proposals over it that meet no
 base span of their kind are added.  Trees become SQL expressions.
 
-Every step is within a row; only feature counts are shuffled.
+Every step is within a row; only feature counts are shuffled.  Proposals are
+found once, in a written table that both the fitting and the selection read.
 
 Cases: null text is empty; empty texts have no span; patterns are written
 without nested backtracking, so very long runs are read once; repeated rows
@@ -31,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 KINDS = ("email", "ip", "card", "phone")
 # Patterns of the base kinds.  Runs are possessive and don't begin inside a run (but
 # may begin where the match before ended), so each is the leftmost match of the plain pattern, found in one pass.
@@ -74,26 +77,35 @@ def _running(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, total, lambda b, t: F.transform(prefix(b), lambda v: v + t)))
 
 
-def _find(df: DataFrame, text: str, pattern: str, out: str, gate: Column | None = None) -> DataFrame:
-    """Add ``out``: array of (start, end, found, before, after) of the matches of ``pattern`` in the column ``text``.
+def _find(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add for each (name: pattern, gate) an array of (start, end, found, before, after) of the matches in the column ``text``.
 
     ``split`` gives what lies between the matches, so their places are sums of
-    lengths.  Each step is a column of its own that is read more than once,
-    which keeps the optimiser from evaluating it inside the next one's lambdas.
+    lengths.  Each step is a projection of columns that the next one reads more
+    than once, which keeps the optimiser from evaluating them inside lambdas.
+    ``gate`` is a cheap condition that holds wherever there is a match.
     """
-    m, p, z = f"{out}_m", f"{out}_p", f"{out}_z"
     none = F.array().cast("array<string>")
-    some = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    df = df.withColumn(m, some if gate is None else F.when(gate, some).otherwise(none))
-    df = df.withColumn(p, F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
-    steps = F.transform(
-        F.arrays_zip(F.col(m).alias("m"), F.slice(p, F.lit(1), F.size(m)).alias("p"), F.slice(p, F.lit(2), F.size(m)).alias("q")),
-        lambda x: F.struct(x["m"].alias("found"), F.length(x["m"]).cast("long").alias("n"), F.length(x["p"]).cast("long").alias("gap"),
-                           F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["q"], 1, CONTEXT).alias("after")))
-    df = df.withColumn(z, F.when(F.size(m) > 0, steps).otherwise(F.slice(steps, 1, 0)))
-    df = df.withColumn(p, F.transform(z, lambda x: x["n"] + x["gap"])).withColumn(m, F.when(F.size(p) > 0, _running(F.col(p))).otherwise(F.slice(p, 1, 0)))
-    return df.withColumn(out, F.zip_with(z, m, lambda x, at: F.struct(
-        (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after")))).drop(m, p, z)
+    col = lambda n, part: f"{n}__{part}"
+
+    def steps(n):
+        m, p = col(n, "m"), col(n, "p")
+        pairs = F.arrays_zip(F.col(m).alias("m"), F.slice(p, F.lit(1), F.size(m)).alias("p"), F.slice(p, F.lit(2), F.size(m)).alias("q"))
+        return F.transform(pairs, lambda x: F.struct(
+            x["m"].alias("found"), F.length(x["m"]).cast("long").alias("n"), F.length(x["p"]).cast("long").alias("gap"),
+            F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["q"], 1, CONTEXT).alias("after")))
+
+    def placed(n):
+        return F.zip_with(col(n, "z"), col(n, "r"), lambda x, at: F.struct(
+            (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after")))
+
+    some = lambda n, part, value: F.when(F.size(col(n, part)) > 0, value)
+    df = df.withColumns({col(n, "m"): F.when(gate, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for n, (p, gate) in patterns.items()})
+    df = df.withColumns({col(n, "p"): some(n, "m", F.split(text, p, -1)).otherwise(none) for n, (p, _) in patterns.items()})
+    df = df.withColumns({col(n, "z"): steps(n) for n in patterns})
+    df = df.withColumns({col(n, "l"): F.transform(col(n, "z"), lambda x: x["n"] + x["gap"]) for n in patterns})
+    df = df.withColumns({col(n, "r"): some(n, "l", _running(F.col(col(n, "l")))).otherwise(F.col(col(n, "l"))) for n in patterns})
+    return df.withColumns({n: placed(n) for n in patterns}).drop(*[col(n, part) for n in patterns for part in "mpzlr"])
 
 
 def digits_of(s: Column) -> Column:
@@ -170,14 +182,12 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with, per kind, ``base_<kind>`` (start, end) and ``more_<kind>`` (start, end, meets, f: features)."""
     body = "_pii_text"
     df = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    for kind in KINDS:
-        at = F.contains(F.col(body), F.lit("@")) if kind == "email" else F.contains(F.col(body), F.lit("+")) if kind == "phone" else None
-        df = _find(df, body, BASE[kind], f"base_{kind}", at)
-        df = df.withColumn(f"base_{kind}", _checked(kind))
-        gate = F.col(body).rlike(r"(?i)@|[\[(]at[\])]| at .{1,64} dot ") if kind == "email" else F.col(body).rlike("[0-9]")
-        df = _find(df, body, LOOSE[kind], f"more_{kind}", gate)
-        df = df.withColumn(f"more_{kind}", _proposed(kind))
-    return df.drop(body)
+    digit, at = F.col(body).rlike("[0-9]"), F.contains(F.col(body), F.lit("@"))
+    gates = {"base_email": at, "base_ip": digit, "base_card": digit, "base_phone": F.contains(F.col(body), F.lit("+")),
+             "more_email": at | F.col(body).rlike(r"(?i)[\[(]at[\])]| at .{1,64} dot "), "more_ip": digit, "more_card": digit, "more_phone": digit}
+    df = _find(df, body, {n: ((BASE if n.startswith("base") else LOOSE)[n[5:]], gate) for n, gate in gates.items()})
+    df = df.withColumns({f"base_{k}": _checked(k) for k in KINDS})
+    return df.withColumns({f"more_{k}": _proposed(k) for k in KINDS}).drop(body)
 
 
 @dataclass
@@ -292,15 +302,15 @@ def written(array: str) -> Column:
 
 def detect(docs: DataFrame, key: str = "doc_id", precision: float = 0.95) -> DataFrame:
     """``key`` and, for each row, base_<kind>, base_spans and spans."""
-    model = train(candidates(docs.select(key, "text")), key, precision)
-    return spans(candidates(docs.select(key, "text")), model).drop("text")
+    found = staged(candidates(docs.select(key, "text")).drop("text"), "pii-found")
+    return spans(found, train(found, key, precision))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", precision: float = 0.95) -> DataFrame:
     """``docs``, its spans replaced in text by the kind's name in brackets (spans that overlap are one); n_chars follows, if there."""
-    model = train(candidates(docs.select(key, "text")), key, precision)
-    plain = docs.select(key, "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    df = spans(candidates(plain), model).select("_row", "text", "spans")
+    plain = docs.select(F.col(key).alias("_key"), "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"))
+    found = staged(candidates(plain), "pii-found")
+    df = spans(found, train(found, "_key", precision)).select("_row", "text", "spans")
     first = F.array_sort(F.col("spans"), lambda x, y: F.when((x["start"] < y["start"]) | (x["start"] == y["start"]) & (x["end"] > y["end"]), -1)
                          .when((x["start"] == y["start"]) & (x["end"] == y["end"]), 0).otherwise(1))
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
@@ -317,8 +327,7 @@ def redact(docs: DataFrame, key: str = "doc_id", precision: float = 0.95) -> Dat
     parts = F.zip_with(F.col("apart"), F.slice(ends, F.lit(1), F.size("apart")), lambda x, a: F.concat(piece(a, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
     tail = F.substring(F.col("text"), (F.element_at(ends, -1) + 1).cast("int"), F.length("text"))
     new = F.when(F.size("apart") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    kept = {c: F.col("_row")[c] for c in docs.columns}
-    kept["text"] = F.col("new")
+    kept = {c: F.col("new") if c == "text" else F.col("_row")[c] for c in docs.columns}
     if "n_chars" in kept:
         kept["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
     return df.withColumn("new", new).select([v.alias(c) for c, v in kept.items()])
