@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, packing, pii, substring, warc
+from . import decontam, embed_dedup, jaccard, langid, licenses, packing, pii, quality, substring, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def tokenizer() -> dict:
             "pattern": public_tokenizers.PATTERN}
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_packing(spark, sf_dir):
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents"), **tokenizer()))
 
@@ -40,6 +44,14 @@ def op6_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +62,6 @@ def op10_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(pii.written("base_spans"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_language_id, op5_warc, op6_substring_dedup, op9_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_embedding_dedup, op3_packing, op4_language_id, op5_warc, op6_substring_dedup,
+                                   op7_license_scan, op8_quality, op9_jaccard_join, op10_pii)}
 ORACLE: dict[str, str] = {}
