@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,27 +58,38 @@ def first_per_key(batch: DataFrame, key: list[str], order: list[str]) -> DataFra
     return picked.select("r.*")
 
 
+INPUT_ORDER = "_input_order"
+
+
+def _in_order(batch: DataFrame, order: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The batch and the columns of its input order; without any, rows are numbered as they are read."""
+    if order:
+        return batch, order
+    return batch.withColumn(INPUT_ORDER, F.monotonically_increasing_id()), [INPUT_ORDER]
+
+
 def new_levels(existing: DataFrame, batch: DataFrame, key: list[str] | None = None,
                order: list[str] | None = None) -> DataFrame:
     """I3 (I4 with ``key=['profile_id']``): rows of the batch to insert."""
     key = key or DEFAULT_LEVEL_KEY
-    order = order or key
-    firsts = first_per_key(batch, key, order)
-    return firsts.join(existing.select(*key).distinct(), key, "left_anti")
+    columns = batch.columns
+    batch, order = _in_order(batch, order)
+    fresh = batch.join(existing.select(*key), key, "left_anti")
+    return first_per_key(fresh, key, order).select(columns)
 
 
 def skipped_levels(existing: DataFrame, batch: DataFrame, key: list[str] | None = None,
                    order: list[str] | None = None) -> DataFrame:
     """Every batch row not inserted, with the reason."""
     key = key or DEFAULT_LEVEL_KEY
-    order = order or key
-    stored = batch.join(existing.select(*key).distinct(), key, "left_semi").withColumn(
+    batch, order = _in_order(batch, order)
+    stored = batch.join(existing.select(*key), key, "left_semi").withColumn(
         "reason", F.lit("key already stored"))
-    fresh = batch.join(existing.select(*key).distinct(), key, "left_anti")
+    fresh = batch.join(existing.select(*key), key, "left_anti")
     firsts = first_per_key(fresh, key, order).select(*key, _order_struct(order).alias("_first"))
     later = (fresh.join(firsts, key).where(_order_struct(order) != F.col("_first"))
              .drop("_first").withColumn("reason", F.lit("repeated in batch")))
-    return stored.unionByName(later)
+    return stored.unionByName(later).drop(INPUT_ORDER)
 
 
 def ingest_report(existing: DataFrame, batch: DataFrame, key: list[str] | None = None,
@@ -108,10 +120,13 @@ def append_levels(path: str, batch: DataFrame, key: list[str] | None = None,
     key = key or DEFAULT_LEVEL_KEY
     try:
         existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write creates the table
+    except AnalysisException as exc:  # the first write creates the table; anything else is an error
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         existing = None
     if existing is None:
-        fresh = first_per_key(batch, key, order or key)
+        numbered, by = _in_order(batch, order)
+        fresh = first_per_key(numbered, key, by).select(batch.columns)
     else:
         fresh = new_levels(existing, batch, key, order)
     staging = path.rstrip("/") + "__staging/" + (staging_name or uuid.uuid4().hex)

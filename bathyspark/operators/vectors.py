@@ -23,8 +23,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The kNN scan runs helpers of this module inside Python workers.  Ship them
 # by value with each task, so executors need NumPy and pandas but not this
@@ -103,23 +104,30 @@ def to_sparse(sparse: DataFrame, docs: DataFrame | None = None, id_col: str = "d
                                                    F.coalesce(F.col("embedding.values"), F.array().cast("array<double>")).alias("values")).alias("embedding"))
 
 
-def _as_matrix(values, dim: int | None) -> np.ndarray:
-    """Stack dense arrays, or densify sparse {indices, values} records."""
-    first = next(iter(values), None)
-    if first is None:
-        return np.zeros((0, dim or 0))
-    if isinstance(first, dict) or hasattr(first, "keys"):
-        out = np.zeros((len(values), dim))
-        for r, rec in enumerate(values):
-            idx = np.asarray(rec["indices"], dtype=np.int64)
-            if len(idx):
-                out[r, idx] = np.asarray(rec["values"], dtype=np.float64)
-        return out
-    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
+def _two_arrays(df: DataFrame, vec: str, out: str) -> list[Column]:
+    """A vector column as two array columns: indices (null if dense) and values.
+
+    Plain arrays convert alike in every session, with Arrow or without;
+    structs do not.
+    """
+    if isinstance(df.schema[vec].dataType, T.StructType):
+        return [F.col(f"{vec}.indices").cast("array<int>").alias(f"{out}_at"), F.col(f"{vec}.values").cast("array<double>").alias(f"{out}_values")]
+    return [F.lit(None).cast("array<int>").alias(f"{out}_at"), F.col(vec).cast("array<double>").alias(f"{out}_values")]
+
+
+def _as_matrix(indices, values, dim: int) -> np.ndarray:
+    """Rows of a dense matrix from (indices, values) arrays; null indices: dense values."""
+    out = np.zeros((len(values), dim))
+    for r, (at, v) in enumerate(zip(indices, values)):
+        if at is None:
+            out[r] = np.asarray(v, dtype=np.float64)
+        elif len(at):
+            out[r, np.asarray(at, dtype=np.int64)] = np.asarray(v, dtype=np.float64)
+    return out
 
 
 # --------------------------------------------------------------------------- V2
-def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: str, vec_col: str,
+def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: str, at_col: str, values_col: str,
                     cell_budget: int = 1 << 24):
     """mapInPandas body: running top-k per query over one corpus partition.
 
@@ -143,7 +151,7 @@ def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: st
             if pdf.empty:
                 continue
             all_ids = pdf[id_col].to_numpy().astype(np.int64)
-            all_x = _as_matrix(list(pdf[vec_col]), block.shape[1])
+            all_x = _as_matrix(list(pdf[at_col]), list(pdf[values_col]), block.shape[1])
             for s0 in range(0, len(all_ids), step):
                 ids, x = all_ids[s0:s0 + step], all_x[s0:s0 + step]
                 d = np.zeros((nq, x.shape[0]))
@@ -175,21 +183,21 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
     An empty corpus gives no rows; a corpus smaller than k gives what exists.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("v"))
+    q = queries.select(F.col(query_id).alias("query_id"), *_two_arrays(queries, query_vec, "q"))
     schema = "query_id long, neighbour_id long, distance double"
     if dim is None:
-        dim = int(q.agg(F.max(F.size("v"))).first()[0] or 0)
+        dim = int(q.agg(F.max(F.size("q_values"))).first()[0] or 0)
     per_block = max(1, query_budget_bytes // max(1, dim * 8))
-    corp = corpus.select(F.col(corpus_id).cast("long").alias("cid"), F.col(corpus_vec).alias("cv"))
+    corp = corpus.select(F.col(corpus_id).cast("long").alias("cid"), *_two_arrays(corpus, corpus_vec, "c"))
 
     def scan(pdf):
         ids = pdf["query_id"].to_numpy().astype(np.int64)
-        mat = _as_matrix(list(pdf["v"]), dim)
+        mat = _as_matrix(list(pdf["q_at"]), list(pdf["q_values"]), dim)
         bc = spark.sparkContext.broadcast((ids, mat))
 
         def body(batches, bc=bc):
             bi, bm = bc.value
-            yield from _partition_topk(bi, bm, k, "cid", "cv")(batches)
+            yield from _partition_topk(bi, bm, k, "cid", "c_at", "c_values")(batches)
 
         return corp.mapInPandas(body, schema)
 

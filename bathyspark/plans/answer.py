@@ -159,11 +159,7 @@ def level_groups(profiles: DataFrame, value_params: list[str] | None = None) ->
     Levels of one profile share place and time, so each profile collapses
     to a few rows before the shuffle.
     """
-    from bathyspark.sources.bindings import spread
     value_params = STAT_PARAMS if value_params is None else value_params
-    # a wide grouped aggregation over every level: make sure the map side
-    # runs in parallel even when the input arrives as one split
-    profiles = spread(profiles)
     keys = [F.col("latitude"), F.col("longitude"), F.col("timestamp"),
             F.coalesce(F.col("depth") <= F.lit(PROFILE_MAX_DEPTH), F.lit(False)).alias("shallow")] + [
         F.col(p).isNotNull().alias(f"has_{p}") for p in STAT_PARAMS]
@@ -198,6 +194,11 @@ WIDE_BOX_DEG = 4.0   # untimed boxes taller than this are matched by box members
 MAX_WIDE_BOXES = 64  # membership bits per group
 
 
+def _lat_cell(lat: Column) -> Column:
+    """Cell of a latitude; values far outside the globe share the outermost cells, so no cast overflows."""
+    return F.floor(F.greatest(F.lit(-200.0), F.least(F.lit(200.0), lat)) / LAT_CELL_DEG).cast("int")
+
+
 def _bucketed(sigs: DataFrame) -> DataFrame:
     """Timed signatures by month; untimed narrow boxes by 1-degree latitude cell."""
     timed = F.col("ts_lo").isNotNull()
@@ -207,8 +208,7 @@ def _bucketed(sigs: DataFrame) -> DataFrame:
     by_lat = (sigs.where(~timed & F.col("lat_lo").isNotNull() & (F.col("lat_lo") <= F.col("lat_hi")))
               .withColumn("b_kind", F.lit(1))
               .withColumn("b_bucket", F.explode(F.sequence(
-                  F.floor(F.col("lat_lo") / LAT_CELL_DEG).cast("int"),
-                  F.floor(F.col("lat_hi") / LAT_CELL_DEG).cast("int")))))
+                  _lat_cell(F.col("lat_lo")), _lat_cell(F.col("lat_hi"))))))
     return by_time.unionByName(by_lat)
 
 
@@ -235,7 +235,7 @@ def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: l
 
     probes = groups.withColumn("probe", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), _month_key(F.col("timestamp")).alias("bucket")),
-        F.struct(F.lit(1).alias("kind"), F.floor(F.col("latitude") / LAT_CELL_DEG).cast("int").alias("bucket")))))
+        F.struct(F.lit(1).alias("kind"), _lat_cell(F.col("latitude")).alias("bucket")))))
     fine = probes.join(F.broadcast(_bucketed(fine_sigs)).alias("b"),
                        (F.col("probe.kind") == F.col("b.b_kind")) & (F.col("probe.bucket") == F.col("b.b_bucket"))
                        & _group_condition("b", wrap))
@@ -276,9 +276,13 @@ def _signature_stats(value_params: list[str]) -> list[Column]:
 
 
 def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
-                    max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES) -> DataFrame:
+                    max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES,
+                    value_params: list[str] | None = None) -> DataFrame:
     """Per distinct bound signature: matched-row statistics (Q10 core).
 
+    Values are summarised for ``value_params`` (default: every parameter),
+    whatever the questions ask and however many there are.
+
     Distinct signatures are fetched up to ``max_broadcast + 1`` rows; within
     the bound they form one chunk, beyond it they are counted and split into
     hash chunks of about ``max_broadcast`` rows.  Each chunk is fetched once
@@ -290,15 +294,13 @@ def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
     sigs = parsed.select("b.*").distinct()
     first = sigs.limit(max_broadcast + 1).collect()  # one pass when the set is within the bound
     chunks = []
+    value_params = list(STAT_PARAMS) if value_params is None else value_params
     if len(first) <= max_broadcast:
         n = len(first)
-        # value statistics only for parameters some question asks for
-        value_params = [p for p in STAT_PARAMS if any(r[f"need_{p}"] for r in first)]
         if first:
             chunks.append(first)
     else:
         n = sigs.count()
-        value_params = list(STAT_PARAMS)
         n_chunks = -(-n // max_broadcast)
         for i in range(n_chunks):
             chunk = sigs.where(F.abs(F.xxhash64(*[F.col(c) for c in BOUND_FIELDS])) % n_chunks == i)
@@ -418,6 +420,7 @@ def answer_records(batch: DataFrame, neighbours: DataFrame | None = None) -> Dat
         .otherwise(F.col("context")).alias("response"),
         F.struct(F.col("total_records"),
                  F.when(F.col("failed"), F.array().cast("array<string>"))
+                 .when(F.coalesce(F.col("parameters_found"), F.lit("")) == "", F.array().cast("array<string>"))
                  .otherwise(F.split(F.col("parameters_found"), ",")).alias("parameters_found"),
                  F.when(has & ~F.col("failed"), F.struct("min_lat", "max_lat", "min_lon", "max_lon"))
                  .alias("geographic_bounds")).alias("data_summary"),

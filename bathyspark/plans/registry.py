@@ -14,21 +14,13 @@ AREAS = [
     "bathyspark.plans.q_stats",
     "bathyspark.plans.q_shape",
     "bathyspark.plans.q_ingest",
-    "bathyspark.plans.q_geo",
     "bathyspark.plans.q_questions",
     "bathyspark.plans.q_vectors",
 ]
 
 
 def _modules():
-    out = []
-    for name in AREAS:
-        try:
-            out.append(import_module(name))
-        except ModuleNotFoundError as exc:  # area not written yet
-            if exc.name != name:
-                raise
-    return out
+    return [import_module(name) for name in AREAS]
 
 
 def queries() -> dict:

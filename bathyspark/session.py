@@ -37,14 +37,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a scratch folder is created only when
-    the setting is absent (local tests).
+    The setting always wins, then a folder set on the context.  A scratch
+    folder is created only in local mode, where driver and tasks are one
+    process; on a cluster a missing folder is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         path = tempfile.mkdtemp(prefix="bathyspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
