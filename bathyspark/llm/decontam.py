@@ -222,15 +222,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
             .select("doc_id", "text_hash", "item_id", (-F.col("b.start")).alias("start_word"), "b.overlap_words", "b.matched_words", "b.item_words"))
 
 
-def best_stretch(same: np.ndarray, penalty: int = 4) -> tuple[int, int]:
-    """The stretch with the largest sum of +1 for a true and -``penalty`` for a false value; (0, 0) if none is positive."""
+def best_stretch(same: np.ndarray, misses: int = 4) -> tuple[int, int]:
+    """The longest stretch with at least ``misses`` true values for each false one, between true values; (0, 0) if there is none."""
     if not same.any():
         return 0, 0
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
-    return begin, end
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -misses))])
+    # for each end, the first start whose sum is no larger
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")
+    end = int(np.argmax(np.arange(len(total)) - start))
+    hits = np.flatnonzero(same[start[end]:end]) + start[end]
+    return (int(hits[0]), int(hits[-1]) + 1) if len(hits) else (0, 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

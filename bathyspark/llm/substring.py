@@ -116,7 +116,7 @@ def _unpack(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _compare(batches):
     """Sorted occurrences of a task to rows (doc, tag, first, last, sure): repeats, and (not sure) contexts to compare by window."""
-    prev, pending, multi, head = None, None, None, True
+    prev, place, pending, multi, head = None, None, None, None, True
 
     def rows(doc, loc, sure):
         first, last, tag = _unpack(loc)
@@ -129,8 +129,13 @@ def _compare(batches):
             continue
         same = np.zeros(len(anchor), bool)
         same[1:] = (anchor[1:] == anchor[:-1]) & (ctx[1:] == ctx[:-1])
-        same[0] = prev == (anchor[0], ctx[0])
-        prev = (anchor[-1], ctx[-1])
+        # the first place of each row's context; rows at that very place (of equal doc_ids) don't repeat it
+        at, start = loc.view(np.uint64) >> np.uint64(32), np.maximum.accumulate(np.where(same, 0, np.arange(len(anchor))))
+        doc1, at1 = doc[start], at[start]
+        if prev == (anchor[0], ctx[0]):
+            doc1[start == 0], at1[start == 0] = place
+        prev, place = (anchor[-1], ctx[-1]), (doc1[-1], at1[-1])
+        same = (doc != doc1) | (at != at1)
         if same.any():
             yield rows(doc[same], loc[same], True)
         a, d, w = anchor[~same], doc[~same], loc[~same]
