@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, embed_dedup, jaccard, langid, licenses, packing, pii, quality, substring, warc
 from .common import table
+from .oracle import ORACLE
 
 
 def op1_decontamination(spark, sf_dir):
@@ -64,4 +65,5 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_embedding_dedup, op3_packing, op4_language_id, op5_warc, op6_substring_dedup,
                                    op7_license_scan, op8_quality, op9_jaccard_join, op10_pii)}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
