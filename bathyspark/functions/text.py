@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SUMMARY_SEPARATOR = " | "
 FLOAT_PREFIX = "ARGO float "
 NEIGHBOURS_HEADER = "Relevant ARGO floats:"
+PARAMETER_LINE = "- %s: %.2f to %.2f (mean: %.2f)"
+FAILURE_PREFIX = "Error processing query: "
 
 
 def _part(fmt: str, *cols: Column) -> Column:

@@ -26,13 +26,13 @@ def float_summaries(floats: DataFrame, profiles: DataFrame) -> DataFrame:
 def build_index(floats: DataFrame, profiles: DataFrame, max_features: int = MAX_FEATURES):
     """(index DataFrame, fitted TF-IDF model).
 
-    Index columns: float_id, doc (a numeric key), text_summary, embedding
+    Index columns: float_id, doc (the vector's key, the float_id), text_summary, embedding
     (sparse struct<indices, values> of dimension ``max_features``), metadata
     struct<latitude, longitude, status, platform_type, institution>.
     """
     fs = float_summaries(floats, profiles)
     docs = fs.select(
-        "float_id", F.xxhash64("float_id").alias("doc"), float_text().alias("text_summary"),
+        "float_id", F.col("float_id").alias("doc"), float_text().alias("text_summary"),
         F.struct("latitude", "longitude", "status", "platform_type", "institution").alias("metadata"))
     # fitting and transforming read the summaries several times: compute
     # them once (reliable checkpoint in the shared folder)

@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bathyspark.schemas import STOP_WORDS
+
 # The kNN scan runs helpers of this module inside Python workers.  Ship them
 # by value with each task, so executors need NumPy and pandas but not this
 # package on their path.
@@ -54,7 +55,7 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, term) for every kept token: 2+ word characters, lower-cased,
     English stop words removed by a broadcast anti join (a fixed list)."""
     spark = docs.sparkSession
-    stop = spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "term string")
+    stop = spark.createDataFrame([(w,) for w in STOP_WORDS], "term string")
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
     exploded = docs.select(F.col(id_col).alias("doc"), F.explode(toks).alias("term"))
     return exploded.join(F.broadcast(stop), "term", "left_anti").select("doc", "term")
@@ -126,6 +127,16 @@ def _as_matrix(indices, values, dim: int) -> np.ndarray:
     return out
 
 
+def _id_type(df: DataFrame, col: str) -> str:
+    """Ids are text or whole numbers."""
+    return "string" if isinstance(df.schema[col].dataType, T.StringType) else "long"
+
+
+def _id_array(ids: pd.Series) -> np.ndarray:
+    """Ids as a sortable array: 64-bit integers, or text (code-point order, as in SQL)."""
+    return ids.to_numpy().astype(np.int64) if pd.api.types.is_numeric_dtype(ids) else ids.to_numpy().astype(str)
+
+
 # --------------------------------------------------------------------------- V2
 def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: str, at_col: str, values_col: str,
                     cell_budget: int = 1 << 24):
@@ -150,7 +161,7 @@ def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: st
         for pdf in batches:
             if pdf.empty:
                 continue
-            all_ids = pdf[id_col].to_numpy().astype(np.int64)
+            all_ids = _id_array(pdf[id_col])
             all_x = _as_matrix(list(pdf[at_col]), list(pdf[values_col]), block.shape[1])
             for s0 in range(0, len(all_ids), step):
                 ids, x = all_ids[s0:s0 + step], all_x[s0:s0 + step]
@@ -164,8 +175,8 @@ def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: st
             return
         kk = best_d.shape[1]
         yield pd.DataFrame({
-            "query_id": np.repeat(block_ids, kk),
-            "neighbour_id": best_i.reshape(-1),
+            "query_id": np.repeat(block_ids, kk).tolist(),
+            "neighbour_id": best_i.reshape(-1).tolist(),
             "distance": best_d.reshape(-1),
         })
 
@@ -178,20 +189,23 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
     """Exact k nearest corpus vectors per query by squared L2 distance.
 
     Vectors are dense arrays, or sparse structs (indices, values) of
-    dimension ``dim``, densified inside the tasks.
+    dimension ``dim``, densified inside the tasks.  Ids are whole numbers or
+    text; ties at the rounded distance go by the neighbour's id; rows without
+    an id are left out.
     Output (query_id, neighbour_id, rank, distance); ``rank`` starts at 1.
     An empty corpus gives no rows; a corpus smaller than k gives what exists.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).alias("query_id"), *_two_arrays(queries, query_vec, "q"))
-    schema = "query_id long, neighbour_id long, distance double"
+    q_type, c_type = _id_type(queries, query_id), _id_type(corpus, corpus_id)
+    q = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast(q_type).alias("query_id"), *_two_arrays(queries, query_vec, "q"))
+    schema = f"query_id {q_type}, neighbour_id {c_type}, distance double"
     if dim is None:
         dim = int(q.agg(F.max(F.size("q_values"))).first()[0] or 0)
     per_block = max(1, query_budget_bytes // max(1, dim * 8))
-    corp = corpus.select(F.col(corpus_id).cast("long").alias("cid"), *_two_arrays(corpus, corpus_vec, "c"))
+    corp = corpus.where(F.col(corpus_id).isNotNull()).select(F.col(corpus_id).cast(c_type).alias("cid"), *_two_arrays(corpus, corpus_vec, "c"))
 
     def scan(pdf):
-        ids = pdf["query_id"].to_numpy().astype(np.int64)
+        ids = _id_array(pdf["query_id"])
         mat = _as_matrix(list(pdf["q_at"]), list(pdf["q_values"]), dim)
         bc = spark.sparkContext.broadcast((ids, mat))
 

@@ -5,8 +5,8 @@ back as one row and become literal predicates, so the time bound reaches the
 Parquet scan and the lat/lon bounds are evaluated before the join.
 
 Many questions (Q10): questions are reduced to distinct bound signatures;
-signatures are matched to profile levels by a size-checked broadcast range
-join (several bounded broadcasts when there are many signatures), aggregated
+signatures meet pre-aggregated levels in equi-joins on month, latitude cell or
+region (broadcast up to a checked size, shuffled beyond it), aggregated
 per signature with map-side partial aggregation, and joined back to the
 questions on the signature key.  No question text is turned into SQL text.
 """
@@ -18,10 +18,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from bathyspark.functions.aggs import exact_value, far_value, mean_of
 from bathyspark.functions.filters import ntz_literal
 from bathyspark.functions.questions import parse_frame
+from bathyspark.functions.text import FAILURE_PREFIX, PARAMETER_LINE, context_text
+from bathyspark.session import cut_lineage
 from bathyspark.schemas import (
-    POINT_RADIUS_DEG, PROFILE_COLUMNS, PROFILE_MAX_DEPTH, QUESTION_PARAMETERS, REGION_BOUNDS,
+    CONTEXT_NEIGHBOURS, POINT_RADIUS_DEG, PROFILE_COLUMNS, PROFILE_MAX_DEPTH, QUESTION_PARAMETERS, REGION_BOUNDS,
 )
 
 BOUND_FIELDS = ["lat_lo", "lat_hi", "lon_lo", "lon_hi", "ts_lo", "ts_hi", "depth_hi"] + [
@@ -137,7 +140,7 @@ def _partials(value_params: list[str]) -> tuple[list[str], list[str], list[str]]
     Counts are kept for every parameter (they say which parameters a result
     has); minima, maxima and sums only for ``value_params``.
     """
-    sums = ["n"] + [f"{p}_n" for p in STAT_PARAMS] + [f"{p}_sum" for p in value_params]
+    sums = ["n"] + [f"{p}_n" for p in STAT_PARAMS] + [f"{p}_{s}" for p in value_params for s in ("sum", "far")]
     mins = ["lat_min", "lon_min", "t_min"] + [f"{p}_min" for p in value_params]
     maxs = ["lat_max", "lon_max", "t_max"] + [f"{p}_max" for p in value_params]
     return sums, mins, maxs
@@ -166,7 +169,7 @@ def level_groups(profiles: DataFrame, value_params: list[str] | None = None) ->
     aggs = [F.count(F.lit(1)).alias("n")] + [F.count(p).alias(f"{p}_n") for p in STAT_PARAMS]
     for p in value_params:
         aggs += [F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"),
-                 F.sum(F.col(p).cast("decimal(18,6)")).alias(f"{p}_sum")]
+                 F.sum(exact_value(F.col(p))).alias(f"{p}_sum"), F.sum(far_value(F.col(p))).alias(f"{p}_far")]
     g = profiles.groupBy(*keys).agg(*aggs)
     return g.select("*", F.col("latitude").alias("lat_min"), F.col("latitude").alias("lat_max"),
                     F.col("longitude").alias("lon_min"), F.col("longitude").alias("lon_max"),
@@ -190,8 +193,18 @@ def _group_condition(b: str, wrap: bool) -> Column:
 
 
 LAT_CELL_DEG = 1.0
-WIDE_BOX_DEG = 4.0   # untimed boxes taller than this are matched by box membership
-MAX_WIDE_BOXES = 64  # membership bits per group
+
+
+REGION_BOXES = [tuple(map(float, b)) for b in REGION_BOUNDS.values()]
+
+
+def _region_box() -> Column:
+    """Number of the named region whose box a signature has, null for any other box."""
+    out = F.lit(None).cast("int")
+    for i, bounds in enumerate(REGION_BOXES):
+        same = [F.col(c) == F.lit(v) for c, v in zip(BOUND_FIELDS, bounds)]
+        out = F.when(reduce(lambda x, y: x & y, same), F.lit(i)).otherwise(out)
+    return out
 
 
 def _lat_cell(lat: Column) -> Column:
@@ -212,49 +225,40 @@ def _bucketed(sigs: DataFrame) -> DataFrame:
     return by_time.unionByName(by_lat)
 
 
-def _match_chunk(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
-    """Partial statistics of the groups matched to each signature of a chunk.
+def _match(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str], broadcast: bool) -> DataFrame:
+    """Partial statistics of the groups matched to each signature.
 
     * timed signatures, and untimed ones with a narrow box: each group
-      probes its month and its latitude cell in a broadcast hash join, so it
-      meets only the signatures of that month or cell (no group shuffle);
-    * untimed signatures with a wide box (named regions) or no box: groups
-      are first rolled up to (flags, membership in each wide box), a table of
-      at most 2^(8+boxes) rows and in practice a few hundred, and the
-      signatures are matched against that.
+      probes its month and its latitude cell in an equi-join, so it meets only
+      the signatures of that month or cell (with ``broadcast`` without a
+      shuffle of the groups; else a busy month is split by adaptive execution);
+    * untimed signatures with the box of a named region or no box: groups
+      are first rolled up to (flags, region box), with box -1 for "anywhere",
+      a table of at most 2^8 rows a box, and the signatures meet that on their
+      box's number.
     Every (group, signature) pair is counted once.
     """
     untimed = F.col("ts_lo").isNull()
-    wide_cond = untimed & F.col("lat_lo").isNotNull() & ((F.col("lat_hi") - F.col("lat_lo")) > WIDE_BOX_DEG)
-    boxes = (sigs.where(wide_cond).select("lat_lo", "lat_hi", "lon_lo", "lon_hi").distinct()
-             .orderBy("lat_lo", "lat_hi", "lon_lo", "lon_hi").limit(MAX_WIDE_BOXES + 1).collect())
-    if len(boxes) > MAX_WIDE_BOXES:  # too many distinct wide boxes: bucket them by latitude instead
-        boxes, wide_cond = [], F.lit(False)
-    fine_sigs = sigs.where(~wide_cond & ~(untimed & F.col("lat_lo").isNull()))
-    coarse_sigs = sigs.where(wide_cond | (untimed & F.col("lat_lo").isNull()))
+    box = _region_box()
+    fine_sigs = sigs.where(~untimed | (F.col("lat_lo").isNotNull() & box.isNull()))
+    coarse_sigs = (sigs.where(untimed & (F.col("lat_lo").isNull() | box.isNotNull()))
+                   .withColumn("b_box", F.when(F.col("lat_lo").isNull(), F.lit(-1)).otherwise(box)))
+    hint = F.broadcast if broadcast else (lambda df: df)
 
     probes = groups.withColumn("probe", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), _month_key(F.col("timestamp")).alias("bucket")),
         F.struct(F.lit(1).alias("kind"), _lat_cell(F.col("latitude")).alias("bucket")))))
-    fine = probes.join(F.broadcast(_bucketed(fine_sigs)).alias("b"),
+    fine = probes.join(hint(_bucketed(fine_sigs)).alias("b"),
                        (F.col("probe.kind") == F.col("b.b_kind")) & (F.col("probe.bucket") == F.col("b.b_bucket"))
                        & _group_condition("b", wrap))
 
     lat, lon = F.col("latitude"), F.col("longitude")
-    member = [(lat.between(F.lit(b.lat_lo), F.lit(b.lat_hi))
-               & _lon_test(F.lit(b.lon_lo), F.lit(b.lon_hi), wrap)).alias(f"in_box_{i}") for i, b in enumerate(boxes)]
-    in_cols = [f"in_box_{i}" for i in range(len(boxes))]
+    inside = [F.when(lat.between(F.lit(la0), F.lit(la1)) & _lon_test(F.lit(lo0), F.lit(lo1), wrap), F.lit(i))
+              for i, (la0, la1, lo0, lo1) in enumerate(REGION_BOXES)]
     partials = [c for part in _partials(value_params) for c in part]
-    rolled = groups.select(*FLAG_COLUMNS, *member, *partials).groupBy(*FLAG_COLUMNS, *in_cols).agg(
-        *_merge_partials(value_params))
-    box_index = F.lit(-1)
-    for i, b in enumerate(boxes):
-        box_index = F.when((F.col("lat_lo") == b.lat_lo) & (F.col("lat_hi") == b.lat_hi)
-                           & (F.col("lon_lo") == b.lon_lo) & (F.col("lon_hi") == b.lon_hi), F.lit(i)).otherwise(box_index)
-    coarse_b = coarse_sigs.withColumn("b_box", box_index)
-    in_box = F.lit(True) if not boxes else F.element_at(F.array(*[F.col(c) for c in in_cols]), F.col("b.b_box") + 1)
-    box_ok = (F.col("b.b_box") < 0) | F.coalesce(in_box, F.lit(False))
-    coarse = rolled.join(F.broadcast(coarse_b).alias("b"), _flag_condition("b") & box_ok)
+    rolled = (groups.withColumn("g_box", F.explode(F.array_compact(F.array(F.lit(-1), *inside))))
+              .groupBy(*FLAG_COLUMNS, "g_box").agg(*_merge_partials(value_params)))
+    coarse = rolled.join(hint(coarse_sigs).alias("b"), (F.col("g_box") == F.col("b.b_box")) & _flag_condition("b"))
 
     keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for c in partials]
     return fine.select(keep).unionByName(coarse.select(keep))
@@ -269,7 +273,7 @@ def _signature_stats(value_params: list[str]) -> list[Column]:
         aggs.append(F.sum(f"{p}_n").alias(f"{p}_n"))
         if p in value_params:
             aggs += [F.min(f"{p}_min").alias(f"{p}_min"), F.max(f"{p}_max").alias(f"{p}_max"),
-                     (F.sum(f"{p}_sum").cast("double") / F.sum(f"{p}_n")).alias(f"{p}_mean")]
+                     mean_of(F.sum(f"{p}_sum"), F.sum(f"{p}_far"), F.sum(f"{p}_n")).alias(f"{p}_mean")]
         else:  # not asked by any question: statistics left empty
             aggs += [F.lit(None).cast("double").alias(f"{p}_{s}") for s in ("min", "max", "mean")]
     return aggs
@@ -283,40 +287,21 @@ def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
     Values are summarised for ``value_params`` (default: every parameter),
     whatever the questions ask and however many there are.
 
-    Distinct signatures are fetched up to ``max_broadcast + 1`` rows; within
-    the bound they form one chunk, beyond it they are counted and split into
-    hash chunks of about ``max_broadcast`` rows.  Each chunk is fetched once
-    (the broadcast would ship it from the driver anyway) and reused as a
-    local relation by all matching paths, so the question parse is not re-run
-    per path.  The depth bound is either absent or the fixed profile cap.
+    Up to ``max_broadcast`` distinct signatures are fetched once and broadcast
+    as a local relation, at most thirteen rows each (a year's months); more are
+    a written table in the shared folder, and the same joins run as shuffles.
+    The levels are read once either way, and results are equal.  The depth
+    bound is either absent or the fixed profile cap.
     """
-    spark = parsed.sparkSession
-    sigs = parsed.select("b.*").distinct()
-    first = sigs.limit(max_broadcast + 1).collect()  # one pass when the set is within the bound
-    chunks = []
     value_params = list(STAT_PARAMS) if value_params is None else value_params
-    if len(first) <= max_broadcast:
-        n = len(first)
-        if first:
-            chunks.append(first)
-    else:
-        n = sigs.count()
-        n_chunks = -(-n // max_broadcast)
-        for i in range(n_chunks):
-            chunk = sigs.where(F.abs(F.xxhash64(*[F.col(c) for c in BOUND_FIELDS])) % n_chunks == i)
-            rows = chunk.collect()  # about max_broadcast rows: the checked broadcast size
-            if rows:
-                chunks.append(rows)
-    groups = level_groups(profiles, value_params)
-    parts = [_match_chunk(groups, spark.createDataFrame(rows, sigs.schema), wrap, value_params) for rows in chunks]
-    if not parts:
-        parts.append(_match_chunk(groups, sigs.limit(0), wrap, value_params))
-    matched = parts[0]
-    for p in parts[1:]:
-        matched = matched.unionByName(p)
+    sigs = parsed.select("b.*").distinct()
+    first = sigs.limit(max_broadcast + 1).collect()  # the checked broadcast size
+    few = len(first) <= max_broadcast
+    sigs = parsed.sparkSession.createDataFrame(first, sigs.schema) if few else cut_lineage(sigs)
+    matched = _match(level_groups(profiles, value_params), sigs, wrap, value_params, few)
     stats = matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats(value_params))
-    # one row per signature: the counted size bounds the broadcast back to the questions
-    return F.broadcast(stats) if n <= max_broadcast else stats
+    # one row per signature: the checked size bounds the broadcast back to the questions
+    return F.broadcast(stats) if few else stats
 
 
 def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int, mode: str = "default",
@@ -345,13 +330,15 @@ def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int,
     return j.select(out)
 
 
+def _parameters_found() -> Column:
+    return F.filter(F.array(*[F.when(F.col(f"{p}_n") > 0, F.lit(p)) for p in STAT_PARAMS]), lambda x: x.isNotNull())
+
+
 def answer_summary(batch: DataFrame) -> DataFrame:
-    """Q4: count, parameters found, bounds (null when nothing matched)."""
-    found = F.filter(F.array(*[F.when(F.col(f"{p}_n") > 0, F.lit(p)) for p in STAT_PARAMS]),
-                     lambda x: x.isNotNull())
+    """Q4: count, parameters found (an array), bounds (null when nothing matched)."""
     has = F.col("total_records") > 0
     return batch.select(
-        "question_id", "total_records", F.array_join(found, ",").alias("parameters_found"),
+        "question_id", "total_records", _parameters_found().alias("parameters_found"),
         *[F.when(has, F.col(c)).alias(c) for c in ["min_lat", "max_lat", "min_lon", "max_lon"]])
 
 
@@ -365,63 +352,54 @@ def question_neighbours(index: DataFrame, model, parsed: DataFrame, k: int = 5)
     return search_index(index, model, asked, "question_id", "question", k)
 
 
-def answer_context(batch: DataFrame, neighbours: DataFrame | None = None, n_quoted: int = 3) -> DataFrame:
-    """Q5 (+ O8): context text per question from its statistics and neighbours."""
-    from bathyspark.functions.text import context_text
+def _with_neighbours(batch: DataFrame, neighbours: DataFrame | None) -> DataFrame:
+    """The batch with its neighbours as an array by rank (``nb``, at most k a question; empty without any)."""
+    if neighbours is None:
+        return batch.withColumn("nb", F.array())
+    nb = neighbours.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "float_id", "distance", "text_summary", "metadata"))).alias("nb"))
+    return batch.join(nb, "question_id", "left").withColumn("nb", F.coalesce("nb", F.array()))
+
+
+def _context(neighbours: bool, n_quoted: int) -> Column:
+    """Q5 (+ O8): the context text of a batch row with its ``nb``."""
     stats = F.create_map(*[x for p in STAT_PARAMS for x in (
         F.lit(p), F.struct(F.col(f"{p}_n").alias("n"), F.col(f"{p}_min").alias("lo"),
                            F.col(f"{p}_max").alias("hi"), F.col(f"{p}_mean").alias("mean")))])
-    base = batch.select("question_id", "question", "p", "total_records", "min_lat", "max_lat", "min_lon",
-                        "max_lon", "time_min", "time_max", *[f"{p}_{s}" for p in STAT_PARAMS
-                                                              for s in ("n", "min", "max", "mean")])
-    if neighbours is not None:
-        quoted = (neighbours.where(F.col("rank") <= n_quoted)
-                  .groupBy("question_id")  # at most n_quoted rows per question
-                  .agg(F.array_sort(F.collect_list(F.struct(
-                      "rank", F.concat(F.lit("- "), F.col("float_id"), F.lit(": "), F.col("text_summary")).alias("line")
-                  ))).alias("nb")))
-        base = base.join(quoted, "question_id", "left")
-        nb_lines = F.coalesce(F.transform("nb", lambda x: x["line"]), F.array().cast("array<string>"))
-    else:
-        nb_lines = F.array().cast("array<string>")
     named = F.filter(F.transform(F.col("p.parameters"), lambda name: F.when(
         F.element_at(stats, name)["n"] > 0,
-        F.format_string("- %s: %.2f to %.2f (mean: %.2f)", name, F.element_at(stats, name)["lo"],
+        F.format_string(PARAMETER_LINE, name, F.element_at(stats, name)["lo"],
                         F.element_at(stats, name)["hi"], F.element_at(stats, name)["mean"]))),
         lambda x: x.isNotNull())
-    text = context_text(F.col("total_records"), named, F.col("min_lat"), F.col("max_lat"), F.col("min_lon"),
-                        F.col("max_lon"), F.col("time_min"), F.col("time_max"), nb_lines)
-    return base.select("question_id", "question", "total_records", text.alias("context"))
+    lines = F.array().cast("array<string>")
+    if neighbours:
+        lines = F.transform(F.filter("nb", lambda x: x["rank"] <= n_quoted), lambda x: F.concat(
+            F.lit("- "), x["float_id"], F.lit(": "), x["text_summary"]))
+    return context_text(F.col("total_records"), named, F.col("min_lat"), F.col("max_lat"), F.col("min_lon"),
+                        F.col("max_lon"), F.col("time_min"), F.col("time_max"), lines)
+
+
+def answer_context(batch: DataFrame, neighbours: DataFrame | None = None, n_quoted: int = CONTEXT_NEIGHBOURS) -> DataFrame:
+    """Q5 (+ O8): context text per question from its statistics and neighbours."""
+    return _with_neighbours(batch, neighbours).select(
+        "question_id", "question", "total_records", _context(neighbours is not None, n_quoted).alias("context"))
 
 
 def answer_records(batch: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
-    """Q7: query, response, data summary and neighbours per question.
+    """Q7: query, response, data summary and neighbours per question, in one pass over the batch.
 
     The matching rows stay a DataFrame keyed by question (``question_rows``
     for one question); they are not gathered into the record.  A failed
-    question (literal mode) gets the failure record of Q6.
+    question (literal mode) gets the failure record of Q6; an answer without
+    rows has no parameters and null bounds.
     """
-    ctx = answer_context(batch, neighbours)
-    summ = answer_summary(batch)
-    out = batch.select("question_id", "p", "failed").join(ctx.drop("total_records"), "question_id").join(summ, "question_id",
-                                                                                   "left")
-    if neighbours is not None:
-        nb = neighbours.groupBy("question_id").agg(  # at most k rows per question
-            F.array_sort(F.collect_list(F.struct("rank", "float_id", "distance", "text_summary", "metadata")))
-            .alias("vector_results"))
-        out = out.join(nb, "question_id", "left")
-        vr = F.coalesce(F.col("vector_results"), F.array())
-    else:
-        vr = F.array()
-    has = F.col("total_records") > 0
-    return out.select(
+    ok = ~F.col("failed")
+    return _with_neighbours(batch, neighbours).select(
         "question_id", F.col("question").alias("query"),
-        F.when(F.col("failed"), F.concat(F.lit("Error processing query: "), F.col("p.error")))
-        .otherwise(F.col("context")).alias("response"),
+        F.when(ok, _context(neighbours is not None, CONTEXT_NEIGHBOURS))
+        .otherwise(F.concat(F.lit(FAILURE_PREFIX), F.col("p.error"))).alias("response"),
         F.struct(F.col("total_records"),
-                 F.when(F.col("failed"), F.array().cast("array<string>"))
-                 .when(F.coalesce(F.col("parameters_found"), F.lit("")) == "", F.array().cast("array<string>"))
-                 .otherwise(F.split(F.col("parameters_found"), ",")).alias("parameters_found"),
-                 F.when(has & ~F.col("failed"), F.struct("min_lat", "max_lat", "min_lon", "max_lon"))
+                 F.when(ok, _parameters_found()).otherwise(F.array().cast("array<string>")).alias("parameters_found"),
+                 F.when((F.col("total_records") > 0) & ok, F.struct("min_lat", "max_lat", "min_lon", "max_lon"))
                  .alias("geographic_bounds")).alias("data_summary"),
-        F.when(F.col("failed"), F.array()).otherwise(vr).alias("vector_results"))
+        F.when(ok, F.col("nb")).otherwise(F.array()).alias("vector_results"))

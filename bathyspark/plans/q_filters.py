@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bathyspark.functions import filters as P
 from bathyspark.operators import ordering as O
+from bathyspark.operators.filtered import query_floats, query_profiles
 from bathyspark.operators.shape import project_parameters
 from bathyspark.plans.oracle import FLOAT_COLS_SQL, PROFILE_COLS_SQL, sql
 from bathyspark.schemas import FLOAT_COLUMNS, PROFILE_COLUMNS, REGION_BOUNDS
@@ -49,7 +50,16 @@ def _region_values_sql():
     return ", ".join(f"('{n}', {b[0]}, {b[1]}, {b[2]}, {b[3]})" for n, b in REGION_BOUNDS.items())
 
 
+FLOAT_FILTERS = {"status": "active", "institution": "NATION_7", "lat_range": (-25, 25), "lon_range": (30, 110)}
+PROFILE_FILTERS = {"date_range": ("1995-06-01", "1996-12-31"), "lat_range": (-20, 25), "lon_range": (30, 100),
+                   "depth_range": (100, 1500), "parameter": "oxygen", "min_value": 60, "max_value": 220}
+
+
 QUERIES = {
+    "query_floats": lambda s, d: query_floats(_f(s, d), FLOAT_FILTERS),
+    "query_profiles": lambda s, d: query_profiles(_pl(s, d), PROFILE_FILTERS).select(PROFILE_COLUMNS),
+    "query_profiles_all": lambda s, d: query_profiles(
+        _pl(s, d), {**PROFILE_FILTERS, "float_id": ONE_FLOAT, "parameter": "no_such_parameter"}, limit=None).select(PROFILE_COLUMNS),
     "scan_floats": lambda s, d: _f(s, d).select(FLOAT_COLUMNS),
     "scan_profiles": lambda s, d: _p(s, d).select(PROFILE_COLUMNS),
     "floats_by_status": lambda s, d: _f(s, d).where(P.status_is("active")),
@@ -85,7 +95,15 @@ QUERIES = {
 
 _ORDER_TIES = "profile_id, depth, level_no, part_no, supp_no, ext_price"
 
+_PROFILE_FILTER_SQL = ("timestamp BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '1996-12-31' AND latitude BETWEEN -20.0 AND 25.0 "
+                       "AND longitude BETWEEN 30.0 AND 100.0 AND depth BETWEEN 100.0 AND 1500.0")
+
 ORACLE = {
+    "query_floats": sql(f"SELECT {FLOAT_COLS_SQL} FROM floats WHERE status = 'active' AND institution = 'NATION_7' "
+                        "AND latitude BETWEEN -25.0 AND 25.0 AND longitude BETWEEN 30.0 AND 110.0"),
+    "query_profiles": sql(f"SELECT {PROFILE_COLS_SQL} FROM profiles WHERE {_PROFILE_FILTER_SQL} "
+                          f"AND oxygen >= 60.0 AND oxygen <= 220.0 ORDER BY {_ORDER_TIES} LIMIT 1000"),
+    "query_profiles_all": sql(f"SELECT {PROFILE_COLS_SQL} FROM profiles WHERE {_PROFILE_FILTER_SQL} AND float_id = '{ONE_FLOAT}'"),
     "scan_floats": sql(f"SELECT {FLOAT_COLS_SQL} FROM floats"),
     "scan_profiles": sql(f"SELECT {PROFILE_COLS_SQL} FROM profiles"),
     "floats_by_status": sql(f"SELECT {FLOAT_COLS_SQL} FROM floats WHERE status = 'active'"),

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from bathyspark.functions import questions as T
 from bathyspark.plans import answer
-from bathyspark.plans.oracle import PROFILE_COLS_SQL, sql
+from bathyspark.plans.oracle import PROFILE_COLS_SQL, mean, sql
 from bathyspark.schemas import (
-    COMPARISON_WORDS, LOCATION_PATTERN, MONTHS, PROFILE_WORDS, QUESTION_PARAMETERS, REGION_BOUNDS,
+    COMPARISON_WORDS, DEFAULT_ROW_LIMIT, LOCATION_PATTERN, MONTHS, PROFILE_WORDS, QUESTION_PARAMETERS, REGION_BOUNDS,
     REGION_WORDS, YEAR_PATTERN,
 )
 from bathyspark.sources import bindings as B
 
 FLAGSHIP_QUESTION = "Show me temperature profiles near the equator in March 1996"
+NEWEST_QUESTION = "What is the salinity in the indian ocean during 1996"  # no profile request: newest rows first (O5)
 CURRENT_YEAR = 1996  # the parser's "current year", fixed so results are reproducible
 
 
@@ -74,7 +75,10 @@ QUERIES = {
         "question_id", "total_records", "min_lat", "max_lat", "min_lon", "max_lon", "time_min", "time_max",
         "temperature_mean", "salinity_mean", "oxygen_mean"),
     "question_counts": lambda s, d: _batch(s, d, "literal").select("question_id", "question", "total_records"),
-    "answer_summary": lambda s, d: answer.answer_summary(_batch(s, d)),
+    "answer_summary": lambda s, d: answer.answer_summary(_batch(s, d)).withColumn(
+        "parameters_found", F.array_join("parameters_found", ",")),
+    "question_rows_newest": lambda s, d: answer.question_rows(
+        B.profile_levels(s, d), NEWEST_QUESTION, CURRENT_YEAR).limit(DEFAULT_ROW_LIMIT),
 }
 
 # ------------------------------------------------------------------ DuckDB SQL
@@ -149,16 +153,17 @@ MATCH_COND = (
 )
 
 
-def _mean(c):
-    return f"cast(sum(cast(r.{c} AS decimal(18,6))) AS double) / count(r.{c})"
-
-
 ORACLE = {
     "question_rows": sql(
         f"SELECT {PROFILE_COLS_SQL} FROM profiles WHERE temperature IS NOT NULL "
         "AND latitude BETWEEN -5.0 AND 5.0 AND longitude BETWEEN -180.0 AND 180.0 "
         "AND timestamp BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-03-31' "
         "AND depth <= 1000.0"),
+    "question_rows_newest": sql(
+        f"SELECT {PROFILE_COLS_SQL} FROM profiles WHERE salinity IS NOT NULL "
+        "AND latitude BETWEEN -30.0 AND 30.0 AND longitude BETWEEN 20.0 AND 120.0 "
+        "AND timestamp BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' "
+        f"ORDER BY timestamp DESC, profile_id, depth, level_no, part_no, supp_no, ext_price LIMIT {DEFAULT_ROW_LIMIT}"),
     "q_parameters": sql(PARSED_CTE + "SELECT question_id, parameters FROM parsed2"),
     "q_location": sql(PARSED_CTE + "SELECT question_id, lat, lon FROM parsed2"),
     "q_region": sql(PARSED_CTE + "SELECT question_id, region FROM parsed2"),
@@ -176,8 +181,8 @@ ORACLE = {
         PARSED_CTE + BOUNDS_CTE + "SELECT q.question_id, count(r.profile_id) AS total_records, "
         "min(r.latitude) AS min_lat, max(r.latitude) AS max_lat, min(r.longitude) AS min_lon, "
         "max(r.longitude) AS max_lon, min(r.timestamp) AS time_min, max(r.timestamp) AS time_max, "
-        f"{_mean('temperature')} AS temperature_mean, {_mean('salinity')} AS salinity_mean, "
-        f"{_mean('oxygen')} AS oxygen_mean "
+        f"{mean('r.temperature')} AS temperature_mean, {mean('r.salinity')} AS salinity_mean, "
+        f"{mean('r.oxygen')} AS oxygen_mean "
         f"FROM bounds q LEFT JOIN profiles r ON {MATCH_COND} GROUP BY q.question_id"),
     "question_counts": sql(
         PARSED_CTE + BOUNDS_CTE + "SELECT q.question_id, q.question, CASE WHEN q.error IS NOT NULL THEN 0 "

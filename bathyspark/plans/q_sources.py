@@ -5,7 +5,7 @@ from __future__ import annotations
 from bathyspark.functions import filters as P
 from bathyspark.operators.shape import project_parameters, split_parameters
 from bathyspark.plans.oracle import FLOAT_COLS_SQL, PROFILE_COLS_SQL, sql
-from bathyspark.schemas import FLOAT_COLUMNS, PROFILE_COLUMNS
+from bathyspark.schemas import BASE_COLUMNS, FLOAT_COLUMNS, PROFILE_COLUMNS
 from bathyspark.sources import bindings as B
 from bathyspark.sources import io
 
@@ -20,6 +20,13 @@ def csv_roundtrip(s, d):
     return io.read_floats_csv(s, path)
 
 
+def levels_csv_roundtrip(s, d):
+    """Write the flattened profile levels as CSV with a header, read them back."""
+    path = io.scratch_dir(s, "levels-csv")
+    io.write_csv(B.profiles(s, d), path)
+    return io.read_profiles_csv(s, path)
+
+
 def _export_rows(s, d):
     rows = B.profiles(s, d).where(P.timestamp_between("1997-06-01", "1997-06-30"))
     return project_parameters(rows, split_parameters("temperature, salinity ,oxygen"))
@@ -41,6 +48,7 @@ def raw_sql(s, d):
 
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
+    "levels_csv_roundtrip": levels_csv_roundtrip,
     "export_csv_rows": lambda s, d: io.csv_lines(_export_rows(s, d)),
     "export_json_rows": lambda s, d: io.json_records(_export_rows(s, d)),
     "raw_sql": raw_sql,
@@ -49,7 +57,29 @@ QUERIES = {
         "table_name", "present", "n_rows"),
 }
 
+_EXPORT_COLUMNS = BASE_COLUMNS + ["temperature", "salinity", "oxygen"]
+_EXPORT_SQL = "FROM profiles WHERE timestamp BETWEEN TIMESTAMP '1997-06-01' AND TIMESTAMP '1997-06-30'"
+
+
+def _csv_field(c: str) -> str:
+    if c == "timestamp":
+        return "strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f')"
+    return c if c.endswith("_id") else f"coalesce(upper(cast({c} AS varchar)), '')"
+
+
+def _json_field(c: str) -> str:
+    value = f"coalesce(upper(cast({c} AS varchar)), 'null')"
+    if c == "timestamp":
+        value = "'\"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || '\"'"
+    elif c.endswith("_id"):
+        value = f"'\"' || {c} || '\"'"
+    return f"'\"{c}\":' || {value}"
+
+
 ORACLE = {
+    "levels_csv_roundtrip": sql(f"SELECT {PROFILE_COLS_SQL} FROM profiles"),
+    "export_csv_rows": sql("SELECT " + " || ',' || ".join(map(_csv_field, _EXPORT_COLUMNS)) + f" AS line {_EXPORT_SQL}"),
+    "export_json_rows": sql("SELECT '{' || " + " || ',' || ".join(map(_json_field, _EXPORT_COLUMNS)) + f" || '}}' AS record {_EXPORT_SQL}"),
     "csv_roundtrip": sql(f"SELECT {FLOAT_COLS_SQL} FROM floats"),
     "stored_profiles_date_range": sql(
         f"SELECT {PROFILE_COLS_SQL} FROM profiles "

@@ -6,7 +6,7 @@ from bathyspark.functions import filters as P
 from bathyspark.operators import series as S
 from bathyspark.operators import stats as A
 from bathyspark.plans import answer
-from bathyspark.plans.oracle import sql
+from bathyspark.plans.oracle import mean, sql
 from bathyspark.plans.q_questions import CURRENT_YEAR, FLAGSHIP_QUESTION
 from bathyspark.schemas import FLOAT_COLUMNS
 from bathyspark.sources import bindings as B
@@ -24,15 +24,11 @@ ANALYSIS_ROWS_SQL = (
     "AND timestamp >= TIMESTAMP '1996-01-01' AND timestamp < TIMESTAMP '1997-01-01'")
 
 
-def mean_sql(c: str) -> str:
-    return f"cast(sum(cast({c} AS decimal(18,6))) AS double) / count({c})"
-
-
 SUMMARY_SQL = (
     "count(DISTINCT profile_id) AS total_profiles, count(*) AS total_measurements, "
     "min(depth) AS depth_min, max(depth) AS depth_max, "
-    f"min(temperature) AS temperature_min, max(temperature) AS temperature_max, {mean_sql('temperature')} AS temperature_mean, "
-    f"min(salinity) AS salinity_min, max(salinity) AS salinity_max, {mean_sql('salinity')} AS salinity_mean")
+    f"min(temperature) AS temperature_min, max(temperature) AS temperature_max, {mean('temperature')} AS temperature_mean, "
+    f"min(salinity) AS salinity_min, max(salinity) AS salinity_max, {mean('salinity')} AS salinity_mean")
 
 
 def _p(s, d):
@@ -88,6 +84,8 @@ QUERIES = {
     "depth_series": lambda s, d: S.depth_series(analysis_rows(s, d), "temperature"),
     "profile_analysis": lambda s, d: S.profile_analysis(
         B.profile_levels(s, d), "salinity", 1000, 0, "1996-01-01", "1996-12-31")[0],
+    "analysis_comparison": lambda s, d: S.profile_analysis(
+        B.profile_levels(s, d), "salinity", 1000, 0, "1996-01-01", "1996-12-31")[1],
     "float_lines": lambda s, d: S.float_lines(flagship_rows(s, d), ["temperature"]),
 }
 
@@ -107,7 +105,7 @@ ORACLE = {
         "strftime(max(timestamp), '%Y-%m-%d') AS latest_data FROM profiles"),
     "context_stats": sql(
         f", r AS ({FLAGSHIP_ROWS_SQL}) SELECT count(*) AS n_rows, min(temperature) AS temperature_min, "
-        f"max(temperature) AS temperature_max, {mean_sql('temperature')} AS temperature_mean, "
+        f"max(temperature) AS temperature_max, {mean('temperature')} AS temperature_mean, "
         "min(latitude) AS lat_min, max(latitude) AS lat_max, min(longitude) AS lon_min, max(longitude) AS lon_max, "
         "min(timestamp) AS time_min, max(timestamp) AS time_max FROM r"),
     "geo_bounds": sql(
@@ -141,6 +139,7 @@ ORACLE = {
         "ORDER BY min(timestamp), profile_id LIMIT 10) "
         "SELECT profile_id, depth, cast(salinity AS double) AS value FROM r "
         "WHERE profile_id IN (SELECT profile_id FROM firsts) AND salinity IS NOT NULL"),
+    "analysis_comparison": _hist_sql(["temperature", "salinity"], ANALYSIS_ROWS_SQL),
     "float_lines": sql(
         f", r AS ({FLAGSHIP_ROWS_SQL}) SELECT 'temperature' AS parameter, float_id, depth, "
         "cast(temperature AS double) AS value FROM r"),

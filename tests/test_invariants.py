@@ -260,3 +260,69 @@ def test_index_search_matches_brute_force(spark):
         d = sorted((round(float(((q - dense(c.embedding)) ** 2).sum()), 6), c.doc, c.float_id) for c in corpus)[:3]
         mine = [(h.distance, h.float_id) for h in hits if h.qid == qid]
         assert [x[0] for x in d] == [m[0] for m in mine]
+
+
+def test_means_keep_small_and_large_values(spark):
+    """Eight decimals count, and one outlier spoils neither the others nor the aggregate."""
+    small = _levels(spark, [dict(temperature=0.00000012), dict(temperature=0.00000034), dict(temperature=None)])
+    assert abs(A.profile_summary(small).first().temperature_mean - 0.00000023) < 1e-18
+    far = _levels(spark, [dict(temperature=1e30), dict(temperature=2.0)])
+    assert A.profile_summary(far).first().temperature_mean == 5e29
+    none = _levels(spark, [dict(temperature=None)])
+    assert A.profile_summary(none).first().temperature_mean is None
+
+
+def test_question_batch_in_parts_equals_whole(spark):
+    """A question's answer depends on no other question, in any column, and on neither way of joining."""
+    from bathyspark.plans.answer import question_batch
+    lv, qs = B.profile_levels(spark, SF_SMALL), B.questions(spark, SF_SMALL)
+    whole = question_batch(lv, qs, 1996)
+    values = [c for c in whole.columns if c not in ("p", "b")]
+    shuffled = question_batch(lv, qs, 1996, max_broadcast=60)
+    few = question_batch(lv, qs.where("question_id % 7 = 3"), 1996)
+    rows = {r.question_id: r for r in whole.select(values).collect()}
+    assert {r.question_id: r for r in shuffled.select(values).collect()} == rows
+    got = few.select(values).collect()
+    assert got and all(rows[r.question_id] == r for r in got)
+
+
+def test_one_bad_question_leaves_the_others(spark):
+    from bathyspark.plans.answer import answer_records, question_batch
+    qs = spark.createDataFrame([(1, "temperature near 00009999999999, 5"), (2, "temperature near the equator"), (3, "oxygen in march 0000")],
+                               "question_id long, question string")
+    rec = {r.question_id: r for r in answer_records(question_batch(B.profile_levels(spark, SF_SMALL), qs, 1996)).collect()}
+    assert rec[1].data_summary.total_records == 0 and rec[1].data_summary.parameters_found == []
+    assert rec[1].data_summary.geographic_bounds is None and rec[2].data_summary.total_records > 0
+    assert "temperature" in rec[2].data_summary.parameters_found and len(rec) == 3
+
+
+def test_knn_with_stock_settings_and_text_ids(spark):
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    kind = "id string, embedding struct<indices: array<int>, values: array<double>>"
+    corpus = spark.createDataFrame([("b", ([0], [1.0])), ("a", ([1], [1.0])), ("c", ([], [])), (None, ([], []))], kind)
+    queries = spark.createDataFrame([(7, ([0], [1.0])), (8, ([], []))], kind.replace("id string", "query_id long"))
+    try:
+        for value in ("true", "false"):
+            spark.conf.set(key, value)
+            got = [(r.query_id, r.neighbour_id, r["rank"], r.distance) for r in V.knn_l2(queries, corpus, 2, dim=3).orderBy("query_id", "rank").collect()]
+            assert got == [(7, "b", 1, 0.0), (7, "c", 2, 1.0), (8, "c", 1, 0.0), (8, "a", 2, 1.0)]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_filters_are_optional_and_checked(spark):
+    import pytest
+    from bathyspark.operators.filtered import query_floats, query_profiles
+    from bathyspark.sources import io
+    lv, f = B.profiles(spark, SF_SMALL), B.floats(spark, SF_SMALL)
+    assert query_floats(f).count() == f.count() and query_profiles(lv).count() == 1000
+    assert query_profiles(lv, limit=None).count() == lv.count()
+    with pytest.raises(ValueError):
+        query_profiles(lv, {"depth": 3})
+    path = io.scratch_dir(spark, "levels")
+    io.write_levels_table(lv, path)
+    wanted = {"date_range": ("1996-01-01", "1996-02-20"), "depth_range": (0, 800)}
+    stored = query_profiles(io.read_levels_table(spark, path), wanted, limit=None).select(PROFILE_COLUMNS)
+    direct = query_profiles(lv, wanted, limit=None)
+    assert stored.count() > 0 and stored.exceptAll(direct).count() == 0 and direct.exceptAll(stored).count() == 0
