@@ -16,7 +16,11 @@ def sql(body: str) -> str:
 
 def mean(x: str) -> str:
     """Mean of doubles summed with twelve decimals of their shortest form, so that the order of rows is of no effect."""
-    return f"cast(sum(cast(cast({x} AS varchar) AS decimal(38,12))) AS double) / count({x})"
+    return f"cast(sum({exact(x)}) AS double) / count({x})"
+
+
+def exact(x: str) -> str:
+    return f"cast(cast({x} AS varchar) AS decimal(38,12))"
 
 
 def fixed(x: str, decimals: int) -> str:

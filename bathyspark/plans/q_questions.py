@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bathyspark.functions import questions as T
 from bathyspark.plans import answer
-from bathyspark.plans.oracle import PROFILE_COLS_SQL, mean, sql
+from bathyspark.plans.oracle import PROFILE_COLS_SQL, exact, sql
 from bathyspark.schemas import (
     COMPARISON_WORDS, DEFAULT_ROW_LIMIT, LOCATION_PATTERN, MONTHS, PROFILE_WORDS, QUESTION_PARAMETERS, REGION_BOUNDS,
     REGION_WORDS, YEAR_PATTERN,
@@ -153,6 +153,15 @@ MATCH_COND = (
 )
 
 
+# levels with each parameter's exact value, cast once and not once a matching question
+EXACT_CTE = (", exact_levels AS MATERIALIZED (SELECT *, "
+             + ", ".join(f"{exact(p)} AS {p}_exact" for p in QUESTION_PARAMETERS) + " FROM profiles) ")
+
+
+def exact_mean_sql(p: str) -> str:
+    return f"cast(sum(r.{p}_exact) AS double) / count(r.{p})"
+
+
 ORACLE = {
     "question_rows": sql(
         f"SELECT {PROFILE_COLS_SQL} FROM profiles WHERE temperature IS NOT NULL "
@@ -178,12 +187,12 @@ ORACLE = {
     "question_errors": sql(PARSED_CTE + "SELECT question_id, error, 'Error processing query: ' || error AS response, "
                            "cast(0 AS bigint) AS total_records FROM parsed2 WHERE error IS NOT NULL"),
     "question_batch": sql(
-        PARSED_CTE + BOUNDS_CTE + "SELECT q.question_id, count(r.profile_id) AS total_records, "
+        EXACT_CTE + PARSED_CTE + BOUNDS_CTE + "SELECT q.question_id, count(r.profile_id) AS total_records, "
         "min(r.latitude) AS min_lat, max(r.latitude) AS max_lat, min(r.longitude) AS min_lon, "
         "max(r.longitude) AS max_lon, min(r.timestamp) AS time_min, max(r.timestamp) AS time_max, "
-        f"{mean('r.temperature')} AS temperature_mean, {mean('r.salinity')} AS salinity_mean, "
-        f"{mean('r.oxygen')} AS oxygen_mean "
-        f"FROM bounds q LEFT JOIN profiles r ON {MATCH_COND} GROUP BY q.question_id"),
+        f"{exact_mean_sql('temperature')} AS temperature_mean, {exact_mean_sql('salinity')} AS salinity_mean, "
+        f"{exact_mean_sql('oxygen')} AS oxygen_mean "
+        f"FROM bounds q LEFT JOIN exact_levels r ON {MATCH_COND} GROUP BY q.question_id"),
     "question_counts": sql(
         PARSED_CTE + BOUNDS_CTE + "SELECT q.question_id, q.question, CASE WHEN q.error IS NOT NULL THEN 0 "
         "ELSE count(r.profile_id) END AS total_records "

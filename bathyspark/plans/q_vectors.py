@@ -8,8 +8,8 @@ from bathyspark.operators import index as X
 from bathyspark.operators import vectors as V
 from bathyspark.plans import answer
 from bathyspark.functions.text import FLOAT_PREFIX, NEIGHBOURS_HEADER, SUMMARY_SEPARATOR
-from bathyspark.plans.oracle import fixed, mean, sql
-from bathyspark.plans.q_questions import BOUNDS_CTE, CURRENT_YEAR, MATCH_COND, PARSED_CTE
+from bathyspark.plans.oracle import fixed, sql
+from bathyspark.plans.q_questions import BOUNDS_CTE, CURRENT_YEAR, EXACT_CTE, MATCH_COND, PARSED_CTE, exact_mean_sql
 from bathyspark.plans.q_stats import SUMMARY_SQL
 from bathyspark.schemas import CONTEXT_NEIGHBOURS, DEFAULT_K, QUESTION_PARAMETERS, STOP_WORDS
 from bathyspark.sources import bindings as B
@@ -195,9 +195,9 @@ _ANSWER_CTE = (
     ", agg AS (SELECT q.question_id, any_value(q.question) AS question, any_value(q.parameters) AS parameters, "
     "count(r.profile_id) AS total_records, min(r.latitude) AS min_lat, max(r.latitude) AS max_lat, min(r.longitude) AS min_lon, "
     "max(r.longitude) AS max_lon, min(r.timestamp) AS time_min, max(r.timestamp) AS time_max, "
-    + ", ".join(f"count(r.{p}) AS {p}_n, min(r.{p}) AS {p}_min, max(r.{p}) AS {p}_max, {mean('r.' + p)} AS {p}_mean"
+    + ", ".join(f"count(r.{p}) AS {p}_n, min(r.{p}) AS {p}_min, max(r.{p}) AS {p}_max, {exact_mean_sql(p)} AS {p}_mean"
                 for p in QUESTION_PARAMETERS)
-    + f" FROM bounds q LEFT JOIN profiles r ON {MATCH_COND} GROUP BY q.question_id), "
+    + f" FROM bounds q LEFT JOIN exact_levels r ON {MATCH_COND} GROUP BY q.question_id), "
       f"quoted AS (SELECT question_id, string_agg('- ' || float_id || ': ' || text_summary, chr(10) ORDER BY rank) AS lines "
       f"FROM near WHERE rank <= {CONTEXT_NEIGHBOURS} GROUP BY question_id), "
       "contexts AS (SELECT a.*, concat_ws(chr(10), "
@@ -247,9 +247,9 @@ ORACLE = {
     "context_neighbours": sql(
         _INDEX_CTE + PARSED_CTE + _NEAR_CTE + f"SELECT question_id, rank, float_id, text_summary FROM near WHERE rank <= {CONTEXT_NEIGHBOURS}"),
     "answer_context": sql(
-        _INDEX_CTE + PARSED_CTE + BOUNDS_CTE + _NEAR_CTE + _ANSWER_CTE + "SELECT question_id, question, total_records, context FROM contexts"),
+        _INDEX_CTE + EXACT_CTE + PARSED_CTE + BOUNDS_CTE + _NEAR_CTE + _ANSWER_CTE + "SELECT question_id, question, total_records, context FROM contexts"),
     "answer_records": sql(
-        _INDEX_CTE + PARSED_CTE + BOUNDS_CTE + _NEAR_CTE + _ANSWER_CTE
+        _INDEX_CTE + EXACT_CTE + PARSED_CTE + BOUNDS_CTE + _NEAR_CTE + _ANSWER_CTE
         + "SELECT c.question_id, c.question AS query, c.context AS response, c.total_records, concat_ws(',', "
         + ", ".join(f"CASE WHEN {p}_n > 0 THEN '{p}' END" for p in QUESTION_PARAMETERS)
         + ") AS parameters_found, cast(coalesce(n.n, 0) AS integer) AS n_neighbours FROM contexts c "
