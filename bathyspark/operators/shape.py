@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bathyspark.schemas import BASE_COLUMNS, PARAMETERS, PROFILE_COLUMNS, RANGES, RECENT_COLUMNS
+from bathyspark.schemas import BASE_COLUMNS, PARAMETERS, RANGES
 
 PROFILE_KEY = ["profile_id", "float_id", "timestamp", "latitude", "longitude"]
 
@@ -58,11 +58,6 @@ def split_parameters_col(col: Column) -> Column:
     return F.transform(F.split(col, ","), lambda s: F.trim(s))
 
 
-def recent_projection(rows: DataFrame) -> DataFrame:
-    """F5."""
-    return rows.select(RECENT_COLUMNS)
-
-
 def clip_ranges(rows: DataFrame) -> DataFrame:
     """clip each measurement to its physical range (nulls stay null)."""
     out = []
@@ -98,12 +93,12 @@ def cycle_calendar(floats: DataFrame, end) -> DataFrame:
 
 
 def depth_grid(floats: DataFrame, n_levels: Column) -> DataFrame:
-    """F8: ``n`` evenly spaced depths from 0 to ``max_pressure`` inclusive."""
+    """F8: ``n`` evenly spaced depths from 0 to ``max_pressure`` inclusive (one: 0; none: no row)."""
     n = n_levels.cast("int")
     step = F.col("max_pressure").cast("double") / (n - 1).cast("double")
-    grid = F.transform(F.sequence(F.lit(0), n - 1),
-                       lambda i: F.when(i == n - 1, F.col("max_pressure").cast("double")).otherwise(i * step))
-    return floats.select("float_id", F.posexplode(grid).alias("level", "depth"))
+    grid = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, F.lit(0.0))
+                       .when(i == n - 1, F.col("max_pressure").cast("double")).otherwise(i * step))
+    return floats.where(n > 0).select("float_id", F.posexplode(grid).alias("level", "depth"))
 
 
 def map_markers(floats: DataFrame, popup: bool = True) -> DataFrame:
@@ -116,7 +111,3 @@ def map_markers(floats: DataFrame, popup: bool = True) -> DataFrame:
             "%s | Status: %s | Platform: %s | Institution: %s | Location: %.2f°N, %.2f°E",
             "float_id", "status", "platform_type", "institution", "latitude", "longitude"))
     return out
-
-
-def keep_profile_columns(rows: DataFrame) -> DataFrame:
-    return rows.select([c for c in PROFILE_COLUMNS if c in rows.columns])

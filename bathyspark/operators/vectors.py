@@ -7,13 +7,12 @@ corpus frequency (a bounded top-k), broadcast as a table of at most
 L2-normalised per document.  The model is fitted once on the corpus, so
 corpus and query vectors live in the same space.
 
-V2/V3, exact squared-L2 kNN: a distributed flat scan.  The query block (its
-size checked before it is shipped) is broadcast; every corpus partition
-computes distances for its rows with NumPy and keeps only its own top k per
-query (ordered by rounded distance, then id); the final top k per query is
-taken over at most ``k x partitions`` candidates per query.  No cross join
-is planned and no pair list is materialised.  Query sets larger than the
-broadcast budget are processed in several bounded blocks.
+V2/V3, exact squared-L2 kNN: both sides are dealt into blocks of a checked size
+by a hash of their ids, and each pair of a query block and a corpus block is
+one co-grouped task, an equi-join on the two block numbers.  A task computes
+distances with NumPy, slice by slice, and keeps its own top k per query (by
+rounded distance, then id); the final top k per query is taken over at most
+``k x corpus blocks`` candidates.  No vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ except (ImportError, AttributeError, ValueError):  # older cloudpickle: package
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 DISTANCE_DECIMALS = 6
-DEFAULT_QUERY_BUDGET = 64 << 20  # bytes of query vectors per broadcast block
+DEFAULT_BLOCK_BYTES = 64 << 20  # bytes of dense vectors per block of either side
 
 
 # --------------------------------------------------------------------------- V1
@@ -138,100 +137,70 @@ def _id_array(ids: pd.Series) -> np.ndarray:
 
 
 # --------------------------------------------------------------------------- V2
-def _partition_topk(block_ids: np.ndarray, block: np.ndarray, k: int, id_col: str, at_col: str, values_col: str,
-                    cell_budget: int = 1 << 24):
-    """mapInPandas body: running top-k per query over one corpus partition.
+def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_at: list, c_values: list, k: int,
+             cell_budget: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k rows of a corpus block nearest to each query, sorted.
 
-    Distances are computed for slices of the corpus batch so the distance
-    matrix never exceeds ``cell_budget`` cells.
+    The corpus is taken in slices, so the distance matrix never exceeds
+    ``cell_budget`` cells (or one column).
     """
-    nq = block.shape[0]
-    step = max(1, cell_budget // max(1, nq))
-
-    def merge(best_d, best_i, d, ids):
-        if best_d is not None:
-            d = np.concatenate([best_d, d], axis=1)
-            ids = np.concatenate([best_i, ids], axis=1)
-        keep = min(k, d.shape[1])
-        order = np.lexsort((ids, d), axis=-1)[:, :keep]
-        return np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
-
-    def run(batches):
-        best_d = best_i = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            all_ids = _id_array(pdf[id_col])
-            all_x = _as_matrix(list(pdf[at_col]), list(pdf[values_col]), block.shape[1])
-            for s0 in range(0, len(all_ids), step):
-                ids, x = all_ids[s0:s0 + step], all_x[s0:s0 + step]
-                d = np.zeros((nq, x.shape[0]))
-                for j in range(block.shape[1]):  # left-to-right sum over dimensions
-                    diff = block[:, j:j + 1] - x[None, :, j]
-                    d += diff * diff
-                d = np.round(d, DISTANCE_DECIMALS)
-                best_d, best_i = merge(best_d, best_i, d, np.broadcast_to(ids, d.shape))
-        if best_d is None:
-            return
-        kk = best_d.shape[1]
-        yield pd.DataFrame({
-            "query_id": np.repeat(block_ids, kk).tolist(),
-            "neighbour_id": best_i.reshape(-1).tolist(),
-            "distance": best_d.reshape(-1),
-        })
-
-    return run
+    step = max(1, cell_budget // max(len(q_ids), q.shape[1], 1))
+    best_d, best_i = np.empty((len(q_ids), 0)), np.empty((len(q_ids), 0), c_ids.dtype)
+    for lo in range(0, len(c_ids), step):
+        x = _as_matrix(c_at[lo:lo + step], c_values[lo:lo + step], q.shape[1])
+        d = np.zeros((len(q_ids), len(x)))
+        for j in range(q.shape[1]):  # left-to-right sum over dimensions
+            diff = q[:, j:j + 1] - x[None, :, j]
+            d += diff * diff
+        d = np.concatenate([best_d, np.round(d, DISTANCE_DECIMALS)], axis=1)
+        ids = np.concatenate([best_i, np.broadcast_to(c_ids[lo:lo + step], (len(q_ids), len(x)))], axis=1)
+        order = np.lexsort((ids, d), axis=-1)[:, :k]
+        best_d, best_i = np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
+    return best_d, best_i
 
 
 def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
            query_vec: str = "embedding", corpus_id: str = "id", corpus_vec: str = "embedding",
-           query_budget_bytes: int = DEFAULT_QUERY_BUDGET, dim: int | None = None) -> DataFrame:
+           block_bytes: int = DEFAULT_BLOCK_BYTES, dim: int | None = None) -> DataFrame:
     """Exact k nearest corpus vectors per query by squared L2 distance.
 
     Vectors are dense arrays, or sparse structs (indices, values) of
     dimension ``dim``, densified inside the tasks.  Ids are whole numbers or
     text; ties at the rounded distance go by the neighbour's id; rows without
-    an id are left out.
+    an id are left out.  ``block_bytes`` bounds a block of either side; the
+    sides are counted before, to know the number of blocks, and the corpus has
+    at least as many as there are cores.
     Output (query_id, neighbour_id, rank, distance); ``rank`` starts at 1.
     An empty corpus gives no rows; a corpus smaller than k gives what exists.
     """
-    spark = queries.sparkSession
     q_type, c_type = _id_type(queries, query_id), _id_type(corpus, corpus_id)
-    q = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast(q_type).alias("query_id"), *_two_arrays(queries, query_vec, "q"))
-    schema = f"query_id {q_type}, neighbour_id {c_type}, distance double"
-    if dim is None:
-        dim = int(q.agg(F.max(F.size("q_values"))).first()[0] or 0)
-    per_block = max(1, query_budget_bytes // max(1, dim * 8))
-    corp = corpus.where(F.col(corpus_id).isNotNull()).select(F.col(corpus_id).cast(c_type).alias("cid"), *_two_arrays(corpus, corpus_vec, "c"))
-
-    def scan(pdf):
-        ids = _id_array(pdf["query_id"])
-        mat = _as_matrix(list(pdf["q_at"]), list(pdf["q_values"]), dim)
-        bc = spark.sparkContext.broadcast((ids, mat))
-
-        def body(batches, bc=bc):
-            bi, bm = bc.value
-            yield from _partition_topk(bi, bm, k, "cid", "c_at", "c_values")(batches)
-
-        return corp.mapInPandas(body, schema)
-
-    parts = []
-    first = q.limit(per_block + 1).toPandas()  # one pass when the queries fit one block
-    if len(first) <= per_block:
-        if len(first):
-            parts.append(scan(first))
-    else:
-        n_blocks = -(-q.count() // per_block)
-        for b in range(n_blocks):
-            # each block is about per_block rows: the checked broadcast size
-            pdf = q.where(F.abs(F.xxhash64("query_id")) % n_blocks == b).toPandas()
-            if len(pdf):
-                parts.append(scan(pdf))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    q = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast(q_type).alias("qid"), *_two_arrays(queries, query_vec, "q"))
+    c = corpus.where(F.col(corpus_id).isNotNull()).select(F.col(corpus_id).cast(c_type).alias("cid"), *_two_arrays(corpus, corpus_vec, "c"))
+    n_queries, widest = q.agg(F.count(F.lit(1)), F.max(F.size("q_values"))).first()
+    dim = int(widest or 0) if dim is None else dim
+    per_block = max(1, block_bytes // max(1, dim * 8))
+    q_blocks = max(1, -(-n_queries // per_block))
+    c_blocks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-c.count() // per_block))
+
+    def own(column: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []}, dtype=object)
+        block = _as_matrix(list(left["q_at"]), list(left["q_values"]), dim)
+        d, ids = _nearest(_id_array(left["qid"]), block, _id_array(right["cid"]), list(right["c_at"]), list(right["c_values"]), k)
+        return pd.DataFrame({"query_id": np.repeat(left["qid"].to_numpy(), d.shape[1]).tolist(),
+                             "neighbour_id": ids.reshape(-1).tolist(), "distance": d.reshape(-1)})
+
+    keys = ["q_block", "c_block"]
+    left = q.withColumn("q_block", own("qid", q_blocks)).withColumn("c_block", every(c_blocks))
+    right = c.withColumn("c_block", own("cid", c_blocks)).withColumn("q_block", every(q_blocks))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        scan, f"query_id {q_type}, neighbour_id {c_type}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "neighbour_id", "rank", "distance"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bathyspark.schemas import FLOATS, PROFILES
-from bathyspark.session import scratch_path
+from bathyspark.session import cut_lineage, scratch_path
 
 TABLE_FLOATS = "argo_floats"
 TABLE_PROFILES = "argo_profiles"
@@ -68,28 +69,33 @@ def execute_sql(spark: SparkSession, text: str, args: dict | None = None,
                 on_error: str = "raise") -> DataFrame:
     """Run SQL over the registered tables.
 
-    Errors raise by default; ``on_error='empty'`` returns an empty frame.
+    Errors raise by default; ``on_error='empty'`` returns an empty frame.  For
+    that the result is computed here, as a checkpoint in the shared folder, so
+    that errors of its rows count as well.
     Values are passed as named parameters (``:name``), never pasted in.
     """
+    if on_error != "empty":
+        return spark.sql(text, args=args or None)
     try:
-        df = spark.sql(text, args=args or None)
-        df.schema  # analysis errors surface here
-        return df
-    except Exception:
-        if on_error == "empty":
-            return spark.createDataFrame([], "result string").limit(0)
-        raise
+        return cut_lineage(spark.sql(text, args=args or None))
+    except PySparkException:
+        return spark.createDataFrame([], "result string")
 
 
 def readiness(spark: SparkSession, floats_path: str | None = None, profiles_path: str | None = None,
               floats: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
-    """(table_name, present, n_rows, reason) for both tables in one job."""
+    """(table_name, present, n_rows, reason) for both tables in one job.
+
+    A path that isn't there is an answer; any other error is raised.
+    """
     rows = []
     for name, path, df in ((TABLE_FLOATS, floats_path, floats), (TABLE_PROFILES, profiles_path, profiles)):
         if df is None:
             try:
                 df = spark.read.parquet(path)
-            except Exception as exc:  # noqa: BLE001 - a missing table is the answer
+            except AnalysisException as exc:
+                if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
                 rows.append(spark.createDataFrame(
                     [(name, False, None, f"missing: {type(exc).__name__}")],
                     "table_name string, present boolean, n_rows bigint, reason string"))
