@@ -145,17 +145,26 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_at: list, c_
     ``cell_budget`` cells (or one column).
     """
     step = max(1, cell_budget // max(len(q_ids), q.shape[1], 1))
+    square = (q * q).sum(1)
     best_d, best_i = np.empty((len(q_ids), 0)), np.empty((len(q_ids), 0), c_ids.dtype)
     for lo in range(0, len(c_ids), step):
         x = _as_matrix(c_at[lo:lo + step], c_values[lo:lo + step], q.shape[1])
-        d = np.zeros((len(q_ids), len(x)))
-        for j in range(q.shape[1]):  # left-to-right sum over dimensions
-            diff = q[:, j:j + 1] - x[None, :, j]
-            d += diff * diff
+        if c_at[lo] is None:
+            d = np.zeros((len(q_ids), len(x)))
+            for j in range(q.shape[1]):  # left-to-right sum over dimensions
+                diff = q[:, j:j + 1] - x[None, :, j]
+                d += diff * diff
+        else:  # sparse vectors are wide: one matrix product
+            d = np.maximum(square[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T), 0)
         d = np.concatenate([best_d, np.round(d, DISTANCE_DECIMALS)], axis=1)
         ids = np.concatenate([best_i, np.broadcast_to(c_ids[lo:lo + step], (len(q_ids), len(x)))], axis=1)
-        order = np.lexsort((ids, d), axis=-1)[:, :k]
-        best_d, best_i = np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        keep = min(k, d.shape[1])
+        # only what is as near as the k-th is sorted, ties with it included
+        row, col = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1:keep])
+        order = np.lexsort((ids[row, col], d[row, col], row))
+        first = np.searchsorted(row, np.arange(len(q_ids)))
+        at = order[first[:, None] + np.arange(keep)[None, :]]
+        best_d, best_i = d[row[at], col[at]], ids[row[at], col[at]]
     return best_d, best_i
 
 
