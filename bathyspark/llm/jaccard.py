@@ -162,11 +162,14 @@ def _sketch_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         left = np.arange(e - s) if one else np.flatnonzero(blk[s:e] == a_col[s])
         right = left if one else np.flatnonzero(blk[s:e] == b_col[s])
         own, forest = marks[s:e], Forest(e - s)
-        for at in range(0, len(left), 64):
-            rows = left[at:at + 64]
-            linked = (own[rows][:, None, :] == own[right][None, :, :]).sum(2) >= least * SKETCH
-            linked &= ids[s + rows][:, None] != ids[s + right][None, :]
-            span_links(linked, rows, right, forest)
+        # links within a block are returned where it is paired with itself; here they only join trees
+        for rows_of, cols_of in ((left, right),) if one else ((left, left), (right, right), (left, right)):
+            forest.kept.clear()
+            for at in range(0, len(rows_of), 64):
+                rows = rows_of[at:at + 64]
+                linked = (own[rows][:, None, :] == own[cols_of][None, :, :]).sum(2) >= least * SKETCH
+                linked &= ids[s + rows][:, None] != ids[s + cols_of][None, :]
+                span_links(linked, rows, cols_of, forest)
         out += [(ids[s + i], ids[s + j]) for i, j in forest.kept]
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
@@ -223,15 +226,15 @@ def _exact_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return got.astype({"id": "int64", "other": "Int64", "links": "int64"})
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.95) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text): doc_id, component_id, n_links, kept.
 
     ``n_links`` counts the other documents linked directly, copies among them;
     ``component_id`` is the smallest doc_id reachable over links; ``kept`` holds for that
     document.  ``recall`` is the share of pairs exactly at the threshold that the runs
-    must meet in nodes that were split once; in nodes never split, the runs for 0.95 meet 0.99.
+    must meet in nodes of the last level, with all above split; fewer splits lose fewer.
     """
-    feats = staged(_features(docs, k, runs_for(recall, 2), threshold), "jaccard-features")
+    feats = staged(_features(docs, k, runs_for(recall, LEVELS), threshold), "jaccard-features")
     groups = (feats.where("size > 0").groupBy("h1", "h2", "size")
               .agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("copies"), F.count(F.lit(1)).alias("n_rows")))
     member = staged(feats.where("size > 0").select("doc_id", "h1", "h2", "size").join(groups, ["h1", "h2", "size"])

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,23 @@ def test_jaccard_matches_brute_force(spark, docs, rows):
     assert jaccard.near_duplicates(empty(docs)).count() == 0
 
 
+def test_jaccard_meets_pairs_in_split_nodes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NODE", 1)  # every node is split, down to the last level
+    rng, rows = np.random.default_rng(11), []
+    for j in range(600):  # 80 and 100 shingles, 80 of them shared: at the threshold
+        w = [f"p{j}x{i}" for i in rng.permutation(104)]
+        rows += [(2 * j, " ".join(w)), (2 * j + 1, " ".join(w[:84]))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("doc_id % 2 = 1").collect()
+    lost = [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] - 1]
+    assert len(got) == 600 and len(lost) <= 4
+
+
+def test_jaccard_block_pairs_return_only_new_links():
+    pdf = pd.DataFrame({"node": 1, "blk_a": 0, "blk_b": 1, "blk": [0, 0, 0, 1, 1, 1], "id": range(6), "sketch": [bytes(jaccard.SKETCH)] * 6})
+    assert len(jaccard._sketch_links(pdf, 0.67)) == 1
+    assert len(jaccard._sketch_links(pdf.assign(blk_b=0, blk=0), 0.67)) == 5
+
+
 # ------------------------------------------------------------------ 10
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
