@@ -4,8 +4,8 @@ Unit vectors are cut in halves, each with a codebook of its own (k-means over
 a bounded sample); a vector's cell is its pair of nearest centroids, so the
 codebooks' product is a grid.  A query walks the grid's occupied cells in order of
 its distance to their pair of centroids (the multi-sequence algorithm) and
-visits as many as a sample of queries, compared with all vectors by brute force,
-needs for the target recall.  Members of a visited cell are then verified by
+visits as many as a sample of queries needs to meet vectors made at the threshold
+cosine to them at the target recall.  Members of a visited cell are then verified by
 cosine in double precision, in blocks of bounded size however full a cell is;
 blocks return counts of links and the links that join trees, never all pairs.
 
@@ -32,6 +32,8 @@ from .common import Forest, components, group_bounds, grouped_map, span_links, s
 
 #: Vectors that the codebooks are fitted to, queries that the recall is measured with, at most.
 SAMPLE, QUERIES = 20_000, 256
+#: Vectors made from each of these queries.
+COPIES = 8
 #: Mean members of a cell that the grid is sized for, and the largest codebook.
 CELL, CODEBOOK = 48, 1024
 #: Rows of a block's side; fewest cells that a query visits.
@@ -106,32 +108,26 @@ def _matrix(units, dim: int) -> np.ndarray:
 
 
 def _calibrate(reps: DataFrame, grid: Grid, dim: int, threshold: float, recall: float) -> int:
-    """Fewest cells a query must visit so that the sample's links are met at ``recall``; links are found by brute force."""
-    sample = reps.orderBy(F.xxhash64("id", F.lit("query")), "id").select("id", "unit").limit(QUERIES).collect()
-    q = _matrix([bytes(r["unit"]) for r in sample], dim)
-    ids = np.array([r["id"] for r in sample])
-    a, b = grid.distances(q)
-    cells = int(grid.occupied.sum())
-    ranks = np.full((len(q), len(grid.occupied)), cells, np.int32)
-    for i in range(len(q)):
-        walk = grid.walk(a[i], b[i], cells)
-        ranks[i, walk] = np.arange(len(walk))
+    """Fewest cells to visit so that vectors at the threshold cosine, made from a sample, are met from either side at ``recall``.
 
-    def run(batches):
-        for part in batches:
-            x = _matrix(part.column(1).to_pylist(), dim)
-            linked = (q @ x.T >= threshold) & (ids[:, None] != part.column(0).to_numpy()[None, :])
-            i, j = np.nonzero(linked)
-            rank, n = np.unique(ranks[i, grid.cells(x)[j]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int64)), pa.array(n.astype(np.int64))], names=["rank", "n"])
-
-    got = sorted(reps.select("id", "unit").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect())
-    total, met = sum(r["n"] for r in got), 0
-    for r in got:
-        met += r["n"]
-        if met >= recall * total:
-            return max(LEAST, r["rank"] + 1)
-    return LEAST
+    The made vectors count alike, so neither a sample without links nor one big group sets the walk.
+    """
+    sample = reps.orderBy(F.xxhash64("id", F.lit("query")), "id").select("id", "unit").limit(QUERIES).collect()
+    q = np.repeat(_matrix([bytes(r["unit"]) for r in sample], dim), COPIES, 0)
+    off = np.random.default_rng(7).normal(size=q.shape)
+    off -= (off * q).sum(1, keepdims=True) * q
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+    made = threshold * q + math.sqrt(max(0.0, 1 - threshold * threshold)) * off
+    occupied = np.flatnonzero(grid.occupied)
+    first, second = occupied // grid.width, occupied % grid.width
+
+    def ranks(x, y):
+        a, b = grid.distances(x)
+        cell = grid.cells(y)
+        return np.array([(a[i][first] + b[i][second] < a[i][c // grid.width] + b[i][c % grid.width]).sum() for i, c in enumerate(cell)])
+
+    rank = np.sort(np.minimum(ranks(q, made), ranks(made, q)))
+    return max(LEAST, int(rank[math.ceil(recall * len(rank)) - 1]) + 1)
 
 
 def _verify(pdf: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:

@@ -61,6 +61,20 @@ def test_vectors_match_brute_force(spark):
     assert embed_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_find_rare_links(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL", 4)  # a grid as large as that of many vectors
+    monkeypatch.setattr(embed_dedup, "QUERIES", 64)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(8000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(300, 32))
+    off -= (off * base[:300]).sum(1, keepdims=True) * base[:300]
+    near = .91 * base[:300] + np.sqrt(1 - .91 ** 2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_vectors(df).collect()}
+    assert sum(got[8000 + i] == got[i] for i in range(300)) >= 296
+
+
 # ------------------------------------------------------------------ 3
 def test_packing_covers_every_id_once(docs, rows):
     from tokenizers import Tokenizer
