@@ -7,7 +7,8 @@ Each language has several centroids, found by spherical k-means over a bounded
 sample of its documents (``sample_per_lang`` rows, the smallest hashes of
 doc_id).  A text gets the language of the centroid with the largest cosine.
 A text whose cosine lies below a floor for its language and length is
-rejected; floors are a fraction of a low quantile among the training sample.
+rejected; floors are a low quantile among the quarter of the sample that no
+centroid is fitted to, of the nearest lengths.
 
 Cases: a null text, or one without a letter, is ``und``, score 0, rejected;
 null or unlabelled rows are never learnt from but are predicted; with nothing
@@ -18,6 +19,7 @@ texts are read in slices of bounded size; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +37,8 @@ KEEP = np.full(256, 0x20, np.uint8)
 KEEP[0x61:0x7B] = np.arange(0x61, 0x7B)
 KEEP[0x80:] = np.arange(0x80, 0x100)
 CHUNK = 1 << 20
+#: Length classes, more than any text has.
+KINDS = 48
 
 
 def counts(text: str | None) -> np.ndarray | None:
@@ -128,7 +132,7 @@ def _frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["feature", "n"])
 
 
-def train(docs: DataFrame, clusters: int = 4, sample_per_lang: int = 1500, quantile: float = 0.005, slack: float = 0.5) -> Model:
+def train(docs: DataFrame, clusters: int = 4, sample_per_lang: int = 1500, quantile: float = 0.005) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that have a text and a language.
 
     To the driver come one row per feature (at most 8,193), and per language
@@ -152,21 +156,26 @@ def train(docs: DataFrame, clusters: int = 4, sample_per_lang: int = 1500, quant
            .where(F.col("rank") <= sample_per_lang).select("lang", "text"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [c for c in map(counts, pdf["text"]) if c is not None]
+        pairs = [(t, c) for t, c in zip(pdf["text"], map(counts, pdf["text"])) if c is not None]
+        texts, got = [t for t, _ in pairs], [c for _, c in pairs]
         if not got:
             return pd.DataFrame({"lang": [], "kind": [], "at": [], "value": []})
         rows = np.zeros((len(got), DIM), np.float32)
         for i, c in enumerate(got):
             at, v = weigh(c, idf)
             rows[i, at] = v
-        centre = cluster(rows, clusters)
-        best = (rows @ centre.T).max(1)
-        kinds = np.array([length_class(c) for c in got])
+        aside = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 4 == 0 for t in texts])
+        if aside.all() or not aside.any():  # too few texts to part
+            centre, aside = cluster(rows, clusters), np.ones(len(rows), bool)
+        else:
+            centre = cluster(rows[~aside], clusters)
+        best = (rows[aside] @ centre.T).max(1)
+        kinds = np.array([length_class(c) for c, a in zip(got, aside) if a])
         out = [("centroid", j, c.astype("<f4").tobytes()) for j, c in enumerate(centre)]
-        for k in range(int(kinds.max()) + 1):
-            near = best[np.abs(kinds - k) <= 1]
-            if len(near) >= 20:
-                out.append(("floor", k, np.array([slack * np.quantile(near, quantile)], "<f4").tobytes()))
+        for k in range(KINDS):
+            away = np.abs(kinds - k)
+            near = best[away <= max(1, np.sort(away)[:20][-1])]
+            out.append(("floor", k, np.array([np.quantile(near, quantile)], "<f4").tobytes()))
         return pd.DataFrame([(pdf["lang"].iloc[0], *x) for x in out], columns=["lang", "kind", "at", "value"])
 
     got = few.groupBy("lang").applyInPandas(fit, "lang string, kind string, at long, value binary").collect()

@@ -123,6 +123,21 @@ def test_language_held_out_accuracy(spark, docs):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_language_rejects_gibberish_and_foreign(spark, docs):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(big.where(~out))
+    rng = np.random.default_rng(3)
+    letters = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(n)) for n in (300, 300, 300, 300, 1000, 1000, 5000, 100_000)]
+    italian = ("Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. "
+               "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti e devono agire gli uni verso gli altri in spirito di fratellanza. ")
+    coded = base64.b64encode(rng.bytes(4000)).decode()
+    planted = [*letters, italian, italian * 10, coded]
+    assert [model.predict(t)[2] for t in planted] == [False] * len(planted)
+    kept = [r["accepted"] for r in langid.predict(big.where(out), model).collect()]
+    assert np.mean(kept) >= 0.9
+
+
 # ------------------------------------------------------------------ 5
 def test_archive_round_trip(spark):
     pages = [(3, "http://c/\r\nX-Page: 9", "same"), (1, "http://a", "same"), (2, "http://b", None), (4, None, ""), (5, "u", "é<b>"), (6, "u", "tiny"), (7, "u", "tiny"), (None, "n", "same")]
