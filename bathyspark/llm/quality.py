@@ -34,6 +34,8 @@ from .common import mix, staged
 
 ORDER, SHARD, MIN_BYTES = 5, 4_000_000, 32
 SLICE = 1 << 22
+#: Positions of a window in which repeated n-grams are counted.
+WINDOW = 256
 
 
 def codes(data: np.ndarray, n: int) -> np.ndarray:
@@ -49,6 +51,13 @@ def _padded(text: str) -> np.ndarray:
     return np.concatenate([np.zeros(ORDER - 1, np.uint8), np.frombuffer(text.encode("utf-8", "replace"), np.uint8)])
 
 
+def fresh_share(text: str) -> float:
+    """Mean share of distinct n-grams in the windows of ``WINDOW`` bytes: low where words repeat, whatever the length."""
+    code = codes(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), ORDER)
+    parts = np.array_split(code, math.ceil(len(code) / WINDOW))
+    return float(np.mean([len(np.unique(p)) / len(p) for p in parts]))
+
+
 def _count(batches):
     held: dict[str, list] = {}
     sizes: dict[str, int] = {}
@@ -185,7 +194,7 @@ class Shard:
 
 
 def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, perplexity (null where it can't be judged) of ``docs`` (doc_id, text, lang)."""
+    """doc_id, text_hash, lang, perplexity and share of distinct n-grams (null where they can't be judged) of ``docs`` (doc_id, text, lang)."""
     spark, placed = docs.sparkSession, model.withColumn("two", _shard_of())
     size = placed.agg(F.count(F.lit(1)), F.count("two")).first()
     shards = max(1, math.ceil(size[1] / max(1, SHARD - (size[0] - size[1]))))
@@ -204,17 +213,19 @@ def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
             for b in batches:
                 got = [shard.score(lang, text.as_py()) if text.is_valid and lang in shard.langs and len(text.as_py().encode("utf-8", "replace")) >= MIN_BYTES else (0.0, 0)
                        for lang, text in zip(b.column(1).to_pylist(), b.column(2))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())],
-                                                 names=["doc_id", "text_hash", "lang", "total", "number"])
+                # one pass is enough for what needs no model
+                fresh = [fresh_share(text.as_py()) if shard.number == 0 and text.is_valid and len(text.as_py().encode("utf-8", "replace")) >= MIN_BYTES else None for text in b.column(2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()),
+                                                  pa.array(fresh, pa.float64())], names=["doc_id", "text_hash", "lang", "total", "number", "fresh"])
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return keyed.mapInArrow(run, f"doc_id {kind}, text_hash long, lang string, total double, number long")
+        return keyed.mapInArrow(run, f"doc_id {kind}, text_hash long, lang string, total double, number long, fresh double")
 
     sums = None
     for number in range(shards):
         part = staged(one_pass(of_shard(number)), "quality-scores")
         sums = part if sums is None else sums.unionByName(part)
-    both = sums.groupBy("doc_id", "text_hash", "lang").agg(F.sum("total").alias("total"), F.sum("number").alias("number"))
-    return both.select("doc_id", "text_hash", "lang", F.when(F.col("number") > 0, F.exp(-F.col("total") / F.col("number"))).alias("perplexity"))
+    both = sums.groupBy("doc_id", "text_hash", "lang").agg(F.sum("total").alias("total"), F.sum("number").alias("number"), F.max("fresh").alias("fresh"))
+    return both.select("doc_id", "text_hash", "lang", F.when(F.col("number") > 0, F.exp(-F.col("total") / F.col("number"))).alias("perplexity"), "fresh")
 
 
 def shard_number(two, shards: int):
@@ -227,7 +238,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     """doc_id, lang, perplexity, threshold, keep for ``docs`` (doc_id, text, lang) with ``labels`` (doc_id, quality, toxic).
 
     The threshold of a language is ``slack`` times the quantile of the trusted
-    documents that were not counted.
+    documents that were not counted.  A document whose windows hold less than half
+    the distinct n-grams of the least varied such documents (1 - ``quantile``) isn't kept either.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select(F.col("doc_id").alias("good_id"))
     named = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
@@ -237,6 +249,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     model = train(named.where("text is not null").join(counted, F.col("doc_id") == F.col("good_id"), "left_semi"))
     scores = staged(perplexity(docs, model), "quality-perplexity")
     limit = (scores.join(trusted.where(aside).select("doc_id").distinct(), "doc_id").where("perplexity is not null").groupBy("lang")
-             .agg((slack * F.percentile_approx("perplexity", quantile, 10_000)).alias("threshold")))
+             .agg((slack * F.percentile_approx("perplexity", quantile, 10_000)).alias("threshold"),
+                  (F.percentile_approx("fresh", 1 - quantile, 10_000) / 2).alias("least")))
     return (scores.join(F.broadcast(limit), "lang", "left")
-            .select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep")))
+            .select("doc_id", "lang", "perplexity", "threshold",
+                    F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("fresh") >= F.col("least")), F.lit(True)).alias("keep")))

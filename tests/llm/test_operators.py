@@ -286,6 +286,19 @@ def test_quality_keeps_trusted_and_drops_junk(spark):
     assert quality.classify(empty(docs), labels).count() == 0
 
 
+def test_quality_drops_each_kind_of_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    kinds = collections.defaultdict(list)
+    for r in got:
+        first = r["text"].split()[:5]
+        junk = "repeated" if len(set(first)) == 1 else "table" if " | " in r["text"] else "symbols"
+        kinds["good" if r["quality"] and not r["toxic"] else "toxic" if r["quality"] else junk].append(r["keep"])
+    share = {k: (len(v), round(float(np.mean(v)), 3)) for k, v in kinds.items()}
+    print(share)
+    assert share["good"][1] > 0.97 and share["table"][1] < 0.1 and share["symbols"][1] < 0.05 and share["repeated"][1] < 0.3
+
+
 # ------------------------------------------------------------------ 9
 def brute_jaccard(rows, k=5, least=0.8):
     sets = {}
