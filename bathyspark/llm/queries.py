@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, jaccard, langid, licenses, packing, pii, quality, substring, warc
+from . import decontam, embed_dedup, hard_negatives, jaccard, langid, licenses, lines, packing, pii, quality, spelling, substring, warc
 from .common import table
 from .oracle import ORACLE
 
@@ -63,7 +63,21 @@ def op10_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(pii.written("base_spans"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_line_dedup(spark, sf_dir):
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_embedding_dedup, op3_packing, op4_language_id, op5_warc, op6_substring_dedup,
-                                   op7_license_scan, op8_quality, op9_jaccard_join, op10_pii)}
+                                   op7_license_scan, op8_quality, op9_jaccard_join, op10_pii, op11_hard_negatives, op12_spelling, op13_line_dedup)}
 
 __all__ = ["ORACLE", "QUERIES"]
