@@ -266,8 +266,9 @@ def _near(pdf: pd.DataFrame) -> pd.DataFrame:
             order = np.lexsort((place[y - s], -count[y], words[x]))
             x, y = x[order], y[order]
             first = np.flatnonzero(np.append(True, words[x][1:] != words[x][:-1])) if len(x) else np.empty(0, np.int64)
-            out.append(pd.DataFrame({"word": words[x[first]], "n_near": np.diff(np.append(first, len(x))), "best_n": count[y[first]], "best": words[y[first]]}))
-    return pd.concat(out) if out else pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []}).astype({"n_near": "int64", "best_n": "int64"})
+            out.append((words[x[first]], np.diff(np.append(first, len(x))), count[y[first]], words[y[first]]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (object, np.int64, np.int64, object)]
+    return pd.DataFrame({name: pd.Series(c, dtype=c.dtype) for name, c in zip(("word", "n_near", "best_n", "best"), columns)})
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
