@@ -158,9 +158,11 @@ def search(tree, words: Words, reach: int):
 def _trees(vocab: DataFrame) -> dict[int, object]:
     """For each length up to LONG the upper levels of its tree; at most SAMPLE / LEAF cells in all."""
     size = F.length("word").alias("size")
-    counts = {r["size"]: r["count"] for r in vocab.where(F.length("word") <= LONG).groupBy(size).count().collect()}
+    short = vocab.where(F.length("word") <= LONG).select("word", size)
+    counts = {r["size"]: r["count"] for r in short.groupBy("size").count().collect()}
+    part = min(1.0, SAMPLE / max(1, sum(counts.values())))  # so that about SAMPLE words reach the driver
     sample: dict[int, list[str]] = {}
-    for r in vocab.where(F.length("word") <= LONG).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word", size).collect():
+    for r in short.where(F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < int(part * (1 << 32))).orderBy("word").collect():
         sample.setdefault(r["size"], []).append(r["word"])
     return {n: grow(Words(words), np.arange(len(words)), max(LEAF, CELL * len(words) // counts[n]), []) for n, words in sample.items()}
 
