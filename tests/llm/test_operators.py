@@ -353,6 +353,29 @@ def test_jaccard_block_pairs_return_only_new_links():
     assert len(jaccard._sketch_links(pdf.assign(blk_b=0, blk=0), 0.67)) == 5
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other, close = text.replace("word7 ", "another "), text + " more"
+    rows = [(1, text, 0), (1, text, 1), (1, text, 2), (2, text, 3), (None, text, 4), (None, text, 5), (None, close, 6), (3, other, 7), (1, "nothing like the text of the first rows at all", 8),
+            (None, "rows without an id are copies of each other", 9), (None, "Rows without an id are copies of each other", 10), (5, None, 11), (5, "", 12), (6, close + " " + text[::-1], 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({"uid": F.lit(1), "component_id": F.lit(2), "_order": F.lit("x")}).repartition(3)
+    kept = jaccard.drop_near_duplicates(df)
+    got = [r["n"] for r in kept.collect()]
+    assert kept.columns == df.columns and len(got) == 6
+    assert len({0, 1, 2} & set(got)) == 1 and {8, 11, 12, 13} < set(got) and len({9, 10} & set(got)) == 1
+    assert jaccard.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_jaccard_turns_skip_what_is_joined(spark):
+    """A large group of near copies is split by the first turn's runs only."""
+    rng, base = np.random.default_rng(4), [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != int(at) else f"n{i}" for k, w in enumerate(base))) for i, at in enumerate(rng.integers(0, 120, 400))]
+    feats = jaccard._features(spark.createDataFrame(rows, "doc_id long, text string"), 5, [range(3), range(3, 15)], .8)
+    alone, joined = (feats.withColumn("component", c) for c in (F.lit(None).cast("long"), F.lit(0).cast("long")))
+    assert jaccard._leaf_members(alone, "paths1").count() > 1000 and jaccard._leaf_members(joined, "paths1").count() == 0
+    assert {r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 # ------------------------------------------------------------------ 10
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
