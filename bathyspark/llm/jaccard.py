@@ -7,11 +7,11 @@ similar sets, as a part of the larger); the sampled shingle is the first step
 of a path, and sets that sampled the same one meet in a node.  Nodes with many
 sets are split again on further shingles, recursively; small nodes, and those
 of the last level, are compared by brute force in blocks on min-hash sketches.  Runs
-repeat until a pair at the threshold is met with the target probability.
+repeat until a pair at the threshold is met with the target probability.  Sets that share
+only a common passage have most of their first nodes small; a set with so many small
+ones that a similar set would share one of them isn't split further (see ``enough_for``).
 
-Runs go in turns: a node whose sets all lie in one component of the earlier
-turns' links is left alone, as it can join nothing new.  So a large group of near copies is split in the
-first turn only.  Sketch links only gather candidates: their components are then compared
+Sketch links only gather candidates: their components are then compared
 exactly, set against set, in blocks of bounded size, however large a component is.  Blocks
 return counts of links and the links that join trees, never all pairs.
 
@@ -37,8 +37,6 @@ from .common import Forest, WordHasher, block_pairs, components, fresh, gram_has
 
 #: Hashes in a sketch, of one byte each; pairs that agree in fewer than SKETCH_LEAST of 1 are no candidates.
 SKETCH, SKETCH_SLACK = 128, 0.13
-#: Runs of the first turns; the last turn has the rest.  Sets that a turn has joined aren't joined again in the next.
-TURNS = (3,)
 #: Levels of a path, sets in a node that is compared rather than split, members of a block.
 LEVELS, NODE, BLOCK = 3, 128, 512
 
@@ -55,6 +53,22 @@ def runs_for(recall: float, levels: int = 1) -> int:
     return math.ceil(math.log(1 - recall) / math.log(q))
 
 
+def enough_for(runs: int, least: float, loss: float = 2e-4) -> int:
+    """So many paths to small nodes that a similar pair shares one of them but for a probability of ``loss``.
+
+    On average a set shares ``1`` of its ``1 / least`` paths a run with a similar set.  If it shares
+    none that ends in a small node, all its paths to small nodes are among the
+    others, of which it has a Poisson number.
+    """
+    mean, n = runs * (1 / least - 1), 0
+    term = rest = math.exp(-mean)
+    while 1 - rest > loss:
+        n += 1
+        term *= mean / n
+        rest += term
+    return n + 1
+
+
 def shingles(text: str | None, hasher: WordHasher, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     if not text:
@@ -87,10 +101,10 @@ def _sampled(x: np.ndarray, fronts: np.ndarray, level: int, limit: np.uint64) ->
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def paths(x: np.ndarray, runs: range, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen paths of a set in these runs: node, the node above, level."""
+def paths(x: np.ndarray, runs: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen paths of a set: node, the node above, level."""
     limit = np.uint64(min(2**64 - 1, int(min(1.0, 1 / (least * len(x))) * 2**64)))
-    front = mix(np.arange(runs.start + 1, runs.stop + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    front = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     node, above, level = [], [], []
     for lev in range(1, LEVELS + 1):
         r, c = _sampled(x, front, lev, limit)
@@ -103,58 +117,56 @@ def paths(x: np.ndarray, runs: range, least: float) -> tuple[np.ndarray, np.ndar
     return np.concatenate(node).view(np.int64), np.concatenate(above).view(np.int64), np.concatenate(level)
 
 
-def _features(docs: DataFrame, k: int, turns: list[range], least: float) -> DataFrame:
-    """doc_id, two hashes of the shingle set, its size and sketch, and its paths by turn (``paths0``, ``paths1``, ...)."""
+def _features(docs: DataFrame, k: int, runs: int, least: float) -> DataFrame:
     long = T.LongType()
-    steps = T.ArrayType(T.StructType([T.StructField("node", long), T.StructField("above", long), T.StructField("level", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", long), T.StructField("h1", long), T.StructField("h2", long), T.StructField("size", T.IntegerType()),
-                           T.StructField("sketch", T.BinaryType()), *(T.StructField(f"paths{t}", steps) for t in range(len(turns)))])
+                           T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.ArrayType(T.StructType([
+                               T.StructField("node", long), T.StructField("above", long), T.StructField("level", T.IntegerType())])))])
     none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
 
-    def packed(found):
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([s[i] for s in found]) if found else none[i]) for i in range(3)], names=["node", "above", "level"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in found)]), pa.int32()), flat)
-
     def run(batches):
         hasher, factors = WordHasher(), _odd(3, SKETCH)
         for b in batches:
-            h1, h2, size, marks, found = [], [], [], [], [[] for _ in turns]
+            h1, h2, size, marks, steps = [], [], [], [], []
             for text in b.column(1):
                 x = shingles(text.as_py(), hasher, k)
                 h1.append(x.sum(dtype=np.uint64).view(np.int64))
                 h2.append(mix(x * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).view(np.int64))
                 size.append(len(x))
                 marks.append(sketch(x, factors) if len(x) else None)
-                for held, runs in zip(found, turns):
-                    held.append(paths(x, runs, least) if len(x) else none)
+                steps.append(paths(x, runs, least) if len(x) else none)
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([s[i] for s in steps]) if steps else none[i]) for i in range(3)],
+                                              names=["node", "above", "level"])
+            ends = pa.array(np.cumsum([0, *(len(s[0]) for s in steps)]), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int32()),
-                                              pa.array(marks, pa.binary()), *map(packed, found)], names=schema.names)
+                                              pa.array(marks, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=schema.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _leaf_members(reps: DataFrame, steps: str) -> DataFrame:
+def _leaf_members(reps: DataFrame, enough: int) -> DataFrame:
     """(node, id) of the nodes to compare: small ones under split nodes, and all of the last level.
 
-    ``component`` is what earlier turns know of a set (or null).  A node whose
-    members are all of one component can't join anything new, so it is neither
-    compared nor split.
+    A set with ``enough`` paths whose first node is small goes no deeper.
     """
-    leaves, heavy = None, None
+    leaves, split = None, None
     for level in range(1, LEVELS + 1):
-        rows = reps.select("doc_id", "component", F.explode(F.filter(steps, lambda p: p["level"] == level)).alias("p")).select(  # noqa: B023
-            F.col("doc_id").alias("id"), "component", "p.node", "p.above")
-        if heavy is not None:
-            rows = rows.join(heavy.withColumnRenamed("node", "above"), "above", "left_semi")
-        rows = rows.select("node", "id", "component").distinct()
-        sizes = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("component").alias("known"), F.min("component").alias("low"), F.max("component").alias("high"))
-                 .where("n > 1 and not (known = n and low = high)"))
+        steps = F.filter("paths", lambda p: p["level"] == level)  # noqa: B023
+        rows = reps.select("doc_id", F.size(steps).alias("steps"), F.explode(steps).alias("p")).select(F.col("doc_id").alias("id"), "steps", "p.node", "p.above")
+        if split is not None:
+            rows = rows.join(split.withColumnRenamed("node", "above"), ["id", "above"], "left_semi")
+        rows = rows.select("node", "id", "steps").distinct()
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         small = sizes if level == LEVELS else sizes.where(F.col("n") <= NODE)
         part = rows.join(small.select("node"), "node", "left_semi").select("node", "id")
         leaves = part if leaves is None else leaves.unionByName(part)
-        if level < LEVELS:
-            heavy = staged(sizes.where(F.col("n") > NODE).select("node"), f"jaccard-heavy{level}")
-    return leaves
+        if level == LEVELS:
+            return leaves
+        split = staged(rows.join(sizes.where(F.col("n") > NODE).select("node"), "node", "left_semi"), f"jaccard-large{level}")
+        if level == 1:
+            deeper = split.groupBy("id").agg((F.first("steps") - F.count(F.lit(1))).alias("light")).where(F.col("light") < enough).select("id")
+            split = split.join(deeper, "id", "left_semi")
+        split = split.select("id", "node")
 
 
 def _sketch_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -247,29 +259,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     document.  ``recall`` is the share of pairs exactly at the threshold that the runs
     must meet in nodes of the last level, with all above split; fewer splits lose fewer.
     """
-    runs, ends = runs_for(recall, LEVELS), [0]
-    for turn in TURNS:
-        ends.append(min(runs, ends[-1] + turn))
-    turns = [range(a, b) for a, b in zip(ends, [*ends[1:], runs]) if a < b]
-    feats = staged(_features(docs, k, turns, threshold), "jaccard-features")
+    runs = runs_for(recall, LEVELS)
+    feats = staged(_features(docs, k, runs, threshold), "jaccard-features")
     groups = (feats.where("size > 0").groupBy("h1", "h2", "size")
               .agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("copies"), F.count(F.lit(1)).alias("n_rows")))
     member = staged(feats.where("size > 0").select("doc_id", "h1", "h2", "size").join(groups, ["h1", "h2", "size"])
                     .select("doc_id", "h1", "node", F.when(F.col("node").isNull(), F.col("n_rows")).otherwise(F.col("copies")).alias("copies")), "jaccard-members")
     chosen = member.where("doc_id = node").select("doc_id", "h1", "copies").distinct()
     reps = feats.join(chosen.select("doc_id", "h1"), ["doc_id", "h1"], "left_semi")
-    close = None
-    for t in range(len(turns)):
-        known = reps.select("doc_id", f"paths{t}")
-        known = (known.withColumn("component", F.lit(None).cast("long")) if close is None else
-                 known.join(close.withColumnRenamed("id", "doc_id"), "doc_id", "left"))
-        leaves = staged(_leaf_members(known, f"paths{t}"), "jaccard-leaves")
-        marked = leaves.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
-        near = grouped_map(block_pairs(marked, ["node"], "id", BLOCK).select("node", "blk_a", "blk_b", "blk", "id", "sketch"), ["node", "blk_a", "blk_b"],
-                           lambda pdf: _sketch_links(pdf, threshold - SKETCH_SLACK), "u long, v long")
-        if close is not None:
-            near = near.unionByName(close.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        close = components(near, "jaccard-candidates")
+    leaves = staged(_leaf_members(reps, enough_for(runs, threshold)), "jaccard-leaves")
+    marked = leaves.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    least = threshold - SKETCH_SLACK
+    near = grouped_map(block_pairs(marked, ["node"], "id", BLOCK).select("node", "blk_a", "blk_b", "blk", "id", "sketch"), ["node", "blk_a", "blk_b"],
+                       lambda pdf: _sketch_links(pdf, least), "u long, v long")
+    close = components(near, "jaccard-candidates")
 
     def sets(batches):
         hasher = WordHasher()

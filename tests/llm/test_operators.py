@@ -366,14 +366,20 @@ def test_one_row_of_each_class_stays(spark):
     assert jaccard.drop_near_duplicates(df.where("false")).count() == 0
 
 
-def test_jaccard_turns_skip_what_is_joined(spark):
-    """A large group of near copies is split by the first turn's runs only."""
-    rng, base = np.random.default_rng(4), [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join(w if k != int(at) else f"n{i}" for k, w in enumerate(base))) for i, at in enumerate(rng.integers(0, 120, 400))]
-    feats = jaccard._features(spark.createDataFrame(rows, "doc_id long, text string"), 5, [range(3), range(3, 15)], .8)
-    alone, joined = (feats.withColumn("component", c) for c in (F.lit(None).cast("long"), F.lit(0).cast("long")))
-    assert jaccard._leaf_members(alone, "paths1").count() > 1000 and jaccard._leaf_members(joined, "paths1").count() == 0
-    assert {r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+def test_jaccard_sets_with_a_common_passage_are_not_split(spark):
+    passage = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"w{i}x{k}" for k in range(160)])) for i in range(400)]
+    close = [(i, " ".join(passage + [f"n{k}" for k in range(60) if k != i % 60] + [f"m{i}"])) for i in range(400, 800)]
+    df = spark.createDataFrame(rows + close, "doc_id long, text string")
+    feats = jaccard._features(df, 5, 15, .8)
+    deep = jaccard._leaf_members(feats, jaccard.enough_for(15, .8)).join(feats.select("doc_id", F.explode("paths").alias("p")).where("p.level > 1").select(
+        F.col("doc_id").alias("id"), "p.node").distinct(), ["id", "node"])
+    split = {r["id"] for r in deep.select("id").collect()}
+    assert sum(i < 400 for i in split) < 200 and sum(i >= 400 for i in split) > 300
+    got = jaccard.near_duplicates(df).collect()
+    want = brute_jaccard(rows + close)
+    assert all((r["component_id"], r["n_links"]) == want[r["doc_id"]] for r in got)
+    assert jaccard.enough_for(15, .8) == 13
 
 
 # ------------------------------------------------------------------ 10
