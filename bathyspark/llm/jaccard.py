@@ -155,7 +155,7 @@ def _leaf_members(reps: DataFrame, enough: int) -> DataFrame:
         rows = reps.select("doc_id", F.size(steps).alias("steps"), F.explode(steps).alias("p")).select(F.col("doc_id").alias("id"), "steps", "p.node", "p.above")
         if split is not None:
             rows = rows.join(split.withColumnRenamed("node", "above"), ["id", "above"], "left_semi")
-        rows = rows.select("node", "id", "steps").distinct()
+        rows = staged(rows.select("node", "id", "steps").distinct(), f"jaccard-paths{level}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         small = sizes if level == LEVELS else sizes.where(F.col("n") <= NODE)
         part = rows.join(small.select("node"), "node", "left_semi").select("node", "id")
