@@ -151,22 +151,21 @@ def _leaf_members(reps: DataFrame, enough: int) -> DataFrame:
     """
     leaves, split = None, None
     for level in range(1, LEVELS + 1):
-        steps = F.filter("paths", lambda p: p["level"] == level)  # noqa: B023
-        rows = reps.select("doc_id", F.size(steps).alias("steps"), F.explode(steps).alias("p")).select(F.col("doc_id").alias("id"), "steps", "p.node", "p.above")
-        if split is not None:
-            rows = rows.join(split.withColumnRenamed("node", "above"), ["id", "above"], "left_semi")
-        rows = staged(rows.select("node", "id", "steps").distinct(), f"jaccard-paths{level}")
+        if split is None:
+            steps = reps.select("doc_id", F.filter("paths", lambda p: p["level"] == 1).alias("steps"))
+        else:
+            steps = reps.join(split.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.filter(
+                "paths", lambda p: (p["level"] == level) & F.array_contains("nodes", p["above"])).alias("steps"))  # noqa: B023
+        rows = staged(steps.select(F.col("doc_id").alias("id"), F.size("steps").alias("n_steps"), F.explode("steps.node").alias("node")).distinct(), f"jaccard-paths{level}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         small = sizes if level == LEVELS else sizes.where(F.col("n") <= NODE)
         part = rows.join(small.select("node"), "node", "left_semi").select("node", "id")
         leaves = part if leaves is None else leaves.unionByName(part)
-        if level == LEVELS:
-            return leaves
-        split = staged(rows.join(sizes.where(F.col("n") > NODE).select("node"), "node", "left_semi"), f"jaccard-large{level}")
-        if level == 1:
-            deeper = split.groupBy("id").agg((F.first("steps") - F.count(F.lit(1))).alias("light")).where(F.col("light") < enough).select("id")
-            split = split.join(deeper, "id", "left_semi")
-        split = split.select("id", "node")
+        if level < LEVELS:  # a set's paths are few, so are its nodes
+            large = rows.join(sizes.where(F.col("n") > NODE).select("node"), "node", "left_semi").groupBy("id").agg(
+                F.collect_set("node").alias("nodes"), (F.first("n_steps") - F.count(F.lit(1))).alias("light"))
+            split = staged(large if level > 1 else large.where(F.col("light") < enough), f"jaccard-large{level}").select("id", "nodes")
+    return leaves
 
 
 def _sketch_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
