@@ -77,12 +77,16 @@ def _masks(short: list[int]) -> list[tuple[int, str]]:
 
 
 class BitFilter:
-    """Bit table of hashes, OR-ed together by Spark, of at most 32 MB; at most 4 million words reach the driver."""
+    """Bit table of hashes, of at most 32 MB."""
 
-    def __init__(self, hashes: DataFrame, count: int, probes: int):
-        self.bits = bits = max(10, min(MAX_FILTER_BITS, BITS_PER_SEED * max(1, count)).bit_length() - 1)
-        self.probes = probes
-        place = self.place
+    def __init__(self, bits: int, probes: int, table: np.ndarray):
+        self.bits, self.probes, self.table = bits, probes, table
+
+    @classmethod
+    def of(cls, hashes: DataFrame, count: int, probes: int) -> BitFilter:
+        """The filter of a column of hashes, OR-ed together by Spark; at most 4 million words reach the driver."""
+        out = cls(max(10, min(MAX_FILTER_BITS, BITS_PER_SEED * max(1, count)).bit_length() - 1), probes, np.empty(0, np.uint64))
+        place = out.place
 
         def words(batches):
             for b in batches:
@@ -92,9 +96,14 @@ class BitFilter:
                                                   pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
 
         rows = hashes.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
-        self.table = np.zeros(1 << (bits - 6), np.uint64)
+        out.table = np.zeros(1 << (out.bits - 6), np.uint64)
         for r in rows:
-            self.table[r["word"]] = np.uint64(r["mask"] & (2**64 - 1))
+            out.table[r["word"]] = np.uint64(r["mask"] & (2**64 - 1))
+        return out
+
+    def plain(self) -> tuple:
+        """The arguments that make it: a broadcast of them needs no class on the workers."""
+        return self.bits, self.probes, self.table
 
     def place(self, h: np.ndarray, k: int) -> np.ndarray:
         return (h * np.uint64(2 * k + 1) + (h >> np.uint64(29)) * np.uint64(k)) >> np.uint64(64 - self.bits)
@@ -149,7 +158,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
 
     seeds = staged(items.select("item_key", "words").mapInArrow(item_seeds, "h long, item_key long, at int"), "decontam-seeds")
     n_seeds, n_items = seeds.count(), items.count()
-    seed_filter = BitFilter(seeds.select("h"), n_seeds, PROBES)
+    seed_filter = BitFilter.of(seeds.select("h"), n_seeds, PROBES)
 
     def item_words(batches):
         for b in batches:
@@ -157,10 +166,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(words, np.uint64)).view(np.int64))], names=["h"])
 
     vocabulary = items.select("words").mapInArrow(item_words, "h long").distinct()
-    sent = docs.sparkSession.sparkContext.broadcast((seed_filter, BitFilter(vocabulary, vocabulary.count(), 1)))
+    sent = docs.sparkSession.sparkContext.broadcast((seed_filter.plain(), BitFilter.of(vocabulary, vocabulary.count(), 1).plain()))
 
     def regions(batches):
-        hasher, (seed_filter, word_filter) = WordHasher(space=NOT_WORD), sent.value
+        hasher, (seed_filter, word_filter) = WordHasher(space=NOT_WORD), (BitFilter(*x) for x in sent.value)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             out = []

@@ -9,9 +9,11 @@ cosine to them at the target recall.  Members of a visited cell are then verifie
 cosine in double precision, in blocks of bounded size however full a cell is;
 blocks return counts of links and the links that join trees, never all pairs.
 
-Equal vectors are one member with a count.  Cases: null, zero, wrong-length
-(other than the most frequent length), and non-finite vectors and such with
-null components link with nothing; rows without vec_id link only with equal
+Vectors of another length than the most frequent one are placed in the same
+grid, cut or filled up with zeros; only vectors of one length are compared.
+
+Equal vectors are one member with a count.  Cases: null, empty, zero, and
+non-finite vectors and such with null components link with nothing; rows without vec_id link only with equal
 ones among themselves; equal rows are one vector; rows of one vec_id with
 different vectors are one vector, of one class; an empty table gives no row;
 other columns (labels) are not read.
@@ -40,14 +42,14 @@ CELL, CODEBOOK = 48, 1024
 BLOCK, LEAST = 1024, 8
 
 
-def _units(df: DataFrame, dim: int) -> DataFrame:
+def _units(df: DataFrame) -> DataFrame:
     """vec_id, unit (doubles as bytes; null where the vector links with nothing)."""
     def run(batches):
         for b in batches:
             out = []
             for v in b.column(1).to_pylist():
                 u = None
-                if v is not None and len(v) == dim and None not in v:
+                if v and None not in v:
                     x = np.array(v, np.float64)
                     top = np.abs(x).max() if np.isfinite(x).all() else 0.0
                     if top > 0:
@@ -104,7 +106,20 @@ class Grid:
 
 
 def _matrix(units, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(units), np.float64).reshape(-1, dim)
+    """Rows of ``dim`` numbers; vectors of another length are cut or filled up with zeros, which is enough to place them in the grid."""
+    wide = [u if len(u) == 8 * dim else u[:8 * dim].ljust(8 * dim, b"\0") for u in units]
+    return np.frombuffer(b"".join(wide), np.float64).reshape(-1, dim)
+
+
+def _links(left: list[bytes], right: list[bytes], threshold: float) -> np.ndarray:
+    """Which pairs of unit vectors of one length have at least that cosine."""
+    out = np.zeros((len(left), len(right)), bool)
+    sizes = [np.array([len(u) for u in side]) for side in (left, right)]
+    for size in np.intersect1d(*sizes):
+        i, j = (np.flatnonzero(s == size) for s in sizes)
+        x, y = (np.frombuffer(b"".join([side[k] for k in at]), np.float64).reshape(len(at), -1) for side, at in ((left, i), (right, j)))
+        out[np.ix_(i, j)] = x @ y.T >= threshold
+    return out
 
 
 def _calibrate(reps: DataFrame, grid: Grid, dim: int, threshold: float, recall: float) -> int:
@@ -130,7 +145,7 @@ def _calibrate(reps: DataFrame, grid: Grid, dim: int, threshold: float, recall:
     return max(LEAST, int(rank[math.ceil(recall * len(rank)) - 1]) + 1)
 
 
-def _verify(pdf: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
+def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     keys = ["cell", "blk_m", "blk_q"]
     pdf = pdf.drop_duplicates([*keys, "id", "member"]).reset_index(drop=True)
     bounds, out = group_bounds(pdf, keys), []
@@ -139,7 +154,7 @@ def _verify(pdf: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
         m, q = s + np.flatnonzero(member[s:e]), s + np.flatnonzero(~member[s:e])
         if not len(m) or not len(q):
             continue
-        linked = (_matrix(pdf["unit"].iloc[q], dim) @ _matrix(pdf["unit"].iloc[m], dim).T >= threshold) & (ids[q][:, None] != ids[m][None, :])
+        linked = _links(pdf["unit"].iloc[q].tolist(), pdf["unit"].iloc[m].tolist(), threshold) & (ids[q][:, None] != ids[m][None, :])
         if not linked.any():
             continue
         count_q = (linked * copies[m][None, :]).sum(1)
@@ -161,9 +176,10 @@ def _verify(pdf: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.995) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    top = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = top["n"] if top and top["n"] else 0
-    units = staged(_units(vectors, dim).withColumn("h1", F.xxhash64("unit")).withColumn("h2", F.xxhash64(F.lit(1), "unit")), "vectors-units")
+    # the grid is made for the most frequent length
+    top = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    dim = top["n"] if top and top["n"] else 1
+    units = staged(_units(vectors).withColumn("h1", F.xxhash64("unit")).withColumn("h2", F.xxhash64(F.lit(1), "unit")), "vectors-units")
     alone = units.where("unit is null").select("vec_id", F.col("vec_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     groups = (units.where("unit is not null").groupBy("h1", "h2")
               .agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("copies"), F.count(F.lit(1)).alias("n_rows")))
@@ -209,7 +225,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
             .unionByName(placed.withColumn("cell", F.col("own")).withColumn("member", F.lit(True)).join(sizes, "cell")
                          .withColumn("blk_m", number("b_m")).withColumn("blk_q", every("b_q"))))
     links = staged(grouped_map(rows.select("cell", "blk_m", "blk_q", "id", "copies", "member", "own", "visits", "unit"), ["cell", "blk_m", "blk_q"],
-                               lambda pdf: _verify(pdf, dim, threshold), "id long, other long, links long"), "vectors-links")
+                               lambda pdf: _verify(pdf, threshold), "id long, other long, links long"), "vectors-links")
     classes = components(links.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), "vectors-classes")
     counts = links.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     per_node = classes.join(counts, "id", "left").select(F.col("id").alias("node"), "component", F.coalesce("links", F.lit(0)).alias("links"))

@@ -189,13 +189,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """``keep`` columns (doc_id) of all rows, with lang_pred, score and accepted."""
     keep = keep or ["doc_id"]
     names = [*keep, "text"] if "text" not in keep else keep
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.langs, model.floors))  # plain data: workers need not have this package
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     place, n_keep = names.index("text"), len(keep)
 
     def run(batches):
-        m = sent.value
+        m = Model(*sent.value)
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(place)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_keep)], pa.array([g[0] for g in got], pa.string()),

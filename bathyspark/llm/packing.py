@@ -56,10 +56,15 @@ class WordTokenizer:
     without two neighbouring white-space characters is the concatenation of
     its space-separated words, each with its leading space.  Other texts are
     tokenised whole.  ``path`` is a vocabulary for ``tokenizers``; ``ranks``,
-    where given, is the same vocabulary for ``tiktoken``, which is faster.
+    where given, is the same vocabulary for ``tiktoken``, which is faster.  Texts
+    that hold one of the vocabulary's added tokens go to ``tokenizers`` as they are.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+        from tokenizers import Tokenizer
+        named = Tokenizer.from_file(path)
+        self.added = [t.content for t in named.get_added_tokens_decoder().values()]
+        self.named = lambda text: named.encode(text, add_special_tokens=False).ids
         if ranks:
             import tiktoken
             table = {base64.b64decode(t): int(i) for t, i in map(bytes.split, open(ranks, "rb"))}
@@ -70,11 +75,7 @@ class WordTokenizer:
                 size[i] = len(t)
             self.size = size
         else:
-            from tokenizers import Tokenizer
-            coder = Tokenizer.from_file(path)
-            coder.encode_special_tokens = True
-            self.whole = lambda text: coder.encode(text, add_special_tokens=False).ids
-            self.size = None
+            self.whole, self.size = self.named, None
         self.clear()
 
     def clear(self) -> None:
@@ -100,7 +101,8 @@ class WordTokenizer:
         self.first = np.concatenate([self.first, used + np.cumsum(lengths)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if re.search(r"\s\s", x) else x.split(" ") for x in texts]
+        added = [any(t in x for t in self.added) for x in texts]
+        split = [None if a or re.search(r"\s\s", x) else x.split(" ") for a, x in zip(added, texts)]
         if len(self.known) > WORDS:
             self.clear()
         # words with white space at their ends meet only single spaces here, but could meet others when joined
@@ -110,7 +112,10 @@ class WordTokenizer:
             self._learn(plain)
         odd = set(new).difference(plain)
         out = []
-        for text, words in zip(texts, split):
+        for text, words, named in zip(texts, split, added):
+            if named:
+                out.append(np.array(self.named(text), np.uint32))
+                continue
             if words is None or (odd and not odd.isdisjoint(words)):
                 out.append(np.array(self.whole(text), np.uint32))
                 continue

@@ -151,16 +151,20 @@ def _pack(batches):
 class Shard:
     """Sorted tables of one shard and the score of a text's positions."""
 
-    def __init__(self, packed: list, number: int, shards: int):
-        self.number, self.shards, self.tables = number, shards, {}
+    def __init__(self, tables: dict, number: int, shards: int):
+        self.number, self.shards, self.tables = number, shards, tables
+        self.langs = {lang for lang, _ in tables}
+
+    @staticmethod
+    def sorted_tables(packed: list) -> dict:
         held: dict[tuple, list] = {}
         for lang, n, code, value in packed:
             held.setdefault((lang, n), []).append((np.frombuffer(code, np.int64), np.frombuffer(value, np.float64)))
         for key in list(held):
             code, value = (np.concatenate(x) for x in zip(*held.pop(key)))
             order = np.argsort(code)
-            self.tables[key] = code[order], value[order]
-        self.langs = {lang for lang, _ in self.tables}
+            held[key] = code[order], value[order]
+        return held
 
     def look(self, lang: str, n: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where absent) and whether they are there."""
@@ -205,11 +209,12 @@ def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
         if shards > 1:
             mine = placed.where(F.col("two").isNull() | (shard_number(F.col("two"), shards) == number))
         packed = mine.select("lang", F.col("n").cast("int").alias("n"), "code", "value").mapInArrow(_pack, "lang string, n int, code binary, value binary")
-        return spark.sparkContext.broadcast(Shard([tuple(r) for r in packed.toLocalIterator()], number, shards))
+        # plain data: workers need not have this package
+        return spark.sparkContext.broadcast((Shard.sorted_tables([tuple(r) for r in packed.toLocalIterator()]), number, shards))
 
     def one_pass(sent):
         def run(batches):
-            shard = sent.value
+            shard = Shard(*sent.value)
             for b in batches:
                 got = [shard.score(lang, text.as_py()) if text.is_valid and lang in shard.langs and len(text.as_py().encode("utf-8", "replace")) >= MIN_BYTES else (0.0, 0)
                        for lang, text in zip(b.column(1).to_pylist(), b.column(2))]

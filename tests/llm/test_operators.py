@@ -61,6 +61,22 @@ def test_vectors_match_brute_force(spark):
     assert embed_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    rng, rows, link = np.random.default_rng(3), [], collections.defaultdict(set)
+    for length, n in ((16, 80), (3, 30), (40, 30), (1, 4)):
+        base = rng.normal(size=(n, length))
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:n // 2] + rng.normal(scale=.05, size=(n // 2, length))]))]
+    rows += [(900, []), (901, [2.0, 0.0, 0.0]), (902, [1.0, 0.0, 0.0]), (903, [1.0, 0.0, 0.0, 0.0])]
+    for i, u in rows:
+        for j, v in rows:
+            if i != j and len(u) == len(v) > 0 and np.dot(u, v) >= .9 * np.linalg.norm(u) * np.linalg.norm(v):
+                link[i].add(j)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embed_dedup.near_vectors(df).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(link[i]) for i, _ in rows}
+    assert got[902]["component_id"] == got[901]["component_id"] and got[903]["kept"] and got[900]["kept"]
+
+
 def test_vectors_find_rare_links(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "CELL", 4)  # a grid as large as that of many vectors
     monkeypatch.setattr(embed_dedup, "QUERIES", 64)
@@ -76,9 +92,13 @@ def test_vectors_find_rare_links(spark, monkeypatch):
 
 
 # ------------------------------------------------------------------ 3
-def test_packing_covers_every_id_once(docs, rows):
+def test_packing_covers_every_id_once(spark, docs, rows):
     from tokenizers import Tokenizer
     coder = Tokenizer.from_file(queries.tokenizer()["tokenizer_path"])
+    odd = ["abc <|endoftext|> def", "<|endoftext|>", "x  <|endoftext|><|endoftext|>y <|endoftext", "plain words"]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(96000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    rows = rows + [(96000 + i, t) for i, t in enumerate(odd)]
+    assert coder.encode(odd[0], add_special_tokens=False).ids == [39305, 220, 50256, 825]
     got = packing.pieces_digest(packing.pack(docs, **queries.tokenizer())).collect()
     ids = collections.defaultdict(list)
     for doc, text in rows:
