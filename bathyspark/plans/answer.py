@@ -5,10 +5,9 @@ back as one row and become literal predicates, so the time bound reaches the
 Parquet scan and the lat/lon bounds are evaluated before the join.
 
 Many questions (Q10): questions are reduced to distinct bound signatures;
-signatures meet pre-aggregated levels in equi-joins on month, latitude cell or
-region (broadcast up to a checked size, shuffled beyond it), aggregated
-per signature with map-side partial aggregation, and joined back to the
-questions on the signature key.  No question text is turned into SQL text.
+signatures meet pre-aggregated levels in equi-joins, on (region, calendar
+node) or on a 1-degree cell, aggregated per signature with map-side partial
+aggregation, and joined back to the questions on the signature key.  No question text is turned into SQL text.
 """
 
 from __future__ import annotations
@@ -118,7 +117,6 @@ def question_rows(profiles: DataFrame, question: str, current_year: int,
 
 
 # ----------------------------------------------------------------- many questions
-DEFAULT_MAX_BROADCAST_SIGNATURES = 20_000
 STAT_PARAMS = QUESTION_PARAMETERS
 
 
@@ -192,76 +190,123 @@ def _group_condition(b: str, wrap: bool) -> Column:
             & (c("ts_lo").isNull() | F.col("timestamp").between(c("ts_lo"), c("ts_hi"))))
 
 
-LAT_CELL_DEG = 1.0
+CELL_DEG = 1.0
 
 
 REGION_BOXES = [tuple(map(float, b)) for b in REGION_BOUNDS.values()]
+ANYWHERE = -1
 
 
-def _region_box() -> Column:
-    """Number of the named region whose box a signature has, null for any other box."""
-    out = F.lit(None).cast("int")
+def _box_of() -> Column:
+    """What box a signature has: the number of a named region, ANYWHERE without bounds, null for any other box."""
+    out = F.when(F.col("lat_lo").isNull(), F.lit(ANYWHERE))
     for i, bounds in enumerate(REGION_BOXES):
         same = [F.col(c) == F.lit(v) for c, v in zip(BOUND_FIELDS, bounds)]
-        out = F.when(reduce(lambda x, y: x & y, same), F.lit(i)).otherwise(out)
+        out = out.when(reduce(lambda x, y: x & y, same), F.lit(i))
     return out
 
 
-def _lat_cell(lat: Column) -> Column:
-    """Cell of a latitude; values far outside the globe share the outermost cells, so no cast overflows."""
-    return F.floor(F.greatest(F.lit(-200.0), F.least(F.lit(200.0), lat)) / LAT_CELL_DEG).cast("int")
-
-
-def _bucketed(sigs: DataFrame) -> DataFrame:
-    """Timed signatures by month; untimed narrow boxes by 1-degree latitude cell."""
-    timed = F.col("ts_lo").isNotNull()
-    by_time = (sigs.where(timed & (F.col("ts_lo") <= F.col("ts_hi")))
-               .withColumn("b_kind", F.lit(0))
-               .withColumn("b_bucket", F.explode(F.sequence(_month_key(F.col("ts_lo")), _month_key(F.col("ts_hi"))))))
-    by_lat = (sigs.where(~timed & F.col("lat_lo").isNotNull() & (F.col("lat_lo") <= F.col("lat_hi")))
-              .withColumn("b_kind", F.lit(1))
-              .withColumn("b_bucket", F.explode(F.sequence(
-                  _lat_cell(F.col("lat_lo")), _lat_cell(F.col("lat_hi"))))))
-    return by_time.unionByName(by_lat)
-
-
-def _match(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str], broadcast: bool) -> DataFrame:
-    """Partial statistics of the groups matched to each signature.
-
-    * timed signatures, and untimed ones with a narrow box: each group
-      probes its month and its latitude cell in an equi-join, so it meets only
-      the signatures of that month or cell (with ``broadcast`` without a
-      shuffle of the groups; else a busy month is split by adaptive execution);
-    * untimed signatures with the box of a named region or no box: groups
-      are first rolled up to (flags, region box), with box -1 for "anywhere",
-      a table of at most 2^8 rows a box, and the signatures meet that on their
-      box's number.
-    Every (group, signature) pair is counted once.
+def _cell(value: Column) -> Column:
+    """Cell of a latitude or longitude; values far outside the globe share the outermost cells, so no cast overflows."""
+    return F.floor(F.greatest(F.lit(-400.0), F.least(F.lit(400.0), value)) / CELL_DEG).cast("int")
+
+
+# ----------------------------------------------------------------- calendar nodes
+ALL_TIME, YEAR, MONTH, DAY, MIDNIGHT = range(5)
+
+
+def _node(kind: int, number: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"))
+
+
+def _is_midnight(ts: Column) -> Column:
+    return ts == F.date_trunc("day", ts).cast("timestamp_ntz")
+
+
+def calendar_nodes(daily: DataFrame, value_params: list[str]) -> DataFrame:
+    """Partial statistics per (flags, box, node) from those per (flags, box, day, midnight).
+
+    Nodes are all time, a year, a month, a day, and the midnight that begins a
+    day (ranges end at the midnight of their last day).  A day adds to five at most.
     """
-    untimed = F.col("ts_lo").isNull()
-    box = _region_box()
-    fine_sigs = sigs.where(~untimed | (F.col("lat_lo").isNotNull() & box.isNull()))
-    coarse_sigs = (sigs.where(untimed & (F.col("lat_lo").isNull() | box.isNotNull()))
-                   .withColumn("b_box", F.when(F.col("lat_lo").isNull(), F.lit(-1)).otherwise(box)))
-    hint = F.broadcast if broadcast else (lambda df: df)
-
-    probes = groups.withColumn("probe", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), _month_key(F.col("timestamp")).alias("bucket")),
-        F.struct(F.lit(1).alias("kind"), _lat_cell(F.col("latitude")).alias("bucket")))))
-    fine = probes.join(hint(_bucketed(fine_sigs)).alias("b"),
-                       (F.col("probe.kind") == F.col("b.b_kind")) & (F.col("probe.bucket") == F.col("b.b_bucket"))
-                       & _group_condition("b", wrap))
-
-    lat, lon = F.col("latitude"), F.col("longitude")
+    day = F.col("day")
+    nodes = F.array_compact(F.array(
+        _node(ALL_TIME, F.lit(0)), F.when(day.isNotNull(), _node(YEAR, F.year(day))), F.when(day.isNotNull(), _node(MONTH, _month_key(day))),
+        F.when(day.isNotNull(), _node(DAY, F.unix_date(day))), F.when(F.col("midnight"), _node(MIDNIGHT, F.unix_date(day)))))
+    return (daily.withColumn("node", F.explode(nodes)).groupBy(*FLAG_COLUMNS, "box", F.col("node.kind").alias("kind"), F.col("node.number").alias("number"))
+            .agg(*_merge_partials(value_params)))
+
+
+def _numbers(kind: int, first: Column, end: Column) -> Column:
+    """Nodes ``first`` up to, without, ``end``."""
+    some = F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(some, lambda n: _node(kind, n))
+
+
+def calendar_cover(lo: Column, hi: Column) -> Column:
+    """The nodes whose union is the range of timestamps [lo, hi] between two midnights: years, then months, then days, then a midnight.
+
+    Two ends of at most 30 days and 11 months beside the years between.
+    """
+    day = lambda ts: F.unix_date(ts.cast("date"))
+    first_day = lambda month: F.unix_date(F.make_date(F.floor(month / 12).cast("int"), F.pmod(month, F.lit(12)) + 1, F.lit(1)))
+    m1 = F.when(F.dayofmonth(lo) == 1, _month_key(lo)).otherwise(_month_key(lo) + 1)
+    m2 = _month_key(hi)
+    y1, y2 = F.ceil(m1 / 12).cast("int"), F.floor(m2 / 12).cast("int")
+    months = F.when(y1 < y2, F.concat(_numbers(YEAR, y1, y2), _numbers(MONTH, m1, y1 * 12), _numbers(MONTH, y2 * 12, m2))).otherwise(_numbers(MONTH, m1, m2))
+    whole = F.when(m1 < m2, F.concat(months, _numbers(DAY, day(lo), first_day(m1)), _numbers(DAY, first_day(m2), day(hi)))).otherwise(
+        _numbers(DAY, day(lo), day(hi)))
+    return F.concat(whole, F.array(_node(MIDNIGHT, day(hi))))
+
+
+def _by_calendar(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
+    """Signatures of a named region or of anywhere, between midnights or at any time: equi-joins on (box, calendar node)."""
+    lat, lon, ts = F.col("latitude"), F.col("longitude"), F.col("timestamp")
     inside = [F.when(lat.between(F.lit(la0), F.lit(la1)) & _lon_test(F.lit(lo0), F.lit(lo1), wrap), F.lit(i))
               for i, (la0, la1, lo0, lo1) in enumerate(REGION_BOXES)]
-    partials = [c for part in _partials(value_params) for c in part]
-    rolled = (groups.withColumn("g_box", F.explode(F.array_compact(F.array(F.lit(-1), *inside))))
-              .groupBy(*FLAG_COLUMNS, "g_box").agg(*_merge_partials(value_params)))
-    coarse = rolled.join(hint(coarse_sigs).alias("b"), (F.col("g_box") == F.col("b.b_box")) & _flag_condition("b"))
-
-    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for c in partials]
-    return fine.select(keep).unionByName(coarse.select(keep))
+    daily = (groups.withColumn("box", F.explode(F.array_compact(F.array(F.lit(ANYWHERE), *inside))))
+             .groupBy(*FLAG_COLUMNS, "box", ts.cast("date").alias("day"), F.coalesce(_is_midnight(ts), F.lit(False)).alias("midnight"))
+             .agg(*_merge_partials(value_params)))
+    nodes = calendar_nodes(daily, value_params)
+    cover = F.when(F.col("ts_lo").isNull(), F.array(_node(ALL_TIME, F.lit(0)))).when(F.col("ts_lo") <= F.col("ts_hi"), calendar_cover(F.col("ts_lo"), F.col("ts_hi")))
+    asked = sigs.withColumn("b_box", _box_of()).withColumn("b_node", F.explode(cover))
+    return nodes.join(asked.alias("b"), (F.col("box") == F.col("b.b_box")) & (F.col("kind") == F.col("b.b_node.kind"))
+                      & (F.col("number") == F.col("b.b_node.number")) & _flag_condition("b"))
+
+
+def _by_probe(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
+    """All other signatures, on the groups themselves.
+
+    One with a narrow box meets the groups of the 1-degree cells that the box
+    touches (timed: only those of its months as well); one of a
+    region with an end between midnights meets those of its months.
+    """
+    lo, hi = F.col("ts_lo"), F.col("ts_hi")
+    months = F.when(lo.isNull(), F.array(F.lit(None).cast("int"))).when(lo <= hi, F.sequence(_month_key(lo), _month_key(hi)))
+    span = lambda a, b: F.when(F.col(a) <= F.col(b), F.sequence(_cell(F.col(a)), _cell(F.col(b))))
+    narrow = _box_of().isNull()
+    asked = (sigs.withColumn("b_month", F.explode(months))
+             .withColumn("b_lat", F.explode(F.when(narrow, span("lat_lo", "lat_hi")).otherwise(F.array(F.lit(None).cast("int")))))
+             .withColumn("b_lon", F.explode(F.when(narrow, span("lon_lo", "lon_hi")).otherwise(F.array(F.lit(None).cast("int"))))))
+    key = lambda *parts: F.concat_ws(",", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+    month, lat, lon, none = _month_key(F.col("timestamp")), _cell(F.col("latitude")), _cell(F.col("longitude")), F.lit(None).cast("int")
+    probes = groups.withColumn("probe", F.explode(F.array_distinct(F.array(key(none, lat, lon), key(month, lat, lon), key(month, none, none)))))
+    return probes.join(asked.withColumn("b_probe", key(F.col("b_month"), F.col("b_lat"), F.col("b_lon"))).alias("b"),
+                       (F.col("probe") == F.col("b.b_probe")) & _group_condition("b", wrap))
+
+
+def _match(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
+    """Partial statistics matched to each signature; every (group, signature) pair is counted once.
+
+    Signatures of a named region or of anywhere meet statistics rolled up to
+    calendar nodes, a fixed number of them; narrow boxes meet the groups
+    of their cells.  Adaptive execution broadcasts a small side and splits a skewed one.
+    """
+    untimed = F.col("ts_lo").isNull()
+    rolled = _box_of().isNotNull() & (untimed | (_is_midnight(F.col("ts_lo")) & _is_midnight(F.col("ts_hi"))))
+    keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for part in _partials(value_params) for c in part]
+    return (_by_calendar(groups, sigs.where(rolled), wrap, value_params).select(keep)
+            .unionByName(_by_probe(groups, sigs.where(~rolled), wrap).select(keep)))
 
 
 def _signature_stats(value_params: list[str]) -> list[Column]:
@@ -279,33 +324,22 @@ def _signature_stats(value_params: list[str]) -> list[Column]:
     return aggs
 
 
-def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
-                    max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES,
-                    value_params: list[str] | None = None) -> DataFrame:
+def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False, value_params: list[str] | None = None) -> DataFrame:
     """Per distinct bound signature: matched-row statistics (Q10 core).
 
     Values are summarised for ``value_params`` (default: every parameter),
-    whatever the questions ask and however many there are.
-
-    Up to ``max_broadcast`` distinct signatures are fetched once and broadcast
-    as a local relation, at most thirteen rows each (a year's months); more are
-    a written table in the shared folder, and the same joins run as shuffles.
-    The levels are read once either way, and results are equal.  The depth
+    whatever the questions ask and however many there are.  Level groups and
+    signatures are each computed once, as checkpoints in the shared folder.  The depth
     bound is either absent or the fixed profile cap.
     """
     value_params = list(STAT_PARAMS) if value_params is None else value_params
-    sigs = parsed.select("b.*").distinct()
-    first = sigs.limit(max_broadcast + 1).collect()  # the checked broadcast size
-    few = len(first) <= max_broadcast
-    sigs = parsed.sparkSession.createDataFrame(first, sigs.schema) if few else cut_lineage(sigs)
-    matched = _match(level_groups(profiles, value_params), sigs, wrap, value_params, few)
-    stats = matched.groupBy(*BOUND_FIELDS).agg(*_signature_stats(value_params))
-    # one row per signature: the checked size bounds the broadcast back to the questions
-    return F.broadcast(stats) if few else stats
+    sigs = cut_lineage(parsed.select("b.*").distinct())
+    groups = cut_lineage(level_groups(profiles, value_params))
+    return _match(groups, sigs, wrap, value_params).groupBy(*BOUND_FIELDS).agg(*_signature_stats(value_params))
 
 
 def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int, mode: str = "default",
-                   wrap: bool = False, max_broadcast: int = DEFAULT_MAX_BROADCAST_SIGNATURES) -> DataFrame:
+                   wrap: bool = False) -> DataFrame:
     """Q10: every question answered against the levels in one plan.
 
     Output: the question columns, ``p`` (parse), ``b`` (bounds) and the
@@ -313,7 +347,7 @@ def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int,
     In literal mode a question the literal rules fail on gets no statistics.
     """
     parsed = parse_table(questions, current_year)
-    stats = signature_stats(profiles, parsed, wrap, max_broadcast)
+    stats = signature_stats(profiles, parsed, wrap)
     flat = parsed.select("*", *[F.col(f"b.{c}").alias(f"_k_{c}") for c in BOUND_FIELDS])
     on = [F.col(f"_k_{c}").eqNullSafe(F.col(f"s.{c}")) for c in BOUND_FIELDS]
     j = flat.join(stats.alias("s"), reduce(lambda a, b: a & b, on), "left")

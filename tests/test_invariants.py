@@ -154,13 +154,60 @@ def test_entry_runs(spark):
     assert df.count() > 0 and df.columns == PROFILE_COLUMNS
 
 
-def test_question_batch_chunked_equals_single(spark):
-    from bathyspark.plans.answer import question_batch
-    lv = B.profile_levels(spark, SF_SMALL)
-    qs = B.questions(spark, SF_SMALL)
-    one = question_batch(lv, qs, 1996).drop("p", "b")
-    many = question_batch(lv, qs, 1996, max_broadcast=60).drop("p", "b")
-    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+def _signatures(spark, rows):
+    from bathyspark.plans import answer
+    kinds = "lat_lo double, lat_hi double, lon_lo double, lon_hi double, ts_lo timestamp_ntz, ts_hi timestamp_ntz, depth_hi double"
+    none = dict.fromkeys(answer.BOUND_FIELDS)
+    needs = {f"need_{p}": False for p in answer.QUESTION_PARAMETERS}
+    data = [tuple({**none, **needs, **r}[c] for c in answer.BOUND_FIELDS) for r in rows]
+    return spark.createDataFrame(data, kinds + "".join(f", need_{p} boolean" for p in answer.QUESTION_PARAMETERS))
+
+
+def test_calendar_matches_brute_force(spark):
+    """Any range, box and flag meets the levels it bounds, once each; also levels without time or place."""
+    import datetime as dt
+    import random
+    from bathyspark.plans import answer
+    from bathyspark.schemas import REGION_BOUNDS
+    rng, at = random.Random(5), dt.datetime(1995, 11, 20)
+    levels = [dict(latitude=rng.choice([None, rng.uniform(-40, 40)]) if i % 50 == 0 else rng.uniform(-40, 40), longitude=None if i % 75 == 0 else rng.uniform(20, 130),
+                   timestamp=None if i % 40 == 0 else at + dt.timedelta(hours=12 * rng.randrange(2000)), depth=rng.choice([10.0, 1000.0, 1500.0, None]),
+                   temperature=rng.choice([None, 1.5]), salinity=2.5) for i in range(1500)]
+    lv = _levels(spark, levels)
+    asked = []
+    for k in range(160):
+        lo = at + dt.timedelta(days=rng.randrange(900))
+        hi = lo + dt.timedelta(days=rng.choice([-3, 0, 1, 20, 31, 45, 300, 366, 800]), hours=rng.choice([0, 0, 0, 7]))
+        when = {} if k % 4 == 0 else dict(ts_lo=lo, ts_hi=hi)
+        la, lg = rng.uniform(-40, 40), rng.uniform(20, 130)
+        box = [(None,) * 4, tuple(map(float, rng.choice(list(REGION_BOUNDS.values())))), (la - 1, la + 1, lg - 1, lg + 1), (la - 9, la + 9, lg - 9, lg + 9)][k % 3 if k < 120 else 3]
+        asked.append(dict(zip(("lat_lo", "lat_hi", "lon_lo", "lon_hi"), box)) | when | dict(need_temperature=k % 5 == 0, depth_hi=1000.0 if k % 7 == 0 else None))
+    for y in (1995, 1996):  # the ranges that questions ask for
+        asked += [dict(ts_lo=dt.datetime(y, 1, 1), ts_hi=dt.datetime(y, 12, 31))] + [dict(ts_lo=dt.datetime(y, m, 1), ts_hi=dt.datetime(y, m, 28)) for m in range(1, 13)]
+    sigs = _signatures(spark, asked).distinct()
+    for wrap in (False, True):
+        got = answer._match(answer.level_groups(lv), sigs, wrap, answer.STAT_PARAMS).groupBy(*answer.BOUND_FIELDS).agg(F.sum("n").alias("n"), F.min("t_min").alias("t"))
+        got = {tuple(r)[:-2]: (r.n, r.t) for r in got.collect()}
+        want = {}
+        for r in sigs.collect():
+            n, t = lv.where(answer.bounds_predicate(r, wrap=wrap)).agg(F.count("*"), F.min("timestamp")).first()
+            if n:
+                want[tuple(r)] = (n, t)
+        assert got == want and len(want) > 60
+
+
+def test_calendar_bounds_the_rows_that_meet(spark):
+    """A busy month: many groups and many questions about it meet in a few nodes each, not group by question."""
+    import datetime as dt
+    from bathyspark.plans import answer
+    lv = _levels(spark, [dict(latitude=i % 60 - 30.0, longitude=20.0 + i % 90, timestamp=dt.datetime(1996, 3, 1 + i % 31, i % 24), depth=float(i), temperature=1.0) for i in range(4000)])
+    sigs = _signatures(spark, [dict(ts_lo=dt.datetime(1996, 3, a), ts_hi=dt.datetime(1996, 3, b)) for a in range(1, 31) for b in range(a, 32)]
+                       + [dict(ts_lo=dt.datetime(1995, 6, 9), ts_hi=dt.datetime(y, 5, 7)) for y in range(1996, 2020)])
+    groups = answer.level_groups(lv)
+    flags = groups.select(answer.FLAG_COLUMNS).distinct().count()
+    met = answer._match(groups, sigs, False, answer.STAT_PARAMS)
+    assert groups.count() > 3000 and met.count() <= sigs.count() * flags * (2 * 30 + 2 * 11 + 24 + 1)
+    assert met.groupBy(*answer.BOUND_FIELDS).count().agg(F.max("count")).first()[0] <= flags * 84
 
 
 def test_raw_sql_errors_raise_or_empty(spark):
@@ -275,15 +322,13 @@ def test_means_keep_small_and_large_values(spark):
 
 
 def test_question_batch_in_parts_equals_whole(spark):
-    """A question's answer depends on no other question, in any column, and on neither way of joining."""
+    """A question's answer depends on no other question, in any column."""
     from bathyspark.plans.answer import question_batch
     lv, qs = B.profile_levels(spark, SF_SMALL), B.questions(spark, SF_SMALL)
     whole = question_batch(lv, qs, 1996)
     values = [c for c in whole.columns if c not in ("p", "b")]
-    shuffled = question_batch(lv, qs, 1996, max_broadcast=60)
     few = question_batch(lv, qs.where("question_id % 7 = 3"), 1996)
     rows = {r.question_id: r for r in whole.select(values).collect()}
-    assert {r.question_id: r for r in shuffled.select(values).collect()} == rows
     got = few.select(values).collect()
     assert got and all(rows[r.question_id] == r for r in got)
 
