@@ -16,6 +16,7 @@ from bathyspark.operators.stats import summary_by_float
 from bathyspark.session import cut_lineage
 
 MAX_FEATURES = 1000
+BATCH = "batch"
 
 
 def float_summaries(floats: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -23,26 +24,26 @@ def float_summaries(floats: DataFrame, profiles: DataFrame) -> DataFrame:
     return floats.join(summary_by_float(profiles), "float_id", "left")
 
 
+def index_documents(floats: DataFrame, profiles: DataFrame) -> DataFrame:
+    """T1 with the metadata: float_id, doc (the vector's key, the float_id), text_summary, metadata struct."""
+    return float_summaries(floats, profiles).select(
+        "float_id", F.col("float_id").alias("doc"), float_text().alias("text_summary"),
+        F.struct("latitude", "longitude", "status", "platform_type", "institution").alias("metadata"))
+
+
 def build_index(floats: DataFrame, profiles: DataFrame, max_features: int = MAX_FEATURES):
     """(index DataFrame, fitted TF-IDF model).
 
-    Index columns: float_id, doc (the vector's key, the float_id), text_summary, embedding
-    (sparse struct<indices, values> of dimension ``max_features``), metadata
-    struct<latitude, longitude, status, platform_type, institution>.
+    Index columns: those of ``index_documents`` and ``embedding`` (sparse
+    struct<indices, values> of dimension ``max_features``).
     """
-    fs = float_summaries(floats, profiles)
-    docs = fs.select(
-        "float_id", F.col("float_id").alias("doc"), float_text().alias("text_summary"),
-        F.struct("latitude", "longitude", "status", "platform_type", "institution").alias("metadata"))
     # fitting and transforming read the summaries several times: compute
     # them once (reliable checkpoint in the shared folder)
-    docs = cut_lineage(docs)
-    model = V.tfidf_fit(docs, "doc", "text_summary", max_features)
-    sparse = V.tfidf_transform(model, docs, "doc", "text_summary")
-    vectors = V.to_sparse(sparse, docs, "doc")
+    docs = cut_lineage(index_documents(floats, profiles))
+    model, sparse = V.tfidf_fit_transform(docs, "doc", "text_summary", max_features)
     # the index is reused by every search: cut its lineage with a reliable
     # checkpoint in the shared checkpoint folder
-    return cut_lineage(docs.join(vectors, "doc")), model
+    return cut_lineage(docs.join(V.to_sparse(sparse, docs, "doc"), "doc")), model
 
 
 def embed_texts(model: V.TfidfModel, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,19 +54,55 @@ def embed_texts(model: V.TfidfModel, texts: DataFrame, id_col: str, text_col: st
 
 def search_index(index: DataFrame, model: V.TfidfModel, texts: DataFrame, id_col: str, text_col: str,
                  k: int = 5) -> DataFrame:
-    """V2 + V4: the k floats nearest to each text, with text and metadata."""
+    """V2 + V4: the k floats nearest to each text, with text and metadata; an empty index gives no row."""
     qv = embed_texts(model, texts, id_col, text_col)
-    hits = V.knn_l2(qv, index, k, query_id=id_col, corpus_id="doc", dim=model.max_features)
+    hits = V.knn_sparse(qv, index, k, query_id=id_col, corpus_id="doc")
     return (hits.join(index.select("doc", "float_id", "text_summary", "metadata"),
                       hits.neighbour_id == index.doc)
             .select(F.col("query_id").alias(id_col), "rank", "float_id", "distance", "text_summary", "metadata"))
 
 
-def save_index(index: DataFrame, path: str) -> None:
-    """Write the index as Parquet (a durable, shareable table)."""
-    index.write.mode("overwrite").parquet(path)
+# ------------------------------------------------------------------ stored index
+def save_index(index: DataFrame, path: str, model: V.TfidfModel | None = None) -> None:
+    """Write the index as Parquet (a durable, shareable table), as its batch 0, with the model that its vectors are of."""
+    index.withColumn(BATCH, F.lit(0)).write.mode("overwrite").partitionBy(BATCH).parquet(f"{path}/vectors")
+    if model is not None:
+        model.vocab.withColumn("max_features", F.lit(model.max_features)).write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def load_index(spark, path: str) -> DataFrame:
-    """Read the index back."""
-    return spark.read.parquet(path)
+    """Read the index back; of several versions of a float the one of the newest batch."""
+    rows = spark.read.parquet(f"{path}/vectors")
+    if rows.select(F.max(BATCH)).first()[0] == 0:  # never added to: no float has two versions
+        return rows.drop(BATCH)
+    newest = rows.groupBy("float_id").agg(F.max(BATCH).alias(BATCH))
+    return rows.join(newest, ["float_id", BATCH]).select([c for c in rows.columns if c != BATCH])
+
+
+def load_model(spark, path: str) -> V.TfidfModel:
+    """The vocabulary and weights that the index was built with (at most ``max_features`` rows)."""
+    rows = spark.read.parquet(f"{path}/vocabulary")
+    held = rows.select("term", "term_index", "idf").orderBy("term_index")
+    size = rows.select("max_features").first()
+    return V.TfidfModel(spark.createDataFrame(held.collect(), held.schema), size[0] if size else MAX_FEATURES)
+
+
+def add_to_index(spark, path: str, floats: DataFrame, profiles: DataFrame, batch: int) -> None:
+    """Add new or changed floats to the stored index, under its frozen vocabulary and weights.
+
+    ``batch`` numbers the additions from 1 on; a float of a later batch takes
+    the place of its earlier versions.  Only the given floats are read and
+    written.  Running a batch again (after a failure, say) writes the same folder
+    once more, so nothing is there twice.
+    """
+    if batch < 1:
+        raise ValueError("batches of additions are numbered from 1 on")
+    model = load_model(spark, path)
+    docs = cut_lineage(index_documents(floats, profiles.join(floats.select("float_id"), "float_id", "left_semi")))
+    vectors = V.to_sparse(V.tfidf_transform(model, docs, "doc", "text_summary"), docs, "doc")
+    docs.join(vectors, "doc").write.mode("overwrite").parquet(f"{path}/vectors/{BATCH}={batch}")
+
+
+def compact_index(spark, path: str, to: str) -> None:
+    """The newest versions alone, as batch 0 of a new stored index."""
+    save_index(load_index(spark, path), to, load_model(spark, path))

@@ -13,6 +13,13 @@ one co-grouped task, an equi-join on the two block numbers.  A task computes
 distances with NumPy, slice by slice, and keeps its own top k per query (by
 rounded distance, then id); the final top k per query is taken over at most
 ``k x corpus blocks`` candidates.  No vector passes through the driver.
+
+V2 on sparse vectors without negative weights (``knn_sparse``) uses inverted
+lists with bounds: corpus vectors are dealt into small blocks of like ones, a
+block's posting of a term is the largest weight in it, and a join on terms
+bounds every query's distance to a block.  The nearest blocks give each query a
+distance that its k-th neighbour can't exceed; of the others only those are
+read whose bound is no larger.  Equal query vectors are searched once.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bathyspark.schemas import STOP_WORDS
+from bathyspark.session import cut_lineage
 
 # The kNN scan runs helpers of this module inside Python workers.  Ship them
 # by value with each task, so executors need NumPy and pandas but not this
@@ -60,10 +68,12 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.join(F.broadcast(stop), "term", "left_anti").select("doc", "term")
 
 
-def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> TfidfModel:
-    toks = _tokens(docs, id_col, text_col)
-    n_docs = docs.count()
-    tf = toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, term, tf)."""
+    return _tokens(docs, id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _fit(tf: DataFrame, n_docs: int, max_features: int) -> TfidfModel:
     dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     top = dfs.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
     w = Window.orderBy(F.col("total").desc(), F.col("term"))  # over at most max_features rows
@@ -71,15 +81,11 @@ def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, max_features: int = 1
                        (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
     # at most max_features rows: fetch once and keep as a local relation, so
     # every later transform reuses the fitted vocabulary instead of refitting
-    spark = docs.sparkSession
-    vocab = spark.createDataFrame(vocab.collect(), vocab.schema)
-    return TfidfModel(vocab, max_features)
+    spark = tf.sparkSession
+    return TfidfModel(spark.createDataFrame(vocab.collect(), vocab.schema), max_features)
 
 
-def tfidf_transform(model: TfidfModel, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sparse long form: (doc, term_index, weight), L2-normalised per doc."""
-    toks = _tokens(docs, id_col, text_col)
-    tf = toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _weigh(model: TfidfModel, tf: DataFrame) -> DataFrame:
     # the vocabulary has at most max_features rows: a proven broadcast bound
     w = tf.join(F.broadcast(model.vocab), "term").select(
         "doc", "term_index", (F.col("tf") * F.col("idf")).alias("w"))
@@ -87,6 +93,22 @@ def tfidf_transform(model: TfidfModel, docs: DataFrame, id_col: str, text_col: s
     return w.join(norm, "doc").select("doc", "term_index", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> TfidfModel:
+    return _fit(term_counts(docs, id_col, text_col), docs.count(), max_features)
+
+
+def tfidf_transform(model: TfidfModel, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Sparse long form: (doc, term_index, weight), L2-normalised per doc."""
+    return _weigh(model, term_counts(docs, id_col, text_col))
+
+
+def tfidf_fit_transform(docs: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> tuple[TfidfModel, DataFrame]:
+    """Model and vectors of one corpus, whose texts are tokenised and counted once."""
+    tf = cut_lineage(term_counts(docs, id_col, text_col))
+    model = _fit(tf, docs.count(), max_features)
+    return model, _weigh(model, tf)
+
+
 def to_sparse(sparse: DataFrame, docs: DataFrame | None = None, id_col: str = "doc") -> DataFrame:
     """(doc, embedding STRUCT<indices ARRAY<INT>, values ARRAY<DOUBLE>>).
 
@@ -213,3 +235,76 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "neighbour_id", "rank", "distance"))
+
+
+# --------------------------------------------------------------------------- V2, inverted lists
+BLOCK_DOCS = 64  # corpus vectors of a block that a query reads or skips as a whole
+COMMON = "common"  # the block of the vectors that are nearest to queries they share no term with
+
+
+def _dot(values: Column, at: Column, weights: Column) -> Column:
+    """Sum of the products of a sparse vector with a map of weights."""
+    return F.aggregate(F.zip_with(at, values, lambda i, v: v * F.coalesce(F.try_element_at(weights, i), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+
+
+def _square(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, v: x + v * v)
+
+
+def sparse_blocks(corpus: DataFrame, corpus_id: str, vec: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(cid, at, values, square, block): vectors beside those with the same two heaviest terms, a hash parts large blocks."""
+    heaviest = F.slice(F.sort_array(F.arrays_zip(F.transform(f"{vec}.values", lambda v: -v).alias("w"), F.col(f"{vec}.indices").alias("i"))), 1, 2)
+    docs = corpus.where(F.col(corpus_id).isNotNull()).select(
+        F.col(corpus_id).alias("cid"), F.col(f"{vec}.indices").alias("at"), F.col(f"{vec}.values").alias("values"), _square(F.col(f"{vec}.values")).alias("square"),
+        F.concat_ws(",", F.transform(heaviest, lambda x: x["i"].cast("string"))).alias("pair"))
+    sizes = docs.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("parts"))
+    return docs.join(sizes, "pair").select("cid", "at", "values", "square", F.concat_ws(":", "pair", F.pmod(F.xxhash64("cid"), "parts").cast("string")).alias("block"))
+
+
+def _block_bounds(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, block, n, bound) of the blocks that share a term with the query: no vector of the block is nearer than ``bound``."""
+    postings = (blocks.select("block", F.explode(F.arrays_zip("at", "values")).alias("e")).groupBy("block", F.col("e.at").alias("term"))
+                .agg(F.max("e.values").alias("most")))
+    whole = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("square").alias("least_square"))
+    asked = queries.select("qid", F.explode("weights").alias("term", "weight"))
+    sums = asked.join(postings, "term").groupBy("qid", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("dot"))
+    return sums.join(whole, "block").join(queries.select("qid", "q_square"), "qid").select(
+        "qid", "block", "n", (F.col("q_square") + F.col("least_square") - 2 * F.col("dot")).alias("bound"))
+
+
+def _read_blocks(pairs: DataFrame, queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, cid, distance) of all vectors of these (qid, block) pairs."""
+    d = F.col("q_square") + F.col("square") - 2 * _dot(F.col("values"), F.col("at"), F.col("weights"))
+    return pairs.select("qid", "block").join(queries, "qid").join(blocks, "block").select(
+        "qid", "cid", F.round(F.greatest(d, F.lit(0.0)), DISTANCE_DECIMALS).alias("distance"))
+
+
+def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", query_vec: str = "embedding",
+               corpus_id: str = "id", corpus_vec: str = "embedding", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Exact k nearest corpus vectors per query by squared L2 distance, for sparse vectors (indices, values) without negative values.
+
+    Output as of ``knn_l2``.  Rows without an id are left out; vectors may be
+    empty.  Equal query vectors are searched once.
+    """
+    asked = queries.where(F.col(query_id).isNotNull()).select(
+        F.col(query_id).alias("query_id"), F.col(f"{query_vec}.indices").alias("indices"), F.col(f"{query_vec}.values").alias("values"))
+    unique = cut_lineage(asked.groupBy("indices", "values").agg(F.min("query_id").alias("qid")).select(
+        "qid", "indices", "values", F.map_from_arrays("indices", "values").alias("weights"), _square(F.col("values")).alias("q_square")))
+    docs = sparse_blocks(corpus, corpus_id, corpus_vec, block_docs)
+    # a vector that shares no term with a query is no nearer than these k, so they stand for all such
+    common = docs.orderBy(F.round("square", DISTANCE_DECIMALS), "cid").limit(k).withColumn("block", F.lit(COMMON))
+    blocks = cut_lineage(docs.unionByName(common))
+    q = unique.select("qid", "weights", "q_square")
+    bounds = cut_lineage(_block_bounds(q, blocks.where(F.col("block") != COMMON)))
+    nearest = Window.partitionBy("qid").orderBy("bound", "block")
+    before = F.coalesce(F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = bounds.withColumn("first", before < k)  # the nearest blocks that hold k vectors
+    first = cut_lineage(_read_blocks(ranked.where("first").unionByName(q.select("qid", F.lit(COMMON).alias("block")), allowMissingColumns=True), q, blocks).distinct())
+    kth = Window.partitionBy("qid").orderBy("distance", "cid")
+    reach = (first.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k).select("qid", F.col("distance").alias("reach")))
+    margin = 10.0 ** -DISTANCE_DECIMALS
+    rest = ranked.where(~F.col("first")).join(reach, "qid", "left").where(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + margin))
+    found = first.unionByName(_read_blocks(rest, q, blocks)).distinct()
+    top = found.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k)
+    same = asked.join(unique.select("qid", "indices", "values"), ["indices", "values"]).select("query_id", "qid")
+    return same.join(top, "qid").select("query_id", F.col("cid").alias("neighbour_id"), "rank", "distance")

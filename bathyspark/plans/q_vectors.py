@@ -48,8 +48,8 @@ def index_floats(s, d):
 def floats_near_text(s, d):
     """G1 + G3 over the float index: id, distance, summary text, metadata."""
     from bathyspark.operators.geo import floats_near
-    idx, _ = _index(s, d)
-    return floats_near(idx.select("float_id", "text_summary", "metadata.*"), 10.5, 70.25, 2.0)
+    docs = X.index_documents(B.floats(s, d), B.profiles(s, d))
+    return floats_near(docs.select("float_id", "text_summary", "metadata.*"), 10.5, 70.25, 2.0)
 
 
 def float_text(s, d):
@@ -60,8 +60,7 @@ def float_text(s, d):
 def tfidf_vectors(s, d):
     """V1 over the document corpus: per document, vocabulary terms and norm."""
     docs = B.table(s, d, "documents").select("doc_id", "text")
-    model = V.tfidf_fit(docs, "doc_id", "text", 1000)
-    sp = V.tfidf_transform(model, docs, "doc_id", "text")
+    _, sp = V.tfidf_fit_transform(docs, "doc_id", "text", 1000)
     return sp.groupBy(F.col("doc").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("n_terms"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"),
         F.round(F.sum("weight"), 6).alias("weight_sum"))
@@ -69,13 +68,29 @@ def tfidf_vectors(s, d):
 
 def embedding_store(s, d):
     """Write the float index as Parquet and read it back."""
-    idx, _ = _index(s, d)
+    idx, model = _index(s, d)
     path = scratch_dir(s, "float-index")
-    X.save_index(idx, path)
+    X.save_index(idx, path, model)
+    return _written_vectors(X.load_index(s, path))
+
+
+def _written_vectors(index):
     texts = F.transform("embedding.values", lambda v: v.cast("decimal(10,6)").cast("string"))
-    return X.load_index(s, path).select(
-        "float_id", "text_summary", "metadata.*", F.array_join("embedding.indices", ",").alias("vector_terms"),
-        F.array_join(texts, ",").alias("vector_values"))
+    return index.select("float_id", "text_summary", "metadata.*", F.array_join("embedding.indices", ",").alias("vector_terms"),
+                        F.array_join(texts, ",").alias("vector_values"))
+
+
+def index_added(s, d):
+    """An index of the floats deployed before 1996, to which the others are added, and some of the first once more."""
+    floats, levels = B.floats(s, d), B.profiles(s, d)
+    early = F.col("deployment_date") < F.lit("1996-01-01").cast("timestamp_ntz")
+    path = scratch_dir(s, "float-index")
+    # the first build knows the inactive floats as active
+    idx, model = X.build_index(floats.where(early).withColumn("status", F.when(F.col("status") == "inactive", "active").otherwise(F.col("status"))), levels)
+    X.save_index(idx, path, model)
+    X.add_to_index(s, path, floats.where(~early), levels, 1)
+    X.add_to_index(s, path, floats.where(early & (F.col("status") == "inactive")), levels, 2)
+    return _written_vectors(X.load_index(s, path))
 
 
 def knn_small(s, d):
@@ -127,6 +142,7 @@ QUERIES = {
     "floats_near_text": floats_near_text,
     "tfidf_vectors": tfidf_vectors,
     "embedding_store": embedding_store,
+    "index_added": index_added,
     "question_neighbours": question_neighbours,
     "context_neighbours": context_neighbours,
     "answer_context": answer_context,
@@ -164,6 +180,12 @@ def _terms_cte(name: str, docs: str) -> str:
             rf"'[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]{{2,}}')) AS term FROM {docs}) WHERE term NOT IN ({_STOP_SQL}) GROUP BY doc, term) ")
 
 
+def _vocab_cte(terms: str, docs: str, size: int = 1000) -> str:
+    return (f", vocab AS (SELECT term, row_number() OVER (ORDER BY total DESC, term) - 1 AS term_index, "
+            f"ln((1 + (SELECT count(*) FROM {docs})) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total "
+            f"FROM {terms} GROUP BY term ORDER BY total DESC, term LIMIT {size})) ")
+
+
 def _weights_cte(name: str, terms: str) -> str:
     return (f", {name} AS (SELECT doc, term_index, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc)) AS weight "
             f"FROM {terms} JOIN vocab ON vocab.term = {terms}.term) ")
@@ -171,11 +193,7 @@ def _weights_cte(name: str, terms: str) -> str:
 
 def _corpus_cte(docs: str, size: int = 1000) -> str:
     """Terms, vocabulary and weights of a corpus."""
-    return (_terms_cte("terms", docs)
-            + f", vocab AS (SELECT term, row_number() OVER (ORDER BY total DESC, term) - 1 AS term_index, "
-              f"ln((1 + (SELECT count(*) FROM {docs})) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total "
-              f"FROM terms GROUP BY term ORDER BY total DESC, term LIMIT {size})) "
-            + _weights_cte("weights", "terms"))
+    return _terms_cte("terms", docs) + _vocab_cte("terms", docs, size) + _weights_cte("weights", "terms")
 
 
 _INDEX_CTE = _SUMMARIES_CTE + ", docs AS (SELECT float_id AS doc, text_summary AS text FROM summaries) " + _corpus_cte("docs")
@@ -218,6 +236,12 @@ _LABEL_MEANS = (
     "list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]) * (x[1]::double - x[2]))), 6) AS distance "
     "FROM embeddings a, means b) ")
 
+_VECTORS_SQL = (
+    f"SELECT s.float_id, s.text_summary, {_META}, coalesce(w.terms, '') AS vector_terms, coalesce(w.vals, '') AS vector_values "
+    "FROM summaries s LEFT JOIN (SELECT doc, string_agg(cast(term_index AS varchar), ',' ORDER BY term_index) AS terms, "
+    "string_agg(cast(cast(weight AS decimal(10,6)) AS varchar), ',' ORDER BY term_index) AS vals FROM weights GROUP BY doc) w "
+    "ON w.doc = s.float_id")
+
 ORACLE = {
     "knn_l2": sql(_KNN_SQL + "SELECT query_id, neighbour_id, cast(rk AS integer) AS rank, distance FROM r WHERE rk <= 5"),
     "knn_with_metadata": sql(
@@ -233,11 +257,13 @@ ORACLE = {
     "index_floats": sql(
         _INDEX_CTE + f"SELECT s.float_id, s.text_summary, cast(coalesce(w.n, 0) AS integer) AS n_terms, {_META} FROM summaries s "
         "LEFT JOIN (SELECT doc, count(*) AS n FROM weights GROUP BY doc) w ON w.doc = s.float_id"),
-    "embedding_store": sql(
-        _INDEX_CTE + f"SELECT s.float_id, s.text_summary, {_META}, coalesce(w.terms, '') AS vector_terms, coalesce(w.vals, '') AS vector_values "
-        "FROM summaries s LEFT JOIN (SELECT doc, string_agg(cast(term_index AS varchar), ',' ORDER BY term_index) AS terms, "
-        "string_agg(cast(cast(weight AS decimal(10,6)) AS varchar), ',' ORDER BY term_index) AS vals FROM weights GROUP BY doc) w "
-        "ON w.doc = s.float_id"),
+    "embedding_store": sql(_INDEX_CTE + _VECTORS_SQL),
+    "index_added": sql(
+        _SUMMARIES_CTE + ", docs AS (SELECT float_id AS doc, text_summary AS text FROM summaries), first_docs AS (SELECT float_id AS doc, "
+        "CASE status WHEN 'inactive' THEN replace(text_summary, 'Status: inactive', 'Status: active') ELSE text_summary END AS text "
+        "FROM summaries WHERE deployment_date < TIMESTAMP '1996-01-01') "
+        + _terms_cte("first_terms", "first_docs") + _vocab_cte("first_terms", "first_docs") + _terms_cte("terms", "docs") + _weights_cte("weights", "terms")
+        + _VECTORS_SQL),
     "tfidf_vectors": sql(
         ", docs AS (SELECT doc_id AS doc, text FROM documents) " + _corpus_cte("docs")
         + "SELECT doc AS doc_id, count(*) AS n_terms, round(sqrt(sum(weight * weight)), 6) AS norm, round(sum(weight), 6) AS weight_sum "
