@@ -7,12 +7,14 @@ corpus frequency (a bounded top-k), broadcast as a table of at most
 L2-normalised per document.  The model is fitted once on the corpus, so
 corpus and query vectors live in the same space.
 
-V2/V3, exact squared-L2 kNN: both sides are dealt into blocks of a checked size
-by a hash of their ids, and each pair of a query block and a corpus block is
-one co-grouped task, an equi-join on the two block numbers.  A task computes
+V2/V3, exact squared-L2 kNN: corpus vectors lie with their nearest pivot (a
+bounded sample), each pivot's in rings by their distance to it.  A query first
+reads the block it would lie in itself; its k-th distance there and the triangle
+inequality say which other blocks can hold anything nearer, and only those
+are read.  Blocks of queries and of corpus vectors have a checked size; each pair is
+one co-grouped task, an equi-join on block numbers, that computes
 distances with NumPy, slice by slice, and keeps its own top k per query (by
-rounded distance, then id); the final top k per query is taken over at most
-``k x corpus blocks`` candidates.  No vector passes through the driver.
+rounded distance, then id).  The driver sees the pivots and block bounds only.
 
 V2 on sparse vectors without negative weights (``knn_sparse``) uses inverted
 lists with bounds: corpus vectors are dealt into small blocks of like ones, a
@@ -190,6 +192,74 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_at: list, c_
     return best_d, best_i
 
 
+def _vectors(df: DataFrame, id_col: str, vec: str, out: str) -> DataFrame:
+    """(``out``id, ``out``_at, ``out``_values) of the rows that have an id."""
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(_id_type(df, id_col)).alias(f"{out}id"), *_two_arrays(df, vec, out))
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (x @ pivots.T), 0))
+
+
+@dataclass
+class Partitions:
+    """Corpus vectors by nearest pivot, each pivot's in rings by their distance to it; a (pivot, ring) is a block."""
+
+    pivots: np.ndarray
+    rings: list[np.ndarray]  # of each pivot the largest distance of its rings, ascending; the least of the first ring is 0
+
+    @property
+    def single(self) -> bool:
+        return sum(map(len, self.rings)) == 1
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pivot and ring of each row, and its distances to all pivots."""
+        far = _to_pivots(x, self.pivots)
+        pivot = far.argmin(1)
+        own = far[np.arange(len(x)), pivot]
+        ring = np.array([min(int(np.searchsorted(self.rings[p], d)), len(self.rings[p]) - 1) for p, d in zip(pivot, own)], np.int64)
+        return pivot, ring, far
+
+    def bounds(self, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (pivot, ring) and the least distance that a row so far from the pivots can have to a vector there."""
+        pivot = np.repeat(np.arange(len(self.rings)), [len(r) for r in self.rings])
+        ring = np.concatenate([np.arange(len(r)) for r in self.rings])
+        low = np.concatenate([np.append(0.0, r[:-1]) for r in self.rings])
+        high = np.concatenate(self.rings)
+        at = far[:, pivot]
+        return pivot, ring, np.maximum(np.maximum(low[None, :] - at, at - high[None, :]), 0)
+
+
+def partitions(corpus: DataFrame, dim: int, n: int, per_block: int, most: int = 256) -> Partitions:
+    """Pivots are a sample of the corpus in hash order; rings hold about ``per_block`` vectors by approximate quantiles.
+
+    The driver holds ``most`` pivots at most and one number for each block.  A
+    corpus of one block has one ring without an end.
+    """
+    if n <= per_block:
+        return Partitions(np.zeros((1, dim)), [np.array([np.inf])])
+    count = min(most, -(-n // per_block))
+    sample = corpus.orderBy(F.xxhash64("cid", F.lit("pivot")), "cid").limit(count).collect()
+    pivots = _as_matrix([r["c_at"] for r in sample], [r["c_values"] for r in sample], dim)
+
+    def measure(batches):
+        for pdf in batches:
+            far = _to_pivots(_as_matrix(list(pdf["c_at"]), list(pdf["c_values"]), dim), pivots)
+            yield pd.DataFrame({"pivot": far.argmin(1), "far": far.min(1)})
+
+    far = corpus.select("c_at", "c_values").mapInPandas(measure, "pivot int, far double")
+    share = per_block / max(n, 1)
+    cuts = [min(1.0, share * i) for i in range(1, -(-n // per_block) + 1)]
+    found = far.groupBy("pivot").agg(F.percentile_approx("far", [*cuts[:-1], 1.0], 1000).alias("q"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    rings = [np.zeros(1) for _ in range(len(pivots))]
+    for r in found:
+        step = max(1, len(r["q"]) * per_block // r["n"]) if r["n"] else 1
+        inner = sorted({q for q in r["q"][step - 1:-1:step] if q < r["high"]})
+        rings[r["pivot"]] = np.array([*inner, r["high"]])
+    return Partitions(pivots, rings)
+
+
 def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
            query_vec: str = "embedding", corpus_id: str = "id", corpus_vec: str = "embedding",
            block_bytes: int = DEFAULT_BLOCK_BYTES, dim: int | None = None) -> DataFrame:
@@ -204,20 +274,43 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
     Output (query_id, neighbour_id, rank, distance); ``rank`` starts at 1.
     An empty corpus gives no rows; a corpus smaller than k gives what exists.
     """
+    found = _near_rows(queries, corpus, k, query_id, query_vec, corpus_id, corpus_vec, block_bytes, dim)[0]
+    w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "neighbour_id", "rank", "distance"))
+
+
+def _near_rows(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, query_vec: str, corpus_id: str, corpus_vec: str,
+               block_bytes: int, dim: int | None) -> tuple[DataFrame, DataFrame, Partitions]:
+    """Each read block's k nearest per query; the (query, block) pairs of the second pass; the corpus' partitions."""
     q_type, c_type = _id_type(queries, query_id), _id_type(corpus, corpus_id)
-    q = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast(q_type).alias("qid"), *_two_arrays(queries, query_vec, "q"))
-    c = corpus.where(F.col(corpus_id).isNotNull()).select(F.col(corpus_id).cast(c_type).alias("cid"), *_two_arrays(corpus, corpus_vec, "c"))
+    q, c = _vectors(queries, query_id, query_vec, "q"), _vectors(corpus, corpus_id, corpus_vec, "c")
     n_queries, widest = q.agg(F.count(F.lit(1)), F.max(F.size("q_values"))).first()
     dim = int(widest or 0) if dim is None else dim
     per_block = max(1, block_bytes // max(1, dim * 8))
     q_blocks = max(1, -(-n_queries // per_block))
-    c_blocks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-c.count() // per_block))
-
-    def own(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    n_corpus, cores = c.count(), queries.sparkSession.sparkContext.defaultParallelism
+    parts = partitions(c, dim, n_corpus, per_block)
+    per_part = min(per_block, max(1, -(-n_corpus // cores)))  # a small corpus has a part for each core
+
+    def home(batches):
+        for pdf in batches:
+            values = [x for x in pdf.columns if x.endswith("_values")][0]
+            pivot, ring, _ = parts.place(_as_matrix(list(pdf[values.replace("values", "at")]), list(pdf[values]), dim))
+            yield pdf.assign(pivot=pivot, ring=ring)
+
+    def placed(df, kind, out):
+        if parts.single:
+            return df.withColumns({"pivot": F.lit(0), "ring": F.lit(0)})
+        return df.mapInPandas(home, f"{out}id {kind}, {out}_at array<int>, {out}_values array<double>, pivot int, ring int")
+
+    def others(batches):
+        for pdf in batches:
+            own_pivot, own_ring, far = parts.place(_as_matrix(list(pdf["q_at"]), list(pdf["q_values"]), dim))
+            pivot, ring, bound = parts.bounds(far)
+            reach = np.sqrt(pdf["reach"].fillna(np.inf).to_numpy() + 10.0 ** -DISTANCE_DECIMALS) + 1e-6
+            row, at = np.nonzero((bound <= reach[:, None]) & ((pivot[None, :] != own_pivot[:, None]) | (ring[None, :] != own_ring[:, None])))
+            yield pdf.iloc[row].drop(columns="reach").assign(pivot=pivot[at], ring=ring[at])
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -227,14 +320,36 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
         return pd.DataFrame({"query_id": np.repeat(left["qid"].to_numpy(), d.shape[1]).tolist(),
                              "neighbour_id": ids.reshape(-1).tolist(), "distance": d.reshape(-1)})
 
-    keys = ["q_block", "c_block"]
-    left = q.withColumn("q_block", own("qid", q_blocks)).withColumn("c_block", every(c_blocks))
-    right = c.withColumn("c_block", own("cid", c_blocks)).withColumn("q_block", every(q_blocks))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        scan, f"query_id {q_type}, neighbour_id {c_type}, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "neighbour_id", "rank", "distance"))
+    # rings are cut by approximate quantiles, so a ring of equal distances may be larger: a hash parts it
+    if parts.single:
+        stored, sizes = placed(c, c_type, "c"), None
+    else:
+        stored = cut_lineage(placed(c, c_type, "c"))
+        sizes = cut_lineage(stored.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("n_parts")))
+
+    def parted(df, number):
+        """Rows with their block's parts, as ``number`` makes them of ``n_parts``."""
+        df = df.join(sizes, ["pivot", "ring"]) if sizes is not None else df.withColumn("n_parts", F.lit(max(1, -(-n_corpus // per_part))))
+        return df.withColumn("c_part", number).drop("n_parts")
+
+    dealt = parted(stored, F.pmod(F.xxhash64("cid"), "n_parts").cast("int"))
+    keys = ["pivot", "ring", "c_part", "q_block"]
+
+    def read(pairs):
+        left = parted(pairs, F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).withColumn("q_block", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
+        right = dealt.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, f"query_id {q_type}, neighbour_id {c_type}, distance double")
+
+    first = read(placed(q, q_type, "q"))
+    if parts.single:
+        return first, placed(q, q_type, "q").where("false"), parts
+    first = cut_lineage(first)
+    kth = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    reach = (first.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
+             .select(F.col("query_id").alias("qid"), F.col("distance").alias("reach")))
+    pairs = q.join(reach, "qid", "left").select("qid", "q_at", "q_values", "reach").mapInPandas(
+        others, f"qid {q_type}, q_at array<int>, q_values array<double>, pivot int, ring int")
+    return first.unionByName(read(pairs)), pairs, parts
 
 
 # --------------------------------------------------------------------------- V2, inverted lists

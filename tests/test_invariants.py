@@ -134,6 +134,62 @@ def test_knn_blocks_equal_single_block(spark):
     assert one.exceptAll(many).count() == 0 and many.count() == one.count()
 
 
+def test_knn_pivots_skip_blocks(spark):
+    """Clustered vectors: the triangle inequality leaves most blocks unread, and the result is that of one block."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 20
+    x = np.concatenate([c + rng.normal(size=(60, 8)) for c in centres] + [np.tile(centres[:1], (50, 1))])
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    options = dict(query_id="id", corpus_id="id")
+    one, many = (V.knn_l2(e, e, 5, block_bytes=size, **options) for size in (1 << 20, 8 * 8 * 25))
+    assert one.exceptAll(many).count() == 0 and many.count() == one.count() == 5 * len(x)
+    _, pairs, parts = V._near_rows(e, e, 5, "id", "embedding", "id", "embedding", 8 * 8 * 25, None)
+    blocks = sum(map(len, parts.rings))
+    assert blocks >= 20 and pairs.count() < 0.35 * blocks * len(x)
+    few = V.knn_l2(e, e.limit(3), 5, block_bytes=64, **options)
+    assert few.count() == 3 * len(x)
+
+
+def test_sparse_top_k_equals_dense_search(spark):
+    """Inverted lists with bounds: equal to the exact search, for empty vectors, ties and queries that share no term."""
+    rng = np.random.default_rng(8)
+
+    def vector(terms):
+        w = rng.random(len(terms)) + .1
+        return (sorted(int(t) for t in terms), (w / np.sqrt((w * w).sum())).tolist())
+
+    groups = [rng.choice(60, 6, replace=False) for _ in range(15)]
+    docs = [vector(rng.choice(groups[i % 15], int(rng.integers(1, 6)), replace=False)) for i in range(900)] + [([], [])] * 3 + [([59], [1.0])] * 20
+    asked = [vector(rng.choice(60, int(rng.integers(1, 5)), replace=False)) for _ in range(60)] * 2 + [([], [])] * 2 + [([70], [1.0])]
+    kind = "id string, embedding struct<indices: array<int>, values: array<double>>"
+    corpus = spark.createDataFrame([(f"d{i:04}", v) for i, v in enumerate(docs)] + [(None, ([1], [1.0]))], kind)
+    queries = spark.createDataFrame([(f"q{i:03}", v) for i, v in enumerate(asked)] + [(None, ([1], [1.0]))], kind)
+    options = dict(query_id="id", corpus_id="id")
+    want = V.knn_l2(queries, corpus, 7, dim=80, **options)
+    got = V.knn_sparse(queries, corpus, 7, block_docs=16, **options)
+    assert got.count() == want.count() == 7 * len(asked) and got.exceptAll(want).count() == 0
+    assert V.knn_sparse(queries, corpus, 2000, **options).exceptAll(V.knn_l2(queries, corpus, 2000, dim=80, **options)).count() == 0
+    assert V.knn_sparse(queries, corpus.where("false"), 7, **options).count() == 0
+    assert V.knn_sparse(queries.where("false"), corpus, 7, **options).count() == 0
+
+
+def test_additions_to_the_index_are_idempotent(spark, tmp_path):
+    from bathyspark.operators import index as X
+    floats, levels, path = B.floats(spark, SF_SMALL), B.profiles(spark, SF_SMALL), str(tmp_path / "index")
+    old, new = floats.where("float_id < 'F_000100'"), floats.where("float_id >= 'F_000095'").withColumn("status", F.lit("changed"))
+    idx, model = X.build_index(old, levels)
+    X.save_index(idx, path, model)
+    for _ in range(2):  # the second run stands for a retry
+        X.add_to_index(spark, path, new, levels, 1)
+        got = X.load_index(spark, path)
+        assert got.count() == floats.count() and got.where("metadata.status = 'changed'").count() == new.count()
+    held = X.load_model(spark, path)
+    assert held.vocab.exceptAll(model.vocab).count() == 0 and held.max_features == model.max_features
+    X.compact_index(spark, path, str(tmp_path / "compact"))
+    again = X.load_index(spark, str(tmp_path / "compact"))
+    assert again.select("float_id", "text_summary", "embedding").exceptAll(got.select("float_id", "text_summary", "embedding")).count() == 0
+
+
 def test_grid_radius_join_equals_brute_force(spark):
     f = B.floats(spark, SF_SMALL)
     from bathyspark.operators.geo import floats_near_batch
