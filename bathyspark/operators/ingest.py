@@ -19,6 +19,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bathyspark.session import cut_lineage
+from bathyspark.sources.io import PARTITION_COLUMN, read_levels_table, write_levels_table
+
 DEFAULT_LEVEL_KEY = ["profile_id", "depth"]
 
 
@@ -62,10 +65,10 @@ INPUT_ORDER = "_input_order"
 
 
 def _in_order(batch: DataFrame, order: list[str] | None) -> tuple[DataFrame, list[str]]:
-    """The batch and the columns of its input order; without any, rows are numbered as they are read."""
+    """The batch and the columns of its input order; without any, rows are numbered as they are read, once."""
     if order:
         return batch, order
-    return batch.withColumn(INPUT_ORDER, F.monotonically_increasing_id()), [INPUT_ORDER]
+    return cut_lineage(batch.withColumn(INPUT_ORDER, F.monotonically_increasing_id())), [INPUT_ORDER]
 
 
 def new_levels(existing: DataFrame, batch: DataFrame, key: list[str] | None = None,
@@ -92,14 +95,14 @@ def skipped_levels(existing: DataFrame, batch: DataFrame, key: list[str] | None
     return stored.unionByName(later).drop(INPUT_ORDER)
 
 
-def ingest_report(existing: DataFrame, batch: DataFrame, key: list[str] | None = None,
-                  order: list[str] | None = None) -> DataFrame:
-    """I5 counts: input rows, inserted rows, skipped rows (one row)."""
+def ingest_report(existing: DataFrame, batch: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """I5 counts: input rows, inserted rows, skipped rows (one row); the batch is read once, reduced to its keys."""
     key = key or DEFAULT_LEVEL_KEY
-    n_in = batch.agg(F.count(F.lit(1)).alias("input_rows"))
-    n_new = new_levels(existing, batch, key, order).agg(F.count(F.lit(1)).alias("inserted_rows"))
-    from bathyspark.functions.aggs import one_row
-    return one_row(n_in, n_new).select(
+    keys = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
+    stored = existing.select(*key).distinct().withColumn("is_stored", F.lit(True))
+    # one row for each key; which of its rows is inserted doesn't matter here
+    return keys.join(stored, key, "left").agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("input_rows"), F.count_if(F.col("is_stored").isNull()).alias("inserted_rows")).select(
         "input_rows", "inserted_rows", (F.col("input_rows") - F.col("inserted_rows")).alias("skipped_rows"))
 
 
@@ -139,3 +142,53 @@ def append_levels(path: str, batch: DataFrame, key: list[str] | None = None,
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
     return n
+
+
+# ------------------------------------------------------------ month-partitioned table with a profile directory
+def _parts(path: str) -> tuple[str, str]:
+    return f"{path}/levels", f"{path}/directory"
+
+
+def _months_of(levels: DataFrame) -> DataFrame:
+    return levels.select("profile_id", F.trunc(F.col("timestamp"), "month").alias(PARTITION_COLUMN)).distinct()
+
+
+def create_level_store(path: str, levels: DataFrame) -> None:
+    """A month-partitioned level table and its directory: which months hold rows of which profile."""
+    table, directory = _parts(path)
+    _months_of(levels).write.mode("overwrite").parquet(f"{directory}/batch=first")
+    write_levels_table(levels, table)
+
+
+def stored_for(spark, path: str, batch: DataFrame) -> DataFrame:
+    """The stored levels that rows of ``batch`` can share a key with, for keys that hold the profile.
+
+    The directory, one row for each profile and month, says which months hold
+    the batch's profiles (whatever months the batch names itself); only their
+    partitions are read.  To the driver come these months, at most one row for
+    each calendar month of the table.
+    """
+    table, directory = _parts(path)
+    known = spark.read.parquet(directory).join(batch.select("profile_id").distinct(), "profile_id", "left_semi")
+    months = [r[0] for r in known.select(PARTITION_COLUMN).distinct().collect()]
+    wanted = F.col(PARTITION_COLUMN).isin([m for m in months if m is not None])
+    if None in months:
+        wanted = wanted | F.col(PARTITION_COLUMN).isNull()
+    return read_levels_table(spark, table).where(wanted)
+
+
+def append_to_store(spark, path: str, batch: DataFrame, name: str, key: list[str] | None = None, order: list[str] | None = None) -> int:
+    """I3 on a level store: writes the new levels of ``batch`` and returns their number.
+
+    The directory is written first, as the folder of the batch's ``name``: after a
+    failure between the two writes it names months in vain, which a retry
+    overwrites, and never lacks one.
+    """
+    table, directory = _parts(path)
+    columns = [c for c in read_levels_table(spark, table).columns if c != PARTITION_COLUMN]
+    fresh = cut_lineage(new_levels(stored_for(spark, path, batch), batch, key, order).select(columns))
+    _months_of(fresh).write.mode("overwrite").parquet(f"{directory}/batch={name}")
+    n = fresh.count()
+    if n:
+        write_levels_table(fresh, table, mode="append")
+    return n

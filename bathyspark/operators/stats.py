@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bathyspark.functions.aggs import exact_mean, one_row
 from bathyspark.schemas import HISTOGRAM_BINS, QUESTION_PARAMETERS
+from bathyspark.session import cut_lineage
 
 
 def _summary_aggs() -> list[Column]:
@@ -114,8 +115,8 @@ def institutions(floats: DataFrame) -> DataFrame:
 def histogram(rows: DataFrame, parameter: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histogram of a parameter, nulls dropped.
 
-    Two passes: a global min/max (one row, attached by a broadcast of that
-    single row), then a grouped count per bin with map-side combine.
+    The rows are read once and counted by value (with map-side combine;
+    measurements have few decimals, so values repeat); range and bins come from these counts.
     """
     return histograms(rows, [parameter], bins)
 
@@ -126,15 +127,21 @@ def histograms(rows: DataFrame, parameters: list[str], bins: int = HISTOGRAM_BIN
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(p).alias("parameter"), F.col(p).cast("double").alias("value")) for p in params
     ])).alias("x")).select("x.parameter", "x.value").where(F.col("value").isNotNull())
-    rng = long.groupBy("parameter").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    counts = cut_lineage(long.groupBy("parameter", "value").agg(F.count(F.lit(1)).alias("n")))
+    return fold_histograms(counts, bins)
+
+
+def fold_histograms(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Equal-width bins from (parameter, value, n), which merges over any parts of the rows by adding ``n``."""
+    rng = counts.groupBy("parameter").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     # one row per parameter: bounded by the parameter list, safe to broadcast
-    j = long.join(F.broadcast(rng), "parameter")
+    j = counts.join(F.broadcast(rng), "parameter")
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     return (j.withColumn("bin", b)
             .groupBy("parameter", "lo", "hi", "bin")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("n").alias("n"))
             .select("parameter", "bin",
                     (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_start"),
                     (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_end"),

@@ -13,6 +13,7 @@ from bathyspark.operators import ingest as I
 from bathyspark.plans.oracle import FLOAT_COLS_SQL, PROFILE_COLS_SQL, sql
 from bathyspark.schemas import FLOAT_COLUMNS, PROFILE_COLUMNS
 from bathyspark.sources import bindings as B
+from bathyspark.sources.io import scratch_dir
 
 ORDER = ["level_no", "part_no", "supp_no", "ext_price"]
 KEY = ["profile_id", "depth"]
@@ -35,7 +36,16 @@ def ingest_skipped(s, d):
 
 def ingest_report(s, d):
     stored, batch = _stored_and_batch(s, d)
-    return I.ingest_report(stored, batch, KEY, ORDER)
+    return I.ingest_report(stored, batch, KEY)
+
+
+def ingest_pruned(s, d):
+    """I3 with a level store: of the stored levels only the months that hold the batch's profiles are read."""
+    lv = B.profile_levels(s, d)
+    path = scratch_dir(s, "level-store")
+    I.create_level_store(path, lv.where(F.col("level_no") <= 3).select(PROFILE_COLUMNS))
+    batch = lv.where(F.col("timestamp").between(F.lit("1996-03-01").cast("timestamp_ntz"), F.lit("1996-04-30").cast("timestamp_ntz")))
+    return I.new_levels(I.stored_for(s, path, batch), batch, KEY, ORDER).select(PROFILE_COLUMNS)
 
 
 def ingest_first_level(s, d):
@@ -62,6 +72,7 @@ QUERIES = {
     "ingest_dedupe": ingest_dedupe,
     "ingest_skipped": ingest_skipped,
     "ingest_report": ingest_report,
+    "ingest_pruned": ingest_pruned,
     "ingest_first_level": ingest_first_level,
     "ingest_floats": ingest_floats,
     "ingest_float_conflicts": ingest_float_conflicts,
@@ -73,6 +84,8 @@ _STORED = "EXISTS (SELECT 1 FROM profiles e WHERE e.level_no <= 3 AND e.profile_
 
 ORACLE = {
     "ingest_dedupe": sql(_RANKED + f"SELECT {PROFILE_COLS_SQL} FROM b WHERE rn = 1 AND NOT {_STORED}"),
+    "ingest_pruned": sql(_RANKED + f"SELECT {PROFILE_COLS_SQL} FROM b WHERE rn = 1 AND NOT {_STORED} "
+                         "AND timestamp BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-04-30'"),
     "ingest_skipped": sql(
         ", fresh AS (SELECT *, row_number() OVER (PARTITION BY profile_id, depth "
         "ORDER BY level_no, part_no, supp_no, ext_price) AS rn FROM profiles b WHERE NOT " + _STORED + ") "

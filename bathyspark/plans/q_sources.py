@@ -41,6 +41,13 @@ def stored_profiles_date_range(s, d):
                         & io.month_pruning("1996-01-01", "1996-01-31")).select(PROFILE_COLUMNS)
 
 
+def stored_profiles_point_box(s, d):
+    """S2 + P11 on the stored, place-clustered level table (row groups pruned by key ranges)."""
+    path = io.scratch_dir(s, "levels-by-place")
+    io.write_levels_by_place(B.profiles(s, d), path)
+    return s.read.parquet(path).where(P.point_box(10.0, 70.0) & io.place_pruning(9.0, 11.0, 69.0, 71.0)).select(PROFILE_COLUMNS)
+
+
 def raw_sql(s, d):
     io.register_tables(B.floats(s, d), B.profiles(s, d))
     return io.execute_sql(s, RAW_SQL, {"min_depth": 1000.0})
@@ -53,6 +60,7 @@ QUERIES = {
     "export_json_rows": lambda s, d: io.json_records(_export_rows(s, d)),
     "raw_sql": raw_sql,
     "stored_profiles_date_range": stored_profiles_date_range,
+    "stored_profiles_point_box": stored_profiles_point_box,
     "readiness": lambda s, d: io.readiness(s, floats=B.floats(s, d), profiles=B.profiles(s, d)).select(
         "table_name", "present", "n_rows"),
 }
@@ -84,6 +92,8 @@ ORACLE = {
     "stored_profiles_date_range": sql(
         f"SELECT {PROFILE_COLS_SQL} FROM profiles "
         "WHERE timestamp BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-01-31'"),
+    "stored_profiles_point_box": sql(
+        f"SELECT {PROFILE_COLS_SQL} FROM profiles WHERE latitude BETWEEN 9.0 AND 11.0 AND longitude BETWEEN 69.0 AND 71.0"),
     "raw_sql": sql("SELECT float_id, count(*) AS n_levels, max(depth) AS max_depth FROM profiles "
                    "WHERE depth > 1000.0 GROUP BY float_id"),
     "readiness": sql("SELECT 'argo_floats' AS table_name, true AS present, count(*) AS n_rows FROM floats "

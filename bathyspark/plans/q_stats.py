@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from bathyspark.functions import filters as P
+from bathyspark.operators import kept_stats as K
 from bathyspark.operators import series as S
 from bathyspark.operators import stats as A
 from bathyspark.plans import answer
@@ -10,6 +13,7 @@ from bathyspark.plans.oracle import mean, sql
 from bathyspark.plans.q_questions import CURRENT_YEAR, FLAGSHIP_QUESTION
 from bathyspark.schemas import FLOAT_COLUMNS
 from bathyspark.sources import bindings as B
+from bathyspark.sources.io import scratch_dir
 
 ONE_FLOAT = "F_001378"
 
@@ -65,7 +69,18 @@ def _hist_sql(params: list[str], rows_sql: str) -> str:
         "FROM v JOIN r ON v.parameter = r.parameter) GROUP BY parameter, lo, hi, bin")
 
 
+def _kept(s, d):
+    """A store of statistics that three batches of levels were added to; profiles go on from one batch to the next."""
+    lv, path = B.profile_levels(s, d), scratch_dir(s, "kept-stats")
+    for batch, part in enumerate((F.col("level_no") <= 2, (F.col("level_no") > 2) & (F.col("depth") < 1000), (F.col("level_no") > 2) & (F.col("depth") >= 1000))):
+        K.add_batch(s, path, lv.where(part), batch)
+    return path
+
+
 QUERIES = {
+    "summary_by_float_kept": lambda s, d: K.summary_by_float(s, _kept(s, d)),
+    "summary_global_kept": lambda s, d: K.profile_summary(s, _kept(s, d)),
+    "dataset_summary_kept": lambda s, d: K.dataset_summary(s, _kept(s, d), _f(s, d)),
     "summary_global": lambda s, d: A.profile_summary(_p(s, d)),
     "summary_one_float": lambda s, d: A.profile_summary(_p(s, d), ONE_FLOAT),
     "summary_missing_float": lambda s, d: A.profile_summary(_p(s, d), "F_NONE"),
@@ -145,3 +160,4 @@ ORACLE = {
         "cast(temperature AS double) AS value FROM r"),
 }
 
+ORACLE |= {f"{name}_kept": ORACLE[name] for name in ("summary_by_float", "summary_global", "dataset_summary")}

@@ -147,6 +147,73 @@ def month_pruning(start, end) -> Column:
     return F.col(PARTITION_COLUMN).between(F.trunc(_ts(start), "month"), F.trunc(_ts(end), "month"))
 
 
+# ------------------------------------------------------------ place-clustered level table
+PLACE_COLUMN = "place"
+PLACE_BITS = 8  # cells of 180 / 2**8 degrees of latitude and 360 / 2**8 of longitude
+
+
+def _place_cells(lat, lon):
+    """Cell numbers of a place, the outermost ones for values beyond the globe."""
+    top = (1 << PLACE_BITS) - 1
+    cell = lambda x, low, width: F.greatest(F.lit(0), F.least(F.lit(top), F.floor((x - low) / width * (top + 1)))).cast("int")
+    return cell(lat, -90.0, 180.0), cell(lon, -180.0, 360.0)
+
+
+def place_key(lat: Column, lon: Column) -> Column:
+    """The bits of both cell numbers in turn: places near each other mostly have near keys (null without a place)."""
+    a, b = _place_cells(lat, lon)
+    out = F.when(lat.isNotNull() & lon.isNotNull(), F.lit(0))
+    for i in range(PLACE_BITS):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(a, i).bitwiseAND(1), 2 * i + 1)).bitwiseOR(F.shiftleft(F.shiftright(b, i).bitwiseAND(1), 2 * i))
+    return out
+
+
+def place_ranges(lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, most: int = 48) -> list[tuple[int, int]]:
+    """Key ranges that together hold every cell that the box touches, ``most`` at most (then with some other cells)."""
+    n = 1 << PLACE_BITS
+    cell = lambda x, low, width: max(0, min(n - 1, int((x - low) // (width / n))))
+    box = (cell(lat_lo, -90.0, 180.0), cell(lat_hi, -90.0, 180.0), cell(lon_lo, -180.0, 360.0), cell(lon_hi, -180.0, 360.0))
+
+    def cover(finest: int):
+        out: list[tuple[int, int]] = []
+
+        def walk(a, b, size, key):
+            if a > box[1] or a + size - 1 < box[0] or b > box[3] or b + size - 1 < box[2]:
+                return
+            if size <= finest or (box[0] <= a and a + size - 1 <= box[1] and box[2] <= b and b + size - 1 <= box[3]):
+                if out and out[-1][1] == key - 1:
+                    out[-1] = (out[-1][0], key + size * size - 1)
+                else:
+                    out.append((key, key + size * size - 1))
+                return
+            half = size // 2
+            for i, (da, db) in enumerate(((0, 0), (0, half), (half, 0), (half, half))):
+                walk(a + da, b + db, half, key + i * half * half)
+
+        walk(0, 0, n, 0)
+        return out
+
+    finest = 1
+    while len(found := cover(finest)) > most:
+        finest *= 2
+    return found
+
+
+def write_levels_by_place(levels: DataFrame, path: str, mode: str = "overwrite", row_group_bytes: int = 128 << 20) -> None:
+    """Store levels sorted by place: range-partitioned on (place key, profile), which also splits a crowded place."""
+    (levels.withColumn(PLACE_COLUMN, place_key(F.col("latitude"), F.col("longitude")))
+     .repartitionByRange(PLACE_COLUMN, "profile_id", "depth").sortWithinPartitions(PLACE_COLUMN, "profile_id", "depth")
+     .write.mode(mode).option("parquet.block.size", row_group_bytes).parquet(path))
+
+
+def place_pruning(lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float) -> Column:
+    """A box as key ranges, to be ANDed with the row filter: files and row groups without such keys aren't read."""
+    out = F.lit(False)
+    for low, high in place_ranges(lat_lo, lat_hi, lon_lo, lon_hi):
+        out = out | F.col(PLACE_COLUMN).between(low, high)
+    return out
+
+
 # ------------------------------------------------------------ relational source
 def read_jdbc_table(spark: SparkSession, url: str, table: str, properties: dict | None = None,
                     id_column: str = "id", num_partitions: int = 64) -> DataFrame:

@@ -446,3 +446,78 @@ def test_knn_equals_brute_force(spark):
     for size in (1 << 20, 5 * 8 * 7):  # one block of queries, then blocks of seven
         got = V.knn_l2(df, df, 4, query_id="id", block_bytes=size)
         assert {(r.query_id, r["rank"], r.neighbour_id) for r in got.collect()} == want
+
+
+def test_store_reads_only_the_months_of_the_batch(spark, tmp_path):
+    """The stored side is pruned, a profile stored in another month than the batch names is found, a retry adds nothing."""
+    import io as text
+    from contextlib import redirect_stdout
+    month = lambda m, day=3: dt.datetime(1996, m, day)
+    old = _levels(spark, [dict(profile_id=f"P{m}", depth=float(d), timestamp=month(m)) for m in range(1, 11) for d in range(5)] + [dict(profile_id="PN", timestamp=None)])
+    batch = _levels(spark, [dict(profile_id="P3", depth=2.0, timestamp=month(3)), dict(profile_id="P3", depth=9.0, timestamp=month(3)),
+                            dict(profile_id="P5", depth=1.0, timestamp=month(3)), dict(profile_id="new", depth=1.0, timestamp=month(3)), dict(profile_id="PN", depth=0.0, timestamp=month(4))])
+    path = str(tmp_path / "store")
+    I.create_level_store(path, old)
+    stored = I.stored_for(spark, path, batch)
+    shown = text.StringIO()
+    with redirect_stdout(shown):
+        stored.explain()
+    assert "PartitionFilters: [(month" in shown.getvalue() and stored.count() == 11
+    order = ["timestamp"]
+    want = I.new_levels(old, batch, order=order).select("profile_id", "depth")
+    assert I.new_levels(stored, batch, order=order).select("profile_id", "depth").exceptAll(want).count() == 0 and want.count() == 2
+    assert I.append_to_store(spark, path, batch, "b1", order=order) == 2
+    assert I.append_to_store(spark, path, batch, "b2", order=order) == 0
+    assert I.stored_for(spark, path, batch).where("profile_id = 'new'").count() == 1
+
+
+def test_report_equals_skipped_rows(spark):
+    lv = B.profile_levels(spark, SF_SMALL)
+    stored, order = lv.where("level_no <= 3"), ["level_no", "part_no", "supp_no", "ext_price"]
+    got = I.ingest_report(stored, lv).first()
+    assert got.skipped_rows == I.skipped_levels(stored, lv, order=order).count() and got.inserted_rows == I.new_levels(stored, lv, order=order).count()
+    nothing = I.ingest_report(stored, lv.where("false")).first()
+    assert (nothing.input_rows, nothing.inserted_rows, nothing.skipped_rows) == (0, 0, 0)
+
+
+def test_kept_summaries_equal_recomputed_ones(spark, tmp_path):
+    """Profiles and floats that go on over batches, nulls, a retried batch."""
+    from bathyspark.operators import kept_stats as K
+    rows = [dict(profile_id=f"P{i % 40}" if i % 17 else None, float_id=f"F{i % 7}" if i % 23 else None, depth=float(i % 90), temperature=None if i % 5 == 0 else i / 7, salinity=30.0 + i / 100,
+                 timestamp=dt.datetime(1996, 1 + i % 9, 1 + i % 28), latitude=i / 10) for i in range(600)]
+    rows.append(dict(profile_id="P1", float_id="other", temperature=1e30))
+    path, parts = str(tmp_path / "kept"), [rows[:200], rows[200:210], rows[210:]]
+    for batch, part in enumerate(parts):
+        for _ in range(2 if batch == 1 else 1):
+            K.add_batch(spark, path, _levels(spark, part), batch)
+    every = _levels(spark, rows)
+    want = {r.float_id: r for r in A.summary_by_float(every).collect()}
+    got = {r.float_id: r for r in K.summary_by_float(spark, path).select(*A.summary_by_float(every).columns).collect()}
+    assert got == want and len(want) == 9
+    assert K.profile_summary(spark, path).collect() == A.profile_summary(every).collect()
+
+
+def test_place_ranges_hold_the_box_and_skip_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from bathyspark.functions.filters import point_box
+    from bathyspark.sources import io
+    rng = np.random.default_rng(2)
+    lat, lon = rng.uniform(-89, 89, 40_000), rng.uniform(-179, 179, 40_000)
+    lv = _levels(spark, [dict(profile_id=f"P{i}", latitude=float(a), longitude=float(b)) for i, (a, b) in enumerate(zip(lat, lon))] + [dict(latitude=None), dict(latitude=90.0, longitude=-180.0)])
+    path = str(tmp_path / "places")
+    io.write_levels_by_place(lv, path, row_group_bytes=1 << 15)
+    for box in ((9.0, 11.0, 69.0, 71.0), (-90.0, -80.0, -180.0, 180.0), (-1.0, 1.0, -1.0, 1.0), (89.0, 95.0, -190.0, -170.0)):
+        inside = F.col("latitude").between(box[0], box[1]) & F.col("longitude").between(box[2], box[3])
+        got = spark.read.parquet(path).where(inside & io.place_pruning(*box))
+        assert got.select("profile_id").exceptAll(lv.where(inside).select("profile_id")).count() == 0 and got.count() == lv.where(inside).count()
+    ranges, met, groups = io.place_ranges(9.0, 11.0, 69.0, 71.0), 0, 0
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        at = meta.schema.to_arrow_schema().get_field_index("place")
+        for g in range(meta.num_row_groups):
+            stat, groups = meta.row_group(g).column(at).statistics, groups + 1
+            met += any(stat.min <= high and stat.max >= low for low, high in ranges)
+    assert groups >= 20 and met <= 0.2 * groups and len(ranges) <= 48
+    assert spark.read.parquet(path).where(point_box(10.0, 70.0) & io.place_pruning(9.0, 11.0, 69.0, 71.0)).count() > 0
