@@ -37,8 +37,6 @@ MASKS = ("110100110111", "101110010111", "111001011011", "1110110101")
 CONTEXT = 64
 #: Bits of the seed filter: 64 a seed, as a power of two, and no more than 32 MB.
 BITS_PER_SEED, MAX_FILTER_BITS, PROBES = 64, 1 << 28, 4
-#: Up to so many seed rows (40 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_SEEDS = 1_000_000
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -144,21 +142,23 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
     short = sorted(r[0] for r in items.where(F.col("n_words") < max(map(len, MASKS))).select("n_words").distinct().collect())
     masks = _masks(short)
 
+    def seeds_of(w):
+        """Seeds of an item and where they begin."""
+        h, at = [], []
+        for number, mask in masks:
+            if number < 100 or len(w) == len(mask):
+                at.append(np.arange(max(0, len(w) - len(mask) + 1)))
+                h.append(_seeds(w, at[-1], mask, number))
+        return np.concatenate(h), np.concatenate(at)
+
     def item_seeds(batches):
         for b in batches:
             for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.frombuffer(words, np.uint64)
-                for number, mask in masks:
-                    if number >= 100 and len(w) != len(mask):
-                        continue
-                    starts = np.arange(max(0, len(w) - len(mask) + 1))
-                    h = _seeds(w, starts, mask, number)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key, np.int64)),
-                                                      pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "item_key", "at"])
+                h = np.unique(seeds_of(np.frombuffer(words, np.uint64))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key, np.int64))], names=["h", "item_key"])
 
-    seeds = staged(items.select("item_key", "words").mapInArrow(item_seeds, "h long, item_key long, at int"), "decontam-seeds")
-    n_seeds, n_items = seeds.count(), items.count()
-    seed_filter = BitFilter.of(seeds.select("h"), n_seeds, PROBES)
+    seeds = staged(items.select("item_key", "words").mapInArrow(item_seeds, "h long, item_key long"), "decontam-seeds")
+    seed_filter = BitFilter.of(seeds.select("h"), seeds.count(), PROBES)
 
     def item_words(batches):
         for b in batches:
@@ -204,25 +204,27 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
     schema = T.StructType([T.StructField("region", long), docs.schema["doc_id"], T.StructField("text_hash", long), T.StructField("lo", long),
                            T.StructField("words", T.BinaryType()), T.StructField("hs", T.ArrayType(long)), T.StructField("ats", T.ArrayType(T.IntegerType()))])
     near = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(regions, schema), "decontam-regions")
-    hits = near.select("region", F.explode(F.arrays_zip("hs", "ats")).alias("x")).select("region", F.col("x.hs").alias("h"), F.col("x.ats").alias("pos"))
-    small = F.broadcast if n_seeds <= BROADCAST_SEEDS else (lambda x: x)
-    found = (hits.join(small(seeds), "h").select("region", "item_key", (F.col("pos") - F.col("at")).alias("diagonal")).distinct())
-    small = F.broadcast if n_seeds <= BROADCAST_SEEDS and n_items <= 20_000 else (lambda x: x)
-    both = (found.join(near.select("region", "doc_id", "text_hash", "lo", F.col("words").alias("doc_words")), "region")
-            .join(small(items), "item_key").select("doc_id", "text_hash", "lo", "doc_words", "item_id", "words", "diagonal"))
+    # region and item meet once, however many seeds they share; the region's words and hits are beside an item once
+    found = near.select("region", F.explode(F.array_distinct("hs")).alias("h")).join(seeds, "h").select("region", "item_key").distinct()
+    both = (found.join(near, "region").join(items.select("item_key", "item_id", F.col("words").alias("item")), "item_key")
+            .select("doc_id", "text_hash", "lo", "words", "hs", "ats", "item_id", "item"))
 
     def verify(batches):
         for pdf in batches:
             out = []
-            for doc_words, words, diagonal in zip(pdf["doc_words"], pdf["words"], pdf["diagonal"]):
-                d, t = np.frombuffer(doc_words, np.uint64), np.frombuffer(words, np.uint64)
-                a, z = max(0, diagonal), min(len(d), diagonal + len(t))
-                same = d[a:z] == t[a - diagonal:z - diagonal]
-                begin, end = best_stretch(same)
-                out.append((a + begin, end - begin, int(same[begin:end].sum()), len(t)))
+            for doc_words, hs, ats, item in zip(pdf["words"], pdf["hs"], pdf["ats"], pdf["item"]):
+                d, t = np.frombuffer(doc_words, np.uint64), np.frombuffer(item, np.uint64)
+                best = (0, 0, 0)
+                for diagonal in _diagonals(np.asarray(hs, np.int64).view(np.uint64), np.asarray(ats, np.int64), *seeds_of(t), len(d), len(t)):
+                    a, z = max(0, diagonal), min(len(d), diagonal + len(t))
+                    same = d[a:z] == t[a - diagonal:z - diagonal]
+                    begin, end = best_stretch(same)
+                    if end - begin >= min(min_overlap, len(t)):
+                        best = max(best, (int(same[begin:end].sum()), end - begin, -(a + begin)))
+                out.append((-best[2], best[1], best[0], len(t)))
             got = pd.DataFrame(out, columns=["at", "overlap_words", "matched_words", "item_words"], index=pdf.index)
             got = pd.concat([pdf[["doc_id", "text_hash", "item_id"]], (got["at"] + pdf["lo"]).rename("start_word"), got.drop(columns="at")], axis=1)
-            yield got[got["overlap_words"] >= np.minimum(min_overlap, got["item_words"])]
+            yield got[got["matched_words"] > 0]
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", long), benchmark.schema["item_id"],
                            *[T.StructField(n, long) for n in ("start_word", "overlap_words", "matched_words", "item_words")]])
@@ -231,6 +233,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
             .select("doc_id", "text_hash", "item_id", (-F.col("b.start")).alias("start_word"), "b.overlap_words", "b.matched_words", "b.item_words"))
 
 
+def _diagonals(hs: np.ndarray, ats: np.ndarray, item_h: np.ndarray, item_at: np.ndarray, n_doc: int, n_item: int) -> np.ndarray:
+    """Offsets of an item in a region at which a seed of both agrees, each once, in time of hits times item words."""
+    order = np.argsort(hs, kind="stable")
+    hs, ats, met = hs[order], ats[order], np.zeros(n_doc + n_item + 1, bool)
+    for h, at in zip(item_h, item_at):
+        met[ats[np.searchsorted(hs, h):np.searchsorted(hs, h, side="right")] - at + n_item] = True
+    return np.flatnonzero(met) - n_item
+
+
 def best_stretch(same: np.ndarray, misses: int = 4) -> tuple[int, int]:
     """The longest stretch with at least ``misses`` true values for each false one, between true values; (0, 0) if there is none."""
     if not same.any():

@@ -37,7 +37,7 @@ def op4_language_id(spark, sf_dir):
 
 def op5_warc(spark, sf_dir):
     archive = warc.write_archive(table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_index(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return warc.read_pages(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -134,3 +134,33 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     tail = F.lit("\r\n\r\n").cast("binary")
     body = F.when(_header("WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
     return joined.select("page_id", F.concat("header", body, tail).alias("record"), "payload", "intact")
+
+
+def read_pages(spark: SparkSession, archive: Archive) -> DataFrame:
+    """page_id, url, html and payload's size and digest of every page, with its record_type and refers_to, all taken from rebuilt records.
+
+    A response's record is put together from its headers and the stored bytes and taken apart
+    again; a revisit's has no payload, its page has that of the payload's
+    own verified record (``html`` is null there, so that a payload isn't copied for each revisit).
+    """
+    records = spark.read.parquet(archive.records)
+    kind = records.schema["page_id"].dataType
+    text = lambda name: F.when(_header(name) != "", _header(name))
+    parsed = records.select(
+        text("X-Page").cast(kind).alias("page_id"), _header("WARC-Target-URI").alias("url"), text("WARC-Type").alias("record_type"),
+        text("X-Refers-To-Page").cast(kind).alias("refers_to"), F.regexp_replace(text("WARC-Payload-Digest"), "^sha1:", "").alias("header_digest"),
+        text("Content-Length").cast("long").alias("block"), "header", "key")
+    revisit = F.col("record_type") == "revisit"
+    stored = verified_payloads(spark, archive)
+    record = F.concat("header", "payload", F.lit("\r\n\r\n").cast("binary"))
+    whole = parsed.where(~revisit).join(stored, "key").withColumn("record", record)
+    # behind the headers, up to the two line ends that close a record
+    html = F.expr("substring(record, length(header) + 1, length(record) - length(header) - 4)")
+    head = F.length("header") - F.length(F.regexp_extract(F.decode("header", "UTF-8"), "(?s)^.*?\r\n\r\n", 0).cast("binary"))
+    responses = whole.withColumn("html", html).select(
+        "page_id", "url", "html", "record_type", "refers_to", F.length("html").cast("long").alias("payload_bytes"), sha1_base32(F.col("html")).alias("payload_digest"),
+        (F.col("intact") & (sha1_base32(F.col("html")) == F.col("header_digest")) & (F.col("block") == head + F.length("html"))).alias("intact"))
+    revisits = parsed.where(revisit).join(stored.drop("payload"), "key").select(
+        "page_id", "url", F.lit(None).cast("binary").alias("html"), "record_type", "refers_to", F.col("stored_bytes").alias("payload_bytes"),
+        F.col("stored_digest").alias("payload_digest"), (F.col("intact") & (F.col("stored_digest") == F.col("header_digest")) & (F.col("block") == head)).alias("intact"))
+    return responses.unionByName(revisits)

@@ -36,6 +36,45 @@ def test_decontamination_finds_exact_and_substituted(spark):
     assert decontam.find_overlaps(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_matches_all_alignments(spark):
+    """Whatever the seeds reach is reported as the best of all alignments; exact and one-word-off overlaps always are."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    items = [[str(w) for w in rng.choice(words, int(n))] for n in rng.integers(5, 40, 25)]
+    texts, planted = [], []
+    for i in range(150):
+        t = [str(w) for w in rng.choice(words, int(rng.integers(0, 60)))]
+        k = int(rng.integers(25))
+        part = list(items[k])
+        if len(part) >= 13 and i % 2:
+            part[int(rng.integers(len(part)))] = "other"
+        at = int(rng.integers(len(t) + 1))
+        texts.append(t[:at] + part + t[at:] if i % 3 else t)
+        if i % 3:
+            planted.append((i, k))
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["overlap_words"], -r["start_word"]) for r in decontam.find_overlaps(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            for off in range(-len(item) + 1, len(t)):
+                a, z = max(0, off), min(len(t), off + len(item))
+                same = np.array([t[j] == item[j - off] for j in range(a, z)], bool)
+                b, e = decontam.best_stretch(same)
+                if e - b >= min(13, len(item)):
+                    want[i, k] = max(want.get((i, k), (0, 0, 0)), (int(same[b:e].sum()), e - b, -(a + b)))
+    assert all(got[x] == want[x] for x in got) and set(planted) <= set(got) and len(got) >= 0.95 * len(want)
+
+
+def test_decontamination_of_a_long_repeated_text(spark):
+    import time
+    item, text = "again " * 60, "again " * 180_000
+    docs = spark.createDataFrame([(1, text), (2, "again and again")], "doc_id long, text string")
+    began = time.time()
+    got = decontam.find_overlaps(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["overlap_words"]) for r in got] == [(1, 60)] and time.time() - began < 60
+
+
 # ------------------------------------------------------------------ 2
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(1)
@@ -177,6 +216,12 @@ def test_archive_round_trip(spark):
         assert block[length:] == b"\r\n\r\n" and r["intact"]
         if b"WARC-Type: response" in head:
             assert block[:length].partition(b"\r\n\r\n")[2] == bytes(r["payload"])
+    index = warc.read_index(spark, archive)
+    pages = warc.read_pages(spark, archive)
+    assert pages.select(index.columns).exceptAll(index).count() == 0 and pages.count() == index.count()
+    assert pages.where("intact").count() == pages.count() and pages.where("(html is null) <> (record_type = 'revisit')").count() == 0
+    html = {r["page_id"]: bytes(r["payload"]) for r in warc.read_records(spark, archive).collect()}
+    assert all(bytes(r["html"]) == html[r["page_id"]] for r in pages.where("html is not null and page_id is not null").collect())
     small = warc.read_index(spark, warc.write_archive(df, min_bytes=10)).collect()
     assert {r["record_type"] for r in small} == {"response"}
     assert warc.read_index(spark, warc.write_archive(df.where("false"))).count() == 0
