@@ -17,7 +17,6 @@ columns are not read.
 from __future__ import annotations
 
 import base64
-import re
 from bisect import bisect_right
 
 import numpy as np
@@ -52,19 +51,16 @@ def cut(length: int, capacity: int, sizes: list[int]) -> list[int]:
 class WordTokenizer:
     """Ids of whole texts by a byte-level BPE, each distinct word tokenised once per task.
 
-    The vocabulary's pattern never joins text across a single space, so a text
-    without two neighbouring white-space characters is the concatenation of
-    its space-separated words, each with its leading space.  Other texts are
+    The vocabulary's pattern never joins text across a space between two
+    characters that are none, so a text whose space-separated words neither begin nor end
+    with white space is the concatenation of them, each with its leading space.  Other texts are
     tokenised whole.  ``path`` is a vocabulary for ``tokenizers``; ``ranks``,
     where given, is the same vocabulary for ``tiktoken``, which is faster.  Texts
     that hold one of the vocabulary's added tokens go to ``tokenizers`` as they are.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-        named = Tokenizer.from_file(path)
-        self.added = [t.content for t in named.get_added_tokens_decoder().values()]
-        self.named = lambda text: named.encode(text, add_special_tokens=False).ids
+    def __init__(self, path: str, added: list[str], ranks: str | None = None, pattern: str | None = None):
+        self.path, self.added, self.coder = path, added, None
         if ranks:
             import tiktoken
             table = {base64.b64decode(t): int(i) for t, i in map(bytes.split, open(ranks, "rb"))}
@@ -78,6 +74,12 @@ class WordTokenizer:
             self.whole, self.size = self.named, None
         self.clear()
 
+    def named(self, text: str) -> list[int]:
+        if self.coder is None:
+            from tokenizers import Tokenizer
+            self.coder = Tokenizer.from_file(self.path)
+        return self.coder.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
@@ -102,7 +104,8 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         added = [any(t in x for t in self.added) for x in texts]
-        split = [None if a or re.search(r"\s\s", x) else x.split(" ") for a, x in zip(added, texts)]
+        split = [None if a else x.split(" ") for a, x in zip(added, texts)]
+        split = [None if x and len(x) > 1 and x[0] and x[0][-1].isspace() else x for x in split]
         if len(self.known) > WORDS:
             self.clear()
         # words with white space at their ends meet only single spaces here, but could meet others when joined
@@ -110,7 +113,7 @@ class WordTokenizer:
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         if plain:
             self._learn(plain)
-        odd = set(new).difference(plain)
+        odd = set(new).difference(plain)  # "" among them
         out = []
         for text, words, named in zip(texts, split, added):
             if named:
@@ -184,8 +187,11 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
                            T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
                            T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    from tokenizers import Tokenizer
+    added = [t.content for t in Tokenizer.from_file(tokenizer_path).get_added_tokens_decoder().values()]
+
     def run(batches):
-        tokens = WordTokenizer(tokenizer_path, ranks_path, pattern)
+        tokens = WordTokenizer(tokenizer_path, added, ranks_path, pattern)
         bins = _Bins(capacity, TaskContext.get().partitionId() << 36)
 
         def rows_out(rows, doc_type):

@@ -135,6 +135,9 @@ def test_packing_covers_every_id_once(spark, docs, rows):
     from tokenizers import Tokenizer
     coder = Tokenizer.from_file(queries.tokenizer()["tokenizer_path"])
     odd = ["abc <|endoftext|> def", "<|endoftext|>", "x  <|endoftext|><|endoftext|>y <|endoftext", "plain words"]
+    rng = np.random.default_rng(12)
+    odd += ["".join(str(c) for c in rng.choice([" ", "\n", "\t", "a", "Bc", "1", "é", "'s", "!", "\u00a0", "\u2003", "\x1c", "\x85"], int(n), p=[.3, .1, .05, .15, .1, .06, .06, .04, .04, .03, .03, .02, .02]))
+            for n in rng.integers(1, 60, 400)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(96000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     rows = rows + [(96000 + i, t) for i, t in enumerate(odd)]
     assert coder.encode(odd[0], add_special_tokens=False).ids == [39305, 220, 50256, 825]
