@@ -3,21 +3,24 @@
 Base patterns (email, ip, card, phone) with their checks give spans that
 always stay.  Looser generators propose more spans of the same kinds: spelled
 or bracketed addresses, defanged numbers, other separators, numbers without a
-country prefix.  Proposals that meet a base span of their kind are positive
-examples, the others unlabelled.  Gradient-boosted trees over a few small
-whole-number features of format and context are fitted to the counts of each
-feature combination; these counts are aggregated over all documents, and their
-number is bounded by the features' ranges (7,200 a kind), so the driver fits
-the trees on a small table.  Half of the documents are for fitting; on
-the others each kind's threshold is the lowest at which proposals over it meet
-a base span at the target precision.  Proposals over it that meet no
-base span of their kind are added.  Trees become SQL expressions.
+country prefix.  Evidence labels some proposals: positive where they meet a
+base span of their kind; negative where a check says no (digit count, check
+digit, octets, top-level name, a full stop before white space, a date, a base
+span of another kind).  The others are unlabelled and take no part in
+fitting.  Gradient-boosted trees see small whole numbers of format and
+context that the evidence doesn't look at; they are fitted to the counts
+of each feature combination, which are aggregated over all documents and bounded
+by the features' ranges, so the driver fits the trees on a small table.
+Half of the documents are for fitting; on the others each kind's threshold
+is the lowest at which labelled proposals over it are positive at the target
+precision.  Unlabelled proposals over it are added.  Trees become SQL expressions.
 
 Every step is within a row; only feature counts are shuffled.  Proposals are
 found once, in a written table that both the fitting and the selection read.
 
 Cases: null text is empty; empty texts have no span; patterns are written
-without nested backtracking, so very long runs are read once; repeated rows
+without nested backtracking, so very long runs are read once, and spans are looked up and
+merged in sorted order, so a text of very many spans is no product; repeated rows
 and null ids are rows like others; with no positive example nothing is added;
 an empty table gives no row; other columns are kept by ``redact`` and not read
 otherwise.
@@ -48,7 +51,7 @@ LOOSE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(]at[\])] ?| at | ?@ ?)[A-Za-z0-9-]{1,63}+(?:(?: ?[\[(]dot[\])] ?| dot | ?\. ?)[A-Za-z0-9-]{1,63}+){1,4}+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4,19}+(?:[\x20._/-]{1,2}+[0-9]{1,6}+){0,6}+(?![0-9])",
-    "phone": r"(?<![0-9])\(?[0-9]{1,4}+\)?(?:[\x20./-]{0,2}\(?[0-9]{2,5}+\)?){2,5}+(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+ ?)?\(?[0-9]{1,4}+\)?(?:[\x20./-]{0,2}\(?[0-9]{2,5}+\)?){2,5}+(?![0-9])",
 }
 # Words that often stand before each kind.
 NEAR = {
@@ -58,23 +61,34 @@ NEAR = {
     "phone": r"(?i)(tel|phone|call|mobile|fax|telefon|tél|móvil)\W*$",
 }
 CONTEXT = 24
-FEATURES = ("digits", "marks", "luhn", "octets", "groups", "near", "before", "after")
+# Generic top-level names; names of two letters are countries'.
+TOP = "com|org|net|edu|gov|mil|int|info|biz|name|app|dev"
+# Fixed value: a date of year, month and day with equal separators.
+DATE = r"^(?:19|20)[0-9]{2}([-./ ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])(?![0-9])"
+FEATURES = {
+    "email": ("top", "local", "groups", "near", "before", "after"),
+    "ip": ("digits", "first", "near", "before", "after"),
+    "card": ("digits", "first", "groups", "near", "before", "after"),
+    "phone": ("tail", "bracket", "near", "before", "after"),
+}
+WIDTH = max(map(len, FEATURES.values()))
 BLOCK = 256
+CHUNK = 4096
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all elements before each (of an array column), in blocks so that long arrays stay linear."""
+def _running(values: Column, both=lambda a, b: a + b) -> Column:
+    """Sums (or another ``both``, from 0) of all elements before each of an array column, in blocks so that long arrays stay linear."""
     zero = F.lit(0).cast("long")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(lengths) / BLOCK).cast("int") - 1)),
-                         lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(values) / BLOCK).cast("int") - 1)),
+                         lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
 
     def prefix(x):
         state = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("before"))
-        step = lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.array_append(s["before"], s["sum"]).alias("before"))
+        step = lambda s, v: F.struct(both(s["sum"], v).alias("sum"), F.array_append(s["before"], s["sum"]).alias("before"))
         return F.aggregate(x, state, step, lambda s: s["before"])
 
-    total = prefix(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, v: s + v)))
-    return F.flatten(F.zip_with(blocks, total, lambda b, t: F.transform(prefix(b), lambda v: v + t)))
+    total = prefix(F.transform(blocks, lambda b: F.aggregate(b, zero, both)))
+    return F.flatten(F.zip_with(blocks, total, lambda b, t: F.transform(prefix(b), lambda v: both(v, t))))
 
 
 def _find(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -147,21 +161,51 @@ def _char_class(c: Column) -> Column:
 
 
 def _features(kind: str, x: Column) -> Column:
-    """Small whole numbers of a proposal: 8 x 5 x 2 x 2 x 5 x 2 x 3 x 3 values at most."""
+    """Small whole numbers of a proposal, none of which the evidence of its kind reads but ``top`` (4,096 combinations at most)."""
     s = x["found"]
-    d = digits_of(s)
-    n = F.length(d)
+    d, n = digits_of(s), F.length(digits_of(s))
     groups = F.filter(F.split(s, "[^0-9]+"), lambda g: g != "")
-    size = F.when(n < 4, 0).when(n < 7, 1).when(n < 9, 2).when(n < 11, 3).when(n < 13, 4).when(n < 16, 5).when(n == 16, 6).otherwise(7)
-    return F.struct(
-        size.alias("digits"), F.least(F.lit(4), F.length(F.regexp_replace(s, r"[\p{L}\p{N}]", ""))).alias("marks"),
-        _luhn_card(s).cast("int").alias("luhn"), F.when(F.size(groups) == 4, F.forall(groups, octet)).otherwise(F.lit(False)).cast("int").alias("octets"),
-        F.least(F.lit(4), F.size(groups)).alias("groups"), x["before"].rlike(NEAR[kind]).cast("int").alias("near"),
-        _char_class(F.substring(x["before"], -1, 1)).alias("before"), _char_class(F.substring(x["after"], 1, 1)).alias("after"))
+    last = lambda i: F.length(F.coalesce(F.get(groups, F.size(groups) - i), F.lit("")))
+    local = F.length(F.regexp_extract(s, r"^[A-Za-z0-9._%+-]+", 0))
+    value = {
+        "top": _top(s),
+        "local": F.when(local < 2, 0).when(local < 5, 1).when(local < 25, 2).otherwise(3),
+        "digits": F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 13, 3).when(n < 15, 4).when(n == 15, 5).when(n == 16, 6).otherwise(7),
+        "first": F.coalesce(F.substring(d, 1, 1).try_cast("int"), F.lit(0)),
+        "groups": F.least(F.lit(4), F.size(groups) if kind == "card" else F.size(F.split(s, r"(?i)\.|\bdot\b"))),
+        "tail": F.when((last(1) == 4) & (last(2).between(2, 4)), 3).when((last(1) == 2) & (last(2) == 2), 2).when(last(1) == 3, 1).otherwise(0),
+        "bracket": F.contains(s, F.lit("(")).cast("int"),
+        "near": x["before"].rlike(NEAR[kind]).cast("int"),
+        "before": _char_class(F.substring(x["before"], -1, 1)),
+        "after": _char_class(F.substring(x["after"], 1, 1)),
+    }
+    return F.struct(*[value[f].alias(f) for f in FEATURES[kind]])
+
+
+def _top(s: Column) -> Column:
+    """2: a generic top-level name, 1: one of two letters, 0: anything else."""
+    return F.when(s.rlike(rf"(?i)[^A-Za-z0-9-](?:{TOP})$"), 2).when(s.rlike(r"[^A-Za-z0-9-][A-Za-z]{2}$"), 1).otherwise(0)
+
+
+def _fails(kind: str, x: Column) -> Column:
+    """Whether a check says that a proposal is not of its kind."""
+    s = x["found"]
+    d = digits_of(s)
+    if kind == "email":
+        return (_top(s) == 0) | s.rlike(r"[A-Za-z0-9]\.\s")
+    if kind == "ip":
+        return ~F.forall(F.filter(F.split(s, "[^0-9]+"), lambda g: g != ""), octet) | s.rlike(r"[0-9]\.\s")
+    if kind == "card":
+        return ~_luhn_card(s)
+    return ~F.length(d).between(9, 15) | s.rlike(DATE) | _meets("base_ip", x) | _meets("base_card", x)
 
 
 def _meets(spans: str, x: Column) -> Column:
-    return F.exists(F.col(spans), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    """Whether x overlaps one of ``spans`` (by start, apart from each other): the last that starts before x ends, by halving."""
+    def step(at, s):
+        return F.when(F.get(spans, at + s - 1)["start"] < x["end"], at + s).otherwise(at)
+    steps = F.filter(F.array(*[F.lit(2 ** i) for i in range(30, -1, -1)]), lambda s: s <= F.size(spans))
+    return F.coalesce(F.get(spans, F.aggregate(steps, F.lit(0), step) - 1)["end"] > x["start"], F.lit(False))
 
 
 def _checked(kind: str) -> Column:
@@ -170,16 +214,19 @@ def _checked(kind: str) -> Column:
 
 
 def _proposed(kind: str) -> Column:
-    return F.transform(f"more_{kind}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
-                                                          _meets(f"base_{kind}", x).alias("meets"), _features(kind, x).alias("f")))
+    label = lambda x: F.when(_meets(f"base_{kind}", x), 1).when(_fails(kind, x), 0)
+    return F.transform(f"more_{kind}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), label(x).alias("label"), _features(kind, x).alias("f")))
 
 
 def _examples(kind: str) -> Column:
-    return F.transform(f"more_{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["meets"].alias("meets"), x["f"].alias("f")))
+    """The labelled proposals, their features by place."""
+    features = lambda x: F.array(*[x["f"][f] for f in FEATURES[kind]], *[F.lit(0)] * (WIDTH - len(FEATURES[kind])))
+    return F.transform(F.filter(f"more_{kind}", lambda x: x["label"].isNotNull()),
+                       lambda x: F.struct(F.lit(kind).alias("kind"), x["label"].alias("label"), features(x).alias("f")))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with, per kind, ``base_<kind>`` (start, end) and ``more_<kind>`` (start, end, meets, f: features)."""
+    """``docs`` with, per kind, ``base_<kind>`` (start, end) and ``more_<kind>`` (start, end, label: 1, 0 or null, f: features)."""
     body = "_pii_text"
     df = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     digit, at = F.col(body).rlike("[0-9]"), F.contains(F.col(body), F.lit("@"))
@@ -194,6 +241,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 class Trees:
     """Boosted trees of one kind: each (feature, cut, feature low, cut low, feature high, cut high, four leaf values); a threshold."""
 
+    names: tuple[str, ...] = ()
     bias: float = 0.0
     trees: list[tuple] = field(default_factory=list)
     threshold: float = math.inf
@@ -201,9 +249,9 @@ class Trees:
     def score(self, f: Column) -> Column:
         out = F.lit(self.bias)
         for a, ca, b, cb, c, cc, leaves in self.trees:
-            low = F.when(f[FEATURES[b]] <= cb, leaves[0]).otherwise(leaves[1])
-            high = F.when(f[FEATURES[c]] <= cc, leaves[2]).otherwise(leaves[3])
-            out = out + F.when(f[FEATURES[a]] <= ca, low).otherwise(high)
+            low = F.when(f[self.names[b]] <= cb, leaves[0]).otherwise(leaves[1])
+            high = F.when(f[self.names[c]] <= cc, leaves[2]).otherwise(leaves[3])
+            out = out + F.when(f[self.names[a]] <= ca, low).otherwise(high)
         return out
 
     def apply(self, x: np.ndarray) -> np.ndarray:
@@ -230,10 +278,10 @@ def _split(x, g, h, rows, lam=1.0):
     return j, cut, low, high, [-(g[r].sum()) / (h[r].sum() + lam) for r in (low, high)]
 
 
-def boost(x: np.ndarray, n: np.ndarray, pos: np.ndarray, rounds: int = 20, rate: float = 0.3) -> Trees:
+def boost(x: np.ndarray, n: np.ndarray, pos: np.ndarray, names: tuple[str, ...] = (), rounds: int = 20, rate: float = 0.3) -> Trees:
     """Logistic boosting of depth-two trees on counts: ``n`` proposals and ``pos`` positive ones per row of ``x``."""
     rate0 = (pos.sum() + 0.5) / (n.sum() + 1)
-    model = Trees(bias=float(math.log(rate0 / (1 - rate0))))
+    model = Trees(names, bias=float(math.log(rate0 / (1 - rate0))))
     score, every = np.full(len(x), model.bias), np.arange(len(x))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
@@ -247,33 +295,34 @@ def boost(x: np.ndarray, n: np.ndarray, pos: np.ndarray, rounds: int = 20, rate:
     return model
 
 
-def calibrate(model: Trees, x: np.ndarray, n: np.ndarray, pos: np.ndarray, precision: float, least: int = 20) -> None:
-    """Set the lowest threshold over which the share of positives is at least ``precision`` (and ``least`` proposals lie)."""
+def calibrate(model: Trees, x: np.ndarray, n: np.ndarray, pos: np.ndarray, precision: float) -> None:
+    """Set the lowest threshold over which the share of positives is at least ``precision``."""
     score = model.apply(x)
     order = np.argsort(-score, kind="stable")
     tn, tp = np.cumsum(n[order]), np.cumsum(pos[order])
     last = np.append(np.diff(score[order]) != 0, True) if len(order) else np.zeros(0, bool)
-    ok = np.flatnonzero(last & (tn >= least) & (tp >= precision * tn))
+    ok = np.flatnonzero(last & (tp >= precision * tn))
     model.threshold = float(score[order][ok[-1]]) - 1e-9 if len(ok) else math.inf
 
 
 def train(found: DataFrame, key: str = "doc_id", precision: float = 0.95) -> dict[str, Trees]:
-    """Fit and calibrate each kind on the proposals of ``candidates`` over all documents, two folds by a hash of ``key``."""
+    """Fit and calibrate each kind on the labelled proposals of ``candidates`` over all documents, two folds by a hash of ``key``."""
     fold = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(2)).cast("int").alias("fold")
     rows = found.select(fold, F.explode(F.concat(*map(_examples, KINDS))).alias("x"))
-    got = rows.groupBy("fold", "x.kind", *[F.col(f"x.f.{f}").alias(f) for f in FEATURES]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("x.meets").cast("long")).alias("pos")).collect()
+    got = rows.groupBy("fold", "x.kind", *[F.get("x.f", i).alias(f"f{i}") for i in range(WIDTH)]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("x.label").cast("long")).alias("pos")).collect()
     out = {}
     for kind in KINDS:
-        part = sorted((tuple(int(r[f]) for f in FEATURES), r["fold"], r["n"], r["pos"]) for r in got if r["kind"] == kind)
+        names = FEATURES[kind]
+        part = sorted((tuple(int(r[f"f{i}"]) for i in range(len(names))), r["fold"], r["n"], r["pos"]) for r in got if r["kind"] == kind)
         sides = []
         for f in (0, 1):
             mine = [r for r in part if r[1] == f]
-            sides.append((np.array([r[0] for r in mine], int).reshape(len(mine), len(FEATURES)), np.array([r[2] for r in mine], float), np.array([r[3] for r in mine], float)))
+            sides.append((np.array([r[0] for r in mine], int).reshape(len(mine), len(names)), np.array([r[2] for r in mine], float), np.array([r[3] for r in mine], float)))
         if not len(sides[0][0]) or not sides[0][2].sum():
             out[kind] = Trees()
             continue
-        out[kind] = boost(*sides[0])
+        out[kind] = boost(*sides[0], names)
         calibrate(out[kind], *sides[1], precision)
     return out
 
@@ -287,7 +336,7 @@ def spans(found: DataFrame, model: dict[str, Trees]) -> DataFrame:
         trees = model[kind]
         if math.isinf(trees.threshold):
             return F.slice(F.col(f"more_{kind}"), 1, 0)
-        return F.filter(f"more_{kind}", lambda x: ~x["meets"] & (trees.score(x["f"]) >= trees.threshold))
+        return F.filter(f"more_{kind}", lambda x: x["label"].isNull() & (trees.score(x["f"]) >= trees.threshold))
 
     by_start = lambda a: F.array_sort(a, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
     both = [by_start(F.concat(named(k, F.col(f"base_{k}")), named(k, added(k)))) for k in KINDS]
@@ -306,28 +355,36 @@ def detect(docs: DataFrame, key: str = "doc_id", precision: float = 0.95) -> Dat
     return spans(found, train(found, key, precision))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", precision: float = 0.95) -> DataFrame:
-    """``docs``, its spans replaced in text by the kind's name in brackets (spans that overlap are one); n_chars follows, if there."""
-    plain = docs.select(F.col(key).alias("_key"), "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"))
-    found = staged(candidates(plain), "pii-found")
-    df = spans(found, train(found, "_key", precision)).select("_row", "text", "spans")
+def masked(df: DataFrame) -> DataFrame:
+    """``df`` with ``new``: ``text``, its ``spans`` replaced by their kind's name in brackets; spans that overlap are one."""
     first = F.array_sort(F.col("spans"), lambda x, y: F.when((x["start"] < y["start"]) | (x["start"] == y["start"]) & (x["end"] > y["end"]), -1)
                          .when((x["start"] == y["start"]) & (x["end"] == y["end"]), 0).otherwise(1))
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-
-    def join(acc, x):
-        last = F.element_at(acc, -1)
-        new = F.array_append(acc, x)
-        wider = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
-        return F.when(F.size(acc) == 0, new).when(x["start"] < last["end"], wider).otherwise(new)
+    df = df.withColumn("first", first)
+    df = df.withColumn("reach", _running(F.transform("first", lambda x: x["end"]), lambda a, b: F.greatest(a, b)))
+    df = df.withColumn("heads", F.filter(F.zip_with("first", "reach", lambda x, r: x.withField("end", r)), lambda x: x["start"] >= x["end"]))
+    ends = F.concat(F.transform(F.slice("heads", F.lit(2), F.size("heads")), lambda x: x["end"]), F.array(F.array_max(F.transform("first", lambda x: x["end"]))))
+    df = df.withColumn("apart", F.when(F.size("first") > 0, F.zip_with("heads", ends, lambda x, e: x.withField("end", e))).otherwise(F.col("heads")))
+    df = df.withColumn("chunks", F.when(F.size("apart") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}+"), F.lit(0))))
+
+    def piece(a, b):
+        at = F.floor(a / CHUNK).cast("int")
+        some = F.slice("chunks", at + 1, F.floor(b / CHUNK).cast("int") - at + 1)
+        return F.substring(F.array_join(some, ""), (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
 
-    df = df.withColumn("apart", F.when(F.size("spans") > 0, F.aggregate(first, empty, join)).otherwise(empty))
-    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("apart", lambda x: x["end"]))
     parts = F.zip_with(F.col("apart"), F.slice(ends, F.lit(1), F.size("apart")), lambda x, a: F.concat(piece(a, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    tail = F.substring(F.col("text"), (F.element_at(ends, -1) + 1).cast("int"), F.length("text"))
+    tail = piece(F.element_at(ends, -1), F.length("text").cast("long"))
     new = F.when(F.size("apart") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
+    return df.withColumn("new", new).drop("first", "reach", "heads", "apart", "chunks")
+
+
+def redact(docs: DataFrame, key: str = "doc_id", precision: float = 0.95) -> DataFrame:
+    """``docs``, its spans replaced in text by the kind's name in brackets (spans that overlap are one); n_chars follows, if there."""
+    plain = docs.select(F.col(key).alias("_key"), "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"))
+    found = staged(candidates(plain), "pii-found")
+    df = spans(found, train(found, "_key", precision)).select("_row", "text", "spans")
+    df = masked(df)
     kept = {c: F.col("new") if c == "text" else F.col("_row")[c] for c in docs.columns}
     if "n_chars" in kept:
         kept["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
-    return df.withColumn("new", new).select([v.alias(c) for c, v in kept.items()])
+    return df.select([v.alias(c) for c, v in kept.items()])

@@ -60,7 +60,8 @@ def op9_jaccard_join(spark, sf_dir):
 def op10_pii(spark, sf_dir):
     found = pii.detect(table(spark, sf_dir, "documents"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.written("base_spans"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.written("base_spans"), 256).alias("base_sha256"), pii.written("spans").alias("spans"),
+                        F.size("spans").cast("long").alias("n_spans"))
 
 
 def op11_hard_negatives(spark, sf_dir):

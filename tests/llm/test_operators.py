@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -485,6 +486,67 @@ def test_personal_data(spark, docs, rows):
     assert pii.detect(empty(docs)).count() == 0
 
 
+def test_personal_data_adds_loose_spans(spark):
+    """Fitted to base spans and failed checks, the trees add loose forms of the same shapes and leave prose, dates and list numbers."""
+    rng, rows, loose = random.Random(5), [], {}
+    words = "the river stands near our old house and they look at me. Then it goes on with some more of this kind".split()
+    text = lambda: " ".join(rng.choices(words, k=12))
+    for i in range(400):
+        area, line, host = rng.randint(200, 989), rng.randint(1000, 9999), f"{rng.choice('abcd')}site{i}.{rng.choice(['com', 'org', 'de'])}"
+        base = [f"+1 ({area}) 555-{line}", f"ann.{i}@{host}", f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7"]
+        bad = [f"{rng.randint(1, 99)} {rng.randint(10, 99)} {rng.randint(100, 999)}", "look at me. Then it", f"{rng.randint(300, 999)}.1.2.{rng.randint(300, 999)}", f"20{i % 90 + 10}-0{i % 9 + 1}-1{i % 10}"]
+        rows.append((i, " ".join(f"{text()} {x} {text()}" for x in base + bad)))
+    plant = {"phone": ["(437) 555-0689", "(612) 555-7788"], "email": ["joe.roe at example dot com", "ann.poe [at] example [dot] org"], "ip": ["10[.]20[.]30[.]40"]}
+    for kind, all_of in plant.items():
+        for x in all_of:
+            i, before = len(rows), text() + " "
+            loose[i] = (kind, len(before), len(before) + len(x))
+            rows.append((i, before + x + " " + text()))
+    clean = list(range(len(rows), len(rows) + 40))
+    rows += [(i, f"{text()} look at me. Then on 2024-05-1{i % 10} we read 1. 2. 3. 4 and 12 of 300 pages at polka dot dress {text()}") for i in clean]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.detect(df).select("doc_id", "spans").collect()}
+    assert all(span in got[i] for i, span in loose.items()), {i: (s, got[i], dict(rows)[i]) for i, s in loose.items() if s not in got[i]}
+    assert not any(got[i] for i in clean), [(got[i], dict(rows)[i]) for i in clean if got[i]][:3]
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert all(red[i] == t[:loose[i][1]] + f"[{loose[i][0].upper()}]" + t[loose[i][2]:] for i, t in rows if i in loose)
+
+
+def test_personal_data_of_a_text_with_very_many_spans(spark):
+    """50,000 spans in one text, beside characters of two sizes: spans are looked up and merged in sorted order."""
+    n = 25_000
+    text = "é😀 " + "x@y.zz 10.0.0.1 " * n
+    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, n_chars int")
+    red = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert red[1]["text"] == "é😀 " + "[EMAIL] [IP] " * n and red[1]["n_chars"] == len(red[1]["text"])
+    assert red[2]["text"] is None and red[3]["text"] == ""
+
+
+def test_overlapping_spans_become_one(spark):
+    """Merged stretches against a plain sweep."""
+    rng = random.Random(3)
+    lists = [[(rng.choice(pii.KINDS), a, a + rng.randint(1, 9)) for a in (rng.randint(0, 900) for _ in range(k))] for k in (0, 1, 5, 300, 700)]
+    text = "".join(rng.choice("abcé😀") for _ in range(5000)) * 2
+
+    def plain(spans):
+        out, last = "", 0
+        merged = []
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if merged and a < merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], b)
+            else:
+                merged.append([kind, a, b])
+        for kind, a, b in merged:
+            out, last = out + text[last:a] + f"[{kind.upper()}]", b
+        return out + text[last:]
+
+    lists = [[(rng.choice(pii.KINDS), 9 * a, 9 * a + b - a) for _, a, b in spans] for spans in lists] + lists
+    seen = [list({(a, b): (k, a, b) for k, a, b in spans}.values()) for spans in lists]
+    df = spark.createDataFrame([(i, text, s) for i, s in enumerate(seen)], "i long, text string, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    got = {r["i"]: r["new"] for r in df.select("i", "text", "spans").transform(pii.masked).collect()}
+    assert all(got[i] == plain(s) for i, s in enumerate(seen))
+
+
 def test_boosting_separates():
     x = np.array([[a, b, 0, 0, 0, 0, 0, 0] for a in range(4) for b in range(4)])
     n = np.full(16, 100.0)
