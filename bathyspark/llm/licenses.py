@@ -19,7 +19,7 @@ gives no row; other columns are not read.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -161,10 +161,13 @@ class Scanner:
                 pairs = align(w[lo:p - i + m + slack].tolist(), tl, lo)
                 if len(pairs) >= self.needed(m):
                     got.append((len(pairs) / m, pairs[0][0], pairs[-1][0]))
-        apart = []
+        # best first; what is chosen lies apart, so only the last that starts before a match ends can meet it
+        apart, starts = [], []
         for c in sorted(got, key=lambda g: (-g[0], g[2] - g[1], g[1])):
-            if all(c[2] < o[1] or c[1] > o[2] for o in apart):
-                apart.append(c)
+            at = bisect_right(starts, c[2])
+            if not at or apart[at - 1][2] < c[1]:
+                starts.insert(at, c[1])
+                apart.insert(at, c)
         return apart
 
 

@@ -286,6 +286,42 @@ def test_license_scan(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licenses_match_every_offset():
+    """Rare words against an alignment at every offset of text and template, around the wanted coverage."""
+    names = ("MIT text", "MPL-2.0 notice", "LGPL notice", "ISC text")
+    scanner, rng, seen = licenses.Scanner({n: licenses.TEMPLATES[n] for n in names}, 0.8), random.Random(11), collections.Counter()
+    filler = "a the of software use any this permission word other notice in and with 7 license".split()
+    for i in range(32):
+        t = [w if rng.random() > rng.choice([0.1, 0.2, 0.25]) else "other" for w in licenses.TEMPLATES[names[i % 4]].split()]
+        t = t[:9] + rng.choices(filler, k=i % 3) + t[9 + i % 2:]
+        text = " ".join(rng.choices(filler, k=rng.randint(0, 40)) + t + rng.choices(filler, k=rng.randint(0, 40)))
+        w, want = scanner.words(text).tolist(), set()
+        for name, template in scanner.templates.items():
+            m = len(template)
+            slack = max(2, m // 4)
+            for d in range(1 - m, len(w)):
+                lo = max(0, d - slack)
+                if len(licenses.align(w[lo:max(0, d + m + slack)], template.tolist(), lo)) >= scanner.needed(m):
+                    want.add(name)
+                    break
+        assert {x[0] for x in scanner(text)} == want
+        seen[len(want)] += 1
+    assert seen[0] and seen[1]
+
+
+def test_licenses_of_a_text_of_repeated_notices():
+    """Matches of one template are set apart in sorted order; they don't overlap."""
+    line = licenses.TEMPLATES["MIT line"]
+    scanner = licenses.Scanner({"MIT line": line}, 0.8)
+    assert scanner(f"{line} " * 40_000) == [("MIT line", 1.0, 0, 4, 40_000)]
+    rng = random.Random(2)
+    for _ in range(20):
+        text = " ".join(rng.choices(line.split(), k=300))
+        got = scanner._matches(*(lambda w, k: (w, np.arange(len(w)), k, np.bincount(k, minlength=len(scanner.vocabulary))))(
+            w := scanner.words(text), np.searchsorted(scanner.vocabulary, w)), scanner.templates["MIT line"], 0)
+        assert all(a[2] < b[1] for a, b in zip(got, got[1:]))
+
+
 def test_patience_alignment():
     text, template = list("xabcdeYfghz"), list("abcdefgh")
     pairs = licenses.align(text, template)
