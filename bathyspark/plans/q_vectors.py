@@ -104,6 +104,12 @@ def knn_small(s, d):
     return V.knn_l2(e, corpus, n_labels_and_more, query_id="vec_id", corpus_id="label")
 
 
+def knn_empty(s, d):
+    """V5: every vector against a corpus without a row (no label is negative) has no neighbour."""
+    e = _emb(s, d)
+    return V.knn_l2(e, e.where("label < 0"), 5, query_id="vec_id", corpus_id="vec_id")
+
+
 def _neighbours(s, d):
     idx, model = _index(s, d)
     parsed = answer.parse_table(B.questions(s, d), CURRENT_YEAR)
@@ -137,6 +143,7 @@ QUERIES = {
     "knn_l2": knn_graph,
     "knn_with_metadata": knn_with_metadata,
     "knn_small": knn_small,
+    "knn_empty": knn_empty,
     "index_floats": index_floats,
     "float_text": float_text,
     "floats_near_text": floats_near_text,
@@ -249,6 +256,8 @@ ORACLE = {
         "e.label AS neighbour_label FROM r JOIN embeddings e ON e.vec_id = r.neighbour_id WHERE r.rk <= 5"),
     "knn_small": sql(_LABEL_MEANS + "SELECT query_id, neighbour_id, distance, cast(row_number() OVER "
                      "(PARTITION BY query_id ORDER BY distance, neighbour_id) AS integer) AS rank FROM d"),
+    "knn_empty": sql("SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, cast(0 AS double) AS distance, cast(1 AS integer) AS rank "
+                     "FROM embeddings q JOIN embeddings c ON c.label < 0"),
     "float_text": sql(_SUMMARIES_CTE + "SELECT float_id, text_summary FROM summaries"),
     "floats_near_text": sql(
         _SUMMARIES_CTE + ", near AS (SELECT *, sqrt((10.5 - latitude) * (10.5 - latitude) + (70.25 - longitude) * (70.25 - longitude)) "
