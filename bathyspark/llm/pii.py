@@ -13,7 +13,7 @@ of each feature combination, which are aggregated over all documents and bounded
 by the features' ranges, so the driver fits the trees on a small table.
 Half of the documents are for fitting; on the others each kind's threshold
 is the lowest at which labelled proposals over it are positive at the target
-precision.  Unlabelled proposals over it are added.  Trees become SQL expressions.
+precision, but not below even odds.  Unlabelled proposals over it are added.  Trees become SQL expressions.
 
 Every step is within a row; only feature counts are shuffled.  Proposals are
 found once, in a written table that both the fitting and the selection read.
@@ -296,13 +296,13 @@ def boost(x: np.ndarray, n: np.ndarray, pos: np.ndarray, names: tuple[str, ...]
 
 
 def calibrate(model: Trees, x: np.ndarray, n: np.ndarray, pos: np.ndarray, precision: float) -> None:
-    """Set the lowest threshold over which the share of positives is at least ``precision``."""
+    """Set the lowest threshold over which the share of positives is at least ``precision``, but not below even odds."""
     score = model.apply(x)
     order = np.argsort(-score, kind="stable")
     tn, tp = np.cumsum(n[order]), np.cumsum(pos[order])
     last = np.append(np.diff(score[order]) != 0, True) if len(order) else np.zeros(0, bool)
     ok = np.flatnonzero(last & (tp >= precision * tn))
-    model.threshold = float(score[order][ok[-1]]) - 1e-9 if len(ok) else math.inf
+    model.threshold = max(0.0, float(score[order][ok[-1]]) - 1e-9) if len(ok) else math.inf
 
 
 def train(found: DataFrame, key: str = "doc_id", precision: float = 0.95) -> dict[str, Trees]:
