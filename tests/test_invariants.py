@@ -521,3 +521,46 @@ def test_place_ranges_hold_the_box_and_skip_row_groups(spark, tmp_path):
             met += any(stat.min <= high and stat.max >= low for low, high in ranges)
     assert groups >= 20 and met <= 0.2 * groups and len(ranges) <= 48
     assert spark.read.parquet(path).where(point_box(10.0, 70.0) & io.place_pruning(9.0, 11.0, 69.0, 71.0)).count() > 0
+
+
+def _shuffled(df):
+    """The columns of every shuffle in the plan, as Spark's own ``Exchange`` nodes print them."""
+    import io as text
+    import re
+    from contextlib import redirect_stdout
+    shown = text.StringIO()
+    with redirect_stdout(shown):
+        df.explain("formatted")
+    return [p for p in shown.getvalue().split("\n\n") if re.match(r"\(\d+\) Exchange", p.strip())]
+
+
+def test_bucketed_levels_need_no_shuffle_of_levels(spark, tmp_path):
+    """A hot float, nulls, repeated rows; a second session's view and an appended batch."""
+    from bathyspark.operators import bucketed as BK
+    rows = [dict(profile_id=None if i % 31 == 0 else f"P{i // 5}", float_id=None if i % 37 == 0 else "hot" if i % 3 == 0 else f"F{i % 40}",
+                 depth=float(i % 9), temperature=i / 7, salinity=30.0 + i / 100, timestamp=dt.datetime(1996, 1, 1), latitude=1.0, longitude=2.0) for i in range(3000)]
+    lv = _levels(spark, rows + rows[:3])
+    floats = spark.createDataFrame([("hot", "active"), ("F1", None), ("unused", "lost")], "float_id string, status string")
+    path = str(tmp_path / "bucketed")
+    name = BK.write_bucketed(lv, path, 8)
+    again = BK.open_bucketed(spark, path, 8)
+    same = lambda a, b: a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    want = lv.join(floats, "float_id", "left").select(*lv.columns, "status")
+    for stored in (spark.table(name), again):
+        by_float, nested, joined = A.summary_by_float(stored), SH.nest_profiles(stored), BK.levels_with_floats(stored, floats, ["status"], 8)
+        assert not _shuffled(nested)
+        assert len(_shuffled(by_float)) == 1 and "temperature#" not in _shuffled(by_float)[0].split("Arguments")[1]
+        with_profile = BK.by_profile(stored, floats, 8)
+        assert _shuffled(with_profile) and not any("depth#" in p for p in _shuffled(with_profile))
+        assert same(by_float, A.summary_by_float(lv)) and same(joined, want)
+        pick = ["profile_id", "float_id", "depths"]
+        assert same(nested.select(pick), SH.nest_profiles(lv).select(pick))
+    assert same(BK.float_summaries(again, floats), floats.join(A.summary_by_float(lv), "float_id", "left"))
+    sizes = [r["n"] for r in spark.read.parquet(path).where("float_id = 'hot'").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 0.3 * sum(sizes)
+    BK.write_bucketed(lv.where("float_id = 'F1'"), path, 8, table=name, mode="append")
+    more = lv.unionByName(lv.where("float_id = 'F1'"))
+    spark.catalog.refreshTable(name)
+    assert same(A.summary_by_float(spark.table(name)), A.summary_by_float(more)) and not _shuffled(SH.nest_profiles(spark.table(name)))
+    empty = spark.table(BK.write_bucketed(lv.where("false"), str(tmp_path / "none"), 8))
+    assert BK.levels_with_floats(empty, floats, ["status"], 8).count() == 0 and A.summary_by_float(empty).count() == 0
