@@ -33,6 +33,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``staged``, as a table bucketed by ``key``: what joins it on ``key`` comes to it."""
+    spark, table = df.sparkSession, f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    (df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").format("parquet")
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table))
+    return spark.table(table)
+
+
 def fresh(base: str, taken) -> str:
     """A column name like ``base`` that none of ``taken`` equals (case-insensitively)."""
     used = {c.lower() for c in taken}
