@@ -12,8 +12,9 @@ bounded sample), each pivot's in rings by their distance to it.  A query first
 reads the block it would lie in itself; its k-th distance there and the triangle
 inequality say which other blocks can hold anything nearer, and only those
 are read.  Blocks of queries and of corpus vectors have a checked size; each pair is
-one co-grouped task, an equi-join on block numbers, that computes
-distances with NumPy, slice by slice, and keeps its own top k per query (by
+one co-grouped task, an equi-join on block numbers.  A single-precision matrix
+product, tile by tile, says with a bounded error which pairs can be near enough; NumPy computes
+these pairs' distances, and the task keeps its own top k per query (by
 rounded distance, then id).  The driver sees the pivots and block bounds only.
 
 V2 on sparse vectors without negative weights (``knn_sparse``) uses inverted
@@ -29,7 +30,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +52,7 @@ except (ImportError, AttributeError, ValueError):  # older cloudpickle: package
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 DISTANCE_DECIMALS = 6
-DEFAULT_BLOCK_BYTES = 64 << 20  # bytes of dense vectors per block of either side
+DEFAULT_BLOCK_BYTES = 16 << 20  # bytes of dense vectors per block of either side
 
 
 # --------------------------------------------------------------------------- V1
@@ -129,67 +131,132 @@ def to_sparse(sparse: DataFrame, docs: DataFrame | None = None, id_col: str = "d
 
 
 def _two_arrays(df: DataFrame, vec: str, out: str) -> list[Column]:
-    """A vector column as two array columns: indices (null if dense) and values.
-
-    Plain arrays convert alike in every session, with Arrow or without;
-    structs do not.
-    """
+    """A vector column as two array columns: indices (null if dense) and values."""
+    kind = _values_type(df, vec)
     if isinstance(df.schema[vec].dataType, T.StructType):
-        return [F.col(f"{vec}.indices").cast("array<int>").alias(f"{out}_at"), F.col(f"{vec}.values").cast("array<double>").alias(f"{out}_values")]
-    return [F.lit(None).cast("array<int>").alias(f"{out}_at"), F.col(vec).cast("array<double>").alias(f"{out}_values")]
+        return [F.col(f"{vec}.indices").cast("array<int>").alias(f"{out}_at"), F.col(f"{vec}.values").cast(kind).alias(f"{out}_values")]
+    return [F.lit(None).cast("array<int>").alias(f"{out}_at"), F.col(vec).cast(kind).alias(f"{out}_values")]
+
+
+def _values_type(df: DataFrame, vec: str) -> str:
+    """Floats travel as floats, all else as doubles."""
+    kind = df.schema[vec].dataType
+    kind = kind["values"].dataType if isinstance(kind, T.StructType) else kind
+    return "array<float>" if isinstance(kind.elementType, T.FloatType) else "array<double>"
 
 
-def _as_matrix(indices, values, dim: int) -> np.ndarray:
-    """Rows of a dense matrix from (indices, values) arrays; null indices: dense values."""
+def _as_matrix(at: pa.Array, values: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a dense matrix of doubles from arrays of indices and values; null indices: dense values.
+
+    A row without a vector, or with a null in it, holds NaN.
+    """
+    held, size = values.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(values), 0).to_numpy()
+    flat = pc.list_flatten(values).to_numpy(zero_copy_only=False).astype(np.float64)
+    dense = at.null_count == len(at)
+    if dense and held.all() and (size == dim).all():
+        return flat.reshape(len(values), dim)
+    if dense and (size[held] != dim).any():
+        raise ValueError(f"vectors of {sorted(set(size[held].tolist()))} values where there should be {dim}")
     out = np.zeros((len(values), dim))
-    for r, (at, v) in enumerate(zip(indices, values)):
-        if at is None:
-            out[r] = np.asarray(v, dtype=np.float64)
-        elif len(at):
-            out[r, np.asarray(at, dtype=np.int64)] = np.asarray(v, dtype=np.float64)
+    if dense:
+        out[held] = flat.reshape(-1, dim)
+    else:
+        out[np.repeat(np.arange(len(values)), size), pc.list_flatten(at).to_numpy(zero_copy_only=False).astype(np.int64)] = flat
+    out[~held] = np.nan
     return out
 
 
+def _matrix_of(table: pa.Table | pa.RecordBatch, out: str, dim: int) -> np.ndarray:
+    at, values = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (table.column(f"{out}_at"), table.column(f"{out}_values")))
+    return _as_matrix(at, values, dim)
+
+
 def _id_type(df: DataFrame, col: str) -> str:
     """Ids are text or whole numbers."""
     return "string" if isinstance(df.schema[col].dataType, T.StringType) else "long"
 
 
-def _id_array(ids: pd.Series) -> np.ndarray:
+def _id_array(ids: pa.ChunkedArray) -> np.ndarray:
     """Ids as a sortable array: 64-bit integers, or text (code-point order, as in SQL)."""
-    return ids.to_numpy().astype(np.int64) if pd.api.types.is_numeric_dtype(ids) else ids.to_numpy().astype(str)
+    return ids.to_numpy().astype(np.int64) if pa.types.is_integer(ids.type) else ids.to_numpy().astype(str)
 
 
 # --------------------------------------------------------------------------- V2
-def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_at: list, c_values: list, k: int,
-             cell_budget: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the k rows of a corpus block nearest to each query, sorted.
+PAIRS_AT_ONCE = 1 << 14  # pairs whose exact distance is computed together
+
+
+def _distances(q_columns: np.ndarray, c_columns: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Rounded distances of pairs of columns, each the left-to-right sum over dimensions."""
+    out = np.empty(len(row))
+    for lo in range(0, len(row), PAIRS_AT_ONCE):
+        at = slice(lo, lo + PAIRS_AT_ONCE)
+        diff = q_columns.take(row[at], axis=1) - c_columns.take(col[at], axis=1)
+        diff *= diff
+        out[at] = diff.sum(axis=0) if len(diff) else 0.0
+    return np.round(out, DISTANCE_DECIMALS)
+
 
-    The corpus is taken in slices, so the distance matrix never exceeds
-    ``cell_budget`` cells (or one column).
+def _nearest(q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, reach: np.ndarray | None = None,
+             cells: int = 1 << 20, width: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, distance) of the k rows of c nearest to each row of q, sorted by distance, then id.
+
+    Pairs farther apart than ``reach`` are left out.  A matrix product of single
+    precision, taken tile by tile of ``cells`` pairs, says which pairs can be
+    among the k nearest; its error is bounded, and only these pairs' distances are
+    computed.  Rows with NaN or infinities have no neighbours and are none.
     """
-    step = max(1, cell_budget // max(len(q_ids), q.shape[1], 1))
-    square = (q * q).sum(1)
-    best_d, best_i = np.empty((len(q_ids), 0)), np.empty((len(q_ids), 0), c_ids.dtype)
-    for lo in range(0, len(c_ids), step):
-        x = _as_matrix(c_at[lo:lo + step], c_values[lo:lo + step], q.shape[1])
-        if c_at[lo] is None:
-            d = np.zeros((len(q_ids), len(x)))
-            for j in range(q.shape[1]):  # left-to-right sum over dimensions
-                diff = q[:, j:j + 1] - x[None, :, j]
-                d += diff * diff
-        else:  # sparse vectors are wide: one matrix product
-            d = np.maximum(square[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T), 0)
-        d = np.concatenate([best_d, np.round(d, DISTANCE_DECIMALS)], axis=1)
-        ids = np.concatenate([best_i, np.broadcast_to(c_ids[lo:lo + step], (len(q_ids), len(x)))], axis=1)
-        keep = min(k, d.shape[1])
-        # only what is as near as the k-th is sorted, ties with it included
-        row, col = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1:keep])
-        order = np.lexsort((ids[row, col], d[row, col], row))
-        first = np.searchsorted(row, np.arange(len(q_ids)))
-        at = order[first[:, None] + np.arange(keep)[None, :]]
-        best_d, best_i = d[row[at], col[at]], ids[row[at], col[at]]
-    return best_d, best_i
+    c_fine, q_fine = (np.flatnonzero(np.isfinite(x).all(1)) for x in (c, q))
+    c, c_ids, q = c[c_fine], c_ids[c_fine], q[q_fine]
+    limit = np.full(len(q), np.inf) if reach is None else reach[q_fine].astype(np.float64)
+    found: list[tuple] = []
+    if not len(c) or not len(q) or k < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    id_order = np.empty(len(c), np.int64)
+    id_order[np.argsort(c_ids, kind="stable")] = np.arange(len(c))  # ties go by the id's place among the ids
+    dim, middle = q.shape[1], c.mean(0)
+    q_near, c_near = q - middle, c - middle
+    q_square, c_square = (q_near * q_near).sum(1), (c_near * c_near).sum(1)
+    most = (np.sqrt(q_square) + np.sqrt(c_square.max())) ** 2
+    kind = np.float32 if most.max() < 1e30 else np.float64
+    margin = 2 * 10.0 ** -DISTANCE_DECIMALS + (dim + 16) * np.finfo(kind).eps * most
+    left = np.concatenate([-2 * q_near, np.ones((len(q), 1))], axis=1).astype(kind)
+    right = np.ascontiguousarray(np.concatenate([c_near, c_square[:, None]], axis=1).astype(kind).T)
+    del q_near, c_near
+    c_columns = np.ascontiguousarray(c.T)
+    width = min(width, len(c))
+    step = max(1, cells // width)
+    for top in range(0, len(q), step):
+        rows = slice(top, min(len(q), top + step))
+        here, q_columns = left[rows], np.ascontiguousarray(q[rows].T)
+        n = len(here)
+        off, slack, bound = q_square[rows], margin[rows], limit[rows].copy()
+        best_row, best_col, best_d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        product, keep = np.empty((n, width), kind), np.empty((n, width), bool)
+        waiting: list[tuple] = []
+        for lo in range(0, len(c), width):
+            wide = min(width, len(c) - lo)
+            d, near = (product, keep) if wide == width else (np.empty((n, wide), kind), np.empty((n, wide), bool))
+            np.matmul(here, right[:, lo:lo + wide], out=d)
+            if lo == 0 and wide >= k:  # k rows of the first tile are as near as this
+                bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1] + off + slack)
+            np.less_equal(d, (bound - off + slack).astype(kind)[:, None], out=near)
+            row, col = np.divmod(np.flatnonzero(near), wide)
+            waiting.append((row, col + lo))
+            if sum(len(x) for x, _ in waiting) < n * k and lo + wide < len(c):
+                continue
+            row, col = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            exact = _distances(q_columns, c_columns, row, col)
+            fit = exact <= bound[row] + slack[row]
+            row, col, exact = (np.concatenate(x) for x in ((best_row, row[fit]), (best_col, col[fit]), (best_d, exact[fit])))
+            order = np.lexsort((id_order[col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best_row, best_col, best_d = (x[place < k] for x in (row, col, exact))
+            bound[row[place == k - 1]] = np.minimum(bound[row[place == k - 1]], exact[place == k - 1])
+        fit = best_d <= limit[rows][best_row]
+        found.append((q_fine[best_row[fit] + top], c_fine[best_col[fit]], best_d[fit]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _vectors(df: DataFrame, id_col: str, vec: str, out: str) -> DataFrame:
@@ -198,7 +265,8 @@ def _vectors(df: DataFrame, id_col: str, vec: str, out: str) -> DataFrame:
 
 
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of rows to pivots."""
+    """Distances of rows to pivots; rows without a vector lie with the first pivot."""
+    x = np.where(np.isfinite(x).all(1)[:, None], x, pivots[:1])
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (x @ pivots.T), 0))
 
 
@@ -240,15 +308,16 @@ def partitions(corpus: DataFrame, dim: int, n: int, per_block: int, most: int =
     if n <= per_block:
         return Partitions(np.zeros((1, dim)), [np.array([np.inf])])
     count = min(most, -(-n // per_block))
-    sample = corpus.orderBy(F.xxhash64("cid", F.lit("pivot")), "cid").limit(count).collect()
-    pivots = _as_matrix([r["c_at"] for r in sample], [r["c_values"] for r in sample], dim)
+    sample = corpus.where(F.col("c_values").isNotNull()).orderBy(F.xxhash64("cid", F.lit("pivot")), "cid").limit(count).collect()
+    pivots = _as_matrix(pa.array([r["c_at"] for r in sample], pa.list_(pa.int32())), pa.array([r["c_values"] for r in sample], pa.list_(pa.float64())), dim)
+    pivots = np.nan_to_num(pivots) if len(pivots) else np.zeros((1, dim))
 
     def measure(batches):
-        for pdf in batches:
-            far = _to_pivots(_as_matrix(list(pdf["c_at"]), list(pdf["c_values"]), dim), pivots)
-            yield pd.DataFrame({"pivot": far.argmin(1), "far": far.min(1)})
+        for batch in batches:
+            far = _to_pivots(_matrix_of(batch, "c", dim), pivots)
+            yield pa.RecordBatch.from_arrays([pa.array(far.argmin(1), pa.int32()), pa.array(far.min(1), pa.float64())], ["pivot", "far"])
 
-    far = corpus.select("c_at", "c_values").mapInPandas(measure, "pivot int, far double")
+    far = corpus.select("c_at", "c_values").mapInArrow(measure, "pivot int, far double")
     share = per_block / max(n, 1)
     cuts = [min(1.0, share * i) for i in range(1, -(-n // per_block) + 1)]
     found = far.groupBy("pivot").agg(F.percentile_approx("far", [*cuts[:-1], 1.0], 1000).alias("q"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n")).collect()
@@ -268,8 +337,9 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
     Vectors are dense arrays, or sparse structs (indices, values) of
     dimension ``dim``, densified inside the tasks.  Ids are whole numbers or
     text; ties at the rounded distance go by the neighbour's id; rows without
-    an id are left out.  ``block_bytes`` bounds a block of either side; the
-    sides are counted before, to know the number of blocks, and the corpus has
+    an id are left out, and so are vectors that are null or hold null or
+    non-finite values.  ``block_bytes`` bounds a block of either side; the
+    sides are counted before, to know the number of blocks, and the queries have
     at least as many as there are cores.
     Output (query_id, neighbour_id, rank, distance); ``rank`` starts at 1.
     An empty corpus gives no rows; a corpus smaller than k gives what exists.
@@ -283,72 +353,87 @@ def knn_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "q
 def _near_rows(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, query_vec: str, corpus_id: str, corpus_vec: str,
                block_bytes: int, dim: int | None) -> tuple[DataFrame, DataFrame, Partitions]:
     """Each read block's k nearest per query; the (query, block) pairs of the second pass; the corpus' partitions."""
+    spark = queries.sparkSession
     q_type, c_type = _id_type(queries, query_id), _id_type(corpus, corpus_id)
+    q_kind, c_kind = _values_type(queries, query_vec), _values_type(corpus, corpus_vec)
     q, c = _vectors(queries, query_id, query_vec, "q"), _vectors(corpus, corpus_id, corpus_vec, "c")
     n_queries, widest = q.agg(F.count(F.lit(1)), F.max(F.size("q_values"))).first()
-    dim = int(widest or 0) if dim is None else dim
+    dim = max(0, int(widest or 0)) if dim is None else dim
     per_block = max(1, block_bytes // max(1, dim * 8))
-    q_blocks = max(1, -(-n_queries // per_block))
-    n_corpus, cores = c.count(), queries.sparkSession.sparkContext.defaultParallelism
+    n_corpus, cores = c.count(), spark.sparkContext.defaultParallelism
+    # a query is sent to each block that it reads, so it is the queries that are parted for the cores
+    q_blocks = max(1, -(-n_queries // per_block), min(cores, n_queries))
     parts = partitions(c, dim, n_corpus, per_block)
-    per_part = min(per_block, max(1, -(-n_corpus // cores)))  # a small corpus has a part for each core
-
-    def home(batches):
-        for pdf in batches:
-            values = [x for x in pdf.columns if x.endswith("_values")][0]
-            pivot, ring, _ = parts.place(_as_matrix(list(pdf[values.replace("values", "at")]), list(pdf[values]), dim))
-            yield pdf.assign(pivot=pivot, ring=ring)
+    q = q.withColumn("q_block", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
 
     def placed(df, kind, out):
         if parts.single:
             return df.withColumns({"pivot": F.lit(0), "ring": F.lit(0)})
-        return df.mapInPandas(home, f"{out}id {kind}, {out}_at array<int>, {out}_values array<double>, pivot int, ring int")
+
+        def home(batches):
+            for batch in batches:
+                pivot, ring, _ = parts.place(_matrix_of(batch, out, dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot, pa.int32()), pa.array(ring, pa.int32())], [*batch.schema.names, "pivot", "ring"])
+
+        return df.mapInArrow(home, f"{kind}, pivot int, ring int")
 
     def others(batches):
-        for pdf in batches:
-            own_pivot, own_ring, far = parts.place(_as_matrix(list(pdf["q_at"]), list(pdf["q_values"]), dim))
-            pivot, ring, bound = parts.bounds(far)
-            reach = np.sqrt(pdf["reach"].fillna(np.inf).to_numpy() + 10.0 ** -DISTANCE_DECIMALS) + 1e-6
-            row, at = np.nonzero((bound <= reach[:, None]) & ((pivot[None, :] != own_pivot[:, None]) | (ring[None, :] != own_ring[:, None])))
-            yield pdf.iloc[row].drop(columns="reach").assign(pivot=pivot[at], ring=ring[at])
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []}, dtype=object)
-        block = _as_matrix(list(left["q_at"]), list(left["q_values"]), dim)
-        d, ids = _nearest(_id_array(left["qid"]), block, _id_array(right["cid"]), list(right["c_at"]), list(right["c_values"]), k)
-        return pd.DataFrame({"query_id": np.repeat(left["qid"].to_numpy(), d.shape[1]).tolist(),
-                             "neighbour_id": ids.reshape(-1).tolist(), "distance": d.reshape(-1)})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                own_pivot, own_ring, far = parts.place(_matrix_of(some, "q", dim))
+                pivot, ring, bound = parts.bounds(far)
+                reach = some.column("reach").to_numpy(zero_copy_only=False).astype(np.float64)
+                reach = np.sqrt(np.where(np.isnan(reach), np.inf, reach) + 10.0 ** -DISTANCE_DECIMALS) + 1e-6
+                row, at = np.nonzero((bound <= reach[:, None]) & ((pivot[None, :] != own_pivot[:, None]) | (ring[None, :] != own_ring[:, None])))
+                for first in range(0, len(row), 8192):
+                    r, a = row[first:first + 8192], at[first:first + 8192]
+                    yield pa.RecordBatch.from_arrays([*some.take(pa.array(r)).columns, pa.array(pivot[a], pa.int32()), pa.array(ring[a], pa.int32())],
+                                                     [*some.schema.names, "pivot", "ring"])
+
+    id_types = [pa.string() if x == "string" else pa.int64() for x in (q_type, c_type)]
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, col, d = [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        if left.num_rows and right.num_rows:
+            reach = left.column("reach").to_numpy().astype(np.float64)
+            row, col, d = _nearest(_matrix_of(left, "q", dim), _id_array(right.column("cid")), _matrix_of(right, "c", dim), k,
+                                   np.where(np.isnan(reach), np.inf, reach))
+        return pa.table([left.column("qid").combine_chunks().take(pa.array(row)).cast(id_types[0]),
+                         right.column("cid").combine_chunks().take(pa.array(col)).cast(id_types[1]), pa.array(d, pa.float64())],
+                        names=["query_id", "neighbour_id", "distance"])
 
     # rings are cut by approximate quantiles, so a ring of equal distances may be larger: a hash parts it
     if parts.single:
-        stored, sizes = placed(c, c_type, "c"), None
+        stored, sizes = placed(c, "", "c"), None
     else:
-        stored = cut_lineage(placed(c, c_type, "c"))
-        sizes = cut_lineage(stored.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("n_parts")))
+        stored = cut_lineage(placed(c, f"cid {c_type}, c_at array<int>, c_values {c_kind}", "c"))
+        counted = stored.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("n_parts"))
+        sizes = spark.createDataFrame(counted.collect(), counted.schema)  # one row a block
 
     def parted(df, number):
         """Rows with their block's parts, as ``number`` makes them of ``n_parts``."""
-        df = df.join(sizes, ["pivot", "ring"]) if sizes is not None else df.withColumn("n_parts", F.lit(max(1, -(-n_corpus // per_part))))
-        return df.withColumn("c_part", number).drop("n_parts")
+        if sizes is None:
+            return df.withColumn("c_part", F.lit(0))
+        return df.join(F.broadcast(sizes), ["pivot", "ring"]).withColumn("c_part", number).drop("n_parts")
 
     dealt = parted(stored, F.pmod(F.xxhash64("cid"), "n_parts").cast("int"))
     keys = ["pivot", "ring", "c_part", "q_block"]
 
     def read(pairs):
-        left = parted(pairs, F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).withColumn("q_block", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
+        left = parted(pairs, F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
         right = dealt.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, f"query_id {q_type}, neighbour_id {c_type}, distance double")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, f"query_id {q_type}, neighbour_id {c_type}, distance double")
 
-    first = read(placed(q, q_type, "q"))
+    q_columns = f"qid {q_type}, q_at array<int>, q_values {q_kind}, q_block int, reach double"
+    first = read(placed(q.withColumn("reach", F.lit(None).cast("double")), q_columns, "q"))
     if parts.single:
-        return first, placed(q, q_type, "q").where("false"), parts
+        return first, placed(q, "", "q").where("false"), parts
     first = cut_lineage(first)
     kth = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     reach = (first.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
              .select(F.col("query_id").alias("qid"), F.col("distance").alias("reach")))
-    pairs = q.join(reach, "qid", "left").select("qid", "q_at", "q_values", "reach").mapInPandas(
-        others, f"qid {q_type}, q_at array<int>, q_values array<double>, pivot int, ring int")
+    pairs = q.join(reach, "qid", "left").select("qid", "q_at", "q_values", "q_block", "reach").mapInArrow(others, f"{q_columns}, pivot int, ring int")
     return first.unionByName(read(pairs)), pairs, parts
 
 

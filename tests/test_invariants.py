@@ -564,3 +564,38 @@ def test_bucketed_levels_need_no_shuffle_of_levels(spark, tmp_path):
     assert same(A.summary_by_float(spark.table(name)), A.summary_by_float(more)) and not _shuffled(SH.nest_profiles(spark.table(name)))
     empty = spark.table(BK.write_bucketed(lv.where("false"), str(tmp_path / "none"), 8))
     assert BK.levels_with_floats(empty, floats, ["status"], 8).count() == 0 and A.summary_by_float(empty).count() == 0
+
+
+def test_knn_computes_few_distances(monkeypatch):
+    """The matrix product leaves few pairs whose distance is computed; ties, far-off values and lame rows included, the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    computed = []
+    plain = V._distances
+    monkeypatch.setattr(V, "_distances", lambda q, c, row, col: computed.append(len(row)) or plain(q, c, row, col))
+    for n, m, dim, k, off, decimals in ((300, 5000, 16, 5, 0, 9), (40, 2500, 3, 7, 1000, 1), (50, 3, 4, 5, 0, 1), (7, 0, 3, 2, 0, 1)):
+        q, c = (np.round(rng.normal(size=(x, dim)), decimals) + off for x in (n, m))
+        q[3], c[-1:] = np.nan, np.inf
+        ids, reach = rng.permutation(m), np.full(n, 1.5)
+        d = np.nan_to_num(np.round(((q[:, None] - c[None]) ** 2).sum(2), 6), nan=np.inf)
+        for most in (None, reach):
+            computed.clear()
+            row, col, got = V._nearest(q, ids, c, k, most, cells=1 << 12, width=512)
+            want = [(i, int(ids[j]), d[i, j]) for i in range(n) for j in np.lexsort((ids, d[i]))[:k] if d[i, j] <= (1e9 if most is None else 1.5)]
+            assert [(int(i), int(ids[j]), x) for i, j, x in zip(row, col, got)] == want
+            assert dim != 16 or sum(computed) < 0.02 * n * m
+
+
+def test_knn_leaves_out_lame_vectors(spark):
+    e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0])], "id long, embedding array<double>")
+    for size in (1 << 20, 16):
+        got = sorted((r.query_id, r.neighbour_id, r.distance) for r in V.knn_l2(e, e, 3, query_id="id", block_bytes=size).collect())
+        assert got == [(1, 1, 0.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 0.0)]
+
+
+def test_knn_sends_a_query_to_a_small_corpus_once(spark):
+    """A few corpus vectors make one block, however many cores there are; the queries are parted instead."""
+    e = B.table(spark, SF_SMALL, "embeddings")
+    found, _, parts = V._near_rows(e, e.limit(9), 20, "vec_id", "embedding", "vec_id", "embedding", V.DEFAULT_BLOCK_BYTES, None)
+    assert parts.single and found.count() == 9 * e.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1  # the corpus is copied for the blocks of queries, no query for parts of the corpus
