@@ -5,13 +5,15 @@ back as one row and become literal predicates, so the time bound reaches the
 Parquet scan and the lat/lon bounds are evaluated before the join.
 
 Many questions (Q10): questions are reduced to distinct bound signatures;
-signatures meet pre-aggregated levels in equi-joins, on (region, calendar
-node) or on a 1-degree cell, aggregated per signature with map-side partial
+levels are rolled up to (box, calendar node), where a box is a named region or a
+distinct box of the signatures that they meet by 1-degree cells; signatures
+meet these in an equi-join, are aggregated with map-side partial
 aggregation, and joined back to the questions on the signature key.  No question text is turned into SQL text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -125,6 +127,11 @@ def parse_table(questions: DataFrame, current_year: int, text_col: str = "questi
     return parse_frame(questions, text_col, current_year, "p", bounds=bounds_from, bounds_out="b")
 
 
+def spread(questions: DataFrame) -> DataFrame:
+    """Questions dealt to all cores: parsing a question takes much longer than reading it, and a small file is one task's."""
+    return questions.repartition(4 * questions.sparkSession.sparkContext.defaultParallelism, "question_id")
+
+
 def _month_key(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts) - 1
 
@@ -174,6 +181,17 @@ def level_groups(profiles: DataFrame, value_params: list[str] | None = None) ->
                     F.col("timestamp").alias("t_min"), F.col("timestamp").alias("t_max"))
 
 
+def level_partials(levels: DataFrame, value_params: list[str] | None = None) -> DataFrame:
+    """Each level as the partial statistics of itself, beside its own columns: nothing is shuffled before a roll-up."""
+    value_params = STAT_PARAMS if value_params is None else value_params
+    flags = [F.coalesce(F.col("depth") <= F.lit(PROFILE_MAX_DEPTH), F.lit(False)).alias("shallow")] + [F.col(p).isNotNull().alias(f"has_{p}") for p in STAT_PARAMS]
+    values = [F.lit(1).cast("long").alias("n")] + [F.col(p).isNotNull().cast("long").alias(f"{p}_n") for p in STAT_PARAMS]
+    for p in value_params:
+        values += [F.col(p).alias(f"{p}_min"), F.col(p).alias(f"{p}_max"), exact_value(F.col(p)).alias(f"{p}_sum"), far_value(F.col(p)).alias(f"{p}_far")]
+    ends = [F.col(c).alias(f"{short}_{end}") for c, short in (("latitude", "lat"), ("longitude", "lon"), ("timestamp", "t")) for end in ("min", "max")]
+    return levels.select("*", *flags, *values, *ends)
+
+
 def _flag_condition(b: str) -> Column:
     c = lambda name: F.col(f"{b}.{name}")
     conds = [(~c(f"need_{p}")) | F.col(f"has_{p}") for p in STAT_PARAMS]
@@ -259,27 +277,69 @@ def calendar_cover(lo: Column, hi: Column) -> Column:
     return F.concat(whole, F.array(_node(MIDNIGHT, day(hi))))
 
 
-def _by_calendar(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
-    """Signatures of a named region or of anywhere, between midnights or at any time: equi-joins on (box, calendar node)."""
+BROADCAST_CELLS = 100_000  # cells of boxes, each a short row, that are broadcast
+
+
+def _box_name() -> Column:
+    """A signature's box as text: its number, or its bounds."""
+    return F.coalesce(_box_of().cast("string"), F.concat_ws(",", *BOUND_FIELDS[:4]))
+
+
+def _daily_regions(groups: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
+    """Partial statistics per (flags, box, day, midnight) of the named regions and of anywhere.
+
+    Rows are merged once, by the set of regions that they lie in.
+    """
     lat, lon, ts = F.col("latitude"), F.col("longitude"), F.col("timestamp")
-    inside = [F.when(lat.between(F.lit(la0), F.lit(la1)) & _lon_test(F.lit(lo0), F.lit(lo1), wrap), F.lit(i))
-              for i, (la0, la1, lo0, lo1) in enumerate(REGION_BOXES)]
-    daily = (groups.withColumn("box", F.explode(F.array_compact(F.array(F.lit(ANYWHERE), *inside))))
-             .groupBy(*FLAG_COLUMNS, "box", ts.cast("date").alias("day"), F.coalesce(_is_midnight(ts), F.lit(False)).alias("midnight"))
+    inside = [F.coalesce(lat.between(F.lit(la0), F.lit(la1)) & _lon_test(F.lit(lo0), F.lit(lo1), wrap), F.lit(False)) for la0, la1, lo0, lo1 in REGION_BOXES]
+    regions = reduce(lambda x, y: x + y, [F.when(x, F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(inside)])
+    daily = (groups.groupBy(*FLAG_COLUMNS, regions.alias("regions"), ts.cast("date").alias("day"), F.coalesce(_is_midnight(ts), F.lit(False)).alias("midnight"))
              .agg(*_merge_partials(value_params)))
+    boxes = [F.when(F.col("regions").bitwiseAND(F.lit(1 << i)) != 0, F.lit(str(i))) for i in range(len(REGION_BOXES))]
+    return daily.withColumn("box", F.explode(F.array_compact(F.array(F.lit(str(ANYWHERE)), *boxes)))).drop("regions")
+
+
+def _box_cells(sigs: DataFrame) -> DataFrame:
+    """The 1-degree cells that each distinct other box of the signatures touches."""
+    span = lambda a, b: F.when(F.col(a) <= F.col(b), F.sequence(_cell(F.col(a)), _cell(F.col(b))))
+    return (sigs.where(_box_of().isNull()).select(_box_name().alias("box"), *BOUND_FIELDS[:4]).distinct()
+            .withColumn("cell_lat", F.explode(span("lat_lo", "lat_hi"))).withColumn("cell_lon", F.explode(span("lon_lo", "lon_hi"))))
+
+
+def _daily_boxes(groups: DataFrame, cells: DataFrame, wrap: bool, value_params: list[str], partials: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Partial statistics per (flags, box, day, midnight) of the boxes with these cells: each row meets a box once, however many signatures have it."""
+    ts, nowhere = F.col("timestamp"), F.lit(-9999)
+    placed = groups.withColumns({"cell_lat": F.coalesce(_cell(F.col("latitude")), nowhere), "cell_lon": F.coalesce(_cell(F.col("longitude")), nowhere)})
+    inside = F.col("latitude").between(F.col("lat_lo"), F.col("lat_hi")) & _lon_test(F.col("lon_lo"), F.col("lon_hi"), wrap)
+    # no null test is inferred from this condition, so that the levels are read as for the regions, once for both
+    met = placed.join(cells, ["cell_lat", "cell_lon"]).where(F.coalesce(inside, F.lit(False))).drop("cell_lat", "cell_lon", *BOUND_FIELDS[:4])
+    met = met.repartition(F.xxhash64(*met.columns))  # the few rows that lie in a box, dealt evenly; joined and summed in one stage they took four times as long
+    return (partials(met).groupBy(*FLAG_COLUMNS, "box", ts.cast("date").alias("day"), F.coalesce(_is_midnight(ts), F.lit(False)).alias("midnight"))
+            .agg(*_merge_partials(value_params)))
+
+
+def _by_calendar(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str], partials: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Signatures between midnights or at any time: equi-joins on (box, calendar node).
+
+    Named regions and anywhere are a fixed number of boxes.  Of other boxes the
+    distinct ones meet the rows of their cells.
+    """
+    daily = _daily_regions(partials(groups), wrap, value_params)
+    cells = _box_cells(sigs)
+    if n_cells := cells.count():
+        daily = daily.unionByName(_daily_boxes(groups, F.broadcast(cells) if n_cells <= BROADCAST_CELLS else cells, wrap, value_params, partials))
     nodes = calendar_nodes(daily, value_params)
     cover = F.when(F.col("ts_lo").isNull(), F.array(_node(ALL_TIME, F.lit(0)))).when(F.col("ts_lo") <= F.col("ts_hi"), calendar_cover(F.col("ts_lo"), F.col("ts_hi")))
-    asked = sigs.withColumn("b_box", _box_of()).withColumn("b_node", F.explode(cover))
+    asked = sigs.withColumn("b_box", _box_name()).withColumn("b_node", F.explode(cover))
     return nodes.join(asked.alias("b"), (F.col("box") == F.col("b.b_box")) & (F.col("kind") == F.col("b.b_node.kind"))
                       & (F.col("number") == F.col("b.b_node.number")) & _flag_condition("b"))
 
 
 def _by_probe(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
-    """All other signatures, on the groups themselves.
+    """Signatures of a time with an end between midnights, on the groups themselves.
 
-    One with a narrow box meets the groups of the 1-degree cells that the box
-    touches (timed: only those of its months as well); one of a
-    region with an end between midnights meets those of its months.
+    One with a narrow box meets the groups of its months in the 1-degree cells that
+    the box touches; one of a region meets those of its months.
     """
     lo, hi = F.col("ts_lo"), F.col("ts_hi")
     months = F.when(lo.isNull(), F.array(F.lit(None).cast("int"))).when(lo <= hi, F.sequence(_month_key(lo), _month_key(hi)))
@@ -295,18 +355,19 @@ def _by_probe(groups: DataFrame, sigs: DataFrame, wrap: bool) -> DataFrame:
                        (F.col("probe") == F.col("b.b_probe")) & _group_condition("b", wrap))
 
 
-def _match(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str]) -> DataFrame:
+def _match(groups: DataFrame, sigs: DataFrame, wrap: bool, value_params: list[str], partials: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Partial statistics matched to each signature; every (group, signature) pair is counted once.
 
-    Signatures of a named region or of anywhere meet statistics rolled up to
-    calendar nodes, a fixed number of them; narrow boxes meet the groups
-    of their cells.  Adaptive execution broadcasts a small side and splits a skewed one.
+    Signatures between midnights or at any time, which is all that questions
+    ask, meet statistics rolled up to boxes and calendar nodes; others meet the groups
+    of their cells and months.  ``partials`` makes the partial statistics of rows
+    that have none yet, after the joins that drop rows.
     """
-    untimed = F.col("ts_lo").isNull()
-    rolled = _box_of().isNotNull() & (untimed | (_is_midnight(F.col("ts_lo")) & _is_midnight(F.col("ts_hi"))))
+    rolled = F.coalesce(F.col("ts_lo").isNull() | (_is_midnight(F.col("ts_lo")) & _is_midnight(F.col("ts_hi"))), F.lit(False))
     keep = [F.col(f"b.{c}").alias(c) for c in BOUND_FIELDS] + [F.col(c) for part in _partials(value_params) for c in part]
-    return (_by_calendar(groups, sigs.where(rolled), wrap, value_params).select(keep)
-            .unionByName(_by_probe(groups, sigs.where(~rolled), wrap).select(keep)))
+    met = _by_calendar(groups, sigs.where(rolled), wrap, value_params, partials).select(keep)
+    others = sigs.where(~rolled)
+    return met if others.isEmpty() else met.unionByName(_by_probe(partials(groups), others, wrap).select(keep))
 
 
 def _signature_stats(value_params: list[str]) -> list[Column]:
@@ -328,14 +389,14 @@ def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
     """Per distinct bound signature: matched-row statistics (Q10 core).
 
     Values are summarised for ``value_params`` (default: every parameter),
-    whatever the questions ask and however many there are.  Level groups and
-    signatures are each computed once, as checkpoints in the shared folder.  The depth
-    bound is either absent or the fixed profile cap.
+    whatever the questions ask and however many there are.  Signatures are
+    computed once, as a checkpoint in the shared folder; levels are rolled up as
+    they are read.  The depth bound is either absent or the fixed profile cap.
     """
     value_params = list(STAT_PARAMS) if value_params is None else value_params
     sigs = cut_lineage(parsed.select("b.*").distinct())
-    groups = cut_lineage(level_groups(profiles, value_params))
-    return _match(groups, sigs, wrap, value_params).groupBy(*BOUND_FIELDS).agg(*_signature_stats(value_params))
+    levels = profiles.select("latitude", "longitude", "timestamp", "depth", *STAT_PARAMS)
+    return _match(levels, sigs, wrap, value_params, lambda rows: level_partials(rows, value_params)).groupBy(*BOUND_FIELDS).agg(*_signature_stats(value_params))
 
 
 def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int, mode: str = "default",
@@ -346,7 +407,7 @@ def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int,
     statistics of its rows (``total_records`` is 0 when nothing matched).
     In literal mode a question the literal rules fail on gets no statistics.
     """
-    parsed = parse_table(questions, current_year)
+    parsed = cut_lineage(parse_table(spread(questions), current_year))
     stats = signature_stats(profiles, parsed, wrap)
     flat = parsed.select("*", *[F.col(f"b.{c}").alias(f"_k_{c}") for c in BOUND_FIELDS])
     on = [F.col(f"_k_{c}").eqNullSafe(F.col(f"s.{c}")) for c in BOUND_FIELDS]

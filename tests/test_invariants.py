@@ -599,3 +599,18 @@ def test_knn_sends_a_query_to_a_small_corpus_once(spark):
     assert parts.single and found.count() == 9 * e.count()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(") == 1  # the corpus is copied for the blocks of queries, no query for parts of the corpus
+
+
+def test_questions_of_one_place_meet_its_levels_once(spark):
+    """Levels are rolled up for the distinct boxes and not for each question of a place and time; no level is shuffled by its own place."""
+    import datetime as dt
+    from bathyspark.plans import answer
+    lv = _levels(spark, [dict(latitude=10 + i % 97 / 100, longitude=50.0 + i % 89 / 100, timestamp=dt.datetime(1996, 3, 1 + i % 31), depth=float(i % 40), temperature=float(i)) for i in range(3000)])
+    sigs = _signatures(spark, [dict(lat_lo=9.5, lat_hi=11.5, lon_lo=49.5, lon_hi=51.5, depth_hi=d, ts_lo=dt.datetime(1996, 3, a), ts_hi=dt.datetime(1996, 3, 31))
+                               for a in range(1, 20) for d in (None, 1000.0)]).distinct()
+    met = answer._match(lv, sigs, False, ["temperature"], lambda rows: answer.level_partials(rows, ["temperature"]))
+    assert met.count() <= sigs.count() * 32  # days, not the 3,000 levels of each question
+    sums = {tuple(r)[:-2]: (r.n, r.s) for r in met.groupBy(*answer.BOUND_FIELDS).agg(F.sum("n").alias("n"), F.sum("temperature_sum").cast("double").alias("s")).collect()}
+    for r in sigs.collect():
+        want = lv.where(answer.bounds_predicate(r)).agg(F.count("*"), F.sum("temperature")).first()
+        assert sums[tuple(r)] == tuple(want)
