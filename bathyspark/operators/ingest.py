@@ -86,13 +86,13 @@ def skipped_levels(existing: DataFrame, batch: DataFrame, key: list[str] | None
     """Every batch row not inserted, with the reason."""
     key = key or DEFAULT_LEVEL_KEY
     batch, order = _in_order(batch, order)
-    stored = batch.join(existing.select(*key), key, "left_semi").withColumn(
-        "reason", F.lit("key already stored"))
-    fresh = batch.join(existing.select(*key), key, "left_anti")
-    firsts = first_per_key(fresh, key, order).select(*key, _order_struct(order).alias("_first"))
-    later = (fresh.join(firsts, key).where(_order_struct(order) != F.col("_first"))
-             .drop("_first").withColumn("reason", F.lit("repeated in batch")))
-    return stored.unionByName(later).drop(INPUT_ORDER)
+    columns = batch.columns
+    # one row for each key, of the key and its first row's order alone, map-side combined; whole rows are shuffled once
+    firsts = batch.groupBy(*key).agg(F.min(_order_struct(order)).alias("_first"))
+    stored = existing.select(*key).distinct().withColumn("_stored", F.lit(True))
+    is_stored = F.coalesce(F.col("_stored"), F.lit(False))
+    return (batch.join(firsts.join(stored, key, "left"), key).where(is_stored | (_order_struct(order) != F.col("_first")))
+            .select(*columns, F.when(is_stored, "key already stored").otherwise("repeated in batch").alias("reason")).drop(INPUT_ORDER))
 
 
 def ingest_report(existing: DataFrame, batch: DataFrame, key: list[str] | None = None) -> DataFrame:

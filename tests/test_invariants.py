@@ -614,3 +614,12 @@ def test_questions_of_one_place_meet_its_levels_once(spark):
     for r in sigs.collect():
         want = lv.where(answer.bounds_predicate(r)).agg(F.count("*"), F.sum("temperature")).first()
         assert sums[tuple(r)] == tuple(want)
+
+
+def test_skipped_levels_shuffle_whole_rows_once(spark):
+    rows = [dict(profile_id=f"p{i % 7}", depth=float(i % 5), temperature=float(i)) for i in range(60)]
+    batch = _levels(spark, rows)
+    skipped = I.skipped_levels(batch.where("depth < 2").limit(4), batch, order=["temperature"])
+    plan = skipped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # with the keys' first rows, and of these with the stored keys
+    assert skipped.where("reason = 'key already stored'").count() > 0 and skipped.where("reason = 'repeated in batch'").count() > 0
