@@ -132,6 +132,11 @@ def spread(questions: DataFrame) -> DataFrame:
     return questions.repartition(4 * questions.sparkSession.sparkContext.defaultParallelism, "question_id")
 
 
+def parse_once(questions: DataFrame, current_year: int) -> DataFrame:
+    """``parse_table`` of the questions, on all cores, as a checkpoint in the shared folder: for all that is asked of one set of questions."""
+    return cut_lineage(parse_table(spread(questions), current_year))
+
+
 def _month_key(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts) - 1
 
@@ -400,14 +405,15 @@ def signature_stats(profiles: DataFrame, parsed: DataFrame, wrap: bool = False,
 
 
 def question_batch(profiles: DataFrame, questions: DataFrame, current_year: int, mode: str = "default",
-                   wrap: bool = False) -> DataFrame:
+                   wrap: bool = False, parsed: DataFrame | None = None) -> DataFrame:
     """Q10: every question answered against the levels in one plan.
 
+    ``parsed`` is what ``parse_once`` made of the questions, if that is there already.
     Output: the question columns, ``p`` (parse), ``b`` (bounds) and the
     statistics of its rows (``total_records`` is 0 when nothing matched).
     In literal mode a question the literal rules fail on gets no statistics.
     """
-    parsed = cut_lineage(parse_table(spread(questions), current_year))
+    parsed = parse_once(questions, current_year) if parsed is None else parsed
     stats = signature_stats(profiles, parsed, wrap)
     flat = parsed.select("*", *[F.col(f"b.{c}").alias(f"_k_{c}") for c in BOUND_FIELDS])
     on = [F.col(f"_k_{c}").eqNullSafe(F.col(f"s.{c}")) for c in BOUND_FIELDS]

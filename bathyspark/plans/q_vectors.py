@@ -110,9 +110,9 @@ def knn_empty(s, d):
     return V.knn_l2(e, e.where("label < 0"), 5, query_id="vec_id", corpus_id="vec_id")
 
 
-def _neighbours(s, d):
+def _neighbours(s, d, parsed=None):
     idx, model = _index(s, d)
-    parsed = answer.parse_table(B.questions(s, d), CURRENT_YEAR)
+    parsed = answer.parse_once(B.questions(s, d), CURRENT_YEAR) if parsed is None else parsed
     return answer.question_neighbours(idx, model, parsed, 5)
 
 
@@ -124,16 +124,19 @@ def context_neighbours(s, d):
     return _neighbours(s, d).where(F.col("rank") <= 3).select("question_id", "rank", "float_id", "text_summary")
 
 
-def _batch(s, d, mode="default"):
-    return answer.question_batch(B.profile_levels(s, d), B.questions(s, d), CURRENT_YEAR, mode=mode)
+def _batch_and_neighbours(s, d):
+    """Both parts of the answers, of questions that are parsed once."""
+    questions = B.questions(s, d)
+    parsed = answer.parse_once(questions, CURRENT_YEAR)
+    return answer.question_batch(B.profile_levels(s, d), questions, CURRENT_YEAR, parsed=parsed), _neighbours(s, d, parsed)
 
 
 def answer_context(s, d):
-    return answer.answer_context(_batch(s, d), _neighbours(s, d))
+    return answer.answer_context(*_batch_and_neighbours(s, d))
 
 
 def answer_records(s, d):
-    rec = answer.answer_records(_batch(s, d), _neighbours(s, d))
+    rec = answer.answer_records(*_batch_and_neighbours(s, d))
     return rec.select("question_id", "query", "response", "data_summary.total_records",
                       F.array_join("data_summary.parameters_found", ",").alias("parameters_found"),
                       F.size("vector_results").alias("n_neighbours"))

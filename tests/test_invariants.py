@@ -623,3 +623,15 @@ def test_skipped_levels_shuffle_whole_rows_once(spark):
     plan = skipped._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2  # with the keys' first rows, and of these with the stored keys
     assert skipped.where("reason = 'key already stored'").count() > 0 and skipped.where("reason = 'repeated in batch'").count() > 0
+
+
+def test_answers_parse_each_question_once(spark, monkeypatch):
+    """Statistics and neighbours take the questions as parsed once, on all cores; no later plan reads them from their tables."""
+    from bathyspark.plans import answer, q_vectors
+    plain, parsed = answer.parse_table, []
+    monkeypatch.setattr(answer, "parse_table", lambda questions, *more: parsed.append(questions.rdd.getNumPartitions()) or plain(questions, *more))
+    for query in (q_vectors.answer_context, q_vectors.answer_records, q_vectors.question_neighbours):
+        parsed.clear()
+        plan = query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(parsed) == 1 and parsed[0] >= spark.sparkContext.defaultParallelism
+        assert "c_custkey" not in plan and "conv_id" not in plan
