@@ -19,27 +19,30 @@ MAX_FEATURES = 1000
 BATCH = "batch"
 
 
-def float_summaries(floats: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Floats with their A1 summary columns (null when a float has no levels)."""
-    return floats.join(summary_by_float(profiles), "float_id", "left")
+def float_summaries(floats: DataFrame, profiles: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Floats with their A1 summary columns (null when a float has no levels).
+
+    ``summaries`` is A2 of the levels, if that is there already; the levels are not read then.
+    """
+    return floats.join(summary_by_float(profiles) if summaries is None else summaries, "float_id", "left")
 
 
-def index_documents(floats: DataFrame, profiles: DataFrame) -> DataFrame:
+def index_documents(floats: DataFrame, profiles: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """T1 with the metadata: float_id, doc (the vector's key, the float_id), text_summary, metadata struct."""
-    return float_summaries(floats, profiles).select(
+    return float_summaries(floats, profiles, summaries).select(
         "float_id", F.col("float_id").alias("doc"), float_text().alias("text_summary"),
         F.struct("latitude", "longitude", "status", "platform_type", "institution").alias("metadata"))
 
 
-def build_index(floats: DataFrame, profiles: DataFrame, max_features: int = MAX_FEATURES):
+def build_index(floats: DataFrame, profiles: DataFrame, max_features: int = MAX_FEATURES, summaries: DataFrame | None = None):
     """(index DataFrame, fitted TF-IDF model).
 
     Index columns: those of ``index_documents`` and ``embedding`` (sparse
-    struct<indices, values> of dimension ``max_features``).
+    struct<indices, values> of dimension ``max_features``).  ``summaries`` as of ``float_summaries``.
     """
     # fitting and transforming read the summaries several times: compute
     # them once (reliable checkpoint in the shared folder)
-    docs = cut_lineage(index_documents(floats, profiles))
+    docs = cut_lineage(index_documents(floats, profiles, summaries))
     model, sparse = V.tfidf_fit_transform(docs, "doc", "text_summary", max_features)
     # the index is reused by every search: cut its lineage with a reliable
     # checkpoint in the shared checkpoint folder
@@ -87,18 +90,19 @@ def load_model(spark, path: str) -> V.TfidfModel:
     return V.TfidfModel(spark.createDataFrame(held.collect(), held.schema), size[0] if size else MAX_FEATURES)
 
 
-def add_to_index(spark, path: str, floats: DataFrame, profiles: DataFrame, batch: int) -> None:
+def add_to_index(spark, path: str, floats: DataFrame, profiles: DataFrame, batch: int, summaries: DataFrame | None = None) -> None:
     """Add new or changed floats to the stored index, under its frozen vocabulary and weights.
 
     ``batch`` numbers the additions from 1 on; a float of a later batch takes
     the place of its earlier versions.  Only the given floats are read and
     written.  Running a batch again (after a failure, say) writes the same folder
-    once more, so nothing is there twice.
+    once more, so nothing is there twice.  ``summaries`` as of ``float_summaries``.
     """
     if batch < 1:
         raise ValueError("batches of additions are numbered from 1 on")
     model = load_model(spark, path)
-    docs = cut_lineage(index_documents(floats, profiles.join(floats.select("float_id"), "float_id", "left_semi")))
+    given = profiles.join(floats.select("float_id"), "float_id", "left_semi")
+    docs = cut_lineage(index_documents(floats, given, summaries))
     vectors = V.to_sparse(V.tfidf_transform(model, docs, "doc", "text_summary"), docs, "doc")
     docs.join(vectors, "doc").write.mode("overwrite").parquet(f"{path}/vectors/{BATCH}={batch}")
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from bathyspark.operators import index as X
 from bathyspark.operators import vectors as V
+from bathyspark.operators.stats import summary_by_float
 from bathyspark.plans import answer
 from bathyspark.functions.text import FLOAT_PREFIX, NEIGHBOURS_HEADER, SUMMARY_SEPARATOR
 from bathyspark.plans.oracle import fixed, sql
 from bathyspark.plans.q_questions import BOUNDS_CTE, CURRENT_YEAR, EXACT_CTE, MATCH_COND, PARSED_CTE, exact_mean_sql
 from bathyspark.plans.q_stats import SUMMARY_SQL
 from bathyspark.schemas import CONTEXT_NEIGHBOURS, DEFAULT_K, QUESTION_PARAMETERS, STOP_WORDS
+from bathyspark.session import cut_lineage
 from bathyspark.sources import bindings as B
 from bathyspark.sources.io import scratch_dir
 
@@ -85,11 +87,12 @@ def index_added(s, d):
     floats, levels = B.floats(s, d), B.profiles(s, d)
     early = F.col("deployment_date") < F.lit("1996-01-01").cast("timestamp_ntz")
     path = scratch_dir(s, "float-index")
+    summaries = cut_lineage(summary_by_float(levels))  # of one set of levels, for the build and both additions
     # the first build knows the inactive floats as active
-    idx, model = X.build_index(floats.where(early).withColumn("status", F.when(F.col("status") == "inactive", "active").otherwise(F.col("status"))), levels)
+    idx, model = X.build_index(floats.where(early).withColumn("status", F.when(F.col("status") == "inactive", "active").otherwise(F.col("status"))), levels, summaries=summaries)
     X.save_index(idx, path, model)
-    X.add_to_index(s, path, floats.where(~early), levels, 1)
-    X.add_to_index(s, path, floats.where(early & (F.col("status") == "inactive")), levels, 2)
+    X.add_to_index(s, path, floats.where(~early), levels, 1, summaries)
+    X.add_to_index(s, path, floats.where(early & (F.col("status") == "inactive")), levels, 2, summaries)
     return _written_vectors(X.load_index(s, path))
 
 

@@ -635,3 +635,14 @@ def test_answers_parse_each_question_once(spark, monkeypatch):
         plan = query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert len(parsed) == 1 and parsed[0] >= spark.sparkContext.defaultParallelism
         assert "c_custkey" not in plan and "conv_id" not in plan
+
+
+def test_levels_are_summarised_once_for_an_index_that_is_added_to(spark, monkeypatch):
+    """The build and both additions take the summaries of the same levels, which are read once."""
+    from bathyspark.operators import index as X
+    from bathyspark.plans import q_vectors
+    plain, seen = A.summary_by_float, []
+    for module in (X, q_vectors):
+        monkeypatch.setattr(module, "summary_by_float", lambda levels: seen.append(1) or plain(levels), raising=False)
+    got = q_vectors.index_added(spark, SF_SMALL)
+    assert len(seen) == 1 and got.count() == B.floats(spark, SF_SMALL).count()
