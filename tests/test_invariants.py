@@ -234,6 +234,35 @@ def test_crowded_cell_is_many_bounded_blocks(spark):
     assert sorted(tuple(x) for x in geo.floats_near_batch(pts, f, 2.0, block_rows=3).collect()) == want
 
 
+def test_crowded_radius_join_shuffles_rows_by_their_number(spark):
+    """Rows in one place, and four and sixteen times as many: each is copied as often, however many pairs it is in."""
+    from bathyspark.operators import geo
+    copies = []
+    for n in (500, 2000, 8000):
+        f = spark.range(n).select(F.format_string("F%05d", "id").alias("float_id"), (F.col("id") % 97 / 97).alias("latitude"),
+                                  (F.col("id") % 89 / 89).alias("longitude"))
+        pts = f.select(F.col("float_id").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+        ps, fs = geo._sides(pts, f, 2.0, 16, 8)
+        rows = [side.select(F.sum(F.size(c)), F.count_distinct(*geo.PART), F.max(F.size(c))).first() for side, c in ((ps, "ps"), (fs, "fs"))]
+        assert rows[0][1] >= 16 and max(rows[0][2], rows[1][2]) <= 8  # spread over the tasks, in blocks
+        copies.append((rows[0][0] / n, rows[1][0] / n))
+    assert max(p for p, _ in copies) <= 5 and max(f for _, f in copies) <= 4 + 4
+
+
+def test_radius_join_in_parts_equals_brute_force(spark):
+    """A crowded place beside lone floats, some exactly a radius apart, some below zero; also for a radius of 0."""
+    from bathyspark.operators import geo
+    f = spark.range(300).select(F.format_string("F%03d", "id").alias("float_id"),
+                                F.expr("case when id < 200 then id % 7 / 8 else (id % 20 - 10) * 1.0 end").cast("double").alias("latitude"),
+                                F.expr("case when id < 200 then id % 5 / 8 else id div 20 - 12.0 end").cast("double").alias("longitude"))
+    pts = f.select(F.col("float_id").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    spots = [tuple(x) for x in f.collect()]
+    for r in (2.0, 0.0):
+        want = sorted((a, b, ((c - e) ** 2 + (d - g) ** 2) ** 0.5) for a, c, d in spots for b, e, g in spots
+                      if ((c - e) ** 2 + (d - g) ** 2) ** 0.5 <= r)
+        assert sorted(tuple(x) for x in geo.floats_near_batch(pts, f, r, block_rows=4).collect()) == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
